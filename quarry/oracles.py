@@ -78,47 +78,47 @@ def join_list(x: str, sep: str = ",") -> str:
     return f"array_to_string({x}, {q(sep)})"
 
 
-def functions_ctes(files: str = "files") -> str:
-    """CTEs ending in ``fns`` (X1-X3 + C1-C3) over a ``files`` relation."""
+def functions_ctes(files: str = "files", p: str = "") -> str:
+    """CTEs ending in ``{p}fns`` (X1-X3 + C1-C3) over a ``files`` relation."""
     hp = q(P.P_HEADER_REVERSED)
     skip = ", ".join(q(s) for s in P.HEADER_SKIP_NAMES)
     return f"""
-seg0 as (select file_path, regexp_extract_all(coalesce(source_code, ''), {q(P.P_SEGMENT)}, 0) as arr from {files}),
-seg1 as (select file_path, unnest(arr) as seg, unnest(range(0, len(arr))) as pos from seg0),
-seg2 as (select file_path, pos, seg,
+{p}seg0 as (select file_path, regexp_extract_all(coalesce(source_code, ''), {q(P.P_SEGMENT)}, 0) as arr from {files}),
+{p}seg1 as (select file_path, unnest(arr) as seg, unnest(range(0, len(arr))) as pos from {p}seg0),
+{p}seg2 as (select file_path, pos, seg,
            case when left(seg, 1) in ('{{', '}}') then left(seg, 1) else 'x' end as kind,
-           case when left(seg, 1) in ('{{', '}}') then 1 else 0 end as lead_len from seg1),
-seg3 as (select *, substr(seg, lead_len + 1) as tail from seg2),
-seg4 as (select *, regexp_extract(reverse(tail), {hp}, 0) as hdr from seg3),
-facts as (
+           case when left(seg, 1) in ('{{', '}}') then 1 else 0 end as lead_len from {p}seg1),
+{p}seg3 as (select *, substr(seg, lead_len + 1) as tail from {p}seg2),
+{p}seg4 as (select *, regexp_extract(reverse(tail), {hp}, 0) as hdr from {p}seg3),
+{p}facts as (
   select file_path, pos, kind, length(seg) as seg_len, {nl('seg')} as seg_nl,
     case when hdr <> '' then reverse(regexp_extract(hdr, {hp}, 2)) end as h_name,
     case when hdr <> '' then reverse(regexp_extract(hdr, {hp}, 3)) end as h_ret,
     case when hdr <> '' then reverse(regexp_extract(hdr, {hp}, 1)) end as h_params,
     case when hdr <> '' then {nl(f"substr(seg, 1, lead_len + length(tail) - length(hdr) + length(hdr) - length({lstrip('reverse(hdr)')}))")} end as h_nl
-  from seg4),
-staged as (
+  from {p}seg4),
+{p}staged as (
   select file_path, pos, kind,
     sum(seg_len) over w - seg_len as off,
     sum(seg_nl) over w - seg_nl as nl_before,
     sum(case kind when '{{' then 1 when '}}' then -1 else 0 end) over w as depth,
     lag(h_name) over w as p_name, lag(h_ret) over w as p_ret, lag(h_params) over w as p_params,
     lag(h_nl) over w as p_h_nl, lag(seg_nl) over w as p_seg_nl
-  from facts window w as (partition by file_path order by pos)),
-braces as (
+  from {p}facts window w as (partition by file_path order by pos)),
+{p}braces as (
   select *, case when kind = '{{' then depth - 1 else depth end as level,
          nl_before - p_seg_nl as p_nl_before
-  from staged where kind <> 'x'),
-matched as (
+  from {p}staged where kind <> 'x'),
+{p}matched as (
   select file_path, pos, kind, level, off as open_off,
     case when lead(kind) over w2 = '}}' then lead(off) over w2 end as close_off,
     nl_before + 1 as open_line,
     case when lead(kind) over w2 = '}}' then lead(nl_before) over w2 + 1 end as close_line,
     p_name, p_ret, p_params, p_h_nl, p_nl_before
-  from braces window w2 as (partition by file_path, level order by pos)),
-opens as (select * from matched where kind = '{{'),
-spans as (select * from opens where p_name is not null and p_name not in ({skip})),
-fns0 as (
+  from {p}braces window w2 as (partition by file_path, level order by pos)),
+{p}opens as (select * from {p}matched where kind = '{{'),
+{p}spans as (select * from {p}opens where p_name is not null and p_name not in ({skip})),
+{p}fns0 as (
   select s.file_path, p_name as function_name, {strip('p_ret')} as return_type,
     p_params as parameters,
     cast(p_nl_before + p_h_nl + 1 as integer) as line_start,
@@ -127,11 +127,11 @@ fns0 as (
     coalesce({lang_of_name("regexp_extract(s.file_path, '[^/]*$', 0)")}, 'unknown') as language,
     case when close_off is not null then substr(f.source_code, cast(open_off + 1 as bigint), cast(close_off - open_off + 1 as bigint))
          else substr(f.source_code, cast(open_off + 1 as bigint)) end as body
-  from spans s join {files} f on s.file_path = f.file_path),
-fns as (
+  from {p}spans s join {files} f on s.file_path = f.file_path),
+{p}fns as (
   select *, {calls('body')} as calls, {complexity('body')} as complexity,
          {tags('function_name', 'body', 'language')} as tags
-  from fns0)"""
+  from {p}fns0)"""
 
 
 def findings_ctes(files: str = "files") -> str:
@@ -261,4 +261,322 @@ select f.file_path, f.function_name, f.line_start, f.line_end, f.complexity,
        {join_list('f.tags')} as tags, cast(coalesce(c.n, 0) as integer) as file_findings
 from fns f left join counts c on f.file_path = c.file_path"""
 
+    _index_oracles(o)
     return o
+
+
+# ----------------------------------------------------------------- the index
+def embedding(text: str, dim: int = 64) -> str:
+    """The hashing embedder (md5 buckets -> counts -> unit vector) in SQL."""
+    toks = f"regexp_extract_all(lower(coalesce({text}, '')), {q('[' + P.W + ']+')}, 0)"
+    buckets = f"list_transform({toks}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim})"
+    counts = f"list_transform(range(0, {dim}), lambda d: len(list_filter({buckets}, lambda b: b = d)))"
+    return counts   # normalised by ``unit_vector`` in a later CTE
+
+
+def unit_vector(counts: str) -> str:
+    norm = f"sqrt(list_sum(list_transform({counts}, lambda c: c * c)))"
+    return f"list_transform({counts}, lambda c: case when {norm} > 0 then (c / {norm})::FLOAT else 0::FLOAT end)"
+
+
+def document(name, ret, params, body, tags_) -> str:
+    tag_str = f"case when len({tags_}) > 0 then array_to_string({tags_}, ', ') else 'general' end"
+    raw = (f"chr(10) || 'Function: ' || {name} || chr(10) || 'Signature: ' || {ret} || ' ' || {name} || '(' || {params} "
+           f"|| ')' || chr(10) || 'Tags: ' || {tag_str} || chr(10) || 'Code:' || chr(10) || {body} || chr(10)")
+    return strip(raw)
+
+
+def template_sql(template: str, values: dict[str, str]) -> str:
+    import re
+
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append(q(template[pos:m.start()]))
+        parts.append(f"({values[m.group(1)]})")
+        pos = m.end()
+    if pos < len(template):
+        parts.append(q(template[pos:]))
+    return " || ".join(parts)
+
+
+def zero_fix(x: str) -> str:
+    return f"(case when {x} = 0 then 0.0 else {x} end)"
+
+
+def similarity(d: str) -> str:
+    return f"cast(cast(round_even(cast(1.0 - coalesce({d}, 1.0) as decimal(38,18)), 2) as decimal(38,2)) as varchar)"
+
+
+def index_ctes() -> str:
+    from quarry.sources import corpus as C
+
+    t1, t2, t3 = (C.BATCH_TIMES[i] for i in (1, 2, 3))
+    parts = []
+    for b, (ver, where, ts) in {1: (1, None, t1), 2: (2, C.REUPLOAD_WHERE, t2)}.items():
+        parts.append(f"b{b}files as ({part_corpus_sql('part', ver, where)})")
+        parts.append(f"b{b}acc as (select * from b{b}files where {lang_of_name('file_name')} is not null)")
+        parts.append(functions_ctes(f"b{b}acc", f"b{b}_").strip())
+        parts.append(f"""b{b}frows as (
+  select f.file_path, f.file_name, c.n as function_count, timestamp '{ts}' as upload_time,
+         cast({b} as bigint) as ingest_seq, 'upsert' as op
+  from b{b}acc f join (select file_path, cast(count(*) as integer) as n from b{b}_fns group by file_path) c
+    on f.file_path = c.file_path)""")
+        parts.append(f"""b{b}vec0 as (
+  select file_path || '::' || function_name as vector_id, file_path, cast({b} as bigint) as ingest_seq,
+    {document('function_name', 'return_type', 'parameters', 'body', 'tags')} as document,
+    function_name as meta_function_name, complexity as meta_complexity, {join_list('tags')} as meta_tags,
+    line_start as meta_line_start, line_end as meta_line_end,
+    row_number() over (partition by file_path, function_name order by line_start desc, open_off desc) as rn
+  from b{b}_fns)""")
+    parts.append(f"dels as (select file_path from ({part_corpus_sql('part', 1, C.DELETE_WHERE)}) d)")
+    parts.append(f"""files_log as (
+  select * from b1frows union all select * from b2frows union all
+  select distinct file_path, cast(null as varchar), 0, timestamp '{t3}', cast(3 as bigint), 'delete' from dels)""")
+    parts.append("""cur_files as (
+  select * exclude (rn) from (
+    select *, row_number() over (partition by file_path order by ingest_seq desc) as rn from files_log) t
+  where rn = 1 and op = 'upsert')""")
+    parts.append("""live_before_delete as (
+  select * exclude (rn) from (
+    select *, row_number() over (partition by file_path order by ingest_seq desc) as rn
+    from files_log where op = 'upsert') t where rn = 1)""")
+    parts.append("""fn_log as (
+  select *, cast(1 as bigint) as ingest_seq from b1_fns union all by name
+  select *, cast(2 as bigint) as ingest_seq from b2_fns)""")
+    parts.append("""cur_fns as (
+  select f.* from fn_log f where exists (
+    select 1 from cur_files c where c.file_path = f.file_path and c.ingest_seq = f.ingest_seq))""")
+    parts.append(f"""vec_log0 as (
+  select * exclude (rn) from b1vec0 where rn = 1 union all
+  select * exclude (rn) from b2vec0 where rn = 1),
+vec_log1 as (select *, {embedding('document')} as counts from vec_log0),
+vec_log as (select * exclude (counts), {unit_vector('counts')} as embedding from vec_log1)""")
+    parts.append("""cur_vecs as (
+  select v.* from vec_log v where exists (
+    select 1 from cur_files c where c.file_path = v.file_path and c.ingest_seq = v.ingest_seq))""")
+    return ",\n".join(parts)
+
+
+def current_sources_ctes() -> str:
+    """Sources of the live file versions, and their findings text."""
+    return f"""cur_src as (
+  select s.* from (select *, cast(1 as bigint) as ingest_seq from b1files union all
+                   select *, cast(2 as bigint) as ingest_seq from b2files) s
+  where exists (select 1 from cur_files c where c.file_path = s.file_path and c.ingest_seq = s.ingest_seq)),
+{findings_ctes('cur_src').strip()},
+ftext as (
+  select file_path,
+    {q(P.FINDINGS_HEADING + chr(10) + chr(10))} || string_agg('- [' || upper(severity) || '] Line ' || cast(line as varchar)
+      || ': ' || detail, chr(10) order by seq) || {q(chr(10) + chr(10) + P.FINDINGS_FOOTER)} as findings_text,
+    cast(count(*) as integer) as finding_count
+  from findings group by file_path)"""
+
+
+def hits_ctes(req: str, scope: str | None, k: str) -> str:
+    """Top-k hits, language vote and chunks for request relation ``req``
+    (request_id, qvec[, scope], top_k)."""
+    cond = f"(r.{scope} is null or v.file_path = r.{scope})" if scope else "true"
+    votes = " union all ".join(
+        f"select {q(lang)} as lang, {q(disp)} as language, {q(tag)} as lang_tag, {i} as pos"
+        for i, (lang, disp, tag) in enumerate(P.PROMPT_LANGUAGES))
+    return f"""pairs as (
+  select r.request_id, v.vector_id, v.document, v.meta_function_name, v.meta_tags,
+         list_cosine_distance(r.qvec::DOUBLE[], v.embedding::DOUBLE[]) as distance, r.{k} as k
+  from {req} r join cur_vecs v on {cond}),
+ranked as (
+  select *, row_number() over (partition by request_id order by distance asc nulls last, vector_id) as rank
+  from pairs),
+hits as (select * from ranked where rank <= k),
+langs as ({votes}),
+vote as (
+  select request_id, language, lang_tag from (
+    select h.request_id, l.language, l.lang_tag,
+      row_number() over (partition by h.request_id order by count(*) desc, min(h.rank), min(l.pos)) as rn
+    from hits h join langs l on contains(coalesce(h.meta_tags, ''), l.lang)
+    group by h.request_id, l.lang, l.language, l.lang_tag) t where rn = 1),
+chunks as (
+  select request_id,
+    string_agg(coalesce(meta_function_name, '?'), ',' order by rank) as retrieved,
+    string_agg('--- [' || cast(rank as varchar) || '] ' || coalesce(meta_function_name, '?') || ' (similarity: '
+      || {similarity('distance')} || ') ---' || chr(10) || document, chr(10) || chr(10) order by rank) as code_chunks
+  from hits group by request_id)"""
+
+
+def _index_oracles(o: dict) -> None:
+    from quarry.sources import corpus as C
+
+    ix = index_ctes()
+    o["index_files"] = f"""with {ix}
+select file_path, file_name, function_count, cast(upload_time as varchar) as upload_time, ingest_seq from cur_files"""
+    o["index_functions"] = f"""with {ix}
+select file_path, ingest_seq, function_name, file_path || '::' || function_name as vector_id,
+  {join_list('tags')} as tags_str, left(coalesce(body, ''), {P.BODY_PREVIEW_CHARS}) as body_preview,
+  line_start, line_end, complexity
+from cur_fns"""
+    o["index_edges"] = f"""with {ix}
+select file_path, ingest_seq, function_name as caller, line_start as caller_line, callee_name
+from (select *, unnest(calls) as callee_name from cur_fns)"""
+    o["index_vectors"] = f"""with {ix}
+select vector_id, file_path, ingest_seq, document, meta_function_name, meta_complexity, meta_tags,
+  meta_line_start, meta_line_end,
+  round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) as embedding_sum,
+  cast(len(list_filter(embedding, lambda x: x <> 0)) as integer) as embedding_nnz
+from cur_vecs"""
+    o["deleted_vectors"] = f"""with {ix},
+before as (select v.* from vec_log v where exists (
+  select 1 from live_before_delete c where c.file_path = v.file_path and c.ingest_seq = v.ingest_seq)),
+wanted as (select distinct file_path from dels)
+select w.file_path, cast(coalesce(n, 0) as integer) as deleted
+from wanted w left join (select file_path, count(*) as n from before group by file_path) b
+  on w.file_path = b.file_path"""
+    o["index_count"] = f"with {ix} select cast(count(*) as bigint) as indexed_functions from cur_vecs"
+    head, tail = P.INDEXED_MESSAGE.split("{n}")
+    mid, tail = tail.split("{lang}")
+    o["index_summary"] = f"""with {ix},
+last as (select file_path, function_name, max_by(calls, open_off) as calls from b1_fns group by file_path, function_name),
+names as (select distinct file_path, function_name as callee from b1_fns),
+internal as (
+  select e.file_path, e.function_name, list_sort(list(e.callee)) as callees
+  from (select file_path, function_name, unnest(calls) as callee from last) e
+  where exists (select 1 from names n where n.file_path = e.file_path and n.callee = e.callee)
+  group by e.file_path, e.function_name),
+graph as (
+  select l.file_path, string_agg(l.function_name || ':' || array_to_string(coalesce(i.callees, []::varchar[]), '|'), ';'
+           order by l.function_name) as call_graph
+  from last l left join internal i on l.file_path = i.file_path and l.function_name = i.function_name
+  group by l.file_path)
+select f.file_path, f.file_name, f.function_count as functions_indexed, coalesce(g.call_graph, '') as call_graph,
+  {q(head)} || cast(f.function_count as varchar) || {q(mid)} || coalesce({display_of_name('f.file_name')}, 'None')
+    || {q(tail)} as message
+from b1frows f left join graph g on f.file_path = g.file_path"""
+    o["latest_file"] = f"""with {ix}
+select file_path from cur_files order by upload_time desc, ingest_seq desc, file_path desc limit 1"""
+    o["functions_by_file"] = f"""with {ix}
+select file_path, function_name, line_start,
+  cast(row_number() over (partition by file_path order by line_start, open_off) as integer) as position
+from cur_fns"""
+    o["first_by_name"] = f"""with {ix}
+select function_name, file_path, line_start from (
+  select *, row_number() over (partition by function_name order by file_path, line_start, open_off) as rn
+  from cur_fns) t where rn = 1"""
+    o["events_latest"] = """select file_path, file_name, function_count, ingest_seq from (
+  select 'user_' || cast(user_id as varchar) as file_path, event_type as file_name, value as function_count,
+    event_id as ingest_seq, event_type,
+    row_number() over (partition by user_id order by event_id desc) as rn
+  from events) t where rn = 1 and event_type <> 'error'"""
+
+    vsql = ("v as (select cast(vec_id as varchar) as vector_id, 'label_' || cast(label as varchar) as file_path, "
+            "embedding, vec_id from embeddings)")
+    for name, cond in (("vector_topk", "true"), ("vector_topk_label", "a.file_path = b.file_path")):
+        o[name] = f"""with {vsql},
+pairs as (select a.vec_id as query_id, b.vector_id,
+            list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) as d
+          from v a join v b on {cond}),
+ranked as (select *, row_number() over (partition by query_id order by d asc nulls last, vector_id) as rn from pairs)
+select query_id, cast(rn as integer) as rank, vector_id, {zero_fix('round(d, 6)')} as distance
+from ranked where rn <= 5"""
+    o["neighbor_distance"] = f"""select a.vec_id as a_id, b.vec_id as b_id,
+  {zero_fix('round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)')} as distance
+from embeddings a join embeddings b on b.vec_id - 1 = a.vec_id"""
+
+    # debug prompts (E2 up to U2) -----------------------------------------
+    fixes = current_sources_ctes()
+    dbg = f"""{ix},
+{fixes},
+req as ({C.debug_requests_sql('conversations')}),
+req1 as (select request_id, query, file_filter, coalesce(top_k, {P.DEFAULT_TOP_K}) as top_k from req),
+valid as (select * from req1 where query is not null and top_k between 1 and {P.MAX_TOP_K}
+          and (select count(*) from cur_vecs) > 0),
+latest as (select file_path from cur_files order by upload_time desc, ingest_seq desc, file_path desc limit 1),
+scoped as (select *, coalesce(nullif(file_filter, ''), (select file_path from latest)) as scope from valid),
+qv0 as (select *, {embedding('query')} as counts from scoped),
+qv as (select * exclude (counts), {unit_vector('counts')} as qvec from qv0),
+{hits_ctes('qv', 'scope', 'top_k')},
+prompted as (
+  select s.request_id, s.query, s.scope, s.top_k,
+    coalesce(vt.language, {q(P.DEFAULT_PROMPT_LANGUAGE[0])}) as language,
+    coalesce(vt.lang_tag, {q(P.DEFAULT_PROMPT_LANGUAGE[1])}) as lang_tag,
+    coalesce(c.retrieved, '') as retrieved,
+    coalesce(c.code_chunks, {q(P.NO_CHUNKS_TEXT)}) as code_chunks,
+    case when {analyzable('s.scope')} then coalesce(ft.findings_text, '') else '' end as findings_text,
+    case when {analyzable('s.scope')} then coalesce(ft.finding_count, 0) else 0 end as finding_count
+  from scoped s left join vote vt on s.request_id = vt.request_id
+    left join chunks c on s.request_id = c.request_id
+    left join ftext ft on ft.file_path = s.scope),
+final as (
+  select *, {template_sql(P.DEBUG_PROMPT_TEMPLATE, {'language': 'language', 'query': 'query',
+                         'code_chunks': 'code_chunks', 'static_analysis': 'findings_text',
+                         'lang_tag': 'lang_tag'})} as prompt
+  from prompted)"""
+    o["debug_prompts"] = f"""with {dbg}
+select request_id, scope, top_k, language, lang_tag, retrieved, cast(finding_count as integer) as finding_count, prompt
+from final"""
+    o["debug_answers"] = f"""with {dbg},
+ans as (select *, {strip('prompt')} as response from final)
+select request_id, query, retrieved,
+  {strip(f"regexp_extract(response, {q(P.P_FENCE)}, 1)")} as suggested_fix,
+  case when strpos(response, '## Explanation') > 0
+       then {strip("substr(response, strpos(response, '## Explanation') + 14)")} else response end as explanation,
+  cast(finding_count as integer) as static_analysis_findings
+from ans"""
+    o["debug_rejects"] = f"""with {ix},
+req as ({C.debug_requests_sql('conversations')}),
+req1 as (select request_id, query, coalesce(top_k, {P.DEFAULT_TOP_K}) as top_k from req)
+select request_id,
+  case when (select count(*) from cur_vecs) = 0 and query is not null and top_k between 1 and {P.MAX_TOP_K} then 400
+       else 422 end as error_code,
+  case when query is null then 'query: Field required'
+       when top_k < 1 then 'top_k: Input should be greater than or equal to 1'
+       when top_k > {P.MAX_TOP_K} then 'top_k: Input should be less than or equal to {P.MAX_TOP_K}'
+       else {q(P.EMPTY_INDEX_MESSAGE)} end as error
+from req1
+where query is null or top_k not between 1 and {P.MAX_TOP_K} or (select count(*) from cur_vecs) = 0"""
+
+    # test prompts (E3 up to U3) ------------------------------------------
+    fw_case = "case framework " + " ".join(f"when {q(a)} then {q(b)}" for a, b in P.FRAMEWORK_NAMES) + " else framework end"
+    tst = f"""{ix},
+req as ({C.test_requests_sql('part')}),
+req1 as (select request_id, function_name, coalesce(framework, 'catch2') as framework from req),
+valid as (select * from req1 where function_name is not null
+          and framework in ({', '.join(q(f) for f in P.ACCEPTED_FRAMEWORKS)}) and (select count(*) from cur_vecs) > 0),
+qv0 as (select *, {P.TEST_TOP_K} as top_k, {embedding('function_name')} as counts from valid),
+qv as (select * exclude (counts), {unit_vector('counts')} as qvec from qv0),
+{hits_ctes('qv', None, 'top_k')},
+prompted as (
+  select s.request_id, s.function_name, s.framework, {fw_case} as framework_name,
+    coalesce(vt.language, {q(P.DEFAULT_PROMPT_LANGUAGE[0])}) as language,
+    coalesce(vt.lang_tag, {q(P.DEFAULT_PROMPT_LANGUAGE[1])}) as lang_tag,
+    coalesce(c.retrieved, '') as retrieved,
+    coalesce(c.code_chunks, {q(P.NO_CHUNKS_TEXT)}) as code_chunks
+  from valid s left join vote vt on s.request_id = vt.request_id
+    left join chunks c on s.request_id = c.request_id),
+final as (
+  select *, {template_sql(P.TEST_PROMPT_TEMPLATE, {'language': 'language', 'framework': 'framework_name',
+                         'code_chunks': 'code_chunks', 'lang_tag': 'lang_tag'})} as prompt
+  from prompted)"""
+    o["test_prompts"] = f"""with {tst}
+select request_id, function_name, framework, framework_name, language, lang_tag, retrieved, prompt from final"""
+    o["test_answers"] = f"""with {tst},
+ans as (select *, {strip('prompt')} as response from final),
+code as (select *, {strip(f"regexp_extract(response, {q(P.P_FENCE)}, 1)")} as c from ans)
+select request_id, function_name, coalesce(nullif(c, ''), response) as unit_tests_code, framework,
+  'Generated ' || framework_name || ' tests for `' || function_name || '` (' || language || ').' as explanation
+from code"""
+    o["test_rejects"] = f"""with {ix},
+req as ({C.test_requests_sql('part')}),
+req1 as (select request_id, function_name, coalesce(framework, 'catch2') as framework from req)
+select request_id,
+  case when function_name is null then 422 when framework not in ({', '.join(q(f) for f in P.ACCEPTED_FRAMEWORKS)}) then 400
+       else 400 end as error_code,
+  case when function_name is null then 'function_name: Field required'
+       when framework not in ({', '.join(q(f) for f in P.ACCEPTED_FRAMEWORKS)}) then {q(P.BAD_FRAMEWORK_MESSAGE)}
+       else {q(P.EMPTY_INDEX_MESSAGE)} end as error
+from req1
+where function_name is null or framework not in ({', '.join(q(f) for f in P.ACCEPTED_FRAMEWORKS)})
+   or (select count(*) from cur_vecs) = 0"""
+    o["response_parsing"] = f"""select conv_id, turn,
+  {strip(f"regexp_extract(coalesce(text, ''), {q(P.P_FENCE)}, 1)")} as code,
+  case when strpos(text, '## Explanation') > 0
+       then {strip("substr(text, strpos(text, '## Explanation') + 14)")} else text end as explanation
+from conversations"""

@@ -17,6 +17,13 @@ from quarry.operators.extract import brace_match, by_file, extract_functions
 from quarry.operators.languages import is_analyzable, split_supported, with_language
 from quarry.functions import text as T
 from quarry.sources import corpus
+from quarry.operators import index as ix
+from quarry.operators.inference import complete, echo_completion
+from quarry.operators.prompts import parse_debug_responses, parse_test_responses
+from quarry.operators.search import cosine_distance, search_topk, search_topk_approx
+from quarry.plans.debugging import debug_prompts
+from quarry.plans.indexing import index_batch, summary, union_logs
+from quarry.plans.testgen import testgen_prompts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +115,232 @@ def complexity_report(spark, sf_dir):
                     F.coalesce("n", F.lit(0)).cast("int").alias("file_findings")))
 
 
+# --------------------------------------------------------------- the index
+def _dist(c):
+    """Distance rounded to 6 places, with -0.0 written as 0.0."""
+    r = F.round(c, 6)
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)
+
+
+def _index_logs(spark, sf_dir):
+    """Three batches over ``part``: all files; a re-upload of one part type
+    with changed code; a delete of one brand."""
+    b1 = index_batch(corpus.part_corpus(spark, sf_dir), 1, corpus.BATCH_TIMES[1])
+    b2 = index_batch(corpus.part_corpus(spark, sf_dir, 2, corpus.REUPLOAD_WHERE), 2, corpus.BATCH_TIMES[2])
+    dels = corpus.part_corpus(spark, sf_dir, where=corpus.DELETE_WHERE).select("file_path")
+    tomb = ix.tombstones(dels, 3, corpus.BATCH_TIMES[3])
+    files_log, fn_log, edge_log, vec_log = union_logs(b1, b2, tombstones=tomb)
+    return files_log, fn_log, edge_log, vec_log, dels
+
+
+def _current_sources(spark, sf_dir, files_log):
+    v1 = corpus.part_corpus(spark, sf_dir).withColumn("ingest_seq", F.lit(1).cast("long"))
+    v2 = corpus.part_corpus(spark, sf_dir, 2, corpus.REUPLOAD_WHERE).withColumn("ingest_seq", F.lit(2).cast("long"))
+    return ix.current_rows(v1.unionByName(v2), files_log)
+
+
+def index_files(spark, sf_dir):
+    files_log = _index_logs(spark, sf_dir)[0]
+    return ix.current_files(files_log).select(
+        "file_path", "file_name", "function_count", F.col("upload_time").cast("string").alias("upload_time"),
+        "ingest_seq")
+
+
+def index_functions(spark, sf_dir):
+    files_log, fn_log = _index_logs(spark, sf_dir)[:2]
+    return ix.current_rows(fn_log, files_log).select(
+        "file_path", "ingest_seq", "function_name", "vector_id", "tags_str", "body_preview",
+        "line_start", "line_end", "complexity")
+
+
+def index_edges(spark, sf_dir):
+    files_log, _, edge_log = _index_logs(spark, sf_dir)[:3]
+    return ix.current_rows(edge_log, files_log).select(
+        "file_path", "ingest_seq", "caller", "caller_line", "callee_name")
+
+
+def _flat_vectors(v):
+    return v.select(
+        "vector_id", "file_path", "ingest_seq", "document",
+        F.col("metadata.function_name").alias("meta_function_name"),
+        F.col("metadata.complexity").alias("meta_complexity"),
+        F.col("metadata.tags").alias("meta_tags"),
+        F.col("metadata.line_start").alias("meta_line_start"),
+        F.col("metadata.line_end").alias("meta_line_end"),
+        F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("embedding_sum"),
+        F.size(F.filter("embedding", lambda x: x != 0)).alias("embedding_nnz"))
+
+
+def index_vectors(spark, sf_dir):
+    files_log, _, _, vec_log, _ = _index_logs(spark, sf_dir)
+    return _flat_vectors(ix.current_rows(vec_log, files_log))
+
+
+def deleted_vectors(spark, sf_dir):
+    files_log, _, _, vec_log, dels = _index_logs(spark, sf_dir)
+    before = ix.current_rows(vec_log, files_log.filter(F.col("op") == "upsert"))
+    _, deleted = ix.delete_by_file(before, dels)
+    return deleted
+
+
+def index_count(spark, sf_dir):
+    files_log, _, _, vec_log, _ = _index_logs(spark, sf_dir)
+    return ix.index_count(ix.current_rows(vec_log, files_log))
+
+
+def index_summary(spark, sf_dir):
+    b1 = index_batch(corpus.part_corpus(spark, sf_dir), 1, corpus.BATCH_TIMES[1])
+    summ = summary(b1)
+    entry = F.transform(F.array_sort(F.map_entries("call_graph")),
+                        lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], "|")))
+    return summ.select("file_path", "file_name", "functions_indexed",
+                       F.array_join(entry, ";").alias("call_graph"), "message")
+
+
+def latest_file(spark, sf_dir):
+    files_log = _index_logs(spark, sf_dir)[0]
+    return ix.latest_file(ix.current_files(files_log))
+
+
+def functions_by_file(spark, sf_dir):
+    files_log, fn_log = _index_logs(spark, sf_dir)[:2]
+    return ix.functions_by_file(ix.current_rows(fn_log, files_log)).select(
+        "file_path", "function_name", "line_start", F.col("position").cast("int").alias("position"))
+
+
+def first_by_name(spark, sf_dir):
+    files_log, fn_log = _index_logs(spark, sf_dir)[:2]
+    fns = ix.current_rows(fn_log, files_log)
+    return graph.functions_by_name(fns, fns.select("function_name")).select(
+        "function_name", "file_path", "line_start")
+
+
+def events_latest(spark, sf_dir):
+    """D1 on a large keyed log: ``events`` as upserts per user, ``error``
+    events as deletes, newest ``event_id`` wins."""
+    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    log = ev.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("file_path"),
+                    F.col("event_type").alias("file_name"),
+                    F.col("value").alias("function_count"),
+                    F.col("ts").alias("upload_time"),
+                    F.col("event_id").alias("ingest_seq"),
+                    F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
+    return ix.current_files(log).select("file_path", "file_name", "function_count", "ingest_seq")
+
+
+# --------------------------------------------------------------- retrieval
+def _embedding_vectors(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return e.select(F.col("vec_id").cast("string").alias("vector_id"),
+                    F.concat(F.lit("label_"), F.col("label").cast("string")).alias("file_path"),
+                    "embedding", "vec_id", "label")
+
+
+def vector_topk(spark, sf_dir):
+    """K2: the 5 nearest stored vectors of every stored vector."""
+    v = _embedding_vectors(spark, sf_dir)
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = search_topk(q, v, k=5)
+    return hits.select("query_id", "rank", "vector_id", _dist(F.col("distance")).alias("distance"))
+
+
+def vector_topk_label(spark, sf_dir):
+    """K2 + F5: the same with a filter (vectors of the query's label only)."""
+    v = _embedding_vectors(spark, sf_dir)
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding", F.col("file_path").alias("file_filter"))
+    hits = search_topk(q, v, k=5, filter_col="file_filter")
+    return hits.select("query_id", "rank", "vector_id", _dist(F.col("distance")).alias("distance"))
+
+
+def neighbor_distance(spark, sf_dir):
+    """K1: cosine distance between each vector and the next id (equi-join)."""
+    e = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    a = e.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
+    b = e.select((F.col("vec_id") - 1).alias("a_id"), F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
+    return a.join(b, "a_id").select("a_id", "b_id", _dist(cosine_distance(F.col("a"), F.col("b"))).alias("distance"))
+
+
+def approx_topk(spark, sf_dir):
+    """K3: LSH candidates re-ranked exactly (approximate; rows-only check)."""
+    v = _embedding_vectors(spark, sf_dir)
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = search_topk_approx(q, v, k=5, max_distance=0.6)
+    return hits.select("query_id", "rank", "vector_id", _dist(F.col("distance")).alias("distance"))
+
+
+# ----------------------------------------------------------------- prompts
+def _index_views(spark, sf_dir):
+    files_log, fn_log, edge_log, vec_log, _ = _index_logs(spark, sf_dir)
+    return files_log, ix.current_files(files_log), ix.current_rows(vec_log, files_log)
+
+
+def _findings_text(spark, sf_dir, files_log):
+    src = _current_sources(spark, sf_dir, files_log)
+    fs = lint.analyze(src)
+    text = lint.format_findings(fs)
+    counts = fs.groupBy("file_path").agg(F.count(F.lit(1)).cast("int").alias("finding_count"))
+    return text.join(counts, "file_path")
+
+
+def _debug(spark, sf_dir):
+    files_log, files, vectors = _index_views(spark, sf_dir)
+    req = spark.sql(corpus.debug_requests_sql(corpus.spark_table_ref(sf_dir, "conversations")))
+    return debug_prompts(req, files, vectors, _findings_text(spark, sf_dir, files_log))
+
+
+def debug_prompt_rows(spark, sf_dir):
+    """E2 up to U2: language vote, retrieved names, findings, prompt text."""
+    b = _debug(spark, sf_dir)
+    return b.prompts.select("request_id", "scope", "top_k", "language", "lang_tag",
+                            F.array_join("retrieved_functions", ",").alias("retrieved"),
+                            "finding_count", "prompt")
+
+
+def debug_rejects(spark, sf_dir):
+    """F7/F9 rejects of the debug requests."""
+    return _debug(spark, sf_dir).rejected
+
+
+def debug_answers(spark, sf_dir):
+    """E2 end to end with the echo completion (U4 + U5)."""
+    b = _debug(spark, sf_dir)
+    answered = complete(b.prompts, "prompt", echo_completion, temperature=0.1)
+    out = parse_debug_responses(answered)
+    return out.select("request_id", "query", F.array_join("retrieved_functions", ",").alias("retrieved"),
+                      "suggested_fix", "explanation", "static_analysis_findings")
+
+
+def _tests(spark, sf_dir):
+    files_log, files, vectors = _index_views(spark, sf_dir)
+    req = spark.sql(corpus.test_requests_sql(corpus.spark_table_ref(sf_dir, "part")))
+    return testgen_prompts(req, vectors)
+
+
+def test_prompt_rows(spark, sf_dir):
+    """E3 up to U3."""
+    b = _tests(spark, sf_dir)
+    return b.prompts.select("request_id", "function_name", "framework", "framework_name", "language",
+                            "lang_tag", F.array_join("retrieved_functions", ",").alias("retrieved"), "prompt")
+
+
+def test_rejects(spark, sf_dir):
+    return _tests(spark, sf_dir).rejected
+
+
+def test_answers(spark, sf_dir):
+    """E3 end to end with the echo completion (U4 + U6)."""
+    b = _tests(spark, sf_dir)
+    answered = complete(b.prompts, "prompt", echo_completion, temperature=0.2)
+    return parse_test_responses(answered)
+
+
+def response_parsing(spark, sf_dir):
+    """C6/C7 on every conversation turn."""
+    conv = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return conv.select("conv_id", "turn", T.extract_code(F.col("text")).alias("code"),
+                       T.extract_explanation(F.col("text")).alias("explanation"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "corpus_languages": corpus_languages,
@@ -124,4 +357,26 @@ def queries() -> dict[str, Query]:
         "call_graph": call_graph,
         "functions_per_file": functions_per_file,
         "complexity_report": complexity_report,
+        "index_files": index_files,
+        "index_functions": index_functions,
+        "index_edges": index_edges,
+        "index_vectors": index_vectors,
+        "deleted_vectors": deleted_vectors,
+        "index_count": index_count,
+        "index_summary": index_summary,
+        "latest_file": latest_file,
+        "functions_by_file": functions_by_file,
+        "first_by_name": first_by_name,
+        "events_latest": events_latest,
+        "vector_topk": vector_topk,
+        "vector_topk_label": vector_topk_label,
+        "neighbor_distance": neighbor_distance,
+        "approx_topk": approx_topk,
+        "debug_prompts": debug_prompt_rows,
+        "debug_rejects": debug_rejects,
+        "debug_answers": debug_answers,
+        "test_prompts": test_prompt_rows,
+        "test_rejects": test_rejects,
+        "test_answers": test_answers,
+        "response_parsing": response_parsing,
     }

@@ -27,12 +27,19 @@ def _ext_case(key: str) -> str:
     return f"case {key} % {len(_EXTENSIONS)} {whens} end"
 
 
-def part_corpus_sql(part: str = "part") -> str:
-    """SQL for ``code_files(file_path, file_name, source_code)`` over ``part``."""
+def part_corpus_sql(part: str = "part", version: int = 1, where: str | None = None) -> str:
+    """SQL for ``code_files(file_path, file_name, source_code)`` over ``part``.
+
+    ``version`` > 1 renames the main function (``…_v2``), as a re-upload of
+    changed code would; ``where`` picks the parts of a later batch by a data
+    predicate (e.g. ``p_type = 'PROMO'``).
+    """
     nl = "chr(10)"
     k = "cast(p_partkey as string)"
     h = "cast(p_partkey % 7 as string)"
     fname = f"replace(p_name, ' ', '_') || '_' || {k}"
+    if version > 1:
+        fname += f" || '_v{version}'"
     body = f"""
  '// ' || p_type || ' part ' || p_brand || ' costs O(n)' || {nl}
  || '#include <x>' || {nl}
@@ -65,7 +72,7 @@ select '/uploads/' || file_name as file_path, file_name,
 from (
   select 'part_' || {k} || {_ext_case('p_partkey')} as file_name, p_size,
          {body} as src
-  from {part}
+  from {part}{f" where {where}" if where else ""}
 ) t"""
 
 
@@ -73,9 +80,17 @@ def spark_table_ref(sf_dir: str, name: str) -> str:
     return f"parquet.`{sf_dir.rstrip('/')}/{name}.parquet`"
 
 
-def part_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_corpus(spark: SparkSession, sf_dir: str, version: int = 1, where: str | None = None) -> DataFrame:
     """The ``part``-derived code corpus as a DataFrame."""
-    return spark.sql(part_corpus_sql(spark_table_ref(sf_dir, "part")))
+    return spark.sql(part_corpus_sql(spark_table_ref(sf_dir, "part"), version, where))
+
+
+# Index batches used by the store checks: everything, then a re-upload of one
+# part type with changed code, then a delete of one brand.  The predicates are
+# data values, so each batch grows with the table.
+REUPLOAD_WHERE = "p_type = 'PROMO'"
+DELETE_WHERE = "p_brand = 'Brand#3'"
+BATCH_TIMES = {1: "2024-01-01 00:00:00", 2: "2024-01-02 00:00:00", 3: "2024-01-03 00:00:00"}
 
 
 def pages_corpus_sql(pages: str = "pages") -> str:
@@ -95,3 +110,25 @@ def documents_corpus_sql(documents: str = "documents") -> str:
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(documents_corpus_sql(spark_table_ref(sf_dir, "documents")))
+
+
+def debug_requests_sql(conversations: str = "conversations") -> str:
+    """Debug questions: every user turn of ``conversations``.  Every fourth
+    turn names a file (which may not be indexed); ``top_k`` comes from the
+    text length and covers the invalid values 0 and 21 and NULL (default)."""
+    return f"""
+select cast(conv_id * 1000 + turn as bigint) as request_id, text as query,
+  case when turn % 4 = 0
+       then '/uploads/part_' || cast(conv_id + 1 as string) || {_ext_case('(conv_id + 1)')} end as file_filter,
+  case when length(text) % 23 = 22 then null else cast(length(text) % 23 as integer) end as top_k
+from {conversations} where role = 'user'"""
+
+
+def test_requests_sql(part: str = "part") -> str:
+    """Test-generation requests: one per distinct part name, asking for the
+    main function of the part with the smallest key of that name."""
+    return f"""
+select min(p_partkey) as request_id,
+  replace(p_name, ' ', '_') || '_' || cast(min(p_partkey) as string) as function_name,
+  case min(p_size) % 4 when 0 then 'catch2' when 1 then 'gtest' when 2 then null else 'pytest' end as framework
+from {part} group by p_name"""
