@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import patterns as P
+from quarry.session import materialize
 
 HIT_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -145,6 +146,9 @@ def search_topk(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAULT_TOP_K
         F.least(kexpr, F.lit(P.MAX_TOP_K)).alias("qk"))
     vsel = vectors.select("vector_id", "file_path", F.col(vector_vec).alias("vv"))
 
+    # the request side is read three times (size check, broadcast, k); it is
+    # materialised once in the shared checkpoint folder instead of recomputed
+    qsel = materialize(qsel, "requests")
     stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
     n_q, dim = int(stats["n"]), int(stats["d"] or 0)
     if n_q * max(dim, 1) * 8 <= max_broadcast_bytes:

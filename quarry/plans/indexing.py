@@ -21,6 +21,7 @@ from quarry.operators import index as ix
 from quarry.operators.extract import extract_functions
 from quarry.operators.inference import DEFAULT_DIM, EmbedFn, embed
 from quarry.operators.languages import split_empty, split_supported
+from quarry.session import materialize
 
 
 @dataclass
@@ -35,9 +36,14 @@ class IndexBatch:
 
 
 def index_batch(files: DataFrame, ingest_seq: int, upload_time: str,
-                embed_fn: EmbedFn | None = None, dim: int = DEFAULT_DIM) -> IndexBatch:
+                embed_fn: EmbedFn | None = None, dim: int = DEFAULT_DIM,
+                write_once: bool = False) -> IndexBatch:
+    """``write_once``: write the extraction once to the shared checkpoint
+    folder (it feeds five tables) instead of recomputing it per table."""
     accepted, unsupported = split_supported(files)
     extracted = extract_functions(accepted)
+    if write_once:
+        extracted = materialize(extracted, "extracted")
     kept, empty = split_empty(accepted, extracted)
     return IndexBatch(
         unsupported=unsupported,

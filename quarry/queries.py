@@ -16,6 +16,7 @@ from quarry.operators import graph, lint
 from quarry.operators.extract import brace_match, by_file, extract_functions
 from quarry.operators.languages import is_analyzable, split_supported, with_language
 from quarry.functions import text as T
+from quarry.session import materialize
 from quarry.sources import corpus
 from quarry.operators import index as ix
 from quarry.operators.inference import complete, echo_completion
@@ -125,8 +126,9 @@ def _dist(c):
 def _index_logs(spark, sf_dir):
     """Three batches over ``part``: all files; a re-upload of one part type
     with changed code; a delete of one brand."""
-    b1 = index_batch(corpus.part_corpus(spark, sf_dir), 1, corpus.BATCH_TIMES[1])
-    b2 = index_batch(corpus.part_corpus(spark, sf_dir, 2, corpus.REUPLOAD_WHERE), 2, corpus.BATCH_TIMES[2])
+    b1 = index_batch(corpus.part_corpus(spark, sf_dir), 1, corpus.BATCH_TIMES[1], write_once=True)
+    b2 = index_batch(corpus.part_corpus(spark, sf_dir, 2, corpus.REUPLOAD_WHERE), 2, corpus.BATCH_TIMES[2],
+                     write_once=True)
     dels = corpus.part_corpus(spark, sf_dir, where=corpus.DELETE_WHERE).select("file_path")
     tomb = ix.tombstones(dels, 3, corpus.BATCH_TIMES[3])
     files_log, fn_log, edge_log, vec_log = union_logs(b1, b2, tombstones=tomb)
@@ -270,8 +272,13 @@ def approx_topk(spark, sf_dir):
 
 # ----------------------------------------------------------------- prompts
 def _index_views(spark, sf_dir):
+    """Current files and vectors, materialised once (written once to the shared
+    checkpoint folder) because the request plans read them several times; in production
+    they come from ``read_index`` instead."""
     files_log, fn_log, edge_log, vec_log, _ = _index_logs(spark, sf_dir)
-    return files_log, ix.current_files(files_log), ix.current_rows(vec_log, files_log)
+    files_log = materialize(files_log, "files-log")
+    vectors = materialize(ix.current_rows(vec_log, files_log), "vectors")
+    return files_log, ix.current_files(files_log), vectors
 
 
 def _findings_text(spark, sf_dir, files_log):

@@ -63,3 +63,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df, label: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    return a DataFrame reading it back.
+
+    This cuts the lineage like ``checkpoint()`` (a lost executor re-reads the
+    files instead of recomputing the plan) but computes the input only once;
+    an eager ``checkpoint()`` of an uncached plan runs it twice.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/quarry-{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
