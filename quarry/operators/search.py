@@ -95,6 +95,9 @@ def _local_topk(q_ids, q_mat, q_filters, q_ks, vec_ids, vec_paths, v_mat):
     id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
     filt = [None if f is None else f for f in (q_filters or [None] * len(q_ids))]
 
+    if q_mat.shape[1] != v_mat.shape[1]:
+        raise ValueError(f"query vectors have {q_mat.shape[1]} dimensions, stored vectors {v_mat.shape[1]}")
+
     def emit(qi, vi):
         if len(qi) == 0 or len(vi) == 0:
             return

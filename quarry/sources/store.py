@@ -30,6 +30,20 @@ from quarry.operators.extract import extract_functions
 
 TABLES = ("files", "functions", "call_edges", "vectors")
 
+# Declared schemas (a table can have no files yet, e.g. a batch without calls)
+SCHEMAS = {
+    "files": "file_path string, file_name string, function_count int, upload_time timestamp, "
+             "ingest_seq long, op string",
+    "functions": "file_path string, ingest_seq long, function_name string, return_type string, "
+                 "parameters string, line_start int, line_end int, complexity int, tags array<string>, "
+                 "tags_str string, calls array<string>, language string, open_off long, vector_id string, "
+                 "body string, body_preview string",
+    "call_edges": "file_path string, caller string, caller_line int, callee_name string, ingest_seq long",
+    "vectors": "vector_id string, file_path string, ingest_seq long, document string, "
+               "metadata struct<function_name:string,file_path:string,complexity:int,tags:string,"
+               "line_start:int,line_end:int>, embedding array<float>",
+}
+
 
 # ------------------------------------------------------------------ sources
 def read_code_files(spark: SparkSession, path: str, glob: str | None = None,
@@ -122,7 +136,8 @@ class Index:
 def read_index(spark: SparkSession, store: str) -> Index:
     """The four tables as current views over their logs."""
     def log(t):
-        return spark.read.parquet(f"{store.rstrip('/')}/{t}").drop("batch_id")
+        schema = SCHEMAS[t] + ", batch_id int"
+        return spark.read.schema(schema).parquet(f"{store.rstrip('/')}/{t}").drop("batch_id")
 
     files_log = log("files")
     return Index(
