@@ -134,7 +134,12 @@ def test_approx_recall(spark):
     for r in search_topk(q, v, k=5).collect():
         exact.setdefault(r.query_id, set()).add(r.vector_id)
     approx = {}
-    for r in search_topk_approx(q, v, k=5, max_distance=0.6, num_hash_tables=6).collect():
+    for r in search_topk_approx(q, v, k=5, n_lists=16, n_probe=4).collect():
         approx.setdefault(r.query_id, set()).add(r.vector_id)
     recall = sum(len(exact[k] & approx.get(k, set())) for k in exact) / sum(len(s) for s in exact.values())
     assert recall >= 0.6
+    # probing every list is exact
+    full = {}
+    for r in search_topk_approx(q, v, k=5, n_lists=8, n_probe=8, block_rows=64).collect():
+        full.setdefault(r.query_id, set()).add(r.vector_id)
+    assert full == exact
