@@ -195,3 +195,38 @@ P_NEW_RE2 = r"(^|[^A-Za-z0-9_])new[ \t\x{0B}\f\r]"
 
 # hashing embedder tokens: lower-cased word runs
 P_EMBED_TOKEN = rf"[{W}]+"
+
+# ---------------------------------------------------------------------------
+# Header rules per language (re-aim of the syntax-tree path).  Written with
+# ASCII classes so Java and RE2 agree; each ends right before "{" (``\z``) and
+# is matched on the text after the last ";" before the brace.
+#   group 1 = return type (empty where the rule has none), 2 = name, 3 = params
+# ---------------------------------------------------------------------------
+_S = r"[ \t\n\x{0B}\f\r]"
+_I = r"[A-Za-z0-9_]"
+_B = r"(?:\A|[^A-Za-z0-9_$])"
+LANGUAGE_HEADERS = {
+    "java": [rf"([A-Za-z0-9_<>\[\],.?]+){_S}+({_I}+){_S}*\(([^)]*)\){_S}*"
+             rf"(?:throws{_S}+[A-Za-z0-9_., \t\n\x{{0B}}\f\r]+?)?{_S}*\z"],
+    "javascript": [
+        rf"{_B}function{_S}*\*?{_S}*()({_I}+){_S}*(?:<[^>]*>)?{_S}*\(([^)]*)\){_S}*(?::{_S}*[^{{}}=;]+?)?{_S}*\z",
+        rf"{_B}()({_I}+){_S}*(?::[^=]+)?={_S}*(?:async{_S}*)?(?:\(([^)]*)\)|{_I}+){_S}*(?::{_S}*[^{{}}=;]+?)?{_S}*=>{_S}*\z",
+    ],
+    "go": [rf"{_B}func{_S}+()({_I}+){_S}*(?:\[[^\]]*\])?{_S}*\(([^)]*)\){_S}*[^{{}};]*?{_S}*\z"],
+    "rust": [rf"{_B}fn{_S}+()({_I}+){_S}*(?:<[^>]*>)?{_S}*\(([^)]*)\){_S}*(?:->{_S}*[^{{}};]+?)?{_S}*\z"],
+    "php": [rf"{_B}function{_S}+&?()({_I}+){_S}*\(([^)]*)\){_S}*(?::{_S}*[?A-Za-z0-9_\\|]+)?{_S}*\z"],
+}
+LANGUAGE_HEADERS["typescript"] = LANGUAGE_HEADERS["javascript"]
+JAVA_NOT_RETURN_TYPES = ["new", "return", "else", "throw"]
+
+# ---------------------------------------------------------------------------
+# Indentation-delimited functions (Python ``def``, Ruby ``def … end``).
+# Single-line headers; ASCII classes so Java and RE2 agree.
+#   python: group 1 = name, 2 = params          ruby: group 1 = name, 2 = params
+# ---------------------------------------------------------------------------
+INDENT_LANGUAGES = ["python", "ruby"]
+P_PY_DEF = r"^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*\((.*)\)[ \t]*(?:->[^:]*)?:"
+P_RB_DEF = r"^[ \t]*def[ \t]+(?:self\.)?([A-Za-z_][A-Za-z0-9_]*[?!=]?)[ \t]*(?:\((.*)\))?"
+P_RB_END = r"^[ \t]*end\b"
+P_INDENT = r"^[ \t]*"
+P_COMMENT_OR_BLANK = r"^[ \t\r]*(#.*)?$"

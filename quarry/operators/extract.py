@@ -50,12 +50,34 @@ def _newlines(c):
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
+def _language_header(window, lang):
+    """struct(m, ret, name, params) from the language's header rules, or
+    NULL for languages that use the generic rule (C, C++, unknown)."""
+    out = None
+    for lang_id, pats in P.LANGUAGE_HEADERS.items():
+        cand = None
+        for pat in reversed(pats):                       # the first rule wins
+            m = F.regexp_extract(window, pat, 0)
+            s = F.struct(m.alias("m"),
+                         F.regexp_extract(m, pat, 1).alias("ret"),
+                         F.regexp_extract(m, pat, 2).alias("name"),
+                         F.regexp_extract(m, pat, 3).alias("params"))
+            s = F.when(m != "", s)
+            cand = s if cand is None else F.coalesce(s, cand)
+        out = F.when(lang == lang_id, cand) if out is None else out.when(lang == lang_id, cand)
+    return out
+
+
 def _segment_facts(segs: DataFrame, keep=()) -> DataFrame:
     """Per-segment facts, computed before any sort; the text is dropped here.
 
-    The header pattern is anchored at the start of the reversed text, so on
-    most segments it fails on the first character; only real candidates pay
-    for the group extraction, which then runs on the (short) match alone.
+    The header of a ``{`` is searched in the text of the segment before it.
+    Generic rule (the reference's scanner; C, C++ and unknown files): the
+    pattern runs on the *reversed* text, anchored at its start, so on most
+    segments it fails on the first character; only real candidates pay for
+    the group extraction, which then runs on the (short) match alone.
+    Language rules (X4; Java, JS/TS, Go, Rust, PHP) run on the text after the
+    last ``;``.
     """
     seg = F.col("seg")
     first = F.substr(seg, F.lit(1), F.lit(1))
@@ -64,20 +86,32 @@ def _segment_facts(segs: DataFrame, keep=()) -> DataFrame:
         "file_path", "pos", *keep, "seg",
         F.when(is_brace, first).otherwise(F.lit("x")).alias("kind"),
         F.when(is_brace, F.lit(1)).otherwise(F.lit(0)).alias("lead_len"),
+        F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown")).alias("lang"),
     ).withColumn("tail", F.substr(seg, F.col("lead_len") + 1))
-    s2 = s1.withColumn("hdr", F.regexp_extract(F.reverse("tail"), P.P_HEADER_REVERSED, 0))
-    hdr = F.col("hdr")
-    found = hdr != ""
-    fwd = F.reverse(hdr)
-    first_nb = F.col("lead_len") + (F.length("tail") - F.length(hdr)) + (F.length(fwd) - F.length(T.lstrip(fwd)))
-    return s2.select(
+    specific = F.col("lang").isin(*P.LANGUAGE_HEADERS)
+    s2 = s1.withColumn("rhdr", F.when(~specific, F.regexp_extract(F.reverse("tail"), P.P_HEADER_REVERSED, 0))) \
+           .withColumn("x4", _language_header(F.substring_index("tail", ";", -1), F.col("lang")))
+    rh = F.col("rhdr")
+    generic = F.when(rh != "", F.struct(
+        F.reverse(rh).alias("m"),
+        F.reverse(F.regexp_extract(rh, P.P_HEADER_REVERSED, 3)).alias("ret"),
+        F.reverse(F.regexp_extract(rh, P.P_HEADER_REVERSED, 2)).alias("name"),
+        F.reverse(F.regexp_extract(rh, P.P_HEADER_REVERSED, 1)).alias("params")))
+    x4 = F.col("x4")
+    java_skip = (F.col("lang") == "java") & x4["ret"].isin(*P.JAVA_NOT_RETURN_TYPES)
+    s3 = s2.withColumn("h", F.when(specific, F.when(~java_skip, x4)).otherwise(generic))
+    h = F.col("h")
+    fwd = h["m"]
+    # offset (0-based, inside the segment) of the first non-blank header char
+    first_nb = F.col("lead_len") + (F.length("tail") - F.length(fwd)) + (F.length(fwd) - F.length(T.lstrip(fwd)))
+    return s3.select(
         "file_path", "pos", *keep, "kind",
         F.length(seg).alias("seg_len"),
         _newlines(seg).alias("seg_nl"),
-        F.when(found, F.reverse(F.regexp_extract(hdr, P.P_HEADER_REVERSED, 2))).alias("h_name"),
-        F.when(found, F.reverse(F.regexp_extract(hdr, P.P_HEADER_REVERSED, 3))).alias("h_ret"),
-        F.when(found, F.reverse(F.regexp_extract(hdr, P.P_HEADER_REVERSED, 1))).alias("h_params"),
-        F.when(found, _newlines(F.substr(seg, F.lit(1), first_nb))).alias("h_nl"),
+        h["name"].alias("h_name"),
+        h["ret"].alias("h_ret"),
+        h["params"].alias("h_params"),
+        F.when(h.isNotNull(), _newlines(F.substr(seg, F.lit(1), first_nb))).alias("h_nl"),
     )
 
 
@@ -132,7 +166,9 @@ def extract_functions(files: DataFrame, partitioned: bool = False) -> DataFrame:
         src = by_file(src)
 
     braces = brace_match(src)
-    heads = braces.filter(F.col("p_name").isNotNull() & ~F.col("p_name").isin(*P.HEADER_SKIP_NAMES))
+    lang_of_path = F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown"))
+    heads = braces.filter(F.col("p_name").isNotNull() & ~F.col("p_name").isin(*P.HEADER_SKIP_NAMES)
+                          & ~lang_of_path.isin(*P.INDENT_LANGUAGES))
     spans = heads.select(
         "file_path", "open_off", "close_off",
         F.col("p_name").alias("function_name"),
@@ -152,10 +188,87 @@ def extract_functions(files: DataFrame, partitioned: bool = False) -> DataFrame:
         F.col("open_off").cast("long").alias("open_off"),
         F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown")).alias("language"),
         body.alias("body"),
-    )
+    ).unionByName(extract_indented(src))
     return out.select(
         "*",
         T.find_calls(F.col("body")).alias("calls"),
         T.complexity(F.col("body")).alias("complexity"),
         T.make_tags(F.col("function_name"), F.col("body"), F.col("language")).alias("tags"),
     )
+
+
+def extract_indented(src: DataFrame) -> DataFrame:
+    """Python ``def`` and Ruby ``def … end`` blocks by indentation.
+
+    A block ends before the first later line that is not blank or a comment
+    and is indented no deeper than the header (Python: the block's last such
+    line; Ruby: that closing ``end`` line belongs to the block).  Each such
+    line is exploded into the few header indents it closes, and a reverse
+    running ``min`` over ``(file, indent)`` gives every header its closer in
+    one pass: windows only, no pairwise join.  ``src`` is partitioned by
+    ``file_path`` (reused from the brace path).
+    """
+    lang = F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown"))
+    files = src.filter(lang.isin(*P.INDENT_LANGUAGES)).select("file_path", "source_code", lang.alias("lang"))
+    lines = files.select("file_path", "lang", F.posexplode(F.split(F.coalesce("source_code", F.lit("")), "\n", -1))
+                         .alias("pos", "text"))
+    w = Window.partitionBy("file_path").orderBy("pos")
+    hdr_py = F.regexp_extract("text", P.P_PY_DEF, 1)
+    hdr_rb = F.regexp_extract("text", P.P_RB_DEF, 1)
+    name = F.when(F.col("lang") == "python", hdr_py).otherwise(hdr_rb)
+    params = F.when(F.col("lang") == "python", F.regexp_extract("text", P.P_PY_DEF, 2)) \
+              .otherwise(F.regexp_extract("text", P.P_RB_DEF, 2))
+    facts = lines.select(
+        "file_path", "lang", "pos",
+        (F.col("pos") + 1).cast("int").alias("line_no"),
+        F.length(F.regexp_extract("text", P.P_INDENT, 0)).alias("indent"),
+        F.col("text").rlike(P.P_COMMENT_OR_BLANK).alias("blank"),
+        F.when(name != "", name).alias("name"),
+        F.when(name != "", params).alias("params"),
+        F.col("text").rlike(P.P_RB_END).alias("is_end"),
+        F.length("text").alias("len"),
+    ).select(
+        "*",
+        (F.sum(F.col("len") + 1).over(w) - F.col("len") - 1).alias("off"),
+        F.max(F.when(~F.col("blank"), F.col("line_no"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+         .alias("prev_nonblank"),
+        F.max(F.when(F.col("name").isNotNull(), F.col("indent"))).over(Window.partitionBy("file_path"))
+         .alias("max_hdr_indent"),
+        F.max(F.when(~F.col("blank"), F.col("line_no"))).over(Window.partitionBy("file_path")).alias("last_nonblank"),
+    )
+    # a non-blank line with indent d closes every header indent t >= d
+    closers = facts.filter(~F.col("blank") & (F.col("indent") <= F.col("max_hdr_indent"))).select(
+        "file_path", "line_no", F.explode(F.sequence("indent", "max_hdr_indent")).alias("t"),
+        F.lit(False).alias("is_hdr"))
+    heads = facts.filter(F.col("name").isNotNull()).select(
+        "file_path", "line_no", F.col("indent").alias("t"), F.lit(True).alias("is_hdr"))
+    wt = Window.partitionBy("file_path", "t").orderBy(F.col("line_no").desc(), F.col("is_hdr").desc()) \
+               .rowsBetween(Window.unboundedPreceding, -1)
+    nxt = closers.unionByName(heads).select(
+        "file_path", "line_no", "is_hdr",
+        F.min(F.when(~F.col("is_hdr"), F.col("line_no"))).over(wt).alias("closer")
+    ).filter("is_hdr").drop("is_hdr")
+    info = facts.select("file_path", "line_no", "prev_nonblank", "is_end", "off", "len", "lang")
+    h = (facts.filter(F.col("name").isNotNull())
+         .select("file_path", "line_no", "name", "params", "indent", "off", "lang", "last_nonblank")
+         .join(nxt, ["file_path", "line_no"])
+         .join(info.select("file_path", F.col("line_no").alias("closer"), F.col("prev_nonblank").alias("c_prev"),
+                           F.col("is_end").alias("c_is_end"), F.col("off").alias("c_off"),
+                           F.col("len").alias("c_len")), ["file_path", "closer"], "left"))
+    end_line = F.when(F.col("closer").isNull(), F.col("last_nonblank")) \
+                .when((F.col("lang") == "ruby") & F.col("c_is_end"), F.col("closer")) \
+                .otherwise(F.col("c_prev"))
+    spans = h.select("file_path", "line_no", "name", "params", "off", "indent", end_line.alias("end_line"))
+    ends = info.select("file_path", F.col("line_no").alias("end_line"), F.col("off").alias("e_off"),
+                       F.col("len").alias("e_len"))
+    spans = spans.join(ends, ["file_path", "end_line"], "left")
+    start = F.col("off") + F.col("indent")            # first non-blank character of the header
+    joined = spans.join(src, "file_path")
+    return joined.select(
+        "file_path", F.col("name").alias("function_name"), F.lit("").alias("return_type"),
+        F.coalesce("params", F.lit("")).alias("parameters"),
+        F.col("line_no").alias("line_start"), F.col("end_line").cast("int").alias("line_end"),
+        start.cast("long").alias("open_off"),
+        F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown")).alias("language"),
+        F.substr("source_code", start + 1, F.col("e_off") + F.col("e_len") - start).alias("body"),
+    )

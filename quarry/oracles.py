@@ -78,25 +78,101 @@ def join_list(x: str, sep: str = ",") -> str:
     return f"array_to_string({x}, {q(sep)})"
 
 
+def x4_case(window: str) -> str:
+    """X4 header rules in SQL: a struct(m, ret, name, params) or NULL."""
+    whens = []
+    for lang, pats in P.LANGUAGE_HEADERS.items():
+        alts = []
+        for pat in pats:
+            m = f"regexp_extract({window}, {q(pat)}, 0)"
+            alts.append(f"case when {m} <> '' then struct_pack(m := {m}, ret := regexp_extract({m}, {q(pat)}, 1), "
+                        f"name := regexp_extract({m}, {q(pat)}, 2), params := regexp_extract({m}, {q(pat)}, 3)) end")
+        whens.append(f"when {q(lang)} then coalesce({', '.join(alts)})" if len(alts) > 1
+                     else f"when {q(lang)} then {alts[0]}")
+    return f"(case lang {' '.join(whens)} end)"
+
+
+def indented_ctes(files: str, p: str) -> str:
+    """X5 in SQL: Python/Ruby blocks by indentation, ending in ``{p}ifn``."""
+    lang = f"coalesce({lang_of_name(chr(39).join(['regexp_extract(file_path, ', '[^/]*$', ', 0)']))}, 'unknown')"
+    ind = ", ".join(q(x) for x in P.INDENT_LANGUAGES)
+    py, rb = q(P.P_PY_DEF), q(P.P_RB_DEF)
+    return f"""
+{p}ifiles as (select * from (select file_path, source_code, {lang} as lang from {files}) t where lang in ({ind})),
+{p}il0 as (select file_path, lang, string_split(coalesce(source_code, ''), chr(10)) as arr from {p}ifiles),
+{p}il as (select file_path, lang, unnest(arr) as text, unnest(range(0, len(arr))) as pos from {p}il0),
+{p}if0 as (
+  select file_path, lang, pos, cast(pos + 1 as integer) as line_no,
+    length(regexp_extract(text, {q(P.P_INDENT)}, 0)) as indent,
+    regexp_matches(text, {q(P.P_COMMENT_OR_BLANK)}) as blank,
+    case when lang = 'python' then regexp_extract(text, {py}, 1) else regexp_extract(text, {rb}, 1) end as nm,
+    case when lang = 'python' then regexp_extract(text, {py}, 2) else regexp_extract(text, {rb}, 2) end as pr,
+    regexp_matches(text, {q(P.P_RB_END)}) as is_end, length(text) as len
+  from {p}il),
+{p}if1 as (
+  select *,
+    sum(len + 1) over (partition by file_path order by pos) - len - 1 as off,
+    max(case when not blank then line_no end) over (partition by file_path order by pos
+        rows between unbounded preceding and 1 preceding) as prev_nonblank,
+    max(case when nm <> '' then indent end) over (partition by file_path) as max_hdr_indent,
+    max(case when not blank then line_no end) over (partition by file_path) as last_nonblank
+  from {p}if0),
+{p}icl as (select file_path, line_no, unnest(range(indent, max_hdr_indent + 1)) as t, false as is_hdr
+           from {p}if1 where not blank and indent <= max_hdr_indent),
+{p}ihd as (select file_path, line_no, indent as t, true as is_hdr from {p}if1 where nm <> ''),
+{p}inx as (
+  select file_path, line_no, is_hdr,
+    min(case when not is_hdr then line_no end) over (partition by file_path, t order by line_no desc, is_hdr desc
+        rows between unbounded preceding and 1 preceding) as closer
+  from (select * from {p}icl union all select * from {p}ihd) u),
+{p}ih as (
+  select f.file_path, f.line_no, f.nm, f.pr, f.indent, f.off, f.lang, f.last_nonblank, n.closer
+  from {p}if1 f join {p}inx n on f.file_path = n.file_path and f.line_no = n.line_no and n.is_hdr
+  where f.nm <> ''),
+{p}ih2 as (
+  select h.*, c.prev_nonblank as c_prev, c.is_end as c_is_end
+  from {p}ih h left join {p}if1 c on c.file_path = h.file_path and c.line_no = h.closer),
+{p}ih3 as (select *, case when closer is null then last_nonblank when lang = 'ruby' and c_is_end then closer
+                          else c_prev end as end_line from {p}ih2),
+{p}ifn as (
+  select h.file_path, h.nm as function_name, '' as return_type, coalesce(h.pr, '') as parameters,
+    h.line_no as line_start, cast(h.end_line as integer) as line_end, cast(h.off + h.indent as bigint) as open_off,
+    h.lang as language,
+    substr(f.source_code, cast(h.off + h.indent + 1 as bigint), cast(e.off + e.len - h.off - h.indent as bigint)) as body
+  from {p}ih3 h left join {p}if1 e on e.file_path = h.file_path and e.line_no = h.end_line
+    join {p}ifiles f on f.file_path = h.file_path)"""
+
+
 def functions_ctes(files: str = "files", p: str = "") -> str:
     """CTEs ending in ``{p}fns`` (X1-X3 + C1-C3) over a ``files`` relation."""
     hp = q(P.P_HEADER_REVERSED)
     skip = ", ".join(q(s) for s in P.HEADER_SKIP_NAMES)
-    return f"""
+    x4_langs = ", ".join(q(x) for x in P.LANGUAGE_HEADERS)
+    ind_langs = ", ".join(q(x) for x in P.INDENT_LANGUAGES)
+    java_skip = ", ".join(q(x) for x in P.JAVA_NOT_RETURN_TYPES)
+    return indented_ctes(files, p) + f""",
 {p}seg0 as (select file_path, regexp_extract_all(coalesce(source_code, ''), {q(P.P_SEGMENT)}, 0) as arr from {files}),
 {p}seg1 as (select file_path, unnest(arr) as seg, unnest(range(0, len(arr))) as pos from {p}seg0),
 {p}seg2 as (select file_path, pos, seg,
            case when left(seg, 1) in ('{{', '}}') then left(seg, 1) else 'x' end as kind,
            case when left(seg, 1) in ('{{', '}}') then 1 else 0 end as lead_len from {p}seg1),
-{p}seg3 as (select *, substr(seg, lead_len + 1) as tail from {p}seg2),
-{p}seg4 as (select *, regexp_extract(reverse(tail), {hp}, 0) as hdr from {p}seg3),
+{p}seg3 as (select *, substr(seg, lead_len + 1) as tail,
+           coalesce({lang_of_name("regexp_extract(file_path, '[^/]*$', 0)")}, 'unknown') as lang from {p}seg2),
+{p}seg4 as (select *,
+           case when lang not in ({x4_langs}) then regexp_extract(reverse(tail), {hp}, 0) end as rhdr,
+           {x4_case("regexp_extract(tail, '[^;]*$', 0)")} as x4 from {p}seg3),
+{p}seg5 as (select *,
+           case when lang in ({x4_langs})
+                then case when not (lang = 'java' and x4.ret in ({java_skip})) then x4 end
+                when rhdr <> '' then struct_pack(m := reverse(rhdr), ret := reverse(regexp_extract(rhdr, {hp}, 3)),
+                                                 name := reverse(regexp_extract(rhdr, {hp}, 2)),
+                                                 params := reverse(regexp_extract(rhdr, {hp}, 1)))
+           end as h from {p}seg4),
 {p}facts as (
   select file_path, pos, kind, length(seg) as seg_len, {nl('seg')} as seg_nl,
-    case when hdr <> '' then reverse(regexp_extract(hdr, {hp}, 2)) end as h_name,
-    case when hdr <> '' then reverse(regexp_extract(hdr, {hp}, 3)) end as h_ret,
-    case when hdr <> '' then reverse(regexp_extract(hdr, {hp}, 1)) end as h_params,
-    case when hdr <> '' then {nl(f"substr(seg, 1, lead_len + length(tail) - length(hdr) + length(hdr) - length({lstrip('reverse(hdr)')}))")} end as h_nl
-  from {p}seg4),
+    h.name as h_name, h.ret as h_ret, h.params as h_params,
+    case when h is not null then {nl(f"substr(seg, 1, lead_len + length(tail) - length(h.m) + length(h.m) - length({lstrip('h.m')}))")} end as h_nl
+  from {p}seg5),
 {p}staged as (
   select file_path, pos, kind,
     sum(seg_len) over w - seg_len as off,
@@ -117,7 +193,8 @@ def functions_ctes(files: str = "files", p: str = "") -> str:
     p_name, p_ret, p_params, p_h_nl, p_nl_before
   from {p}braces window w2 as (partition by file_path, level order by pos)),
 {p}opens as (select * from {p}matched where kind = '{{'),
-{p}spans as (select * from {p}opens where p_name is not null and p_name not in ({skip})),
+{p}spans as (select * from {p}opens where p_name is not null and p_name not in ({skip})
+           and coalesce({lang_of_name("regexp_extract(file_path, '[^/]*$', 0)")}, 'unknown') not in ({ind_langs})),
 {p}fns0 as (
   select s.file_path, p_name as function_name, {strip('p_ret')} as return_type,
     p_params as parameters,
@@ -127,7 +204,8 @@ def functions_ctes(files: str = "files", p: str = "") -> str:
     coalesce({lang_of_name("regexp_extract(s.file_path, '[^/]*$', 0)")}, 'unknown') as language,
     case when close_off is not null then substr(f.source_code, cast(open_off + 1 as bigint), cast(close_off - open_off + 1 as bigint))
          else substr(f.source_code, cast(open_off + 1 as bigint)) end as body
-  from {p}spans s join {files} f on s.file_path = f.file_path),
+  from {p}spans s join {files} f on s.file_path = f.file_path
+  union all by name select * from {p}ifn),
 {p}fns as (
   select *, {calls('body')} as calls, {complexity('body')} as complexity,
          {tags('function_name', 'body', 'language')} as tags

@@ -65,6 +65,31 @@ def part_corpus_sql(part: str = "part", version: int = 1, where: str | None = No
  || case when p_size % 10 = 0
          then 'int tail_' || {k} || '(int z) {{ if (z) {{' || {nl} || '  return bfs(z);' || {nl}
          else '' end"""
+    # one function in the file's own language syntax (X4), by extension slot
+    ext_idx = f"p_partkey % {len(_EXTENSIONS)}"
+    idx = {e: i for i, e in enumerate(_EXTENSIONS)}
+    lang_fn = f"""
+ || case {ext_idx}
+      when {idx['.java']} then '@Override' || {nl} || 'public static String greet_' || {k}
+           || '(String who) throws IOException {{ return who.trim(); }}' || {nl}
+      when {idx['.js']} then 'function render_' || {k} || '(a, b) {{ return a(b); }}' || {nl}
+           || 'const add_' || {k} || ' = (x, y) => {{ return x + y; }};' || {nl}
+      when {idx['.jsx']} then 'export default function View_' || {k} || '(props) {{ return h(props); }}' || {nl}
+      when {idx['.ts']} then 'function typed_' || {k} || '(a: number): number {{ return a * 2; }}' || {nl}
+           || 'const load_' || {k} || ' = async (q: string): Promise<void> => {{ await fetch(q); }};' || {nl}
+      when {idx['.tsx']} then 'const Card_' || {k} || ': FC<P> = ({{ title }}) => {{ return wrap(title); }};' || {nl}
+      when {idx['.go']} then 'func handler_' || {k} || '(w int, r int) (int, error) {{ return w, nil }}' || {nl}
+           || 'func (s *Srv) method_' || {k} || '() {{ s.run() }}' || {nl}
+      when {idx['.rs']} then 'pub fn compute_' || {k} || '<T>(v: Vec<T>) -> usize {{ v.len() }}' || {nl}
+      when {idx['.php']} then 'function &php_' || {k} || '($a) : ?int {{ return strlen($a); }}' || {nl}
+      when {idx['.py']} then '@cache' || {nl} || 'def py_' || {k} || '(a, b=1) -> int:' || {nl}
+           || '    if a:  # branch' || {nl} || '        return sort_it(b)' || {nl} || {nl}
+           || '    def inner(x):' || {nl} || '        return x' || {nl} || '    return inner(a)' || {nl}
+           || '# done' || {nl} || 'async def fetch_' || {k} || '(url):' || {nl} || '    return await get(url)' || {nl}
+      when {idx['.rb']} then 'def rb_' || {k} || '(a)' || {nl} || '  if a' || {nl} || '    puts(a)' || {nl}
+           || '  end' || {nl} || 'end' || {nl} || 'def self.ok_' || {k} || '?' || {nl} || '  true' || {nl}
+      else '' end"""
+    body += lang_fn
     return f"""
 select '/uploads/' || file_name as file_path, file_name,
        case when p_size % 14 = 0 then replace(src, chr(10), chr(13) || chr(10)) else src end
