@@ -55,9 +55,39 @@ def test_else_if_skipped_and_nested_emitted(spark, files_df):
 
 def test_crlf_and_language_tag(spark, files_df):
     src = "int f(int x) {\r\n  return x;\r\n}\r\n"
-    got = _extract(spark, files_df, src, "/uploads/a.py")
+    got = _extract(spark, files_df, src, "/uploads/a.java")
     assert got[0]["line_start"] == 1 and got[0]["line_end"] == 3
-    assert got[0]["tags"] == ["python"] and got[0]["language"] == "python"
+    assert got[0]["tags"] == ["java"] and got[0]["language"] == "java"
+
+
+def test_language_header_rules(spark, files_df):
+    cases = {
+        "/u/a.java": ("@Override\npublic static String greet(String who) throws IOException { return who; }\n"
+                      "Object o = new Runnable() { };", [("greet", "String", "String who")]),
+        "/u/a.js": ("function render(a, b) { return a(b); }\nconst add = (x, y) => { return x + y; };\n"
+                    "list.map(x => { return x; });", [("render", "", "a, b"), ("add", "", "x, y")]),
+        "/u/a.ts": ("const load = async (q: string): Promise<void> => { await f(q); };",
+                    [("load", "", "q: string")]),
+        "/u/a.go": ("func handler(w int) (int, error) { return w, nil }\nfunc (s *Srv) method() { }",
+                    [("handler", "", "w int")]),
+        "/u/a.rs": ("pub fn compute<T>(v: Vec<T>) -> usize { v.len() }", [("compute", "", "v: Vec<T>")]),
+        "/u/a.php": ("function &php_fn($a) : ?int { return strlen($a); }", [("php_fn", "", "$a")]),
+    }
+    rows = [(p, p.split("/")[-1], src) for p, (src, _) in cases.items()]
+    fns = extract_functions(files_df(rows)).orderBy("file_path", "open_off").collect()
+    got = {}
+    for r in fns:
+        got.setdefault(r.file_path, []).append((r.function_name, r.return_type, r.parameters))
+    assert got == {p: want for p, (_, want) in cases.items()}
+
+
+def test_indentation_blocks(spark, files_df):
+    py = ("import os\n\n@deco\ndef f(a, b=1) -> int:\n    # note\n    if a:\n        return b\n\n"
+          "    def g(x):\n        return x\n    return a\n\n# trailing\nx = 1\nasync def h():\n    pass\n")
+    rb = "class A\n  def self.run(a)\n    if a\n      puts(a)\n    end\n  end\nend\n"
+    fns = extract_functions(files_df([("/u/a.py", "a.py", py), ("/u/b.rb", "b.rb", rb)]))
+    got = [(r.function_name, r.parameters, r.line_start, r.line_end) for r in fns.orderBy("file_path", "open_off").collect()]
+    assert got == [("f", "a, b=1", 4, 11), ("g", "x", 9, 10), ("h", "", 15, 16), ("run", "a", 2, 6)]
 
 
 def test_empty_and_braceless_files(spark, files_df):

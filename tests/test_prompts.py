@@ -68,7 +68,7 @@ embed_fn = _make_embed_fn()
 def _index(spark, files_df):
     files = files_df([
         ("/uploads/g.cpp", "g.cpp", "int dijkstra(int s) { return relax(s); }\nint relax(int e) { return e; }"),
-        ("/uploads/s.py", "s.py", "def quick_sort(a) { return merge(a); }"),
+        ("/uploads/s.py", "s.py", "def quick_sort(a):\n    return merge(a)\n"),
     ])
     b = index_batch(files, 1, "2024-01-01 00:00:00", embed_fn=embed_fn)
     return ix_files(b), b.vectors
