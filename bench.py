@@ -6,7 +6,8 @@ codegen), times each query as the median of ``$BENCH_RUNS`` (default 3)
 full executions (``noop`` sink, so nothing is collected to the driver), and
 prints ONE JSON line.  The index benchmarks write a real store to a scratch
 folder: a full index, then a re-upload batch plus a delete batch and a read
-of the current views.
+of the current views, then the debug and test requests answered (up to the
+prompt) against that stored index.
 """
 
 from __future__ import annotations
@@ -45,7 +46,23 @@ def run_once(spark, fn, sf_dir) -> float:
     return time.perf_counter() - t
 
 
-def index_round(spark, sf_dir, root) -> tuple[float, float]:
+def on_store(spark, sf_dir, path) -> tuple[float, float]:
+    """Debug and test requests answered up to the prompt against a written index."""
+    from quarry.plans.debugging import debug_prompts
+    from quarry.plans.testgen import testgen_prompts
+
+    idx = store.read_index(spark, path)
+    t = time.perf_counter()
+    req = spark.sql(corpus.debug_requests_sql(corpus.spark_table_ref(sf_dir, "conversations")))
+    debug_prompts(req, idx.files, idx.vectors).prompts.write.format("noop").mode("overwrite").save()
+    t_debug = time.perf_counter() - t
+    t = time.perf_counter()
+    treq = spark.sql(corpus.test_requests_sql(corpus.spark_table_ref(sf_dir, "part")))
+    testgen_prompts(treq, idx.vectors).prompts.write.format("noop").mode("overwrite").save()
+    return t_debug, time.perf_counter() - t
+
+
+def index_round(spark, sf_dir, root) -> tuple[float, float, float, float]:
     path = tempfile.mkdtemp(prefix="store-", dir=root)
     t = time.perf_counter()
     store.write_index(spark, corpus.part_corpus(spark, sf_dir), path, 1, corpus.BATCH_TIMES[1])
@@ -58,7 +75,8 @@ def index_round(spark, sf_dir, root) -> tuple[float, float]:
     idx = store.read_index(spark, path)
     for df in (idx.files, idx.functions, idx.edges, idx.vectors):
         df.write.format("noop").mode("overwrite").save()
-    return t_index, time.perf_counter() - t
+    t_reindex = time.perf_counter() - t
+    return (t_index, t_reindex) + on_store(spark, sf_dir, path)
 
 
 def main():
@@ -80,6 +98,8 @@ def main():
     idx_runs = [index_round(spark, sf_dir, scratch) for _ in range(runs)]
     times["index_write"] = round(statistics.median(r[0] for r in idx_runs), 3)
     times["reindex_delete_read"] = round(statistics.median(r[1] for r in idx_runs), 3)
+    times["debug_prompts_on_store"] = round(statistics.median(r[2] for r in idx_runs), 3)
+    times["test_prompts_on_store"] = round(statistics.median(r[3] for r in idx_runs), 3)
 
     n_fn = Q.functions(spark, sf_dir).count()
     n_files = corpus.part_corpus(spark, sf_dir).filter(F.col("file_path").isNotNull()).count()

@@ -86,8 +86,10 @@ def extract_explanation(response: Column) -> Column:
 
 def framework_name(code: Column) -> Column:
     """Display name of a test framework, or the code itself."""
-    m = F.create_map(*[F.lit(x) for kv in P.FRAMEWORK_NAMES for x in kv])
-    return F.coalesce(F.try_element_at(m, code), code)
+    keys = F.array(*[F.lit(k) for k, _ in P.FRAMEWORK_NAMES])
+    vals = F.array(*[F.lit(v) for _, v in P.FRAMEWORK_NAMES])
+    idx = F.array_position(keys, code).cast("int")
+    return F.when(idx > 0, F.element_at(vals, idx)).otherwise(code)
 
 
 def format_similarity(distance: Column) -> Column:

@@ -86,7 +86,8 @@ def _segment_facts(segs: DataFrame, keep=()) -> DataFrame:
         "file_path", "pos", *keep, "seg",
         F.when(is_brace, first).otherwise(F.lit("x")).alias("kind"),
         F.when(is_brace, F.lit(1)).otherwise(F.lit(0)).alias("lead_len"),
-        F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown")).alias("lang"),
+        *([] if "lang" in keep else
+          [F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown")).alias("lang")]),
     ).withColumn("tail", F.substr(seg, F.col("lead_len") + 1))
     specific = F.col("lang").isin(*P.LANGUAGE_HEADERS)
     s2 = s1.withColumn("rhdr", F.when(~specific, F.regexp_extract(F.reverse("tail"), P.P_HEADER_REVERSED, 0))) \
@@ -161,14 +162,18 @@ def extract_functions(files: DataFrame, partitioned: bool = False) -> DataFrame:
     branches of the plan read exactly ``(file_path, source_code)`` from the one
     ``file_path`` shuffle, so Spark reuses that exchange.
     """
-    src = files.select("file_path", "source_code")
+    lang_of_path = F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown"))
+    src = files.select("file_path", "source_code", lang_of_path.alias("lang"))
     if not partitioned:
         src = by_file(src)
 
-    braces = brace_match(src)
-    lang_of_path = F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown"))
-    heads = braces.filter(F.col("p_name").isNotNull() & ~F.col("p_name").isin(*P.HEADER_SKIP_NAMES)
-                          & ~lang_of_path.isin(*P.INDENT_LANGUAGES))
+    # Split by language family: each family's two reads of the source (pieces
+    # and the body join) carry the same filter and columns, so each pair reads
+    # one shared exchange; the families hold disjoint files.
+    indent_src = src.filter(F.col("lang").isin(*P.INDENT_LANGUAGES))
+    src = src.filter(~F.col("lang").isin(*P.INDENT_LANGUAGES))
+    braces = brace_match(src, keep=["lang"])
+    heads = braces.filter(F.col("p_name").isNotNull() & ~F.col("p_name").isin(*P.HEADER_SKIP_NAMES))
     spans = heads.select(
         "file_path", "open_off", "close_off",
         F.col("p_name").alias("function_name"),
@@ -186,9 +191,9 @@ def extract_functions(files: DataFrame, partitioned: bool = False) -> DataFrame:
         "line_start",
         F.coalesce(F.col("close_line"), _newlines(F.col("source_code")) + 1).cast("int").alias("line_end"),
         F.col("open_off").cast("long").alias("open_off"),
-        F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown")).alias("language"),
+        F.col("lang").alias("language"),
         body.alias("body"),
-    ).unionByName(extract_indented(src))
+    ).unionByName(extract_indented(indent_src))
     return out.select(
         "*",
         T.find_calls(F.col("body")).alias("calls"),
@@ -205,11 +210,13 @@ def extract_indented(src: DataFrame) -> DataFrame:
     line; Ruby: that closing ``end`` line belongs to the block).  Each such
     line is exploded into the few header indents it closes, and a reverse
     running ``min`` over ``(file, indent)`` gives every header its closer in
-    one pass: windows only, no pairwise join.  ``src`` is partitioned by
-    ``file_path`` (reused from the brace path).
+    one pass: windows only, no join except the final cut of the bodies out of
+    the co-partitioned source.  ``src`` is partitioned by ``file_path``
+    (reused from the brace path).
     """
-    lang = F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown"))
-    files = src.filter(lang.isin(*P.INDENT_LANGUAGES)).select("file_path", "source_code", lang.alias("lang"))
+    if "lang" not in src.columns:
+        src = src.withColumn("lang", F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown")))
+    files = src.filter(F.col("lang").isin(*P.INDENT_LANGUAGES))
     lines = files.select("file_path", "lang", F.posexplode(F.split(F.coalesce("source_code", F.lit("")), "\n", -1))
                          .alias("pos", "text"))
     w = Window.partitionBy("file_path").orderBy("pos")
@@ -227,48 +234,44 @@ def extract_indented(src: DataFrame) -> DataFrame:
         F.when(name != "", params).alias("params"),
         F.col("text").rlike(P.P_RB_END).alias("is_end"),
         F.length("text").alias("len"),
-    ).select(
+    ).withColumn("off", F.sum(F.col("len") + 1).over(w) - F.col("len") - 1)
+    nonblank_end = F.when(~F.col("blank"), F.struct(F.col("line_no").alias("n"), (F.col("off") + F.col("len")).alias("e")))
+    facts = facts.select(
         "*",
-        (F.sum(F.col("len") + 1).over(w) - F.col("len") - 1).alias("off"),
-        F.max(F.when(~F.col("blank"), F.col("line_no"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-         .alias("prev_nonblank"),
+        F.max(nonblank_end).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_nb"),
+        F.max(nonblank_end).over(Window.partitionBy("file_path")).alias("last_nb"),
         F.max(F.when(F.col("name").isNotNull(), F.col("indent"))).over(Window.partitionBy("file_path"))
          .alias("max_hdr_indent"),
-        F.max(F.when(~F.col("blank"), F.col("line_no"))).over(Window.partitionBy("file_path")).alias("last_nonblank"),
     )
-    # a non-blank line with indent d closes every header indent t >= d
-    closers = facts.filter(~F.col("blank") & (F.col("indent") <= F.col("max_hdr_indent"))).select(
-        "file_path", "line_no", F.explode(F.sequence("indent", "max_hdr_indent")).alias("t"),
-        F.lit(False).alias("is_hdr"))
-    heads = facts.filter(F.col("name").isNotNull()).select(
-        "file_path", "line_no", F.col("indent").alias("t"), F.lit(True).alias("is_hdr"))
-    wt = Window.partitionBy("file_path", "t").orderBy(F.col("line_no").desc(), F.col("is_hdr").desc()) \
+    # every row becomes: itself as a header (if it is one) and, if it is a
+    # non-blank line, a closer for each header indent t >= its own indent
+    closer = F.struct(F.col("line_no").alias("n"), F.col("prev_nb").alias("prev_nb"), F.col("is_end").alias("is_end"),
+                      (F.col("off") + F.col("len")).alias("e"))
+    roles = F.concat(
+        F.when(F.col("name").isNotNull(), F.array(F.struct(F.col("indent").alias("t"), F.lit(True).alias("hdr"))))
+         .otherwise(F.array().cast("array<struct<t:int,hdr:boolean>>")),
+        F.when(~F.col("blank") & (F.col("indent") <= F.col("max_hdr_indent")),
+               F.transform(F.sequence("indent", "max_hdr_indent"),
+                           lambda t: F.struct(t.alias("t"), F.lit(False).alias("hdr"))))
+         .otherwise(F.array().cast("array<struct<t:int,hdr:boolean>>")))
+    ev = facts.filter(F.col("name").isNotNull() | (~F.col("blank") & F.col("max_hdr_indent").isNotNull())) \
+              .select("file_path", "line_no", "lang", "name", "params", "indent", "off", "last_nb",
+                      closer.alias("c"), F.explode(roles).alias("r"))
+    wt = Window.partitionBy("file_path", "r.t").orderBy(F.col("line_no").desc(), F.col("r.hdr").desc()) \
                .rowsBetween(Window.unboundedPreceding, -1)
-    nxt = closers.unionByName(heads).select(
-        "file_path", "line_no", "is_hdr",
-        F.min(F.when(~F.col("is_hdr"), F.col("line_no"))).over(wt).alias("closer")
-    ).filter("is_hdr").drop("is_hdr")
-    info = facts.select("file_path", "line_no", "prev_nonblank", "is_end", "off", "len", "lang")
-    h = (facts.filter(F.col("name").isNotNull())
-         .select("file_path", "line_no", "name", "params", "indent", "off", "lang", "last_nonblank")
-         .join(nxt, ["file_path", "line_no"])
-         .join(info.select("file_path", F.col("line_no").alias("closer"), F.col("prev_nonblank").alias("c_prev"),
-                           F.col("is_end").alias("c_is_end"), F.col("off").alias("c_off"),
-                           F.col("len").alias("c_len")), ["file_path", "closer"], "left"))
-    end_line = F.when(F.col("closer").isNull(), F.col("last_nonblank")) \
-                .when((F.col("lang") == "ruby") & F.col("c_is_end"), F.col("closer")) \
-                .otherwise(F.col("c_prev"))
-    spans = h.select("file_path", "line_no", "name", "params", "off", "indent", end_line.alias("end_line"))
-    ends = info.select("file_path", F.col("line_no").alias("end_line"), F.col("off").alias("e_off"),
-                       F.col("len").alias("e_len"))
-    spans = spans.join(ends, ["file_path", "end_line"], "left")
+    h = ev.select("*", F.min(F.when(~F.col("r.hdr"), F.col("c"))).over(wt).alias("nc")).filter("r.hdr")
+    nc = F.col("nc")
+    end = F.when(nc.isNull(), F.col("last_nb")) \
+           .when((F.col("lang") == "ruby") & nc["is_end"], F.struct(nc["n"].alias("n"), nc["e"].alias("e"))) \
+           .otherwise(nc["prev_nb"])
+    spans = h.select("file_path", "line_no", "name", "params", "off", "indent", end.alias("end"))
     start = F.col("off") + F.col("indent")            # first non-blank character of the header
     joined = spans.join(src, "file_path")
     return joined.select(
         "file_path", F.col("name").alias("function_name"), F.lit("").alias("return_type"),
         F.coalesce("params", F.lit("")).alias("parameters"),
-        F.col("line_no").alias("line_start"), F.col("end_line").cast("int").alias("line_end"),
+        F.col("line_no").alias("line_start"), F.col("end.n").cast("int").alias("line_end"),
         start.cast("long").alias("open_off"),
-        F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown")).alias("language"),
-        F.substr("source_code", start + 1, F.col("e_off") + F.col("e_len") - start).alias("body"),
+        F.col("lang").alias("language"),
+        F.substr("source_code", start + 1, F.col("end.e") - start).alias("body"),
     )

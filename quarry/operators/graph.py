@@ -31,17 +31,24 @@ def call_edges(functions: DataFrame) -> DataFrame:
 def call_graph(functions: DataFrame) -> DataFrame:
     """For each function name, its calls that are functions of the same
     file (sorted); duplicate names keep the last definition; no internal
-    calls -> empty list."""
+    calls -> empty list.
+
+    One pass, no self-join: each (last) definition row explodes into one
+    "defines name" row and one row per call; a window over (file, name)
+    tells whether a called name is defined in the file; one aggregation
+    gathers the internal callees.  Everything is clustered by ``file_path``,
+    so after the extraction it needs no shuffle.
+    """
     last = last_definitions(functions)
-    names = functions.select("file_path", F.col("function_name").alias("callee")).distinct()
-    internal = (last.select("file_path", "function_name", F.explode("calls").alias("callee"))
-                .join(names, ["file_path", "callee"], "left_semi")
-                .groupBy("file_path", "function_name")
-                .agg(F.array_sort(F.collect_list("callee")).alias("callees")))
-    return (last.select("file_path", "function_name")
-            .join(internal, ["file_path", "function_name"], "left")
-            .select("file_path", "function_name",
-                    F.coalesce("callees", F.array().cast("array<string>")).alias("callees")))
+    ev = last.select("file_path", "function_name", F.explode(F.concat(
+        F.array(F.struct(F.col("function_name").alias("key"), F.lit(True).alias("is_def"))),
+        F.transform("calls", lambda c: F.struct(c.alias("key"), F.lit(False).alias("is_def"))))).alias("e"))
+    w = Window.partitionBy("file_path", "e.key")
+    marked = ev.select("file_path", "function_name", "e.key", "e.is_def",
+                       F.max(F.col("e.is_def").cast("int")).over(w).alias("defined"))
+    return marked.groupBy("file_path", "function_name").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("is_def") & (F.col("defined") == 1), F.col("key"))))
+         .alias("callees"))
 
 
 def functions_per_file(functions: DataFrame) -> DataFrame:

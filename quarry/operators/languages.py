@@ -1,7 +1,7 @@
 """Language detection and upload validation.
 
-The extension table is 16 fixed entries, so it is a literal map expression
-(no join, no broadcast): lookups stay inside the scan's codegen stage.
+The extension table is 16 fixed entries, so lookups are literal CASE
+expressions (no join, no broadcast) that stay inside the scan's codegen stage.
 """
 
 from __future__ import annotations
@@ -12,20 +12,15 @@ from pyspark.sql import functions as F
 from quarry.functions import patterns as P
 
 
-def _map(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
-
-
-def _lang_by_ext() -> Column:
-    return _map([(e, lang) for e, lang, _ in P.EXTENSION_TABLE])
-
-
-def _display_by_ext() -> Column:
-    return _map([(e, disp) for e, _, disp in P.EXTENSION_TABLE])
-
-
-def _display_by_lang() -> Column:
-    return _map(sorted({(lang, disp) for _, lang, disp in P.EXTENSION_TABLE}))
+def _lookup(key: Column, pairs) -> Column:
+    """Lookup in a small fixed table held as two array literals (NULL when
+    absent).  Array literals compare equal when plans are canonicalised
+    (map literals do not), so exchanges below a language filter can still
+    be reused, and the expression stays small for code generation."""
+    keys = F.array(*[F.lit(k) for k, _ in pairs])
+    vals = F.array(*[F.lit(v) for _, v in pairs])
+    idx = F.array_position(keys, key).cast("int")
+    return F.when(idx > 0, F.element_at(vals, idx))
 
 
 def last_extension(name: Column) -> Column:
@@ -36,15 +31,15 @@ def last_extension(name: Column) -> Column:
 
 def language_of(name: Column) -> Column:
     """Language id for a file name (NULL when unsupported)."""
-    return F.try_element_at(_lang_by_ext(), last_extension(name))
+    return _lookup(last_extension(name), [(e, lang) for e, lang, _ in P.EXTENSION_TABLE])
 
 
 def display_language_of(name: Column) -> Column:
-    return F.try_element_at(_display_by_ext(), last_extension(name))
+    return _lookup(last_extension(name), [(e, disp) for e, _, disp in P.EXTENSION_TABLE])
 
 
 def display_name_of_language(lang: Column) -> Column:
-    return F.try_element_at(_display_by_lang(), lang)
+    return _lookup(lang, sorted({(lang_, disp) for _, lang_, disp in P.EXTENSION_TABLE}))
 
 
 def with_language(files: DataFrame, name_col: str = "file_name") -> DataFrame:

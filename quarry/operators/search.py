@@ -240,7 +240,7 @@ def attach_payload(hits: DataFrame, vectors: DataFrame, cols=("document", "metad
 
 def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAULT_TOP_K,
                        n_lists: int | None = None, n_probe: int = 3, block_rows: int = 4096,
-                       max_iter: int = 8, seed: int = 7,
+                       max_iter: int = 8, seed: int = 7, max_center_bytes: int = 64 << 20,
                        query_vec: str = "embedding", vector_vec: str = "embedding") -> DataFrame:
     """K3: approximate top-k with an inverted-file layout, exactly re-ranked.
 
@@ -250,7 +250,8 @@ def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAUL
     a hot list never lands in one task; ``cogroup`` on (list, block) scores
     the probing queries against the block with the same exact kernel as K2
     and keeps ``k`` per query; the global cut is K2's.  Recall grows with
-    ``n_probe``; ``n_probe = n_lists`` is exact.
+    ``n_probe``; ``n_probe = n_lists`` is exact.  The number of lists is
+    capped so the centroid matrix stays within ``max_center_bytes``.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -262,7 +263,9 @@ def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAUL
     vv = materialize(vectors.select("vector_id", "file_path", F.col(vector_vec).alias("vv"),
                                     array_to_vector(unit(F.col(vector_vec))).alias("features")), "ivf-input")
     n_v = vv.count()
-    lists = n_lists or max(1, int(math.sqrt(max(n_v, 1))))
+    dim = int(vv.select(F.max(F.size("vv"))).first()[0] or 1)
+    # the centroids go to the driver and are broadcast: their size is bounded
+    lists = min(n_lists or max(1, int(math.sqrt(max(n_v, 1)))), max(1, max_center_bytes // (8 * dim)))
     model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="list_id").fit(vv)
     centers = [c.tolist() for c in model.clusterCenters()]   # lists x dim, bounded by ``n_lists``
