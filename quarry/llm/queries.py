@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from quarry.llm.chat import op10_chat_formatting
 from quarry.llm.decontaminate import op5_decontamination
+from quarry.llm.jaccard_join import op1_jaccard_join
 from quarry.llm.line_dedup import op8_line_dedup
 from quarry.llm.maxscore import op6_maxscore_topk
 from quarry.llm.mixing import op9_mixing
 from quarry.llm.pii import op4_pii
 from quarry.llm.sharding import op2_sharding
+from quarry.llm.substring_dedup import op7_substring_dedup
 from quarry.llm.toxicity import op3_toxicity
 
 
 def queries():
-    found = [op2_sharding, op3_toxicity, op4_pii, op5_decontamination, op6_maxscore_topk,
-             op8_line_dedup, op9_mixing, op10_chat_formatting]
+    found = [op1_jaccard_join, op2_sharding, op3_toxicity, op4_pii, op5_decontamination, op6_maxscore_topk,
+             op7_substring_dedup, op8_line_dedup, op9_mixing, op10_chat_formatting]
     return {f.__name__: f for f in found}
 
 
