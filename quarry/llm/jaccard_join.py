@@ -250,16 +250,40 @@ def _shingles(batches, k):
         for a, b in W.pieces(texts):
             own, h, n = shingle_sets(texts.slice(a, b - a), k)
             first = np.concatenate([[0], np.cumsum(n)])
-            lists = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), _long(h)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([_long(_set_ids(first, h)), lists], ["sid", "v"])
+            size = 64 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)      # bits: a power of two from n up
+            base = np.concatenate([[0], np.cumsum(size)])
+            at = base[own] + (W.mix(h, 13) & (size[own] - 1).astype(np.uint64)).astype(np.int64)
+            bits = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little")
+            yield pa.RecordBatch.from_arrays([_long(_set_ids(first, h)), _long(n), _lists(bits.view(np.int64), base // 64),
+                                              _lists(h.view(np.int64), first)], ["sid", "n", "map", "v"])
+
+
+def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(values)).cast(pa.list_(pa.int64()))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    left = sets.select(F.col("sid").alias("a"), F.col("v").alias("va"))
-    right = sets.select(F.col("sid").alias("b"), F.col("v").alias("vb"))
+    """The pairs that link: first by parity maps as long as the sets (again never above the
+    symmetric difference), and what passes, mostly links, by the shingles."""
+    def sides(*cols):
+        for x in ("a", "b"):
+            yield sets.select(F.col("sid").alias(x), *[F.col(c).alias(c + x) for c in cols])
+
+    def folded(x, other):        # the longer map, twice as long, is folded to the shorter
+        m = F.size(other)
+        return F.when(F.size(x) > m, F.zip_with(F.slice(x, F.lit(1), m), F.slice(x, m + 1, m),
+                                                lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    for side in sides("n", "map"):
+        pairs = pairs.join(side, side.columns[0])
+    apart = F.aggregate(F.zip_with(folded(F.col("mapa"), F.col("mapb")), folded(F.col("mapb"), F.col("mapa")),
+                                   lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+    total = F.col("na") + F.col("nb")
+    pairs = pairs.filter(apart <= total - 2 * F.ceil(total * num / (num + den))).select("a", "b")
+    for side in sides("v"):
+        pairs = pairs.join(side, side.columns[0])
     both = F.size(F.array_intersect("va", "vb"))
-    return pairs.join(left, "a").join(right, "b").filter(
-        both * (num + den) >= num * (F.size("va") + F.size("vb"))).select("a", "b")
+    return pairs.filter(both * (num + den) >= num * (F.size("va") + F.size("vb"))).select("a", "b")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -342,7 +366,7 @@ def linked_sets(documents: DataFrame, k: int, num: int, den: int, text: str = "t
     # one text per set that has a candidate partner, read again for its shingles
     of = texts.join(nodes, "sid").groupBy("sid").agg(F.min("text_key").alias("_key")).select("_key")
     sets = staged(keyed.select("text_key", "text").join(of, F.col("text_key") == F.col("_key")).dropDuplicates(["text_key"])
-                  .select("text").mapInArrow(partial(_shingles, k=k), "sid long, v array<long>"), "join-shingles")
+                  .select("text").mapInArrow(partial(_shingles, k=k), "sid long, n long, map array<long>, v array<long>"), "join-shingles")
     links = staged(_verified(one, sets, num, den), "join-links")
     labels = staged(_labels(nodes, components(links)), "join-labels")
     rest = members.join(labels, "sid")
