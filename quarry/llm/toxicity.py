@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
+from quarry.llm.io import staged
 
 MAX_TRAIN = 200_000
 PRIOR_WORDS = 50.0     # weight of the Dirichlet prior, in documents' words
@@ -67,10 +68,13 @@ def labelled(documents: DataFrame, labels: DataFrame, max_train: int) -> DataFra
     n = lab.count()
     if n > max_train:
         lab = lab.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
-    docs = documents.select(F.col("doc_id").alias("_d"), "text")
-    rows = docs.join(lab, F.col("_d") == F.col("_id"))
-    # copies of one text would pass their chance words off as evidence: they teach once
-    return rows.groupBy(F.xxhash64("text").alias("_h"), "toxic").agg(F.first("text").alias("text")).drop("_h")
+    # at most about max_train rows, so they go to the documents and no text is shuffled
+    docs = documents.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"), "text")
+    found = docs.join(F.broadcast(lab), F.col("_d") == F.col("_id"))
+    # copies of one text would pass their chance words off as evidence: the smallest doc_id teaches
+    taught = staged(found.groupBy("_h", "toxic").agg(F.min("_d").alias("_id")), "toxicity-labels")
+    taught = F.broadcast(taught.withColumnRenamed("_h", "_t"))
+    return docs.join(taught, (F.col("_d") == F.col("_id")) & (F.col("_h") == F.col("_t"))).select("text", "toxic")
 
 
 def _documents_per_word(only: np.ndarray | None):
@@ -108,15 +112,15 @@ def _find(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(table[i] == h, i, -1)
 
 
-def _totals(df: DataFrame, only=None) -> DataFrame:
-    return df.mapInArrow(_documents_per_word(only), _COUNTS).groupBy("word", "toxic").agg(F.sum("n").alias("n"))
+def _partial_counts(df: DataFrame, only=None) -> DataFrame:
+    return df.mapInArrow(_documents_per_word(only), _COUNTS)
 
 
 def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = labelled(documents, labels, max_train)
-    pair = (_totals(rows).groupBy("word").agg(
+    pair = staged(_partial_counts(rows).groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
-        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")))
+        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")), "toxicity-words")
     # words that never win stay on the executors; the rest is bounded by the training sample
     base = pair.filter("word = 0").first()
     n_t, n_c = (int(base.t), int(base.c)) if base else (0, 0)
@@ -127,7 +131,8 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     words = won["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     words, t, c = words[order], won["t"].to_numpy(float)[order], won["c"].to_numpy(float)[order]
-    prior = {r.word: r.n for r in _totals(documents.select("text", F.lit(0).alias("toxic")), words).collect()}
+    prior = {r.word: r.n for r in _partial_counts(documents.select("text", F.lit(0).alias("toxic")), words)
+             .groupBy("word").agg(F.sum("n").alias("n")).collect()}
     n_all = max(1, prior.get(0, 1))
     alpha = PRIOR_WORDS * np.array([prior.get(int(x), 1) for x in words.view(np.int64)], float) / n_all + 1e-2
     a0 = PRIOR_WORDS
