@@ -12,7 +12,7 @@ the cost both would have on the sizes counted:
 * heavy (large) sets scan inverted lists of prefixes: in a common order of
   shingles, linked sets share one of their first n - ceil(J n) + 1.
 
-The order puts shingles that batches saw often last, by count (at most
+The order puts shingles that tasks saw again last, by count (at most
 ``MAX_FREQUENT`` are told apart; any order is correct), then goes by hash.
 
 Lists are worked on in cells of about ``CELL`` sets.  A pair must pass two
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from quarry.llm import words as W
 from quarry.llm.io import staged
 
-MAX_FREQUENT, LOCAL, CELL, PAIRS, LIGHT_MOST, DROPS = 200_000, 4, 2048, 1 << 20, 64, 3
+MAX_FREQUENT, LOCAL, GATHER, CELL, PAIRS, LIGHT_MOST, DROPS = 1_000_000, 2, 1 << 22, 2048, 1 << 20, 64, 3
 _SETS = "row long, text_key long, doc_id long, sid long, n long, bits binary, shingle long, seen long"
 
 
@@ -89,27 +89,39 @@ def _long(a) -> pa.Array:
 
 
 def _describe(batches, k):
-    """One row per text (sid, n, bits), and the shingles seen often in a piece (shingle, seen)."""
+    """One row per text (sid, n, bits), and the shingles that a task sees again (shingle, seen)."""
+    gathered, held = [], 0
     for batch in batches:
-        texts, ids = W.text_column(batch, "text"), W.text_column(batch, "doc_id")
+        texts = W.text_column(batch, "text")
         for a, b in W.pieces(texts):
             own, h, n = shingle_sets(texts.slice(a, b - a), k)
             first = np.concatenate([[0], np.cumsum(n)])
             bits = _parity_bits(own, h, b - a)
-            u, seen = np.unique(h, return_counts=True)
-            u, seen = u[seen >= LOCAL], seen[seen >= LOCAL]
-            m = len(u)
-            none = lambda t, c: pa.nulls(c, t)
-            two = lambda x, y: pa.concat_arrays([x, y])
-            yield pa.RecordBatch.from_arrays([
-                two(W.text_column(batch, "row").slice(a, b - a), none(pa.int64(), m)),
-                two(W.text_column(batch, "text_key").slice(a, b - a), none(pa.int64(), m)),
-                two(ids.slice(a, b - a), none(pa.int64(), m)),
-                two(_long(_set_ids(first, h)), none(pa.int64(), m)),
-                two(pa.array(n.astype(np.int64)), none(pa.int64(), m)),
-                two(pa.array([x.tobytes() for x in bits], pa.binary()), none(pa.binary(), m)),
-                two(none(pa.int64(), b - a), _long(u)), two(none(pa.int64(), b - a), pa.array(seen.astype(np.int64)))],
-                ["row", "text_key", "doc_id", "sid", "n", "bits", "shingle", "seen"])
+            ids = [W.text_column(batch, c).slice(a, b - a) for c in ("row", "text_key", "doc_id")]
+            yield _columns(*ids, _long(_set_ids(first, h)), pa.array(n.astype(np.int64)),
+                           pa.array([x.tobytes() for x in bits], pa.binary()), None, None)
+            gathered.append(h)
+            held += len(h)
+            if held >= GATHER:
+                yield _seen_again(gathered)
+                gathered, held = [], 0
+    if held:
+        yield _seen_again(gathered)
+
+
+def _seen_again(gathered) -> pa.RecordBatch:
+    u, seen = np.unique(np.concatenate(gathered), return_counts=True)
+    again = seen >= LOCAL
+    return _columns(None, None, None, None, None, None, _long(u[again]), _long(seen[again]))
+
+
+def _columns(*columns) -> pa.RecordBatch:
+    """A batch of the ``_SETS`` columns; what is None is null."""
+    rows = next(len(c) for c in columns if c is not None)
+    names = [x.split()[0] for x in _SETS.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(rows, pa.binary() if name == "bits" else pa.int64()) if c is None else c
+         for name, c in zip(names, columns)], names)
 
 
 def _need(n, num, den):
