@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from quarry.llm import words as W
 from quarry.llm.io import staged
 
-MAX_FREQUENT, LOCAL, GATHER, CELL, PAIRS, LIGHT_MOST, DROPS = 1_000_000, 2, 1 << 22, 2048, 1 << 20, 64, 3
+MAX_FREQUENT, LOCAL, GATHER, CELL, PAIRS, LIGHT_MOST, DROPS = 500_000, 2, 1 << 22, 2048, 1 << 20, 64, 3
 _SETS = "row long, text_key long, doc_id long, sid long, n long, bits binary, shingle long, seen long"
 
 
@@ -353,19 +353,31 @@ def _round_two_cells(members: DataFrame) -> DataFrame:
     return short.unionByName(cells)
 
 
+def _most_seen(seen: DataFrame) -> pa.Table:
+    """Shingles with the highest counts, at most MAX_FREQUENT: all above a count, found from the counts' histogram."""
+    seen = staged(seen, "join-seen")
+    bins = seen.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.col("c").desc()).collect()
+    total, least = 0, 1 << 62
+    for r in bins:
+        total += r.n
+        if total > MAX_FREQUENT:
+            break
+        least = r.c
+    return seen.filter(F.col("c") >= least).select("shingle", "c").toArrow()
+
+
 def linked_sets(documents: DataFrame, k: int, num: int, den: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts: row, doc_id, sid, n; labels: sid, comp of sets with a candidate partner)."""
     keyed = documents.select(F.xxhash64(*documents.columns).alias("row"), F.xxhash64(text).alias("text_key"),
                              F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = staged(keyed.mapInArrow(partial(_describe, k=k), _SETS), "join-sets")
     texts = described.filter("sid is not null")
-    often = (described.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("c"))
-             .orderBy(F.col("c").desc(), "shingle").limit(MAX_FREQUENT).toPandas())
-    frequent = often["shingle"].to_numpy(np.int64).view(np.uint64)
+    often = _most_seen(described.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("c")))
+    frequent = often["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(frequent)
     sizes = {r.n: r["count"] for r in texts.filter(F.col("n").between(1, 2 * LIGHT_MOST)).groupBy("n").count().collect()}
     run = partial(_postings, k=k, num=num, den=den, boundary=choose_boundary(sizes, num, den),
-                  frequent=frequent[order], counts=often["c"].to_numpy(np.int64)[order])
+                  frequent=frequent[order], counts=often["c"].to_numpy()[order])
     postings = keyed.select("text").mapInArrow(run, "key long, sid long, n long")
     lists = postings.repartition("key").groupBy("key", "sid", "n").agg(F.lit(1).alias("one"))
     held = staged(lists.drop("one"), "join-postings")
