@@ -19,7 +19,7 @@ Lists are worked on in cells of about ``CELL`` sets.  A pair must pass two
 exact-safe tests: sizes, and the Hamming distance of 256-bit parity maps,
 which never exceeds the symmetric difference.  All pairs of a large group of
 copies are never written out: round one keeps, per set and list, one link to
-an earlier and one to a later set, verifies them on the shingles and forms components; round two
+an earlier set (or, without any, to a later one), verifies them on the shingles and forms components; round two
 verifies *every* remaining passing pair whose sets are still in different
 components.  What is left out joins sets already joined, so the components
 are those of all links.  A list longer than a cell is split: round one adds
@@ -235,8 +235,10 @@ def _cells(batches, num, den, first_round):
                 keep = comp[i] != comp[j]
                 i, j = i[keep], j[keep]
             i, j = _passing(sid, n, bits, i, j, num, den)
-            if first_round and len(j):      # an earlier and a later partner each: all sets with partners are named
-                at = np.union1d(np.unique(j, return_index=True)[1], np.unique(i, return_index=True)[1])
+            if first_round and len(j):      # one earlier partner each, or a later one for sets that have none: all are named
+                early = np.unique(j, return_index=True)[1]
+                first, late = np.unique(i, return_index=True)
+                at = np.union1d(early, late[~np.isin(first, j)])
                 i, j = i[at], j[at]
             found.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
