@@ -121,7 +121,7 @@ def word_table(texts: pa.Array, kind=SPACED) -> Words:
     return Words(data, start, end, mix(h, 2), np.searchsorted(start, offsets))
 
 
-def pieces(texts: pa.Array, limit: int = 4 << 20):
+def pieces(texts: pa.Array, limit: int = 1 << 20):
     """(from, to) row ranges of about ``limit`` bytes of text; a longer text is one piece."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
