@@ -388,8 +388,11 @@ def linked_sets(documents: DataFrame, k: int, num: int, den: int, text: str = "t
     members = staged(held.join(shared, "key").join(bits, F.col("sid") == F.col("_sid")).drop("_sid"), "join-members")
 
     one = staged(_candidates(_round_one_cells(members), num, den, True), "join-round-one")
-    nodes = staged(one.select(F.col("a").alias("sid")).unionByName(one.select(F.col("b").alias("sid"))).distinct(), "join-nodes")
-    # one text per set that has a candidate partner, read again for its shingles
+    # sets that may link: named in round one, or in a split list, where partners may stand in different cells
+    nodes = one.select(F.col("a").alias("sid")).unionByName(one.select(F.col("b").alias("sid"))).unionByName(
+        members.filter(F.col("cnt") > CELL).select("sid"))
+    nodes = staged(nodes.distinct(), "join-nodes")
+    # one text each, read again for its shingles
     of = texts.join(nodes, "sid").groupBy("sid").agg(F.min("text_key").alias("_key")).select("_key")
     sets = staged(keyed.select("text_key", "text").join(of, F.col("text_key") == F.col("_key")).dropDuplicates(["text_key"])
                   .select("text").mapInArrow(partial(_shingles, k=k), "sid long, n long, map array<long>, v array<long>"), "join-shingles")
