@@ -16,8 +16,9 @@ The order puts shingles that tasks saw again last, by count (at most
 ``MAX_FREQUENT`` are told apart; any order is correct), then goes by hash.
 
 Lists are worked on in cells of about ``CELL`` sets.  A pair must pass two
-exact-safe tests: sizes, and the Hamming distance of 256-bit parity maps,
-which never exceeds the symmetric difference.  All pairs of a large group of
+exact-safe tests: sizes, and the Hamming distance of parity maps, which never
+exceeds the symmetric difference.  A map has 256 to 1024 bits, and more for
+sets so long that unrelated ones would pass (see ``map_bits``).  All pairs of a large group of
 copies are never written out: round one keeps, per set and list, one link to
 an earlier set (or, without any, to a later one), verifies them on the shingles and forms components; round two
 verifies *every* remaining passing pair whose sets are still in different
@@ -35,6 +36,7 @@ shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -78,17 +80,26 @@ def _set_ids(first, hashes):
     return W.mix(_sums(first, W.mix(hashes, 11)), 12)
 
 
-def _parity_bits(own, hashes, n) -> np.ndarray:
-    """(n, 32) bytes: parity of the shingles that fall on each of 256 bits."""
-    at = own * 256 + (W.mix(hashes, 13) & np.uint64(255)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=256 * n) & 1).astype(np.uint8).reshape(n, 256), axis=1)
+def map_bits(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Bits of the parity map of sets of n, a power of two: unrelated sets differ in half the bits,
+    which must lie clear of the difference that links may have, 2 n (den - num) / (den + num)."""
+    least = np.maximum(np.clip(4 * n, 256, 1024), 5 * n * (den - num) // (den + num))
+    return 1 << np.ceil(np.log2(least)).astype(np.int64)
+
+
+def _parity_maps(own, hashes, size) -> tuple[np.ndarray, np.ndarray]:
+    """(words, first): per set of ``size`` bits the parity of the shingles that fall on each, as uint64 words."""
+    base = np.concatenate([[0], np.cumsum(size)])
+    at = base[own] + (W.mix(hashes, 13) & (size[own] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little")
+    return bits.view(np.uint64), base // 64
 
 
 def _long(a) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64))
 
 
-def _describe(batches, k):
+def _describe(batches, k, num, den):
     """One row per text (sid, n, bits), and the shingles that a task sees again (shingle, seen)."""
     gathered, held = [], 0
     for batch in batches:
@@ -96,10 +107,10 @@ def _describe(batches, k):
         for a, b in W.pieces(texts):
             own, h, n = shingle_sets(texts.slice(a, b - a), k)
             first = np.concatenate([[0], np.cumsum(n)])
-            bits = _parity_bits(own, h, b - a)
+            bits, at = _parity_maps(own, h, map_bits(n, num, den))
             ids = [W.text_column(batch, c).slice(a, b - a) for c in ("row", "text_key", "doc_id")]
             yield _columns(*ids, _long(_set_ids(first, h)), pa.array(n.astype(np.int64)),
-                           pa.array([x.tobytes() for x in bits], pa.binary()), None, None)
+                           _binaries(bits, at), None, None)
             gathered.append(h)
             held += len(h)
             if held >= GATHER:
@@ -109,6 +120,11 @@ def _describe(batches, k):
         yield _seen_again(gathered)
 
 
+def _binaries(words: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [
+        None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(words))]).cast(pa.binary())
+
+
 def _seen_again(gathered) -> pa.RecordBatch:
     u, seen = np.unique(np.concatenate(gathered), return_counts=True)
     again = seen >= LOCAL
@@ -199,42 +215,77 @@ def _pairs_of(sizes: np.ndarray):
         at = end
 
 
-def _passing(sid, n, bits, i, j, num, den):
+@dataclass
+class Maps:
+    """Parity maps of some rows: uint64 words and where each row's begin."""
+
+    words: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> "Maps":
+        column = column.cast(pa.large_binary())
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]]
+        return cls(np.frombuffer(raw.tobytes(), np.uint64), (at - at[0]) // 8)
+
+    def folded(self, rows: np.ndarray, m: int) -> np.ndarray:
+        """(rows, m) words: the maps folded to m words each (m is a power of two, not above any row's own)."""
+        size = self.first[rows + 1] - self.first[rows]
+        out = np.empty((len(rows), m), np.uint64)
+        for w in np.unique(size):
+            mine = np.flatnonzero(size == w)
+            x = self.words[self.first[rows[mine]][:, None] + np.arange(w)]
+            out[mine] = np.bitwise_xor.reduce(x.reshape(len(mine), w // m, m), axis=1)
+        return out
+
+
+def _passing(sid, n, maps: Maps, short, i, j, num, den):
+    """Pairs that pass the tests; ``short`` holds all maps folded to 4 words, tried before the whole maps."""
     a, b = n[i], n[j]
     ok = (sid[i] != sid[j]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
     i, j, a, b = i[ok], j[ok], a[ok], b[ok]
-    overlap = (num * (a + b) + num + den - 1) // (num + den)
-    ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= a + b - 2 * overlap
+    most = a + b - 2 * ((num * (a + b) + num + den - 1) // (num + den))
+    ok = np.bitwise_count(short[i] ^ short[j]).sum(axis=1) <= most
+    i, j, most = i[ok], j[ok], most[ok]
+    size = maps.first[1:] - maps.first[:-1]
+    common = np.minimum(size[i], size[j])
+    ok = common <= 4
+    for m in np.unique(common[~ok]):
+        of = np.flatnonzero(common == m)
+        step = max(1, PAIRS // int(m))
+        for at in range(0, len(of), step):
+            p = of[at:at + step]
+            apart = np.bitwise_count(maps.folded(i[p], int(m)) ^ maps.folded(j[p], int(m))).sum(axis=1)
+            ok[p] = apart <= most[p]
     return i[ok], j[ok]
 
 
 def _cells(batches, num, den, first_round):
     """Candidate pairs of sorted cells; a cell may go over batches, so its tail waits for the next."""
-    names = ["cell", "sid", "n", "bits", "comp"]
+    names = ["cell", "sid", "n", "comp"]
     wait = None
     for batch in _with_end(batches):
+        rows, wait = wait, None
         if batch is not None:
-            t = {c: W.text_column(batch, c) for c in names}
-            cols = [t[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "sid", "n", "comp")]
-            raw = t["bits"].cast(pa.large_binary()).to_pylist()
-            cols.append(np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 4))
-            if wait is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(wait, cols)]
-            same = np.flatnonzero(cols[0] != cols[0][-1]) if len(cols[0]) else []
+            rows = pa.Table.from_batches([batch]) if rows is None else pa.concat_tables([rows, pa.Table.from_batches([batch])])
+            cell = rows["cell"].to_numpy()
+            same = np.flatnonzero(cell != cell[-1]) if len(cell) else []
             cut = int(same[-1]) + 1 if len(same) else 0
-            wait, cols = [c[cut:] for c in cols], [c[:cut] for c in cols]
-        else:
-            cols, wait = wait, None
-        if cols is None or not len(cols[0]):
+            rows, wait = rows.slice(0, cut), rows.slice(cut)
+        if rows is None or not len(rows):
             continue
-        cell, sid, n, comp, bits = cols
+        rows = rows.combine_chunks()
+        cell, sid, n, comp = (rows[c].to_numpy().astype(np.int64) for c in names)
+        maps = Maps.of(rows["bits"].combine_chunks())
+        short = maps.folded(np.arange(len(n)), 4)
         found = []
         at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
         for i, j in _pairs_of(np.diff(at)):
             if not first_round:
                 keep = comp[i] != comp[j]
                 i, j = i[keep], j[keep]
-            i, j = _passing(sid, n, bits, i, j, num, den)
+            i, j = _passing(sid, n, maps, short, i, j, num, den)
             if first_round and len(j):      # one earlier partner each, or a later one for sets that have none: all are named
                 early = np.unique(j, return_index=True)[1]
                 first, late = np.unique(i, return_index=True)
@@ -265,10 +316,8 @@ def _shingles(batches, k):
             own, h, n = shingle_sets(texts.slice(a, b - a), k)
             first = np.concatenate([[0], np.cumsum(n)])
             size = 64 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)      # bits: a power of two from n up
-            base = np.concatenate([[0], np.cumsum(size)])
-            at = base[own] + (W.mix(h, 13) & (size[own] - 1).astype(np.uint64)).astype(np.int64)
-            bits = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little")
-            yield pa.RecordBatch.from_arrays([_long(_set_ids(first, h)), _long(n), _lists(bits.view(np.int64), base // 64),
+            bits, at = _parity_maps(own, h, size)
+            yield pa.RecordBatch.from_arrays([_long(_set_ids(first, h)), _long(n), _lists(bits.view(np.int64), at),
                                               _lists(h.view(np.int64), first)], ["sid", "n", "map", "v"])
 
 
@@ -372,7 +421,7 @@ def linked_sets(documents: DataFrame, k: int, num: int, den: int, text: str = "t
     """(texts: row, doc_id, sid, n; labels: sid, comp of sets with a candidate partner)."""
     keyed = documents.select(F.xxhash64(*documents.columns).alias("row"), F.xxhash64(text).alias("text_key"),
                              F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = staged(keyed.mapInArrow(partial(_describe, k=k), _SETS), "join-sets")
+    described = staged(keyed.mapInArrow(partial(_describe, k=k, num=num, den=den), _SETS), "join-sets")
     texts = described.filter("sid is not null")
     often = _most_seen(described.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("c")))
     frequent = often["shingle"].to_numpy().view(np.uint64)
