@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import materialize, ship_package, table
+from quarry import session
+from quarry.session import materialize, table
 
 __all__ = ["materialize", "read", "ship_package", "staged", "utf8_bytes"]
 
+ARROW_BYTES = 4 << 20        # whole texts go to Python in batches of about this size
+
+
+def ship_package(spark: SparkSession) -> None:
+    """The package on the workers, and Arrow batches bounded by bytes: rows hold whole
+    texts, so a bound on their number alone would let a task's buffers grow with them."""
+    session.ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; the package travels to the workers first."""
