@@ -5,17 +5,18 @@ Exact top-k never materialises (query, vector) pairs as rows:
 
 * **broadcast strategy** (query matrix within ``max_broadcast_bytes``): the
   vectors are scanned once, in place; each task scores its Arrow batches
-  against the broadcast query matrix with one BLAS product and keeps, per
-  query, only the ``k`` best rows (ties kept exactly, then cut by id).
+  against tiles of the broadcast query matrix and keeps, per query and batch,
+  only the ``k`` best rows (ties kept exactly, then cut by id).
 * **blocked strategy** (bigger request sets): vectors and queries are hashed
   into blocks; ``cogroup`` on ``(vector block, query block)`` hands each task a
   bounded slice of both, scored the same way.  Each vector is replicated once
   per query block and each query once per vector block, sizes chosen from the
   counts, so no group grows with the data.
 
-Either way the shuffle carries at most ``k`` candidates per query and task,
-and a final ``row_number() <= k`` (planned as WindowGroupLimit) picks the
-global top-k.  Order: distance ascending, NULL last, then vector id.
+Either way at most ``k`` candidates per query and Arrow batch (or block)
+leave the kernel, the group limit cuts them to the largest ``k`` per query and
+task before the shuffle, and a final ``row_number() <= k`` (planned as
+WindowGroupLimit) picks the global top-k.  Order: distance ascending, NULL last, then vector id.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import types as T
 from quarry.functions import patterns as P
 from quarry.session import materialize
 
+TILE_CELLS = 1 << 22          # doubles of one distance block in the kernel
+
 HIT_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
     T.StructField("vector_id", T.StringType()),
@@ -99,16 +102,18 @@ def _local_topk(q_ids, q_mat, q_filters, q_ks, vec_ids, vec_paths, v_mat):
         raise ValueError(f"query vectors have {q_mat.shape[1]} dimensions, stored vectors {v_mat.shape[1]}")
 
     def emit(qi, vi):
-        if len(qi) == 0 or len(vi) == 0:
-            return
-        dist = _cosine(q_mat[qi], v_mat[vi])
-        picks = _select_topk(dist, [q_ks[i] for i in qi], id_rank[vi])
-        for row, i in enumerate(qi):
-            sel = picks[row]
-            out_q.extend([q_ids[i]] * len(sel))
-            out_v.extend(vec_ids[vi[j]] for j in sel)
-            out_d.extend(None if np.isnan(dist[row, j]) else float(dist[row, j]) for j in sel)
-            out_k.extend([int(q_ks[i])] * len(sel))
+        # the distance block of a tile holds at most TILE_CELLS doubles
+        step = max(1, TILE_CELLS // max(1, len(vi)))
+        for at in range(0, len(qi) if len(vi) else 0, step):
+            tile = qi[at:at + step]
+            dist = _cosine(q_mat[tile], v_mat[vi])
+            picks = _select_topk(dist, [q_ks[i] for i in tile], id_rank[vi])
+            for row, i in enumerate(tile):
+                sel = picks[row]
+                out_q.extend([q_ids[i]] * len(sel))
+                out_v.extend(vec_ids[vi[j]] for j in sel)
+                out_d.extend(dist[row, sel].tolist())
+                out_k.extend([int(q_ks[i])] * len(sel))
 
     emit(np.array([i for i, f in enumerate(filt) if f is None], dtype=np.int64),
          np.arange(len(vec_ids)))
@@ -116,19 +121,33 @@ def _local_topk(q_ids, q_mat, q_filters, q_ks, vec_ids, vec_paths, v_mat):
     for i, f in enumerate(filt):
         if f is not None:
             by_path.setdefault(f, []).append(i)
-    if by_path:
-        paths = np.asarray(vec_paths, dtype=object)
-        for path, qi in by_path.items():
-            emit(np.asarray(qi, dtype=np.int64), np.nonzero(paths == path)[0])
+    rows_of: dict[str, list[int]] = {}
+    for j, path in enumerate(vec_paths if by_path else ()):
+        if path in by_path:
+            rows_of.setdefault(path, []).append(j)
+    for path, rows in rows_of.items():
+        emit(np.asarray(by_path[path], dtype=np.int64), np.asarray(rows, dtype=np.int64))
     return out_q, out_v, out_d, out_k
 
 
-def _final_topk(cands: DataFrame) -> DataFrame:
-    """Global top-k: the literal bound (20) lets Spark plan a WindowGroupLimit,
-    so only ``k`` rows per query and task reach the final sort."""
+def _hit_frame(query_ids, vector_ids, distances, ks):
+    """Candidates as a frame of fixed types, also when there are none (NaN is written as NULL)."""
+    import numpy as np
+    import pandas as pd
+
+    return pd.DataFrame({"query_id": np.asarray(query_ids, dtype=np.int64),
+                         "vector_id": pd.Series(vector_ids, dtype=object),
+                         "distance": np.asarray(distances, dtype=np.float64),
+                         "k": np.asarray(ks, dtype=np.int32)})
+
+
+def _final_topk(cands: DataFrame, largest_k: int) -> DataFrame:
+    """Global top-k: the literal bound (the largest k asked for) lets Spark plan
+    a WindowGroupLimit, so only that many rows per query and task reach the
+    final sort."""
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "vector_id")
     return (cands.withColumn("rank", F.row_number().over(w))
-            .filter((F.col("rank") <= P.MAX_TOP_K) & (F.col("rank") <= F.col("k"))))
+            .filter((F.col("rank") <= F.lit(largest_k)) & (F.col("rank") <= F.col("k"))))
 
 
 def search_topk(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAULT_TOP_K,
@@ -138,27 +157,35 @@ def search_topk(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAULT_TOP_K
     """K2: per query, the ``top_k`` nearest vectors by cosine distance.
 
     ``queries``: ``query_id`` (long), ``query_vec``, optional ``k_col`` (per
-    request k, 1..20, NULL -> ``k``) and ``filter_col`` (exact ``file_path`` or
-    NULL).  ``vectors``: ``vector_id``, ``file_path``, ``vector_vec``.
+    request k of any size, NULL -> ``k``) and ``filter_col`` (exact
+    ``file_path`` or NULL).  ``vectors``: ``vector_id``, ``file_path``,
+    ``vector_vec``.  A NULL vector on either side has NULL distances.  When
+    every request names a file, only those files' vectors reach the kernel.
     Returns ``query_id, rank, vector_id, distance``.
     """
     kexpr = F.coalesce(F.col(k_col).cast("int"), F.lit(k)) if k_col else F.lit(k)
     qsel = queries.select(
         F.col("query_id").cast("long").alias("query_id"), F.col(query_vec).alias("qv"),
         (F.col(filter_col) if filter_col else F.lit(None).cast("string")).alias("qf"),
-        F.least(kexpr, F.lit(P.MAX_TOP_K)).alias("qk"))
+        kexpr.alias("qk"))
     vsel = vectors.select("vector_id", "file_path", F.col(vector_vec).alias("vv"))
 
     # the request side is read three times (size check, broadcast, k); it is
     # materialised once in the shared checkpoint folder instead of recomputed
     qsel = materialize(qsel, "requests")
-    stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
+    stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d"),
+                     F.max("qk").alias("k"), F.count("qf").alias("scoped")).first()
+    n_q, dim, largest_k = int(stats["n"]), max(int(stats["d"] or 0), 0), int(stats["k"] or 0)
+    if n_q and stats["scoped"] == n_q:
+        scopes = qsel.select(F.col("qf").alias("_scope")).distinct()
+        vsel = vsel.join(scopes, F.col("file_path") == F.col("_scope"), "left_semi")
+    if n_q and not dim:              # only NULL requests: the stored vectors name the dimension
+        dim = max(int(vsel.agg(F.max(F.size("vv"))).first()[0] or 0), 0)
     if n_q * max(dim, 1) * 8 <= max_broadcast_bytes:
-        cands = _broadcast_candidates(qsel, vsel)
+        cands = _broadcast_candidates(qsel, vsel, dim)
     else:
-        cands = _blocked_candidates(qsel, vsel, n_q, block_rows)
-    hits = _final_topk(cands)
+        cands = _blocked_candidates(qsel, vsel, n_q, block_rows, dim)
+    hits = _final_topk(cands, largest_k)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vector_id", "distance")
 
 
@@ -166,27 +193,17 @@ def _matrix(col, dim):
     """Stack a column of arrays into float64 rows (NULL -> zero vector)."""
     import numpy as np
 
-    vals = [None if v is None else np.asarray(v, dtype=np.float64) for v in col]
-    if dim is None:
-        dim = max((len(v) for v in vals if v is not None), default=0)
-    return np.stack([v if v is not None else np.zeros(dim) for v in vals]) if vals else np.zeros((0, dim))
+    vals = [np.zeros(dim) if v is None else np.asarray(v, dtype=np.float64) for v in col]
+    return np.stack(vals) if vals else np.zeros((0, dim))
 
 
-def _broadcast_candidates(qsel: DataFrame, vsel: DataFrame) -> DataFrame:
-    import numpy as np
-
-    rows = qsel.collect()          # bounded: checked against max_broadcast_bytes
-    q_ids = [r["query_id"] for r in rows]
-    q_filters = [r["qf"] for r in rows]
-    q_ks = [int(r["qk"]) for r in rows]
-    dim = max((len(r["qv"]) for r in rows if r["qv"] is not None), default=0)
-    q_mat = np.array([r["qv"] if r["qv"] is not None else [0.0] * dim for r in rows], dtype=np.float64)
+def _broadcast_candidates(qsel: DataFrame, vsel: DataFrame, dim: int) -> DataFrame:
+    rows = qsel.toArrow()          # bounded: checked against max_broadcast_bytes
+    q_mat = _matrix(rows["qv"].to_pandas(), dim)
     sc = vsel.sparkSession.sparkContext
-    bq = sc.broadcast((q_ids, q_mat, q_filters, q_ks))
+    bq = sc.broadcast((rows["query_id"].to_pylist(), q_mat, rows["qf"].to_pylist(), rows["qk"].to_pylist()))
 
     def run(batches):
-        import pandas as pd
-
         ids, mat, filt, ks = bq.value
         for pdf in batches:
             if len(pdf) == 0:
@@ -195,14 +212,12 @@ def _broadcast_candidates(qsel: DataFrame, vsel: DataFrame) -> DataFrame:
             oq, ov, od, ok = _local_topk(ids, mat, filt, ks, pdf["vector_id"].tolist(),
                                          pdf["file_path"].tolist(), v_mat)
             if oq:
-                yield pd.DataFrame({"query_id": oq, "vector_id": ov, "distance": od, "k": ok})
+                yield _hit_frame(oq, ov, od, ok)
 
     return vsel.mapInPandas(run, HIT_SCHEMA)
 
 
-def _blocked_candidates(qsel: DataFrame, vsel: DataFrame, n_q: int, block_rows: int) -> DataFrame:
-    import numpy as np
-
+def _blocked_candidates(qsel: DataFrame, vsel: DataFrame, n_q: int, block_rows: int, dim: int) -> DataFrame:
     n_v = vsel.count()
     qb = max(1, math.ceil(n_q / block_rows))
     vb = max(1, math.ceil(n_v / block_rows))
@@ -212,30 +227,22 @@ def _blocked_candidates(qsel: DataFrame, vsel: DataFrame, n_q: int, block_rows:
                .withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1))))
 
     def run(key, vpdf, qpdf):
-        import pandas as pd
-
         if len(vpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"query_id": [], "vector_id": [], "distance": [], "k": []})
-        q_mat = _matrix(qpdf["qv"], None)
-        v_mat = _matrix(vpdf["vv"], q_mat.shape[1])
+            return _hit_frame([], [], [], [])
+        q_mat = _matrix(qpdf["qv"], dim)
+        v_mat = _matrix(vpdf["vv"], dim)
         qf = [None if (f is None or (isinstance(f, float) and math.isnan(f))) else f for f in qpdf["qf"]]
         oq, ov, od, ok = _local_topk(qpdf["query_id"].tolist(), q_mat, qf, [int(x) for x in qpdf["qk"]],
                                      vpdf["vector_id"].tolist(), vpdf["file_path"].tolist(), v_mat)
-        return pd.DataFrame({"query_id": oq, "vector_id": ov, "distance": od, "k": ok})
+        return _hit_frame(oq, ov, od, ok)
 
     return (vrep.groupBy("vb", "qb").cogroup(qrep.groupBy("vb", "qb"))
             .applyInPandas(run, HIT_SCHEMA))
 
 
-def attach_payload(hits: DataFrame, vectors: DataFrame, cols=("document", "metadata"),
-                   broadcast_hits: bool = False) -> DataFrame:
-    """Join the winning vectors' payload onto the hits (only ``k`` per query).
-
-    The hits are at most 20 per request; when the request batch passed the
-    broadcast check they are broadcast, so the vector table is streamed
-    without a shuffle."""
-    h = F.broadcast(hits) if broadcast_hits else hits
-    return vectors.select("vector_id", *cols).join(h, "vector_id")
+def attach_payload(hits: DataFrame, vectors: DataFrame, cols=("document", "metadata")) -> DataFrame:
+    """Join the winning vectors' payload onto the hits (only ``k`` per query)."""
+    return vectors.select("vector_id", *cols).join(hits, "vector_id")
 
 
 def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAULT_TOP_K,
@@ -250,8 +257,10 @@ def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAUL
     a hot list never lands in one task; ``cogroup`` on (list, block) scores
     the probing queries against the block with the same exact kernel as K2
     and keeps ``k`` per query; the global cut is K2's.  Recall grows with
-    ``n_probe``; ``n_probe = n_lists`` is exact.  The number of lists is
-    capped so the centroid matrix stays within ``max_center_bytes``.
+    ``n_probe``; ``n_probe = n_lists`` is exact.  A query whose probed lists
+    hold fewer than ``k`` vectors goes on to further lists until they hold
+    ``k``.  A centroid matrix above ``max_center_bytes`` is an error: choose
+    fewer lists or a higher limit.  No vectors give no hits.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -263,18 +272,26 @@ def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAUL
     vv = materialize(vectors.select("vector_id", "file_path", F.col(vector_vec).alias("vv"),
                                     array_to_vector(unit(F.col(vector_vec))).alias("features")), "ivf-input")
     n_v = vv.count()
+    if not n_v:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vector_id string, distance double")
     dim = int(vv.select(F.max(F.size("vv"))).first()[0] or 1)
-    # the centroids go to the driver and are broadcast: their size is bounded
-    lists = min(n_lists or max(1, int(math.sqrt(max(n_v, 1)))), max(1, max_center_bytes // (8 * dim)))
+    # the centroids go to the driver and are broadcast: their size is checked
+    lists = n_lists or max(1, int(math.sqrt(n_v)))
+    if lists * dim * 8 > max_center_bytes:
+        raise ValueError(f"{lists} centroids of {dim} dimensions exceed max_center_bytes = {max_center_bytes}")
     model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="list_id").fit(vv)
     centers = [c.tolist() for c in model.clusterCenters()]   # lists x dim, bounded by ``n_lists``
     assigned = model.transform(vv).select("vector_id", "file_path", "vv", "list_id")
-    biggest = assigned.groupBy("list_id").count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, math.ceil(biggest / block_rows))
-    vblk = assigned.withColumn("blk", F.pmod(F.xxhash64("vector_id"), F.lit(blocks)).cast("int"))
-
-    bc = vectors.sparkSession.sparkContext.broadcast(centers)
+    # rows per list: at most ``lists`` of them; only lists above block_rows are cut
+    counted = {r["list_id"]: r["count"] for r in assigned.groupBy("list_id").count().collect()}
+    sizes = [counted.get(i, 0) for i in range(len(centers))]
+    blocks = F.broadcast(vectors.sparkSession.createDataFrame(
+        [(i, max(1, math.ceil(n / block_rows))) for i, n in enumerate(sizes)], "list_id int, blocks int"))
+    vblk = assigned.join(blocks, "list_id") \
+                   .withColumn("blk", F.pmod(F.xxhash64("vector_id"), F.col("blocks")).cast("int")).drop("blocks")
+
+    bc = vectors.sparkSession.sparkContext.broadcast((centers, sizes))
     probe = max(1, min(n_probe, len(centers)))
     probe_schema = "query_id long, qv array<double>, qf string, qk int, list_id int"
 
@@ -282,15 +299,17 @@ def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAUL
         import numpy as np
         import pandas as pd
 
-        cm = np.asarray(bc.value, dtype=np.float64)
+        cm, held = (np.asarray(x, dtype=np.float64) for x in bc.value)
         cm = cm / np.maximum(np.linalg.norm(cm, axis=1, keepdims=True), 1e-300)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             qm = _matrix(pdf["qv"], cm.shape[1])
             qn = qm / np.maximum(np.linalg.norm(qm, axis=1, keepdims=True), 1e-300)
-            best = np.argsort(-(qn @ cm.T), axis=1, kind="stable")[:, :probe]
-            rep = np.repeat(np.arange(len(pdf)), probe)
+            best = np.argsort(-(qn @ cm.T), axis=1, kind="stable")
+            before = np.cumsum(held[best], axis=1) - held[best]       # vectors in the nearer lists
+            rep, place = np.nonzero((before < k) | (np.arange(len(cm)) < probe))
+            best = best[rep, place]
             yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[rep],
                                 "qv": [pdf["qv"].iloc[i] for i in rep],
                                 "qf": [None] * len(rep), "qk": [int(k)] * len(rep),
@@ -298,21 +317,19 @@ def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAUL
 
     qsel = queries.select(F.col("query_id").cast("long").alias("query_id"),
                           F.col(query_vec).cast("array<double>").alias("qv"))
-    probes = qsel.mapInPandas(nearest_lists, probe_schema) \
-                 .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    probes = qsel.mapInPandas(nearest_lists, probe_schema).join(blocks, "list_id") \
+                 .withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def run(key, vpdf, qpdf):
-        import pandas as pd
-
         if len(vpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"query_id": [], "vector_id": [], "distance": [], "k": []})
-        q_mat = _matrix(qpdf["qv"], None)
-        v_mat = _matrix(vpdf["vv"], q_mat.shape[1])
+            return _hit_frame([], [], [], [])
+        q_mat = _matrix(qpdf["qv"], dim)
+        v_mat = _matrix(vpdf["vv"], dim)
         oq, ov, od, ok = _local_topk(qpdf["query_id"].tolist(), q_mat, None, [int(x) for x in qpdf["qk"]],
                                      vpdf["vector_id"].tolist(), vpdf["file_path"].tolist(), v_mat)
-        return pd.DataFrame({"query_id": oq, "vector_id": ov, "distance": od, "k": ok})
+        return _hit_frame(oq, ov, od, ok)
 
     cands = (vblk.groupBy("list_id", "blk").cogroup(probes.groupBy("list_id", "blk"))
              .applyInPandas(run, HIT_SCHEMA))
-    hits = _final_topk(cands)
+    hits = _final_topk(cands, k)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vector_id", "distance")

@@ -7,8 +7,8 @@ Layout under one store folder (any Hadoop-compatible shared path)::
     call_edges/batch_id=N/  call-edge log
     vectors/batch_id=N/     vector log
 
-Writes use dynamic partition overwrite, so re-running batch N replaces only
-``batch_id=N`` (a replayed stream batch is idempotent).  The functions of a
+Writing batch N replaces the folder ``batch_id=N`` as a whole and nothing
+else (a replayed stream batch is idempotent).  The functions of a
 batch are written first and read back: edges, vectors and file rows derive
 from the written table, which cuts the lineage (a lost executor recomputes
 from that table, not from the raw corpus).  The files rows go last, so
@@ -86,9 +86,9 @@ def read_code_table(df: DataFrame, path_col: str, text_col: str, name_col: str |
 
 # ------------------------------------------------------------------- writing
 def _write(df: DataFrame, store: str, table: str, batch_id: int) -> None:
-    (df.withColumn("batch_id", F.lit(int(batch_id)))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("batch_id").parquet(f"{store.rstrip('/')}/{table}"))
+    # the batch's own folder is replaced even by no rows (dynamic partition
+    # overwrite would leave the rows of an earlier attempt)
+    df.write.mode("overwrite").parquet(f"{store.rstrip('/')}/{table}/batch_id={int(batch_id)}")
 
 
 def _read_batch(spark: SparkSession, store: str, table: str, batch_id: int) -> DataFrame:

@@ -44,6 +44,13 @@ def test_store_upsert_replace_delete(spark, files_df):
     assert sorted(r.vector_id for r in idx.vectors.collect()) == ["/uploads/a.cpp::a2", "/uploads/b.cpp::b"]
     assert [r.file_path for r in ix.latest_file(idx.files).collect()] == ["/uploads/a.cpp"]
 
+    # a re-run of batch 2 whose code has no calls leaves none of the first attempt's edges
+    calling = files_df([("/uploads/a.cpp", "a.cpp", "int a2() { g(); }")])
+    store.write_index(spark, calling, root, 2, "2024-01-02 00:00:00")
+    assert store.read_index(spark, root).edges.filter("callee_name = 'g'").count() == 1
+    store.write_index(spark, files_df([("/uploads/a.cpp", "a.cpp", "int a2() { }")]), root, 2, "2024-01-02 00:00:00")
+    assert store.read_index(spark, root).edges.filter("callee_name = 'g'").count() == 0
+
     # Delete b.cpp cascades to functions, edges, vectors
     store.delete_files(spark, spark.createDataFrame([("/uploads/b.cpp",)], "file_path string"), root, 3,
                        "2024-01-03 00:00:00")
@@ -109,14 +116,35 @@ def test_topk_exact_both_strategies(spark):
         for r in hits.orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.vector_id)
         assert got == want
-    # F5 filter
-    paths = [f"file{i % 7}" for i in range(len(m))]
-    want_f = _brute(qm, m.astype(np.float64), ids, 5, paths, [r[2] for r in q_rows])
-    hits = search_topk(q, v, k=5, filter_col="ff")
-    got = {}
-    for r in hits.orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.vector_id)
-    assert got == {k: w for k, w in want_f.items() if w}
+        # F5 filter, and a k above that of the requests' validation
+        paths = [f"file{i % 7}" for i in range(len(m))]
+        for k in (5, 50):
+            want_f = _brute(qm, m.astype(np.float64), ids, k, paths, [r[2] for r in q_rows])
+            got = {}
+            for r in search_topk(q, v, k=k, filter_col="ff", **kw).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append(r.vector_id)
+            assert got == {i: w for i, w in want_f.items() if w}
+
+
+def test_topk_null_vectors_have_null_distances_on_both_strategies(spark):
+    schema = "embedding array<float>"
+    v = spark.createDataFrame([("a", "p", [1.0, 0.0]), ("b", "p", None), ("c", "q", [0.0, 2.0])],
+                              "vector_id string, file_path string, " + schema)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, " + schema)
+    for queries in (q, q.filter("query_id = 2")):
+        for kw in ({}, {"max_broadcast_bytes": 1, "block_rows": 1}):
+            got = {(r.query_id, r.rank): (r.vector_id, r.distance) for r in search_topk(queries, v, k=3, **kw).collect()}
+            want = {(2, 1): ("a", None), (2, 2): ("b", None), (2, 3): ("c", None)}
+            if queries is q:
+                want |= {(1, 1): ("a", 0.0), (1, 2): ("c", 1.0), (1, 3): ("b", None)}
+            assert got == want
+
+
+def test_approx_topk_goes_on_until_k_are_found_and_takes_no_vectors(spark):
+    v, m = _vectors(spark, n=40, dim=4, dup=False)
+    q = spark.createDataFrame([(i, m[i].tolist()) for i in range(5)], "query_id long, embedding array<float>")
+    assert search_topk_approx(q, v, k=30, n_lists=8, n_probe=1).count() == 150
+    assert search_topk_approx(q, v.limit(0), k=5).count() == 0
 
 
 def test_topk_plan_has_window_group_limit(spark):
