@@ -155,13 +155,6 @@ Output ONLY the test code:
 # ---------------------------------------------------------------------------
 # Regular expressions (fixed semantics; see module doc for the spelling)
 # ---------------------------------------------------------------------------
-# The patterns being reproduced, as written for Python ``re``:
-#   header  (?P<ret>[\w:*&<>\s]+?)\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*\{
-#   calls   \b([a-zA-Z_]\w*)\s*\(
-#   tokens  \b\w+\b|[&|?]
-#   fence   ```[\w+]*\n(.*?)```            (DOTALL)
-#   new     \bnew\s                         (C++ std::regex, ASCII, per line)
-
 # file -> pieces that each start at a brace (the first may start with text)
 P_SEGMENT = r"[{}][^{}]*|\A[^{}]+"
 

@@ -1,6 +1,8 @@
 """Function extraction as a DataFrame job.
 
-Plan shape (one shuffle of the source text, none after it):
+Plan shape (all steps clustered on ``file_path``; over a plain table the two
+reads of a language family share one shuffle of the text, over the derived
+corpus the pushed language filter makes it two):
 
 1. ``by_file``: hash-partition the files on ``file_path`` once.
 2. X1: ``posexplode`` the brace segments (narrow).  The header candidate of
@@ -207,8 +209,10 @@ def extract_indented(src: DataFrame) -> DataFrame:
 
     A block ends before the first later line that is not blank or a comment
     and is indented no deeper than the header (Python: the block's last such
-    line; Ruby: that closing ``end`` line belongs to the block).  Each such
-    line is exploded into the few header indents it closes, and a reverse
+    line; Ruby: that line belongs to the block if it is an ``end`` indented
+    like the header, else the method ended before it, as a one-line ``def``
+    does).  Each such line is exploded into those of the file's distinct
+    header indents that it closes, and a reverse
     running ``min`` over ``(file, indent)`` gives every header its closer in
     one pass: windows only, no join except the final cut of the bodies out of
     the co-partitioned source.  ``src`` is partitioned by ``file_path``
@@ -240,21 +244,20 @@ def extract_indented(src: DataFrame) -> DataFrame:
         "*",
         F.max(nonblank_end).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_nb"),
         F.max(nonblank_end).over(Window.partitionBy("file_path")).alias("last_nb"),
-        F.max(F.when(F.col("name").isNotNull(), F.col("indent"))).over(Window.partitionBy("file_path"))
-         .alias("max_hdr_indent"),
+        F.collect_set(F.when(F.col("name").isNotNull(), F.col("indent"))).over(Window.partitionBy("file_path"))
+         .alias("hdr_indents"),
     )
     # every row becomes: itself as a header (if it is one) and, if it is a
     # non-blank line, a closer for each header indent t >= its own indent
     closer = F.struct(F.col("line_no").alias("n"), F.col("prev_nb").alias("prev_nb"), F.col("is_end").alias("is_end"),
-                      (F.col("off") + F.col("len")).alias("e"))
+                      (F.col("off") + F.col("len")).alias("e"), F.col("indent").alias("indent"))
+    closes = F.filter("hdr_indents", lambda t: t >= F.col("indent"))
     roles = F.concat(
         F.when(F.col("name").isNotNull(), F.array(F.struct(F.col("indent").alias("t"), F.lit(True).alias("hdr"))))
          .otherwise(F.array().cast("array<struct<t:int,hdr:boolean>>")),
-        F.when(~F.col("blank") & (F.col("indent") <= F.col("max_hdr_indent")),
-               F.transform(F.sequence("indent", "max_hdr_indent"),
-                           lambda t: F.struct(t.alias("t"), F.lit(False).alias("hdr"))))
+        F.when(~F.col("blank"), F.transform(closes, lambda t: F.struct(t.alias("t"), F.lit(False).alias("hdr"))))
          .otherwise(F.array().cast("array<struct<t:int,hdr:boolean>>")))
-    ev = facts.filter(F.col("name").isNotNull() | (~F.col("blank") & F.col("max_hdr_indent").isNotNull())) \
+    ev = facts.filter(F.col("name").isNotNull() | (~F.col("blank") & (F.size("hdr_indents") > 0))) \
               .select("file_path", "line_no", "lang", "name", "params", "indent", "off", "last_nb",
                       closer.alias("c"), F.explode(roles).alias("r"))
     wt = Window.partitionBy("file_path", "r.t").orderBy(F.col("line_no").desc(), F.col("r.hdr").desc()) \
@@ -262,7 +265,7 @@ def extract_indented(src: DataFrame) -> DataFrame:
     h = ev.select("*", F.min(F.when(~F.col("r.hdr"), F.col("c"))).over(wt).alias("nc")).filter("r.hdr")
     nc = F.col("nc")
     end = F.when(nc.isNull(), F.col("last_nb")) \
-           .when((F.col("lang") == "ruby") & nc["is_end"], F.struct(nc["n"].alias("n"), nc["e"].alias("e"))) \
+           .when((F.col("lang") == "ruby") & nc["is_end"] & (nc["indent"] == F.col("indent")), F.struct(nc["n"].alias("n"), nc["e"].alias("e"))) \
            .otherwise(nc["prev_nb"])
     spans = h.select("file_path", "line_no", "name", "params", "off", "indent", end.alias("end"))
     start = F.col("off") + F.col("indent")            # first non-blank character of the header

@@ -135,6 +135,11 @@ def functions_by_file(functions: DataFrame) -> DataFrame:
     return functions.withColumn("position", F.row_number().over(w))
 
 
+def get_files(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """the current rows of the named files (unknown paths give no row)."""
+    return files.join(paths.select("file_path"), "file_path", "left_semi")
+
+
 def latest_file(files: DataFrame) -> DataFrame:
     """K5: the most recent upload (one row; empty when there is none).
 

@@ -49,10 +49,17 @@ def validate_test_requests(req: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def require_nonempty_index(req: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """with zero indexed functions every request is rejected (400)."""
-    n = vectors.agg(F.count(F.lit(1))).scalar()
+    n = vectors.limit(1).agg(F.count(F.lit(1))).scalar()
     return _split(req, F.when(n == 0, _err(400, P.EMPTY_INDEX_MESSAGE)))
 
 
+def rejects(req: DataFrame, vectors: DataFrame, validate) -> DataFrame:
+    """The requests that F7 or F8 (``validate``) or F9 turns away, without the search."""
+    valid, invalid = validate(req)
+    _, unanswerable = require_nonempty_index(valid, vectors)
+    return invalid.unionByName(unanswerable).select("request_id", "error_code", "error")
+
+
 def scope_requests(req: DataFrame, files: DataFrame, filter_col: str = "file_filter") -> DataFrame:
     """A missing or empty filter becomes the most recently uploaded file;
     with no file uploaded the request stays unfiltered (``scope`` NULL)."""

@@ -130,7 +130,7 @@ def indented_ctes(files: str, p: str) -> str:
   from {p}if1 f join {p}inx n on f.file_path = n.file_path and f.line_no = n.line_no and n.is_hdr
   where f.nm <> ''),
 {p}ih2 as (
-  select h.*, c.prev_nonblank as c_prev, c.is_end as c_is_end
+  select h.*, c.prev_nonblank as c_prev, c.is_end and c.indent = h.indent as c_is_end
   from {p}ih h left join {p}if1 c on c.file_path = h.file_path and c.line_no = h.closer),
 {p}ih3 as (select *, case when closer is null then last_nonblank when lang = 'ruby' and c_is_end then closer
                           else c_prev end as end_line from {p}ih2),
@@ -554,6 +554,20 @@ pairs as (select a.vec_id as query_id, b.vector_id,
 ranked as (select *, row_number() over (partition by query_id order by d asc nulls last, vector_id) as rn from pairs)
 select query_id, cast(rn as integer) as rank, vector_id, {zero_fix('round(d, 6)')} as distance
 from ranked where rn <= 5"""
+    o["approx_topk_all_lists"] = o["vector_topk"]
+    o["get_file"] = f"""with {ix},
+req as ({C.debug_requests_sql('conversations')})
+select file_path, file_name, function_count, ingest_seq from cur_files
+where file_path in (select file_filter from req where file_filter is not null)"""
+    o["code_table"] = f"""select path as file_path, regexp_extract(path, '[^/]*$', 0) as file_name, content as source_code
+from ({C.document_files_sql('documents')}) t"""
+    none_head, none_tail = P.NO_FUNCTIONS_MESSAGE.split("{lang}")
+    o["empty_rejects"] = f"""with pfiles as ({C.part_corpus_sql('part')}),
+allfiles as (select * from pfiles union all
+  select path, regexp_extract(path, '[^/]*$', 0), content from ({C.document_files_sql('documents')}) t),
+files as (select * from allfiles where {lang_of_name('file_name')} is not null), {functions_ctes()}
+select file_path, 422 as error_code, {q(none_head)} || {display_of_name('file_name')} || {q(none_tail)} as error
+from files where file_path not in (select file_path from fns)"""
     o["neighbor_distance"] = f"""select a.vec_id as a_id, b.vec_id as b_id,
   {zero_fix('round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)')} as distance
 from embeddings a join embeddings b on b.vec_id - 1 = a.vec_id"""
@@ -657,4 +671,4 @@ where function_name is null or framework not in ({', '.join(q(f) for f in P.ACCE
   {strip(f"regexp_extract(coalesce(text, ''), {q(P.P_FENCE)}, 1)")} as code,
   case when strpos(text, '## Explanation') > 0
        then {strip("substr(text, strpos(text, '## Explanation') + 14)")} else text end as explanation
-from conversations"""
+from ({C.responses_sql('conversations')}) t"""

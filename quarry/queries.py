@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from quarry.operators import graph, lint
 from quarry.operators.extract import brace_match, by_file, extract_functions
-from quarry.operators.languages import is_analyzable, split_supported, with_language
+from quarry.operators.languages import is_analyzable, split_empty, split_supported, with_language
 from quarry.functions import text as T
 from quarry.session import materialize
 from quarry.sources import corpus
+from quarry.sources.store import read_code_table
 from quarry.operators import index as ix
 from quarry.operators.inference import complete, echo_completion
 from quarry.operators.prompts import parse_debug_responses, parse_test_responses
+from quarry.operators.requests import rejects, validate_debug_requests, validate_test_requests
 from quarry.operators.search import cosine_distance, search_topk, search_topk_approx
 from quarry.plans.debugging import debug_prompts
 from quarry.plans.indexing import index_batch, summary, union_logs
@@ -49,6 +51,24 @@ def upload_rejects(spark, sf_dir):
     return rejected
 
 
+def _document_files(spark, sf_dir):
+    table = spark.sql(corpus.document_files_sql(corpus.spark_table_ref(sf_dir, "documents")))
+    return read_code_table(table, "path", "content")
+
+
+def code_table(spark, sf_dir):
+    """``documents`` read as a code table."""
+    return _document_files(spark, sf_dir)
+
+
+def empty_rejects(spark, sf_dir):
+    """the code corpus together with files that define no function."""
+    files = corpus.part_corpus(spark, sf_dir).unionByName(_document_files(spark, sf_dir))
+    accepted, _ = split_supported(files)
+    _, rejected = split_empty(accepted, extract_functions(accepted))
+    return rejected
+
+
 def functions(spark, sf_dir):
     return _flat_functions(extract_functions(corpus.part_corpus(spark, sf_dir)))
 
@@ -220,6 +240,14 @@ def latest_file(spark, sf_dir):
     return ix.latest_file(ix.current_files(files_log))
 
 
+def get_file(spark, sf_dir):
+    """the index rows of the files that debug requests name."""
+    files = ix.current_files(_index_logs(spark, sf_dir)[0])
+    req = spark.sql(corpus.debug_requests_sql(corpus.spark_table_ref(sf_dir, "conversations")))
+    return ix.get_files(files, req.select(F.col("file_filter").alias("file_path"))).select(
+        "file_path", "file_name", "function_count", "ingest_seq")
+
+
 def functions_by_file(spark, sf_dir):
     files_log, fn_log = _index_logs(spark, sf_dir)[:2]
     return ix.functions_by_file(ix.current_rows(fn_log, files_log)).select(
@@ -286,6 +314,14 @@ def approx_topk(spark, sf_dir):
     return hits.select("query_id", "rank", "vector_id", _dist(F.col("distance")).alias("distance"))
 
 
+def approx_topk_all_lists(spark, sf_dir):
+    """K3 probing every list, which is exact."""
+    v = _embedding_vectors(spark, sf_dir)
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = search_topk_approx(q, v, k=5, n_lists=16, n_probe=16)
+    return hits.select("query_id", "rank", "vector_id", _dist(F.col("distance")).alias("distance"))
+
+
 # ----------------------------------------------------------------- prompts
 def _index_views(spark, sf_dir):
     """Current files and vectors as views over the written logs (in
@@ -318,7 +354,8 @@ def debug_prompt_rows(spark, sf_dir):
 
 def debug_rejects(spark, sf_dir):
     """F7/F9 rejects of the debug requests."""
-    return _debug(spark, sf_dir).rejected
+    req = spark.sql(corpus.debug_requests_sql(corpus.spark_table_ref(sf_dir, "conversations")))
+    return rejects(req, _index_views(spark, sf_dir)[2], validate_debug_requests)
 
 
 def debug_answers(spark, sf_dir):
@@ -344,7 +381,9 @@ def test_prompt_rows(spark, sf_dir):
 
 
 def test_rejects(spark, sf_dir):
-    return _tests(spark, sf_dir).rejected
+    """F8/F9 rejects of the test requests."""
+    req = spark.sql(corpus.test_requests_sql(corpus.spark_table_ref(sf_dir, "part")))
+    return rejects(req, _index_views(spark, sf_dir)[2], validate_test_requests)
 
 
 def test_answers(spark, sf_dir):
@@ -355,8 +394,8 @@ def test_answers(spark, sf_dir):
 
 
 def response_parsing(spark, sf_dir):
-    """C6/C7 on every conversation turn."""
-    conv = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    """C6/C7 on a response for every conversation turn."""
+    conv = spark.sql(corpus.responses_sql(corpus.spark_table_ref(sf_dir, "conversations")))
     return conv.select("conv_id", "turn", T.extract_code(F.col("text")).alias("code"),
                        T.extract_explanation(F.col("text")).alias("explanation"))
 
@@ -392,6 +431,10 @@ def queries() -> dict[str, Query]:
         "vector_topk_label": vector_topk_label,
         "neighbor_distance": neighbor_distance,
         "approx_topk": approx_topk,
+        "approx_topk_all_lists": approx_topk_all_lists,
+        "code_table": code_table,
+        "empty_rejects": empty_rejects,
+        "get_file": get_file,
         "debug_prompts": debug_prompt_rows,
         "debug_rejects": debug_rejects,
         "debug_answers": debug_answers,

@@ -87,7 +87,9 @@ def part_corpus_sql(part: str = "part", version: int = 1, where: str | None = No
            || '    def inner(x):' || {nl} || '        return x' || {nl} || '    return inner(a)' || {nl}
            || '# done' || {nl} || 'async def fetch_' || {k} || '(url):' || {nl} || '    return await get(url)' || {nl}
       when {idx['.rb']} then 'def rb_' || {k} || '(a)' || {nl} || '  if a' || {nl} || '    puts(a)' || {nl}
-           || '  end' || {nl} || 'end' || {nl} || 'def self.ok_' || {k} || '?' || {nl} || '  true' || {nl}
+           || '  end' || {nl} || 'end' || {nl} || 'class Rb_' || {k} || {nl}
+           || '  def one_' || {k} || '; 1; end' || {nl} || 'end' || {nl}
+           || 'def self.ok_' || {k} || '?' || {nl} || '  true' || {nl}
       else '' end"""
     body += lang_fn
     return f"""
@@ -137,6 +139,23 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(documents_corpus_sql(spark_table_ref(sf_dir, "documents")))
 
 
+def document_files_sql(documents: str = "documents") -> str:
+    """Documents named as Go files: a code table under other column names
+    (S2); prose defines no function, so F3 turns such files away."""
+    return f"select '/docs/' || cast(doc_id as string) || '.go' as path, text as content from {documents}"
+
+
+def responses_sql(conversations: str = "conversations") -> str:
+    """Model responses: assistant turns put their text into a fenced block and
+    an explanation, user turns are plain texts."""
+    return f"""
+select conv_id, turn, case when role = 'assistant'
+  then '## Fixed Code' || chr(10) || '```cpp' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10)
+       || '## Explanation' || chr(10) || text
+  else text end as text
+from {conversations}"""
+
+
 def debug_requests_sql(conversations: str = "conversations") -> str:
     """Debug questions: every user turn of ``conversations``.  Every fourth
     turn names a file (which may not be indexed); ``top_k`` comes from the
