@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from quarry.llm import words as W
 from quarry.llm.io import staged
 
-MAX_FREQUENT, LOCAL, GATHER, CELL, PAIRS, LIGHT_MOST, DROPS = 500_000, 2, 1 << 22, 2048, 1 << 20, 64, 3
+MAX_FREQUENT, GATHER, CELL, PAIRS, LIGHT_MOST, DROPS = 500_000, 1 << 22, 2048, 1 << 20, 64, 3
 _SETS = "row long, text_key long, doc_id long, sid long, n long, bits binary, shingle long, seen long"
 
 
@@ -115,7 +115,7 @@ def _describe(batches, k, num, den):
             held += len(h)
             if held >= GATHER:
                 yield _seen_again(gathered)
-                gathered, held = [], 0
+                held = 0
     if held:
         yield _seen_again(gathered)
 
@@ -126,9 +126,15 @@ def _binaries(words: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def _seen_again(gathered) -> pa.RecordBatch:
-    u, seen = np.unique(np.concatenate(gathered), return_counts=True)
-    again = seen >= LOCAL
-    return _columns(None, None, None, None, None, None, _long(u[again]), _long(seen[again]))
+    """Hashes that stand at least twice, with their numbers; sorted in place, as this is a task's largest array."""
+    h = np.concatenate(gathered)
+    gathered.clear()
+    h.sort()
+    same = np.zeros(len(h) + 1, bool)                # same[i]: h[i] equals h[i - 1]
+    np.equal(h[1:], h[:-1], out=same[1:-1])
+    first = np.flatnonzero(~same[:-1] & same[1:])
+    last = np.flatnonzero(same[:-1] & ~same[1:])
+    return _columns(None, None, None, None, None, None, _long(h[first]), _long(last - first + 1))
 
 
 def _columns(*columns) -> pa.RecordBatch:
