@@ -23,7 +23,10 @@ copies are never written out: round one keeps, per set and list, one link to
 an earlier set (or, without any, to a later one), verifies them on the shingles and forms components; round two
 verifies *every* remaining passing pair whose sets are still in different
 components.  What is left out joins sets already joined, so the components
-are those of all links.  A list longer than a cell is split: round one adds
+are those of all links.  Sets that share several lists are a pair in the first
+of them, by key, and in few others: every row carries its set's ``BEFORE`` keys
+before this one, and a pair that has one of them in common met there already
+(its first common list has none, so no pair is lost).  A list longer than a cell is split: round one adds
 its smallest set to every cell, round two crosses the sets outside the
 list's main component with all cells.
 
@@ -41,13 +44,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
 from quarry.llm.io import staged
 
-MAX_FREQUENT, GATHER, CELL, PAIRS, LIGHT_MOST, DROPS = 500_000, 1 << 22, 2048, 1 << 20, 64, 3
+MAX_FREQUENT, GATHER, CELL, PAIRS, LIGHT_MOST, DROPS, BEFORE = 500_000, 1 << 22, 2048, 1 << 20, 64, 3, 3
+_BEFORE = [f"before{d}" for d in range(1, BEFORE + 1)]
 _SETS = "row long, text_key long, doc_id long, sid long, n long, bits binary, shingle long, seen long"
 
 
@@ -267,6 +271,15 @@ def _passing(sid, n, maps: Maps, short, i, j, num, den):
     return i[ok], j[ok]
 
 
+def _met_before(before, i, j):
+    """Pairs that share one of the keys before this one."""
+    met = np.zeros(len(i), bool)
+    for x in before:
+        for y in before:
+            met |= x[i] == y[j]
+    return met
+
+
 def _cells(batches, num, den, first_round):
     """Candidate pairs of sorted cells; a cell may go over batches, so its tail waits for the next."""
     names = ["cell", "sid", "n", "comp"]
@@ -283,6 +296,7 @@ def _cells(batches, num, den, first_round):
             continue
         rows = rows.combine_chunks()
         cell, sid, n, comp = (rows[c].to_numpy().astype(np.int64) for c in names)
+        before = [rows[c].to_numpy() for c in _BEFORE]
         maps = Maps.of(rows["bits"].combine_chunks())
         short = maps.folded(np.arange(len(n)), 4)
         found = []
@@ -292,6 +306,8 @@ def _cells(batches, num, den, first_round):
                 keep = comp[i] != comp[j]
                 i, j = i[keep], j[keep]
             i, j = _passing(sid, n, maps, short, i, j, num, den)
+            new = ~_met_before(before, i, j)
+            i, j = i[new], j[new]
             if first_round and len(j):      # one earlier partner each, or a later one for sets that have none: all are named
                 early = np.unique(j, return_index=True)[1]
                 first, late = np.unique(i, return_index=True)
@@ -309,7 +325,7 @@ def _with_end(batches):
 
 
 def _candidates(cells: DataFrame, num, den, first_round) -> DataFrame:
-    """Distinct candidate pairs of (cell, sid, n, bits, comp) rows."""
+    """Distinct candidate pairs of (cell, sid, n, bits, comp, keys before) rows."""
     ready = cells.repartition("cell").sortWithinPartitions("cell", "n", "sid")
     run = partial(_cells, num=num, den=den, first_round=first_round)
     return ready.mapInArrow(run, "a long, b long").distinct()
@@ -388,12 +404,12 @@ def _round_one_cells(members: DataFrame) -> DataFrame:
     block = F.explode(F.when((F.col("sid") == F.col("low")) & (blocks > 1), F.sequence(F.lit(0).cast("long"), blocks - 1))
                       .otherwise(F.array(own)))
     return members.withColumn("block", block).select(
-        F.xxhash64("key", "block").alias("cell"), "sid", "n", "bits", F.lit(0).cast("long").alias("comp"))
+        F.xxhash64("key", "block").alias("cell"), "sid", "n", "bits", F.lit(0).cast("long").alias("comp"), *_BEFORE)
 
 
 def _round_two_cells(members: DataFrame) -> DataFrame:
     """Cells of members with components; of a long list only pairs with a set outside its main component."""
-    short = members.filter(F.col("cnt") <= CELL).select(F.xxhash64("key").alias("cell"), "sid", "n", "bits", "comp")
+    short = members.filter(F.col("cnt") <= CELL).select(F.xxhash64("key").alias("cell"), "sid", "n", "bits", "comp", *_BEFORE)
     long = members.filter(F.col("cnt") > CELL)
     per = long.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = per.groupBy(F.col("key").alias("_k")).agg(
@@ -406,7 +422,7 @@ def _round_two_cells(members: DataFrame) -> DataFrame:
     # a set stands in its block of all rows, and a minor one in its row of all blocks as well
     as_block = long.select("*", F.explode(one(blocks, 1)).alias("x")).select("*", F.explode(every(rows)).alias("y"))
     as_row = long.filter(minor).select("*", F.explode(every(blocks)).alias("x")).select("*", F.explode(one(rows, 2)).alias("y"))
-    cells = as_block.unionByName(as_row).select(F.xxhash64("key", "x", "y").alias("cell"), "sid", "n", "bits", "comp").distinct()
+    cells = as_block.unionByName(as_row).select(F.xxhash64("key", "x", "y").alias("cell"), "sid", "n", "bits", "comp", *_BEFORE).distinct()
     return short.unionByName(cells)
 
 
@@ -440,7 +456,10 @@ def linked_sets(documents: DataFrame, k: int, num: int, den: int, text: str = "t
     held = staged(lists.drop("one"), "join-postings")
     shared = held.groupBy("key").agg(F.count("*").alias("cnt"), F.min("sid").alias("low")).filter("cnt > 1")
     bits = texts.groupBy(F.col("sid").alias("_sid")).agg(F.first("bits").alias("bits"))
-    members = staged(held.join(shared, "key").join(bits, F.col("sid") == F.col("_sid")).drop("_sid"), "join-members")
+    keys = Window.partitionBy("sid").orderBy("key")     # without a key before, the set's own id, which no other set has
+    placed = held.join(shared, "key").select(
+        "*", *[F.coalesce(F.lag("key", d).over(keys), "sid").alias(c) for d, c in enumerate(_BEFORE, 1)])
+    members = staged(placed.join(bits, F.col("sid") == F.col("_sid")).drop("_sid"), "join-members")
 
     one = staged(_candidates(_round_one_cells(members), num, den, True), "join-round-one")
     # sets that may link: named in round one, or in a split list, where partners may stand in different cells
