@@ -3,9 +3,12 @@
 Training: word counts (documents holding the word) of the toxic and the clean
 labelled rows are compared by log-odds with an informative Dirichlet prior,
 whose shape is the word's count over *all* documents.  Words that are surely
-toxic (z score of at least ``Z``, log-odds of at least ``MIN_LOG_ODDS``)
-score their log-odds; every other word
+toxic (log-odds of at least ``MIN_LOG_ODDS``, and a likelihood-ratio test of
+the word's toxic and clean rows with a z score of at least ``Z`` and so high
+that of all tested words less than one is expected there by chance) score
+their log-odds; every other word
 scores the same negative drift, so a segment must stay dense in toxic words.
+The test rises with the toxic rows also for a word no clean row holds.
 
 Scoring: a linear-time scan finds all maximal scoring segments of a text.  A
 segment of score S in a text of n words has the extreme-value expectation
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +120,15 @@ def _partial_counts(df: DataFrame, only=None) -> DataFrame:
     return df.mapInArrow(_documents_per_word(only), _COUNTS)
 
 
+def likelihood_z(t, n_t: int, c, n_c: int) -> np.ndarray:
+    """Signed root of the likelihood ratio: t of n_t toxic and c of n_c clean rows against one common share."""
+    t, c, n = np.asarray(t, float), np.asarray(c, float), n_t + n_c
+    ratio = np.zeros(np.broadcast(t, c).shape)
+    for seen, rows, held in ((t, n_t, t + c), (n_t - t, n_t, n - t - c), (c, n_c, t + c), (n_c - c, n_c, n - t - c)):
+        ratio += 2 * seen * np.log(np.maximum(seen, 1e-300) / np.maximum(held * rows / n, 1e-300))
+    return np.sqrt(np.maximum(ratio, 0)) * np.sign(t * n_c - c * n_t)
+
+
 def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = labelled(documents, labels, max_train)
     pair = staged(_partial_counts(rows).groupBy("word").agg(
@@ -138,12 +151,14 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     a0 = PRIOR_WORDS
     odds = lambda y, n: np.log(y + alpha) - np.log(np.maximum(n + a0 - y - alpha, 1.0))
     delta = odds(t, n_t) - odds(c, n_c)
-    z = delta / np.sqrt(1 / (t + alpha) + 1 / (c + alpha))
-    keep = (z >= Z) & (delta >= MIN_LOG_ODDS)
+    tested, total_c = pair.filter("word <> 0").agg(
+        F.count(F.when(F.col("t") + F.col("c") >= MIN_DOCS, 1)), F.sum("c")).first()
+    chance = NormalDist().inv_cdf(1 - 1 / max(2, tested))      # less than one of the tested words by chance
+    keep = (likelihood_z(t, n_t, c, n_c) >= max(Z, chance)) & (delta >= MIN_LOG_ODDS)
     words, scores, c = words[keep], delta[keep], c[keep]
     drift = -max(0.02, 0.02 * float(np.median(scores)) if len(scores) else 0.02)
     # share of clean words that score: its documents over all clean words' documents
-    total_c = float(pair.filter("word <> 0").agg(F.sum("c")).first()[0] or 1)
+    total_c = float(total_c or 1)
     p = (c + 0.5 / max(1, len(c))) / (total_c + 1)
     lam = _lambda(p, scores, drift)
     model = Model(words, scores, drift, lam, float(max(p.sum(), 1e-9)), empty=not len(words))

@@ -126,6 +126,25 @@ def test_toxicity(spark, none):
     assert empty.empty and toxicity.with_toxicity(docs, empty).filter("toxicity.score > 0").count() == 0
 
 
+def test_toxicity_learns_rare_words_of_toxic_rows_only(spark):
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(3000):
+        words = list(rng.choice(VOCAB, 30))
+        if i % 10 == 0:
+            words[5:9] = ["mies", "lump", "schuft", "gauner"] if i % 300 == 0 else ["vile", "scum", "oaf", "brute"]
+        rows.append((i, " ".join(words), "en", "s", 1, 1, "x"))
+        if i < 2400:
+            labels.append((i, 1, int(i % 10 == 0)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = toxicity.with_toxicity(docs, model).select("doc_id", (F.col("toxicity.score") >= 0.5).alias("toxic")).collect()
+    assert {r.doc_id for r in got if r.toxic} == set(range(0, 3000, 10))
+    z = toxicity.likelihood_z(np.arange(2, 40), 300, 0, 2700)
+    assert (np.diff(z) > 0).all() and toxicity.likelihood_z(10, 300, 90, 2700) == pytest.approx(0, abs=1e-6)
+    assert toxicity.likelihood_z(16, 300, 1, 2700) > z[12] > toxicity.likelihood_z(14, 300, 1, 2700)
+
+
 def test_segments_are_the_maximal_ones():
     rng = np.random.default_rng(5)
     for _ in range(200):
