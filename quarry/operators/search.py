@@ -31,6 +31,7 @@ from quarry.functions import patterns as P
 from quarry.session import materialize
 
 TILE_CELLS = 1 << 22          # doubles of one distance block in the kernel
+RECALL_SAMPLE = 256           # queries on which K3's recall is measured
 
 HIT_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -245,19 +246,103 @@ def attach_payload(hits: DataFrame, vectors: DataFrame, cols=("document", "metad
     return vectors.select("vector_id", *cols).join(hits, "vector_id")
 
 
+def _probed_topk(q_ids, q_mat, vec_ids, v_mat, k):
+    """Best ``k`` (distance, id) of every query among one block of a list, as a frame.
+
+    A product of unit vectors picks, per query, what can be among its best
+    (its error is far below the margin); only those pairs are computed the
+    way K2 sums them, so exact ties are left to the id.
+    """
+    import numpy as np
+    import pandas as pd
+
+    ids = np.asarray(vec_ids, dtype=object)
+    held = min(k, len(ids))
+    id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    norm = lambda m: np.sqrt(np.einsum("ad,ad->a", m, m))
+    qn, vn = norm(q_mat), norm(v_mat)
+    vu = v_mat / np.where(vn > 0, vn, 1.0)[:, None]
+    out = []
+    step = max(1, TILE_CELLS // len(ids))
+    for at in range(0, len(q_mat), step):
+        qm, n = q_mat[at:at + step], qn[at:at + step]
+        far = -((qm / np.where(n > 0, n, 1.0)[:, None]) @ vu.T)
+        far[:, vn == 0] = np.inf                       # NULL distances come last
+        kth = np.partition(far, held - 1, axis=1)[:, held - 1]
+        row, col = np.nonzero(far <= kth[:, None] + 1e-9)
+        dist = np.empty(len(row))
+        for a in range(0, len(row), 1 << 16):
+            r, c = row[a:a + (1 << 16)], col[a:a + (1 << 16)]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dist[a:a + len(r)] = 1.0 - np.einsum("id,id->i", qm[r], v_mat[c]) / (n[r] * vn[c])
+        dist[~np.isfinite(dist)] = np.nan
+        by = np.lexsort((id_rank[col], np.where(np.isnan(dist), np.inf, dist), row))
+        row, col, dist = row[by], col[by], dist[by]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append(_hit_frame(q_ids[at:at + step][row[best]], ids[col[best]], dist[best], np.full(best.sum(), k)))
+    return pd.concat(out) if out else _hit_frame([], [], [], [])
+
+
+def _list_order(q_mat, centers):
+    """Per query, the lists by falling cosine of their centroid."""
+    import numpy as np
+
+    cn = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
+    qn = q_mat / np.maximum(np.linalg.norm(q_mat, axis=1, keepdims=True), 1e-300)
+    return np.argsort(-(qn @ cn.T), axis=1, kind="stable")
+
+
+def _probe_for_recall(queries: DataFrame, assigned: DataFrame, centers, k: int, recall: float,
+                      sample: int = RECALL_SAMPLE) -> int:
+    """The fewest lists that hold ``recall`` of K2's hits for a sample of the queries.
+
+    The sample is taken by hash of the id; of a part of the queries, the mean
+    recall has to exceed ``recall`` by two standard errors.  Hits at distance 0
+    (the query's own row, copies) lie in its nearest list nearly always and
+    NULL distances nowhere in particular, so neither counts.  All lists, if no
+    smaller number is enough.
+    """
+    import numpy as np
+
+    taken = queries.select("query_id", "qv").orderBy(F.xxhash64("query_id"), "query_id").limit(sample + 1)
+    rows = taken.collect()                       # at most ``sample`` + 1 queries
+    whole, rows = len(rows) <= sample, rows[:sample]
+    some = queries.sparkSession.createDataFrame([(r.query_id, r.qv) for r in rows],
+                                                "query_id long, embedding array<double>")
+    hits = search_topk(some, assigned, k=k, vector_vec="vv").filter("distance > 1e-9")
+    found = F.broadcast(hits.select("query_id", "vector_id")).join(assigned.select("vector_id", "list_id"), "vector_id")
+    order = _list_order(_matrix([r.qv for r in rows], centers.shape[1]), centers) if rows else np.zeros((0, 1), int)
+    place = {r.query_id: np.argsort(o) for r, o in zip(rows, order)}
+    reached: dict[int, list[int]] = {}           # query -> places of its hits' lists
+    for h in found.collect():                    # at most ``sample`` x k hits
+        reached.setdefault(h.query_id, []).append(int(place[h.query_id][h.list_id]))
+    for probe in range(1, len(centers)):
+        share = np.array([np.mean(np.asarray(p) < probe) for p in reached.values()])
+        error = 0.0 if whole or len(share) < 2 else 2 * share.std(ddof=1) / math.sqrt(len(share))
+        if len(share) and share.mean() - error >= recall:
+            return probe
+    return len(centers)
+
+
 def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAULT_TOP_K,
-                       n_lists: int | None = None, n_probe: int = 3, block_rows: int = 4096,
+                       n_lists: int | None = None, n_probe: int | None = None, recall: float = 0.9,
+                       block_rows: int = 4096,
                        max_iter: int = 8, seed: int = 7, max_center_bytes: int = 64 << 20,
+                       max_broadcast_bytes: int = 64 << 20,
                        query_vec: str = "embedding", vector_vec: str = "embedding") -> DataFrame:
     """K3: approximate top-k with an inverted-file layout, exactly re-ranked.
 
     MLlib ``KMeans`` (on unit vectors, so Euclidean ~ cosine) splits the
     vectors into ``n_lists`` lists; each query probes its ``n_probe`` nearest
     centroids.  A list is cut into blocks of about ``block_rows`` vectors, so
-    a hot list never lands in one task; ``cogroup`` on (list, block) scores
-    the probing queries against the block with the same exact kernel as K2
-    and keeps ``k`` per query; the global cut is K2's.  Recall grows with
-    ``n_probe``; ``n_probe = n_lists`` is exact.  A query whose probed lists
+    a hot list never lands in one task.  The queries are broadcast up to
+    ``max_broadcast_bytes``; above, they are cut into blocks by hash of their
+    id, and ``cogroup`` on (list, block, query block) brings both together.
+    Either way the probing queries are scored against the block, ``k`` per
+    query are kept, and the global cut is K2's.  Recall grows with
+    ``n_probe``; ``n_probe = n_lists`` is exact.  Without ``n_probe`` it is the
+    fewest lists that give ``recall`` against K2 on a sample of the queries
+    (``_probe_for_recall``).  A query whose probed lists
     hold fewer than ``k`` vectors goes on to further lists until they hold
     ``k``.  A centroid matrix above ``max_center_bytes`` is an error: choose
     fewer lists or a higher limit.  No vectors give no hits.
@@ -282,7 +367,7 @@ def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAUL
     model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="list_id").fit(vv)
     centers = [c.tolist() for c in model.clusterCenters()]   # lists x dim, bounded by ``n_lists``
-    assigned = model.transform(vv).select("vector_id", "file_path", "vv", "list_id")
+    assigned = materialize(model.transform(vv).select("vector_id", "file_path", "vv", "list_id"), "ivf-lists")
     # rows per list: at most ``lists`` of them; only lists above block_rows are cut
     counted = {r["list_id"]: r["count"] for r in assigned.groupBy("list_id").count().collect()}
     sizes = [counted.get(i, 0) for i in range(len(centers))]
@@ -290,46 +375,83 @@ def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAUL
         [(i, max(1, math.ceil(n / block_rows))) for i, n in enumerate(sizes)], "list_id int, blocks int"))
     vblk = assigned.join(blocks, "list_id") \
                    .withColumn("blk", F.pmod(F.xxhash64("vector_id"), F.col("blocks")).cast("int")).drop("blocks")
+    qsel = queries.select(F.col("query_id").cast("long").alias("query_id"),
+                          F.col(query_vec).cast("array<double>").alias("qv"))
+    qsel = materialize(qsel, "ivf-queries")
+    n_q = qsel.count()
+    if n_probe is None:
+        import numpy as np
+
+        n_probe = _probe_for_recall(qsel, assigned, np.asarray(centers, dtype=np.float64), k, recall)
 
-    bc = vectors.sparkSession.sparkContext.broadcast((centers, sizes))
     probe = max(1, min(n_probe, len(centers)))
-    probe_schema = "query_id long, qv array<double>, qf string, qk int, list_id int"
+
+    def probed(q_mat):
+        """(query, list) places: the nearest ``probe`` lists, and further ones until they hold ``k``."""
+        import numpy as np
+
+        held = np.asarray(sizes, dtype=np.float64)
+        best = _list_order(q_mat, np.asarray(centers, dtype=np.float64))
+        before = np.cumsum(held[best], axis=1) - held[best]       # vectors in the nearer lists
+        row, place = np.nonzero((before < k) | (np.arange(len(held)) < probe))
+        return row, best[row, place]
+
+    if n_q * max(dim * 8, len(centers) // 8) <= max_broadcast_bytes:
+        cands = _broadcast_probes(qsel, vblk, probed, dim, len(centers), k)
+    else:
+        cands = _blocked_probes(qsel, vblk, blocks, probed, dim, n_q, block_rows, k)
+    hits = _final_topk(cands, k)
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vector_id", "distance")
+
+
+def _broadcast_probes(qsel: DataFrame, vblk: DataFrame, probed, dim: int, n_lists: int, k: int) -> DataFrame:
+    """Every block of a list against the broadcast queries that probe it (a bit per query and list)."""
+    import numpy as np
+
+    rows = qsel.toArrow()          # bounded: checked against max_broadcast_bytes
+    q_ids, q_mat = np.asarray(rows["query_id"].to_pylist(), dtype=np.int64), _matrix(rows["qv"].to_pandas(), dim)
+    bits = [np.zeros((n_lists, 0), np.uint8)]
+    for at in range(0, len(q_mat), 4096):
+        row, lists = probed(q_mat[at:at + 4096])
+        on = np.zeros((n_lists, len(q_mat[at:at + 4096])), bool)
+        on[lists, row] = True
+        bits.append(np.packbits(on, axis=1))
+    bq = vblk.sparkSession.sparkContext.broadcast((q_ids, q_mat, np.concatenate(bits, axis=1)))
+
+    def run(key, vpdf):
+        ids, mat, probes = bq.value
+        mine = np.flatnonzero(np.unpackbits(probes[key[0]], count=len(ids)))
+        return _probed_topk(ids[mine], mat[mine], vpdf["vector_id"].tolist(), _matrix(vpdf["vv"], dim), k)
+
+    return vblk.groupBy("list_id", "blk").applyInPandas(run, HIT_SCHEMA)
+
+
+def _blocked_probes(qsel: DataFrame, vblk: DataFrame, blocks: DataFrame, probed, dim: int, n_q: int,
+                    block_rows: int, k: int) -> DataFrame:
+    """Blocks of lists and blocks of the queries that probe them meet in ``cogroup``."""
+    # a list can be probed by any share of the queries: they are cut into blocks, too
+    qblocks = max(1, math.ceil(n_q / block_rows))
+    vrep = vblk.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
 
     def nearest_lists(batches):
         import numpy as np
-        import pandas as pd
 
-        cm, held = (np.asarray(x, dtype=np.float64) for x in bc.value)
-        cm = cm / np.maximum(np.linalg.norm(cm, axis=1, keepdims=True), 1e-300)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            qm = _matrix(pdf["qv"], cm.shape[1])
-            qn = qm / np.maximum(np.linalg.norm(qm, axis=1, keepdims=True), 1e-300)
-            best = np.argsort(-(qn @ cm.T), axis=1, kind="stable")
-            before = np.cumsum(held[best], axis=1) - held[best]       # vectors in the nearer lists
-            rep, place = np.nonzero((before < k) | (np.arange(len(cm)) < probe))
-            best = best[rep, place]
-            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[rep],
-                                "qv": [pdf["qv"].iloc[i] for i in rep],
-                                "qf": [None] * len(rep), "qk": [int(k)] * len(rep),
-                                "list_id": best.reshape(-1).astype(np.int32)})
+            row, lists = probed(_matrix(pdf["qv"], dim))
+            yield pdf.assign(lists=np.split(lists.astype(np.int32), np.searchsorted(row, np.arange(1, len(pdf)))))
 
-    qsel = queries.select(F.col("query_id").cast("long").alias("query_id"),
-                          F.col(query_vec).cast("array<double>").alias("qv"))
-    probes = qsel.mapInPandas(nearest_lists, probe_schema).join(blocks, "list_id") \
+    probes = qsel.mapInPandas(nearest_lists, "query_id long, qv array<double>, lists array<int>") \
+                 .select("query_id", "qv", F.explode("lists").alias("list_id")).join(blocks, "list_id") \
+                 .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qblocks)).cast("int")) \
                  .withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def run(key, vpdf, qpdf):
         if len(vpdf) == 0 or len(qpdf) == 0:
             return _hit_frame([], [], [], [])
-        q_mat = _matrix(qpdf["qv"], dim)
-        v_mat = _matrix(vpdf["vv"], dim)
-        oq, ov, od, ok = _local_topk(qpdf["query_id"].tolist(), q_mat, None, [int(x) for x in qpdf["qk"]],
-                                     vpdf["vector_id"].tolist(), vpdf["file_path"].tolist(), v_mat)
-        return _hit_frame(oq, ov, od, ok)
+        return _probed_topk(qpdf["query_id"].to_numpy(), _matrix(qpdf["qv"], dim),
+                            vpdf["vector_id"].tolist(), _matrix(vpdf["vv"], dim), k)
 
-    cands = (vblk.groupBy("list_id", "blk").cogroup(probes.groupBy("list_id", "blk"))
-             .applyInPandas(run, HIT_SCHEMA))
-    hits = _final_topk(cands, k)
-    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vector_id", "distance")
+    return (vrep.groupBy("list_id", "blk", "qb").cogroup(probes.groupBy("list_id", "blk", "qb"))
+            .applyInPandas(run, HIT_SCHEMA))

@@ -5,6 +5,7 @@ import tempfile
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import index as ix
@@ -171,3 +172,31 @@ def test_approx_recall(spark):
     for r in search_topk_approx(q, v, k=5, n_lists=8, n_probe=8, block_rows=64).collect():
         full.setdefault(r.query_id, set()).add(r.vector_id)
     assert full == exact
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_approx_topk_has_the_asked_recall(spark, sf):
+    from quarry import queries
+
+    def hits(query):
+        return {(r.query_id, r.vector_id) for r in query(spark, f"/root/testdata/{sf}").collect()}
+    exact, approx = hits(queries.vector_topk), hits(queries.approx_topk)
+    assert len(exact & approx) >= 0.9 * len(exact)
+    others = {(q, v) for q, v in exact if str(q) != v}          # without each query's own row
+    print("recall", sf, len(exact & approx) / len(exact), len(others & approx) / len(others))
+    assert len(others & approx) >= 0.9 * len(others)
+
+
+def test_approx_topk_is_alike_on_both_strategies_and_exact_on_all_lists(spark):
+    v, m = _vectors(spark, n=120, dim=6)
+    q = spark.createDataFrame([(i, m[i].tolist()) for i in range(40)] + [(99, None)], "query_id long, embedding array<float>")
+    for kw in ({"n_probe": 2}, {"n_probe": 6}, {}):
+        # the lists are trained anew in each call, so only all of them give the same rows
+        near, far = ([(r.query_id, r.rank, r.vector_id, r.distance) for r in
+                      search_topk_approx(q, v, k=4, n_lists=6, block_rows=16, max_broadcast_bytes=b, **kw)
+                      .orderBy("query_id", "rank").collect()] for b in (1 << 20, 1))
+        assert len(near) == len(far) == 41 * 4
+        if kw == {"n_probe": 6}:
+            assert near == far
+            assert [r[:3] for r in near] == [(r.query_id, r.rank, r.vector_id) for r in
+                                             search_topk(q, v, k=4).orderBy("query_id", "rank").collect()]
