@@ -10,7 +10,9 @@ character, so reading back removes one.  Everything is DataFrame expressions.
 Defined cases: a null text or role is empty; turns of a conversation are
 ordered by turn (null first), then role and text, and repeated rows are
 turns of their own; a null conversation id is one conversation; an unknown
-layout gives null turns and keeps its fingerprint for inspection; a record
+layout (also one that only some elements of a list depart from) gives null
+turns and keeps its fingerprint for inspection; a text that is itself a list
+or an object is its JSON; a record
 with an empty list of messages has no turns; extra columns do not matter.
 A conversation is one value in the end (its digest needs all of it in
 order), so it is bounded by what one row can hold.
@@ -90,13 +92,19 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def fingerprint(record: Column) -> Column:
-    """Hash of the sorted nested field paths of a JSON record."""
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    """Hash of the sorted nested field paths of a JSON record, over all elements of its containers."""
+    none = F.array().cast("array<string>")
+    top = F.coalesce(F.json_object_keys(record), none)
+    schema = ", ".join(f"{c} array<map<string,string>>" for c in _CONTAINERS)
+    parsed = F.from_json(record, schema, {"maxStringLen": "2000000000"})
 
     def inside(container):
-        keys = F.json_object_keys(F.get_json_object(record, f"$.{container}[0]"))
-        return F.transform(F.coalesce(keys, F.array().cast("array<string>")),
-                           lambda k: F.concat(F.lit(container + "[]."), k))
+        items = parsed[container]
+        keys = F.array_distinct(F.flatten(F.transform(items, F.map_keys)))
+        # a container that is no list of objects with fields has a path of its own, which no layout knows
+        odd = F.array_contains(top, container) & F.coalesce(F.exists(items, lambda x: x.isNull() | (F.size(x) == 0)), F.lit(True))
+        return F.concat(F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(container + "[]."), k)), none),
+                        F.when(odd, F.array(F.lit(container + "[]"))).otherwise(none))
 
     nested = [inside(c) for c in _CONTAINERS]
     return F.xxhash64(F.array_join(F.array_sort(F.concat(top, *nested)), "|"))

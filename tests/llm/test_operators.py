@@ -311,3 +311,16 @@ def test_chat(spark):
     other = spark.createDataFrame([('{"instruction":"a","input":"b","output":"c"}',), ('{"foo":1}',), (None,), ("no json",),
                                    ('{"messages":[]}',)], "record string")
     assert [r.layout for r in chat.format_chats(other).collect()] == ["instruction", None, None, None, "no_messages"]
+
+
+def test_chat_layout_is_that_of_all_turns(spark):
+    one, other = '{"role":"user","content":"a"}', '{"from":"gpt","value":"b"}'
+    records = {f'{{"messages":[{one},{one}]}}': ("messages", 2), '{"messages":[]}': ("no_messages", 0),
+               f'{{"conversations":[{other},{other}]}}': ("share", 2), f'{{"messages":[{one},{other}]}}': (None, -1),
+               f'{{"conversations":[{other},{one}]}}': (None, -1), f'{{"messages":[{one},"lost"]}}': (None, -1),
+               f'{{"messages":[{one},{{}}]}}': (None, -1), '{"messages":["lost"]}': (None, -1), '{"messages":"lost"}': (None, -1),
+               '{"messages":[{"role":"user","content":["c"]}]}': ("messages", 1)}
+    df = spark.createDataFrame([(r,) for r in records], "record string")
+    got = {r.record: (r.layout, -1 if r.turns is None else len(r.turns), r.formatted) for r in chat.format_chats(df).collect()}
+    assert {r: g[:2] for r, g in got.items()} == records
+    assert all(g[2] is None for g in got.values() if g[0] is None) and '["c"]' in got[list(records)[-1]][2]
