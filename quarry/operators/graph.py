@@ -60,9 +60,12 @@ def functions_by_name(functions: DataFrame, names: DataFrame) -> DataFrame:
     """The first function with each requested name, smallest
     (file_path, line_start) first (the reference's LIMIT 1 has no order).
 
-    ``names`` has a ``function_name`` column; the match is an equi-join and
-    the pick a ``row_number`` per name.
+    ``names`` has a ``function_name`` column.  The pick is an aggregation that
+    combines map-side, so a name that many files define leaves each task as
+    one row; the names are matched afterwards by a semi-join (Spark pulls it
+    below the pick when it can broadcast them).
     """
-    hits = functions.join(names.select("function_name").distinct(), "function_name")
-    w = Window.partitionBy("function_name").orderBy("file_path", "line_start", "open_off")
-    return hits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    others = [c for c in functions.columns if c != "function_name"]
+    first = functions.groupBy("function_name").agg(
+        F.min_by(F.struct(*others), F.struct("file_path", "line_start", "open_off")).alias("_first"))
+    return first.join(names.select("function_name"), "function_name", "left_semi").select("function_name", "_first.*")

@@ -176,3 +176,22 @@ def test_random_headers_are_those_written(spark, files_df):
     fns = extract_functions(files_df(rows))
     got = sorted((r.file_path, r.function_name, r.return_type, r.parameters, r.body) for r in fns.collect())
     assert got == sorted(want)
+
+
+def test_first_by_name_picks_before_the_shuffle(spark):
+    from quarry.operators.graph import functions_by_name
+
+    rows = [("main", f"/u/{i % 7}.c", 50 - i, i, [f"c{i}"]) for i in range(50)] + [("one", "/u/z.c", 1, 0, None), ("off", "/u/a.c", 1, 0, []),
+                                                                                  (None, "/u/a.c", 1, 0, [])]
+    fns = spark.createDataFrame(rows, "function_name string, file_path string, line_start int, open_off long, calls array<string>")
+    names = spark.createDataFrame([("main",), ("main",), ("one",), ("none",), (None,)], "function_name string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = functions_by_name(fns, names)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = sorted(tuple(r) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == [("main", "/u/0.c", 1, 49, ["c49"]), ("one", "/u/z.c", 1, 0, None)]
+    assert "partial_min_by" in plan and "Window" not in plan
