@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry import session
 from quarry.session import materialize, table
 
-__all__ = ["materialize", "read", "ship_package", "staged", "utf8_bytes"]
+__all__ = ["materialize", "read", "release", "ship_package", "staged", "utf8_bytes"]
 
 ARROW_BYTES = 4 << 20        # whole texts go to Python in batches of about this size
 
@@ -32,6 +32,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label)
 
 
+def release(df: DataFrame) -> None:
+    """Delete a staged table that no later step reads (only a folder that ``staged`` wrote)."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith("quarry-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8_bytes(col):
     """UTF-8 length of a text, 0 for null."""
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
