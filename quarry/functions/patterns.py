@@ -158,16 +158,6 @@ Output ONLY the test code:
 # file -> pieces that each start at a brace (the first may start with text)
 P_SEGMENT = r"[{}][^{}]*|\A[^{}]+"
 
-# Header, matched on the *reversed* text that precedes a "{".  Reading the
-# reversed text from its start is the same as anchoring the forward pattern
-# at the brace; greedy return type == the leftmost forward match start; the
-# greedy parameter group backtracks to the first "(" after the last earlier
-# ")", exactly like the forward scan.  Linear time, no length cap.
-#   group 1 = params (reversed), 2 = name (reversed), 3 = return type (reversed)
-P_HEADER_REVERSED = (
-    rf"\A[{WS}]*\)([^)]*)\([{WS}]*([{W}]+)[{WS}]+([{W}:*&<>{WS}]+)"
-)
-
 # identifiers followed by "(": Spark form with a look-behind word boundary
 P_CALL = rf"(?<![{W}])([a-zA-Z_][{W}]*)[{WS}]*\("
 # RE2 twin: every maximal word run, with the "(" that may follow it
@@ -190,36 +180,14 @@ P_NEW_RE2 = r"(^|[^A-Za-z0-9_])new[ \t\x{0B}\f\r]"
 P_EMBED_TOKEN = rf"[{W}]+"
 
 # ---------------------------------------------------------------------------
-# Header rules per language (re-aim of the syntax-tree path).  Written with
-# ASCII classes so Java and RE2 agree; each ends right before "{" (``\z``) and
-# is matched on the text after the last ";" before the brace.
-#   group 1 = return type (empty where the rule has none), 2 = name, 3 = params
+# Words that header rules turn away (X4) and indentation languages
 # ---------------------------------------------------------------------------
-_S = r"[ \t\n\x{0B}\f\r]"
-_I = r"[A-Za-z0-9_]"
-_B = r"(?:\A|[^A-Za-z0-9_$])"
-LANGUAGE_HEADERS = {
-    "java": [rf"([A-Za-z0-9_<>\[\],.?]+){_S}+({_I}+){_S}*\(([^)]*)\){_S}*"
-             rf"(?:throws{_S}+[A-Za-z0-9_., \t\n\x{{0B}}\f\r]+?)?{_S}*\z"],
-    "javascript": [
-        rf"{_B}function{_S}*\*?{_S}*()({_I}+){_S}*(?:<[^>]*>)?{_S}*\(([^)]*)\){_S}*(?::{_S}*[^{{}}=;]+?)?{_S}*\z",
-        rf"{_B}()({_I}+){_S}*(?::[^=]+)?={_S}*(?:async{_S}*)?(?:\(([^)]*)\)|{_I}+){_S}*(?::{_S}*[^{{}}=;]+?)?{_S}*=>{_S}*\z",
-    ],
-    "go": [rf"{_B}func{_S}+()({_I}+){_S}*(?:\[[^\]]*\])?{_S}*\(([^)]*)\){_S}*[^{{}};]*?{_S}*\z"],
-    "rust": [rf"{_B}fn{_S}+()({_I}+){_S}*(?:<[^>]*>)?{_S}*\(([^)]*)\){_S}*(?:->{_S}*[^{{}};]+?)?{_S}*\z"],
-    "php": [rf"{_B}function{_S}+&?()({_I}+){_S}*\(([^)]*)\){_S}*(?::{_S}*[?A-Za-z0-9_\\|]+)?{_S}*\z"],
-}
-LANGUAGE_HEADERS["typescript"] = LANGUAGE_HEADERS["javascript"]
+# a word here is no return type
 JAVA_NOT_RETURN_TYPES = ["new", "return", "else", "throw"]
-
-# ---------------------------------------------------------------------------
-# Indentation-delimited functions (Python ``def``, Ruby ``def … end``).
-# Single-line headers; ASCII classes so Java and RE2 agree.
-#   python: group 1 = name, 2 = params          ruby: group 1 = name, 2 = params
-# ---------------------------------------------------------------------------
+# with a modifier in place of the type it is a constructor
+JAVA_MODIFIERS = ["public", "private", "protected", "static", "final", "abstract", "synchronized", "native", "default", "strictfp"]
+# C and C++: after one of these comes an expression or a block, no function name
+NOT_BEFORE_A_NAME = HEADER_SKIP_NAMES + [
+    "return", "else", "new", "throw", "case", "goto", "delete", "do", "typedef", "using", "co_return", "co_await", "co_yield",
+    "struct", "class", "union", "enum", "namespace"]
 INDENT_LANGUAGES = ["python", "ruby"]
-P_PY_DEF = r"^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*\((.*)\)[ \t]*(?:->[^:]*)?:"
-P_RB_DEF = r"^[ \t]*def[ \t]+(?:self\.)?([A-Za-z_][A-Za-z0-9_]*[?!=]?)[ \t]*(?:\((.*)\))?"
-P_RB_END = r"^[ \t]*end\b"
-P_INDENT = r"^[ \t]*"
-P_COMMENT_OR_BLANK = r"^[ \t\r]*(#.*)?$"

@@ -1,42 +1,54 @@
-"""Function extraction as a DataFrame job.
-
-Plan shape (all steps clustered on ``file_path``; over a plain table the two
-reads of a language family share one shuffle of the text, over the derived
-corpus the pushed language filter makes it two):
-
-1. ``by_file``: hash-partition the files on ``file_path`` once.
-2. X1: ``posexplode`` the brace segments (narrow).  The header candidate of
-   each segment is computed right there, on the segment's own text, so the
-   text is dropped before any sort.
-3. X2: running sums over ``file_path ORDER BY pos`` give offsets, line numbers
-   and depth; ``lead`` over ``(file_path, level)`` finds the closing brace.
-   Both windows are clustered on ``file_path``, which the step-1 partitioning
-   already satisfies, so they add sorts but no exchange.
-4. X3: the ``{`` rows whose previous segment ends in a header become
-   functions; their bodies are cut out of the source by joining back to the
-   step-1 files, again co-partitioned on ``file_path`` (no exchange).
-
-Semantics kept from the reference's scanner: brace characters inside strings
-and comments count; an unclosed body runs to the end of the file; nested
-headers are emitted too; names ``if while for switch catch`` are skipped.
-Known limit: a brace inside a parameter list hides that header.
+"""Function extraction (X1-X5): one pass over each file, inside its own row.
+
+Plan shape: scan -> Arrow batches of whole files through the bracket reader
+(``functions.headers``) -> one row per function with its body -> calls,
+complexity and tags as built-in expressions.  No step orders, joins or shuffles
+source text: a file's functions depend on that file alone, so the work spreads
+as the files do and a lost task re-reads only its own files.  A caller that
+needs no bodies (counts, line ranges) asks for spans, and then none are cut or
+sent back.
+
+Semantics kept from the scanner being reproduced: brackets in strings and
+comments count; an unclosed body runs to the end of the file; nested headers are
+emitted too; names ``if while for switch catch`` are skipped; files of no known
+language use the scanner's own header pattern.  C and C++ (qualified names,
+destructors, constructors with initialiser lists, operators, ``const noexcept
+override``, trailing return types), Java, JavaScript, TypeScript, Go, Rust, PHP,
+Python and Ruby have readers of their own.
+
+A null path gives no function a name to be found by, but its functions are
+extracted; a null text is empty; repeated rows give repeated functions.
+
+Known limits: a brace in a member initialiser (``a_{a}``) or in a return type
+cuts the header before it; K&R parameter declarations are not headers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import headers as H
 from quarry.functions import patterns as P
 from quarry.functions import text as T
 from quarry.operators.languages import language_of
+from quarry.session import ship_package
+
+FLUSH = 4 << 20                     # characters of results that go back in one batch
+_SPANS = pa.schema([("file_path", pa.string()), ("function_name", pa.string()), ("return_type", pa.string()),
+                    ("parameters", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()),
+                    ("open_off", pa.int64()), ("language", pa.string())])
+_FUNCTIONS = _SPANS.append(pa.field("body", pa.string()))
+_PAIRS = pa.schema([("file_path", pa.string()), ("pos", pa.int32()), ("level", pa.int32()), ("open_off", pa.int64()),
+                    ("close_off", pa.int64()), ("open_line", pa.int32()), ("close_line", pa.int32())])
+_SQL = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long"}
 
 
-def by_file(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Hash-partition on ``file_path`` so every later per-file step is narrow."""
-    if num_partitions:
-        return files.repartition(num_partitions, "file_path")
-    return files.repartition("file_path")
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema)
 
 
 def brace_segments(files: DataFrame, keep=()) -> DataFrame:
@@ -48,233 +60,73 @@ def brace_segments(files: DataFrame, keep=()) -> DataFrame:
     )
 
 
-def _newlines(c):
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+def _per_file(batches, rows_of, schema):
+    """Batches of ``rows_of(path, language, text)`` for every file, of bounded size."""
+    held, size = [], 0
+    for batch in batches:
+        for path, lang, src in zip(*(batch.column(i) for i in range(3))):
+            for row in rows_of(path.as_py(), lang.as_py(), src.as_py() or ""):
+                held.append(row)
+                size += 64 + (len(row[-1]) if isinstance(row[-1], str) else 0)
+                if size > FLUSH:
+                    yield _batch(held, schema)
+                    held, size = [], 0
+    if held:
+        yield _batch(held, schema)
 
 
-def _language_header(window, lang):
-    """struct(m, ret, name, params) from the language's header rules, or
-    NULL for languages that use the generic rule (C, C++, unknown)."""
-    out = None
-    for lang_id, pats in P.LANGUAGE_HEADERS.items():
-        cand = None
-        for pat in reversed(pats):                       # the first rule wins
-            m = F.regexp_extract(window, pat, 0)
-            s = F.struct(m.alias("m"),
-                         F.regexp_extract(m, pat, 1).alias("ret"),
-                         F.regexp_extract(m, pat, 2).alias("name"),
-                         F.regexp_extract(m, pat, 3).alias("params"))
-            s = F.when(m != "", s)
-            cand = s if cand is None else F.coalesce(s, cand)
-        out = F.when(lang == lang_id, cand) if out is None else out.when(lang == lang_id, cand)
-    return out
+def _batch(rows, schema):
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _segment_facts(segs: DataFrame, keep=()) -> DataFrame:
-    """Per-segment facts, computed before any sort; the text is dropped here.
+def _functions_of(path, lang, src, bodies):
+    if lang in P.INDENT_LANGUAGES:
+        found = [(h, start, end, end) for h, start, end in H.indented(src, lang)]
+    else:
+        found = [(h, at, len(src) if close is None else close + 1, len(src) if close is None else close)
+                 for h, at, close in H.braced(src, lang)]
+    if not found:
+        return
+    lines = H.Lines(src)
+    for h, start, stop, last in found:
+        row = (path, h.name, h.return_type, h.parameters, lines.of(h.start), lines.of(last), start, lang)
+        yield (*row, src[start:stop]) if bodies else row
 
-    The header of a ``{`` is searched in the text of the segment before it.
-    Generic rule (the reference's scanner; C, C++ and unknown files): the
-    pattern runs on the *reversed* text, anchored at its start, so on most
-    segments it fails on the first character; only real candidates pay for
-    the group extraction, which then runs on the (short) match alone.
-    Language rules (X4; Java, JS/TS, Go, Rust, PHP) run on the text after the
-    last ``;``.
-    """
-    seg = F.col("seg")
-    first = F.substr(seg, F.lit(1), F.lit(1))
-    is_brace = first.isin("{", "}")
-    s1 = segs.select(
-        "file_path", "pos", *keep, "seg",
-        F.when(is_brace, first).otherwise(F.lit("x")).alias("kind"),
-        F.when(is_brace, F.lit(1)).otherwise(F.lit(0)).alias("lead_len"),
-        *([] if "lang" in keep else
-          [F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown")).alias("lang")]),
-    ).withColumn("tail", F.substr(seg, F.col("lead_len") + 1))
-    specific = F.col("lang").isin(*P.LANGUAGE_HEADERS)
-    s2 = s1.withColumn("rhdr", F.when(~specific, F.regexp_extract(F.reverse("tail"), P.P_HEADER_REVERSED, 0))) \
-           .withColumn("x4", _language_header(F.substring_index("tail", ";", -1), F.col("lang")))
-    rh = F.col("rhdr")
-    generic = F.when(rh != "", F.struct(
-        F.reverse(rh).alias("m"),
-        F.reverse(F.regexp_extract(rh, P.P_HEADER_REVERSED, 3)).alias("ret"),
-        F.reverse(F.regexp_extract(rh, P.P_HEADER_REVERSED, 2)).alias("name"),
-        F.reverse(F.regexp_extract(rh, P.P_HEADER_REVERSED, 1)).alias("params")))
-    x4 = F.col("x4")
-    java_skip = (F.col("lang") == "java") & x4["ret"].isin(*P.JAVA_NOT_RETURN_TYPES)
-    s3 = s2.withColumn("h", F.when(specific, F.when(~java_skip, x4)).otherwise(generic))
-    h = F.col("h")
-    fwd = h["m"]
-    # offset (0-based, inside the segment) of the first non-blank header char
-    first_nb = F.col("lead_len") + (F.length("tail") - F.length(fwd)) + (F.length(fwd) - F.length(T.lstrip(fwd)))
-    return s3.select(
-        "file_path", "pos", *keep, "kind",
-        F.length(seg).alias("seg_len"),
-        _newlines(seg).alias("seg_nl"),
-        h["name"].alias("h_name"),
-        h["ret"].alias("h_ret"),
-        h["params"].alias("h_params"),
-        F.when(h.isNotNull(), _newlines(F.substr(seg, F.lit(1), first_nb))).alias("h_nl"),
-    )
 
+def _pairs_of(path, lang, src):
+    lines = H.Lines(src)
+    for pos, level, at, close in H.brace_pairs(src):
+        yield path, pos, level, at, close, lines.of(at), None if close is None else lines.of(close)
 
-def brace_match(files: DataFrame, keep=()) -> DataFrame:
-    """Every ``{`` with its matching ``}`` (NULL when unclosed).
 
-    Columns: file_path, pos, open_off (0-based), close_off, open_line,
-    close_line, level, plus the header candidate of the previous segment.
-    ``files`` should already be partitioned by ``file_path`` (``by_file``).
-    """
-    keep = list(keep)
-    facts = _segment_facts(brace_segments(files, keep), keep)
-    w = Window.partitionBy("file_path").orderBy("pos")
-    delta = F.when(F.col("kind") == "{", 1).when(F.col("kind") == "}", -1).otherwise(0)
-    staged = facts.select(
-        "file_path", "pos", "kind", *keep,
-        (F.sum("seg_len").over(w) - F.col("seg_len")).alias("off"),
-        (F.sum("seg_nl").over(w) - F.col("seg_nl")).alias("nl_before"),
-        F.sum(delta).over(w).alias("depth"),
-        F.lag("h_name").over(w).alias("p_name"),
-        F.lag("h_ret").over(w).alias("p_ret"),
-        F.lag("h_params").over(w).alias("p_params"),
-        F.lag("h_nl").over(w).alias("p_h_nl"),
-        F.lag("seg_nl").over(w).alias("p_seg_nl"),
-    ).filter(F.col("kind") != "x")
-    level = F.when(F.col("kind") == "{", F.col("depth") - 1).otherwise(F.col("depth"))
-    staged = staged.withColumn("level", level) \
-                   .withColumn("p_nl_before", F.col("nl_before") - F.col("p_seg_nl"))
-    w2 = Window.partitionBy("file_path", "level").orderBy("pos")
-    closed = F.lead("kind").over(w2) == "}"
-    return staged.select(
-        "file_path", "pos", "kind", "level", *keep,
-        F.col("off").alias("open_off"),
-        F.when(closed, F.lead("off").over(w2)).alias("close_off"),
-        (F.col("nl_before") + 1).alias("open_line"),
-        F.when(closed, F.lead("nl_before").over(w2) + 1).alias("close_line"),
-        "p_name", "p_ret", "p_params", "p_h_nl", "p_nl_before",
-    ).filter(F.col("kind") == "{").drop("kind")
+def _scan(files: DataFrame, rows_of, schema: pa.Schema) -> DataFrame:
+    ship_package(files.sparkSession)
+    lang = F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown"))
+    return files.select("file_path", lang.alias("lang"), "source_code").mapInArrow(
+        partial(_per_file, rows_of=rows_of, schema=schema), _ddl(schema))
+
+
+def brace_match(files: DataFrame) -> DataFrame:
+    """Every ``{`` with its matching ``}`` (NULL when unclosed): file_path, pos (number of its piece),
+    level, open_off (0-based), close_off, open_line, close_line."""
+    return _scan(files, _pairs_of, _PAIRS)
+
 
+def function_spans(files: DataFrame) -> DataFrame:
+    """X3-X5 without bodies: name, return type, parameters, lines, offset and language of every function."""
+    return _scan(files, partial(_functions_of, bodies=False), _SPANS)
 
-def extract_functions(files: DataFrame, partitioned: bool = False) -> DataFrame:
-    """Functions with name, return type, parameters, body and line range,
+
+def extract_functions(files: DataFrame) -> DataFrame:
+    """Functions with name, return type, parameters, body and line range,
     plus calls (C1), complexity (C2) and tags (C3).
 
     ``files`` needs ``file_path`` and ``source_code``.  The language comes from
-    the file name, as for an upload (``unknown`` for unsupported names).  Both
-    branches of the plan read exactly ``(file_path, source_code)`` from the one
-    ``file_path`` shuffle, so Spark reuses that exchange.
+    the file name, as for an upload (``unknown`` for unsupported names).
     """
-    lang_of_path = F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown"))
-    src = files.select("file_path", "source_code", lang_of_path.alias("lang"))
-    if not partitioned:
-        src = by_file(src)
-
-    # Split by language family: each family's two reads of the source (pieces
-    # and the body join) carry the same filter and columns, so each pair reads
-    # one shared exchange; the families hold disjoint files.
-    indent_src = src.filter(F.col("lang").isin(*P.INDENT_LANGUAGES))
-    src = src.filter(~F.col("lang").isin(*P.INDENT_LANGUAGES))
-    braces = brace_match(src, keep=["lang"])
-    heads = braces.filter(F.col("p_name").isNotNull() & ~F.col("p_name").isin(*P.HEADER_SKIP_NAMES))
-    spans = heads.select(
-        "file_path", "open_off", "close_off",
-        F.col("p_name").alias("function_name"),
-        T.strip(F.col("p_ret")).alias("return_type"),
-        F.col("p_params").alias("parameters"),
-        (F.col("p_nl_before") + F.col("p_h_nl") + 1).cast("int").alias("line_start"),
-        F.col("close_line").alias("close_line"),
-    )
-    joined = spans.hint("shuffle_hash").join(src, "file_path")
-    body = F.when(F.col("close_off").isNotNull(),
-                  F.substr("source_code", F.col("open_off") + 1, F.col("close_off") - F.col("open_off") + 1)) \
-            .otherwise(F.substr("source_code", F.col("open_off") + 1))
-    out = joined.select(
-        "file_path", "function_name", "return_type", "parameters",
-        "line_start",
-        F.coalesce(F.col("close_line"), _newlines(F.col("source_code")) + 1).cast("int").alias("line_end"),
-        F.col("open_off").cast("long").alias("open_off"),
-        F.col("lang").alias("language"),
-        body.alias("body"),
-    ).unionByName(extract_indented(indent_src))
-    return out.select(
+    return _scan(files, partial(_functions_of, bodies=True), _FUNCTIONS).select(
         "*",
         T.find_calls(F.col("body")).alias("calls"),
         T.complexity(F.col("body")).alias("complexity"),
         T.make_tags(F.col("function_name"), F.col("body"), F.col("language")).alias("tags"),
     )
-
-
-def extract_indented(src: DataFrame) -> DataFrame:
-    """Python ``def`` and Ruby ``def … end`` blocks by indentation.
-
-    A block ends before the first later line that is not blank or a comment
-    and is indented no deeper than the header (Python: the block's last such
-    line; Ruby: that line belongs to the block if it is an ``end`` indented
-    like the header, else the method ended before it, as a one-line ``def``
-    does).  Each such line is exploded into those of the file's distinct
-    header indents that it closes, and a reverse
-    running ``min`` over ``(file, indent)`` gives every header its closer in
-    one pass: windows only, no join except the final cut of the bodies out of
-    the co-partitioned source.  ``src`` is partitioned by ``file_path``
-    (reused from the brace path).
-    """
-    if "lang" not in src.columns:
-        src = src.withColumn("lang", F.coalesce(language_of(F.substring_index("file_path", "/", -1)), F.lit("unknown")))
-    files = src.filter(F.col("lang").isin(*P.INDENT_LANGUAGES))
-    lines = files.select("file_path", "lang", F.posexplode(F.split(F.coalesce("source_code", F.lit("")), "\n", -1))
-                         .alias("pos", "text"))
-    w = Window.partitionBy("file_path").orderBy("pos")
-    hdr_py = F.regexp_extract("text", P.P_PY_DEF, 1)
-    hdr_rb = F.regexp_extract("text", P.P_RB_DEF, 1)
-    name = F.when(F.col("lang") == "python", hdr_py).otherwise(hdr_rb)
-    params = F.when(F.col("lang") == "python", F.regexp_extract("text", P.P_PY_DEF, 2)) \
-              .otherwise(F.regexp_extract("text", P.P_RB_DEF, 2))
-    facts = lines.select(
-        "file_path", "lang", "pos",
-        (F.col("pos") + 1).cast("int").alias("line_no"),
-        F.length(F.regexp_extract("text", P.P_INDENT, 0)).alias("indent"),
-        F.col("text").rlike(P.P_COMMENT_OR_BLANK).alias("blank"),
-        F.when(name != "", name).alias("name"),
-        F.when(name != "", params).alias("params"),
-        F.col("text").rlike(P.P_RB_END).alias("is_end"),
-        F.length("text").alias("len"),
-    ).withColumn("off", F.sum(F.col("len") + 1).over(w) - F.col("len") - 1)
-    nonblank_end = F.when(~F.col("blank"), F.struct(F.col("line_no").alias("n"), (F.col("off") + F.col("len")).alias("e")))
-    facts = facts.select(
-        "*",
-        F.max(nonblank_end).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_nb"),
-        F.max(nonblank_end).over(Window.partitionBy("file_path")).alias("last_nb"),
-        F.collect_set(F.when(F.col("name").isNotNull(), F.col("indent"))).over(Window.partitionBy("file_path"))
-         .alias("hdr_indents"),
-    )
-    # every row becomes: itself as a header (if it is one) and, if it is a
-    # non-blank line, a closer for each header indent t >= its own indent
-    closer = F.struct(F.col("line_no").alias("n"), F.col("prev_nb").alias("prev_nb"), F.col("is_end").alias("is_end"),
-                      (F.col("off") + F.col("len")).alias("e"), F.col("indent").alias("indent"))
-    closes = F.filter("hdr_indents", lambda t: t >= F.col("indent"))
-    roles = F.concat(
-        F.when(F.col("name").isNotNull(), F.array(F.struct(F.col("indent").alias("t"), F.lit(True).alias("hdr"))))
-         .otherwise(F.array().cast("array<struct<t:int,hdr:boolean>>")),
-        F.when(~F.col("blank"), F.transform(closes, lambda t: F.struct(t.alias("t"), F.lit(False).alias("hdr"))))
-         .otherwise(F.array().cast("array<struct<t:int,hdr:boolean>>")))
-    ev = facts.filter(F.col("name").isNotNull() | (~F.col("blank") & (F.size("hdr_indents") > 0))) \
-              .select("file_path", "line_no", "lang", "name", "params", "indent", "off", "last_nb",
-                      closer.alias("c"), F.explode(roles).alias("r"))
-    wt = Window.partitionBy("file_path", "r.t").orderBy(F.col("line_no").desc(), F.col("r.hdr").desc()) \
-               .rowsBetween(Window.unboundedPreceding, -1)
-    h = ev.select("*", F.min(F.when(~F.col("r.hdr"), F.col("c"))).over(wt).alias("nc")).filter("r.hdr")
-    nc = F.col("nc")
-    end = F.when(nc.isNull(), F.col("last_nb")) \
-           .when((F.col("lang") == "ruby") & nc["is_end"] & (nc["indent"] == F.col("indent")), F.struct(nc["n"].alias("n"), nc["e"].alias("e"))) \
-           .otherwise(nc["prev_nb"])
-    spans = h.select("file_path", "line_no", "name", "params", "off", "indent", end.alias("end"))
-    start = F.col("off") + F.col("indent")            # first non-blank character of the header
-    joined = spans.join(src, "file_path")
-    return joined.select(
-        "file_path", F.col("name").alias("function_name"), F.lit("").alias("return_type"),
-        F.coalesce("params", F.lit("")).alias("parameters"),
-        F.col("line_no").alias("line_start"), F.col("end.n").cast("int").alias("line_end"),
-        start.cast("long").alias("open_off"),
-        F.col("lang").alias("language"),
-        F.substr("source_code", start + 1, F.col("end.e") - start).alias("body"),
-    )

@@ -78,36 +78,91 @@ def join_list(x: str, sep: str = ",") -> str:
     return f"array_to_string({x}, {q(sep)})"
 
 
-def x4_case(window: str) -> str:
-    """X4 header rules in SQL: a struct(m, ret, name, params) or NULL."""
+# Header rules of the twin (X4), on the text back to the last cut of the same
+# level; brackets inside parenthesised groups are encoded, so a group is
+# \(([^()]*)\).  language -> [(pattern, group of the return type, name, parameters)]
+_S = r"[ \t\n\x{0B}\f\r]"
+_I = r"[A-Za-z0-9_]"
+_B = r"(?:\A|[^A-Za-z0-9_$.])"
+_G = r"\(([^()]*)\)"
+HEADERS = {
+    "java": [(rf"({_I}[A-Za-z0-9_\[\].?]*(?:<[^()]*>)?(?:\[\])*){_S}+({_I}+){_S}*{_G}{_S}*(?:throws{_S}+[A-Za-z0-9_., \t\n\r]+?)?{_S}*\z",
+              1, 2, 3)],
+    "javascript": [
+        (rf"(?s){_B}function{_S}*\*?{_S}*({_I}+){_S}*(?:<[^()]*>)?{_S}*{_G}{_S}*(?::{_S}*([^=]+?))?{_S}*\z", 3, 1, 2),
+        (rf"(?s){_B}({_I}+){_S}*(?::[^=]+)?={_S}*(?:async{_S}*)?(?:{_G}|{_I}+){_S}*(?::{_S}*([^=]+?))?{_S}*=>{_S}*\z", 3, 1, 2),
+    ],
+    "go": [(rf"{_B}func{_S}+({_I}+){_S}*(?:\[[^()]*\])?{_S}*{_G}{_S}*([^\n]*?){_S}*\z", 3, 1, 2)],
+    "rust": [(rf"(?s){_B}fn{_S}+({_I}+){_S}*(?:<[^()]*>)?{_S}*{_G}{_S}*(?:->{_S}*(.*?))?{_S}*(?:where\b.*)?\z", 3, 1, 2)],
+    "php": [(rf"{_B}function{_S}+&?({_I}+){_S}*{_G}{_S}*(?::{_S}*([?A-Za-z0-9_\\|]+))?{_S}*\z", 3, 1, 2)],
+}
+HEADERS["typescript"] = HEADERS["javascript"]
+# C and C++, on what follows the last comment, directive or access label: leading blanks and template, return type,
+# name, parameters, trailing return type
+C_HEADER = (rf"(?s)\A({_S}*(?:template{_S}*<[^<>]*>{_S}*)?)((?:[A-Za-z0-9_:*&<>, \t\n\r]*[ \t\n\r*&])?)"
+            rf"((?:{_I}+(?:<[^()]*>)?::)*(?:operator[^A-Za-z0-9_ \t\n()]{{1,3}}|~?{_I}+)){_S}*{_G}{_S}*"
+            rf"(?:(?:const|noexcept|override|final){_S}*)*(?::[^:].*|->{_S}*(.*?))?{_S}*\z")
+C_CUT = rf"(?s)\A(?:.*(?:(?://|#)[^\n]*\n|(?:public|private|protected){_S}*:))?(.*)\z"
+# the scanner's own pattern for files of no known language, on reversed text: parameters, name, return type
+ANY_REVERSED = rf"\A[{P.WS}]*\)([^)]*)\([{P.WS}]*([{P.W}]+)[{P.WS}]+([{P.W}:*&<>{P.WS}]+)"
+PY_DEF = r"(?s)^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*\((.*)\)[ \t\r\n]*(?:->[^:]*)?:"
+RB_DEF = r"^[ \t]*def[ \t]+(?:self\.)?([A-Za-z_][A-Za-z0-9_]*[?!=]?)[ \t]*(?:\((.*)\))?"
+RB_END = r"^[ \t]*end\b"
+INDENT = r"^[ \t]*"
+COMMENT_OR_BLANK = r"^[ \t\r]*(#.*)?$"
+
+
+def lang_of_path(path: str = "file_path") -> str:
+    return "coalesce(" + lang_of_name(f"regexp_extract({path}, '[^/]*$', 0)") + ", 'unknown')"
+
+
+def header_case(h: str) -> str:
+    """X4 rules in SQL: a struct(m, ret, name, params) or NULL; ``m`` is the end of the header that matched."""
     whens = []
-    for lang, pats in P.LANGUAGE_HEADERS.items():
-        alts = []
-        for pat in pats:
-            m = f"regexp_extract({window}, {q(pat)}, 0)"
-            alts.append(f"case when {m} <> '' then struct_pack(m := {m}, ret := regexp_extract({m}, {q(pat)}, 1), "
-                        f"name := regexp_extract({m}, {q(pat)}, 2), params := regexp_extract({m}, {q(pat)}, 3)) end")
-        whens.append(f"when {q(lang)} then coalesce({', '.join(alts)})" if len(alts) > 1
-                     else f"when {q(lang)} then {alts[0]}")
-    return f"(case lang {' '.join(whens)} end)"
+    for lang, rules in HEADERS.items():
+        alts = [f"case when regexp_matches({h}, {q(pat)}) then struct_pack(m := regexp_extract({h}, {q(pat)}, 0), "
+                f"ret := regexp_extract({h}, {q(pat)}, {r}), name := regexp_extract({h}, {q(pat)}, {n}), "
+                f"params := regexp_extract({h}, {q(pat)}, {k})) end" for pat, r, n, k in rules]
+        whens.append(f"when {q(lang)} then coalesce({', '.join(alts)}, null)")
+    c = f"regexp_extract({h}, {q(C_CUT)}, 1)"
+    part = lambda k: f"regexp_extract({c}, {q(C_HEADER)}, {k})"
+    words = f"regexp_extract({part(2)}, '([A-Za-z0-9_]+){_S}*$', 1)"
+    no_type = f"{strip(part(2))} = ''"
+    c_rule = (f"case when regexp_matches({c}, {q(C_HEADER)}) and {words} not in ({', '.join(q(x) for x in P.NOT_BEFORE_A_NAME)}) "
+              f"and (not {no_type} or regexp_matches({part(3)}, '::|^~|^operator')) "
+              f"then struct_pack(m := substr({c}, length({part(1)}) + 1), ret := case when {part(5)} <> '' then {part(5)} else {part(2)} end, "
+              f"name := {part(3)}, params := {part(4)}) end")
+    return f"(case lang {' '.join(whens)} when 'cpp' then {c_rule} when 'c' then {c_rule} end)"
 
 
 def indented_ctes(files: str, p: str) -> str:
-    """X5 in SQL: Python/Ruby blocks by indentation, ending in ``{p}ifn``."""
-    lang = f"coalesce({lang_of_name(chr(39).join(['regexp_extract(file_path, ', '[^/]*$', ', 0)']))}, 'unknown')"
+    """X5 in SQL: Python/Ruby blocks by indentation, ending in ``{p}ifn``.  Python lines are joined while a
+    bracket is open (per physical line, strings left out; a def or class line starts anew)."""
     ind = ", ".join(q(x) for x in P.INDENT_LANGUAGES)
-    py, rb = q(P.P_PY_DEF), q(P.P_RB_DEF)
+    py, rb = q(PY_DEF), q(RB_DEF)
+    bare = r"""regexp_replace(text, '"[^"]*"|#.*', '', 'g')"""
+    count = lambda cs: f"length(regexp_replace({bare}, '[^{cs}]', '', 'g'))"
     return f"""
-{p}ifiles as (select * from (select file_path, source_code, {lang} as lang from {files}) t where lang in ({ind})),
-{p}il0 as (select file_path, lang, string_split(coalesce(source_code, ''), chr(10)) as arr from {p}ifiles),
-{p}il as (select file_path, lang, unnest(arr) as text, unnest(range(0, len(arr))) as pos from {p}il0),
+{p}ifiles as (select * from (select file_path, source_code, {lang_of_path()} as lang from {files}) t where lang in ({ind})),
+{p}pl0 as (select file_path, lang, string_split(coalesce(source_code, ''), chr(10)) as arr from {p}ifiles),
+{p}pl1 as (select file_path, lang, unnest(arr) as text, unnest(range(0, len(arr))) as pos from {p}pl0),
+{p}pl2 as (select *, regexp_matches(text, '^[ \\t]*(async[ \\t]+def|def|class)\\b') as opens_new,
+             {count('(\\[{{')} - {count(')\\]}}')} as net from {p}pl1),
+{p}pl3 as (select *, sum(case when opens_new then 1 else 0 end) over (partition by file_path order by pos) as grp from {p}pl2),
+{p}pl4 as (select *, sum(net) over (partition by file_path, grp order by pos) as run from {p}pl3),
+{p}pl5 as (select *, run - least(0, min(run) over (partition by file_path, grp order by pos)) as depth from {p}pl4),
+{p}pl6 as (select *, case when lang = 'python' and lag(depth) over (partition by file_path, grp order by pos) > 0
+                        then 0 else 1 end as starts from {p}pl5),
+{p}pl7 as (select *, sum(starts) over (partition by file_path order by pos) as logical from {p}pl6),
+{p}il as (select file_path, lang, min(pos) as pos, string_agg(text, chr(10) order by pos) as text
+          from {p}pl7 group by file_path, lang, logical),
 {p}if0 as (
-  select file_path, lang, pos, cast(pos + 1 as integer) as line_no,
-    length(regexp_extract(text, {q(P.P_INDENT)}, 0)) as indent,
-    regexp_matches(text, {q(P.P_COMMENT_OR_BLANK)}) as blank,
+  select file_path, lang, pos, cast(pos + 1 as integer) as line_no, {nl('text')} as more,
+    length(regexp_extract(text, {q(INDENT)}, 0)) as indent,
+    regexp_matches(text, {q(COMMENT_OR_BLANK)}) as blank,
     case when lang = 'python' then regexp_extract(text, {py}, 1) else regexp_extract(text, {rb}, 1) end as nm,
     case when lang = 'python' then regexp_extract(text, {py}, 2) else regexp_extract(text, {rb}, 2) end as pr,
-    regexp_matches(text, {q(P.P_RB_END)}) as is_end, length(text) as len
+    regexp_matches(text, {q(RB_END)}) as is_end, length(text) as len
   from {p}il),
 {p}if1 as (
   select *,
@@ -136,75 +191,99 @@ def indented_ctes(files: str, p: str) -> str:
                           else c_prev end as end_line from {p}ih2),
 {p}ifn as (
   select h.file_path, h.nm as function_name, '' as return_type, coalesce(h.pr, '') as parameters,
-    h.line_no as line_start, cast(h.end_line as integer) as line_end, cast(h.off + h.indent as bigint) as open_off,
+    h.line_no as line_start, cast(h.end_line + e.more as integer) as line_end, cast(h.off + h.indent as bigint) as open_off,
     h.lang as language,
     substr(f.source_code, cast(h.off + h.indent + 1 as bigint), cast(e.off + e.len - h.off - h.indent as bigint)) as body
   from {p}ih3 h left join {p}if1 e on e.file_path = h.file_path and e.line_no = h.end_line
     join {p}ifiles f on f.file_path = h.file_path)"""
 
 
-def functions_ctes(files: str = "files", p: str = "") -> str:
-    """CTEs ending in ``{p}fns`` (X1-X3 + C1-C3) over a ``files`` relation."""
-    hp = q(P.P_HEADER_REVERSED)
-    skip = ", ".join(q(s) for s in P.HEADER_SKIP_NAMES)
-    x4_langs = ", ".join(q(x) for x in P.LANGUAGE_HEADERS)
-    ind_langs = ", ".join(q(x) for x in P.INDENT_LANGUAGES)
-    java_skip = ", ".join(q(x) for x in P.JAVA_NOT_RETURN_TYPES)
-    return indented_ctes(files, p) + f""",
+def brace_ctes(files: str = "files", p: str = "") -> str:
+    """CTEs ending in ``{p}opens``."""
+    return f"""
 {p}seg0 as (select file_path, regexp_extract_all(coalesce(source_code, ''), {q(P.P_SEGMENT)}, 0) as arr from {files}),
 {p}seg1 as (select file_path, unnest(arr) as seg, unnest(range(0, len(arr))) as pos from {p}seg0),
-{p}seg2 as (select file_path, pos, seg,
-           case when left(seg, 1) in ('{{', '}}') then left(seg, 1) else 'x' end as kind,
-           case when left(seg, 1) in ('{{', '}}') then 1 else 0 end as lead_len from {p}seg1),
-{p}seg3 as (select *, substr(seg, lead_len + 1) as tail,
-           coalesce({lang_of_name("regexp_extract(file_path, '[^/]*$', 0)")}, 'unknown') as lang from {p}seg2),
-{p}seg4 as (select *,
-           case when lang not in ({x4_langs}) then regexp_extract(reverse(tail), {hp}, 0) end as rhdr,
-           {x4_case("regexp_extract(tail, '[^;]*$', 0)")} as x4 from {p}seg3),
-{p}seg5 as (select *,
-           case when lang in ({x4_langs})
-                then case when not (lang = 'java' and x4.ret in ({java_skip})) then x4 end
-                when rhdr <> '' then struct_pack(m := reverse(rhdr), ret := reverse(regexp_extract(rhdr, {hp}, 3)),
-                                                 name := reverse(regexp_extract(rhdr, {hp}, 2)),
-                                                 params := reverse(regexp_extract(rhdr, {hp}, 1)))
-           end as h from {p}seg4),
 {p}facts as (
-  select file_path, pos, kind, length(seg) as seg_len, {nl('seg')} as seg_nl,
-    h.name as h_name, h.ret as h_ret, h.params as h_params,
-    case when h is not null then {nl(f"substr(seg, 1, lead_len + length(tail) - length(h.m) + length(h.m) - length({lstrip('h.m')}))")} end as h_nl
-  from {p}seg5),
+  select file_path, pos, case when left(seg, 1) in ('{{', '}}') then left(seg, 1) else 'x' end as kind,
+    length(seg) as seg_len, {nl('seg')} as seg_nl from {p}seg1),
 {p}staged as (
   select file_path, pos, kind,
     sum(seg_len) over w - seg_len as off,
     sum(seg_nl) over w - seg_nl as nl_before,
-    sum(case kind when '{{' then 1 when '}}' then -1 else 0 end) over w as depth,
-    lag(h_name) over w as p_name, lag(h_ret) over w as p_ret, lag(h_params) over w as p_params,
-    lag(h_nl) over w as p_h_nl, lag(seg_nl) over w as p_seg_nl
+    sum(case kind when '{{' then 1 when '}}' then -1 else 0 end) over w as depth
   from {p}facts window w as (partition by file_path order by pos)),
 {p}braces as (
-  select *, case when kind = '{{' then depth - 1 else depth end as level,
-         nl_before - p_seg_nl as p_nl_before
-  from {p}staged where kind <> 'x'),
+  select *, case when kind = '{{' then depth - 1 else depth end as level from {p}staged where kind <> 'x'),
 {p}matched as (
   select file_path, pos, kind, level, off as open_off,
     case when lead(kind) over w2 = '}}' then lead(off) over w2 end as close_off,
     nl_before + 1 as open_line,
-    case when lead(kind) over w2 = '}}' then lead(nl_before) over w2 + 1 end as close_line,
-    p_name, p_ret, p_params, p_h_nl, p_nl_before
+    case when lead(kind) over w2 = '}}' then lead(nl_before) over w2 + 1 end as close_line
   from {p}braces window w2 as (partition by file_path, level order by pos)),
-{p}opens as (select * from {p}matched where kind = '{{'),
-{p}spans as (select * from {p}opens where p_name is not null and p_name not in ({skip})
-           and coalesce({lang_of_name("regexp_extract(file_path, '[^/]*$', 0)")}, 'unknown') not in ({ind_langs})),
+{p}opens as (select * from {p}matched where kind = '{{')"""
+
+
+def functions_ctes(files: str = "files", p: str = "") -> str:
+    """CTEs ending in ``{p}fns`` (X1-X5 + C1-C3) over a ``files`` relation."""
+    skip = ", ".join(q(s) for s in P.HEADER_SKIP_NAMES)
+    ind_langs = ", ".join(q(x) for x in P.INDENT_LANGUAGES)
+    java_skip = ", ".join(q(x) for x in P.JAVA_NOT_RETURN_TYPES + P.JAVA_MODIFIERS)
+    any_ = q(ANY_REVERSED)
+    decode = lambda x: f"translate({x}, chr(1) || chr(2) || chr(3) || chr(4) || chr(5), '(){{}};')"
+    # t: text of a token, d: joint depth after it, level: of the header it may belong to
+    encoded = """case t when '(' then case when d = level + 1 then '(' else chr(1) end
+      when ')' then case when d = level then ')' else chr(2) end
+      when '{{' then chr(3) when '}}' then chr(4) when ';' then chr(5) else t end"""
+    return indented_ctes(files, p) + "," + brace_ctes(files, p) + f""",
+{p}code as (select * from (select file_path, coalesce(source_code, '') as s, {lang_of_path()} as lang from {files}) t
+            where lang not in ({ind_langs})),
+{p}tk0 as (select file_path, lang, regexp_extract_all(s, '[(){{}};]|[^(){{}};]+', 0) as arr from {p}code),
+{p}tk1 as (select file_path, lang, unnest(arr) as t, unnest(range(0, len(arr))) as pos from {p}tk0),
+{p}tk as (
+  select *, sum(length(t)) over w - length(t) as off, sum({nl('t')}) over w - {nl('t')} as nl_before,
+    sum(case when t in ('(', '{{') then 1 when t in (')', '}}') then -1 else 0 end) over w as d,
+    max(case when t in ('{{', '}}') then pos end) over (partition by file_path order by pos
+        rows between unbounded preceding and 1 preceding) as last_brace
+  from {p}tk1 window w as (partition by file_path order by pos)),
+{p}ev as (
+  select file_path, pos, d as level, true as is_cut, null as last_brace from {p}tk where t in ('(', '{{', '}}', ';')
+  union all select file_path, pos, d - 1, false, last_brace from {p}tk where t = '{{'),
+{p}hd0 as (
+  select *, max(case when is_cut then pos end) over (partition by file_path, level order by pos
+      rows between unbounded preceding and 1 preceding) as cut
+  from {p}ev),
+{p}hd1 as (
+  select h.file_path, h.pos, any_value(k.lang) as lang, min(k.nl_before) as nl_start,
+    string_agg({encoded.replace('{{', '{').replace('}}', '}')}, '' order by k.pos) as h
+  from {p}hd0 h join {p}tk k on k.file_path = h.file_path and k.pos > coalesce(h.cut, -1) and k.pos < h.pos
+  where not h.is_cut and k.lang <> 'unknown' group by h.file_path, h.pos),
+{p}hd2 as (
+  select h.file_path, h.pos, min(k.nl_before) as nl_start, string_agg(k.t, '' order by k.pos) as h
+  from {p}hd0 h join {p}tk k on k.file_path = h.file_path and k.pos > coalesce(h.last_brace, -1) and k.pos < h.pos
+  where not h.is_cut and k.lang = 'unknown' group by h.file_path, h.pos),
+{p}heads as (
+  select file_path, pos, h, nl_start, x from (select *, {header_case('h')} as x from {p}hd1) t
+  where x is not null and not (lang = 'java' and x.ret in ({java_skip}))
+  union all
+  select file_path, pos, h, nl_start, struct_pack(m := reverse(r), ret := reverse(regexp_extract(r, {any_}, 3)),
+      name := reverse(regexp_extract(r, {any_}, 2)), params := reverse(regexp_extract(r, {any_}, 1)))
+  from (select *, regexp_extract(reverse(h), {any_}, 0) as r from {p}hd2) t where r <> ''),
+{p}spans as (
+  select k.file_path, k.off as open_off, {decode('x.ret')} as ret, x.name as name, {decode('x.params')} as params,
+    nl_start + {nl("left(h, length(h) - length(lstrip_m))")} + 1 as line_start
+  from (select *, {lstrip('x.m')} as lstrip_m from {p}heads) hh
+    join {p}tk k on k.file_path = hh.file_path and k.pos = hh.pos
+  where x.name not in ({skip})),
 {p}fns0 as (
-  select s.file_path, p_name as function_name, {strip('p_ret')} as return_type,
-    p_params as parameters,
-    cast(p_nl_before + p_h_nl + 1 as integer) as line_start,
+  select s.file_path, s.name as function_name, {strip('s.ret')} as return_type, s.params as parameters,
+    cast(s.line_start as integer) as line_start,
     cast(coalesce(close_line, {nl('f.source_code')} + 1) as integer) as line_end,
-    cast(open_off as bigint) as open_off,
-    coalesce({lang_of_name("regexp_extract(s.file_path, '[^/]*$', 0)")}, 'unknown') as language,
-    case when close_off is not null then substr(f.source_code, cast(open_off + 1 as bigint), cast(close_off - open_off + 1 as bigint))
-         else substr(f.source_code, cast(open_off + 1 as bigint)) end as body
-  from {p}spans s join {files} f on s.file_path = f.file_path
+    cast(o.open_off as bigint) as open_off,
+    {lang_of_path('s.file_path')} as language,
+    case when close_off is not null then substr(f.source_code, cast(o.open_off + 1 as bigint), cast(close_off - o.open_off + 1 as bigint))
+         else substr(f.source_code, cast(o.open_off + 1 as bigint)) end as body
+  from {p}spans s join {p}opens o on o.file_path = s.file_path and o.open_off = s.open_off
+    join {files} f on s.file_path = f.file_path
   union all by name select * from {p}ifn),
 {p}fns as (
   select *, {calls('body')} as calls, {complexity('body')} as complexity,
@@ -281,7 +360,7 @@ from files where {lang_of_name('file_name')} is null"""
     o["functions"] = _functions_query("part")
     o["page_functions"] = _functions_query("pages")
 
-    o["page_brace_pairs"] = f"""with {_corpus('pages')}, {functions_ctes()}
+    o["page_brace_pairs"] = f"""with {_corpus('pages')}, {brace_ctes()}
 select file_path, cast(pos as integer) as pos, cast(open_off as bigint) as open_off, cast(close_off as bigint) as close_off,
        cast(open_line as integer) as open_line, cast(close_line as integer) as close_line,
        cast(level as integer) as level

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import graph, lint
-from quarry.operators.extract import brace_match, by_file, extract_functions
+from quarry.operators.extract import brace_match, extract_functions, function_spans
 from quarry.operators.languages import is_analyzable, split_empty, split_supported, with_language
 from quarry.functions import text as T
 from quarry.session import materialize
@@ -65,7 +65,7 @@ def empty_rejects(spark, sf_dir):
     """the code corpus together with files that define no function."""
     files = corpus.part_corpus(spark, sf_dir).unionByName(_document_files(spark, sf_dir))
     accepted, _ = split_supported(files)
-    _, rejected = split_empty(accepted, extract_functions(accepted))
+    _, rejected = split_empty(accepted, function_spans(accepted))
     return rejected
 
 
@@ -78,12 +78,8 @@ def page_functions(spark, sf_dir):
 
 
 def page_brace_pairs(spark, sf_dir):
-    files = by_file(corpus.pages_corpus(spark, sf_dir).select("file_path", "source_code"))
-    return brace_match(files).select(
-        "file_path", F.col("pos").cast("int").alias("pos"), "open_off", "close_off",
-        F.col("open_line").cast("int").alias("open_line"),
-        F.col("close_line").cast("int").alias("close_line"),
-        F.col("level").cast("int").alias("level"))
+    return brace_match(corpus.pages_corpus(spark, sf_dir)).select(
+        "file_path", "pos", "open_off", "close_off", "open_line", "close_line", "level")
 
 
 def document_lines(spark, sf_dir):
@@ -121,7 +117,7 @@ def call_graph(spark, sf_dir):
 
 
 def functions_per_file(spark, sf_dir):
-    return graph.functions_per_file(extract_functions(corpus.part_corpus(spark, sf_dir)))
+    return graph.functions_per_file(function_spans(corpus.part_corpus(spark, sf_dir)))
 
 
 def complexity_report(spark, sf_dir):

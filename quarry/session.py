@@ -86,6 +86,15 @@ def materialize(df, label: str = "stage"):
 
 
 _SHIPPED: set = set()
+ARROW_BYTES = 4 << 20        # whole texts go to Python in batches of about this size
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes where nothing is set: rows hold whole texts, so a
+    bound on their number alone would let a task's buffers grow with them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -97,6 +106,7 @@ def ship_package(spark: SparkSession) -> None:
     """
     import zipfile
 
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

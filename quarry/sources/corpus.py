@@ -70,19 +70,33 @@ def part_corpus_sql(part: str = "part", version: int = 1, where: str | None = No
     idx = {e: i for i, e in enumerate(_EXTENSIONS)}
     lang_fn = f"""
  || case {ext_idx}
-      when {idx['.java']} then '@Override' || {nl} || 'public static String greet_' || {k}
+      when {idx['.cpp']} then 'class Box_' || {k} || ' : public Shape {{' || {nl} || ' public:' || {nl}
+           || '  int get() const {{ return v_; }}' || {nl}
+           || '  int grow(int q) noexcept override {{ return q ? 1 : get(); }}' || {nl}
+           || '  ~Box_' || {k} || '() {{ free(v_); }}' || {nl} || '  int v_;' || {nl} || '}};' || {nl}
+           || 'int Box_' || {k} || '::area(int w) const {{ return get() * w; }}' || {nl}
+           || 'Box_' || {k} || '::Box_' || {k} || '(int a) : v_(a), w_(twice(a)) {{ init(a); }}' || {nl}
+           || 'void fill_' || {k} || '(V v = {{}}, int n = 0) {{ use(v); }}' || {nl}
+      when {idx['.hpp']} then 'template <typename T>' || {nl}
+           || 'T pick_' || {k} || '(const std::map<int, T>& m, int k) {{ return m.at(k); }}' || {nl}
+           || 'auto len_' || {k} || '(int a) -> std::size_t {{ return a; }}' || {nl}
+      when {idx['.cc']} then 'bool Key_' || {k} || '::operator==(const Key_' || {k} || '& o) const {{ return same(o); }}' || {nl}
+           || 'char *name_' || {k} || '(void (*cb)(int), int n) {{ cb(n); return 0; }}' || {nl}
+      when {idx['.java']} then 'public Made_' || {k} || '(int a) {{ this.a = a; }}' || {nl}
+           || 'Map<String, Integer> table_' || {k} || '(List<String> xs) {{ return of(xs); }}' || {nl} || '@Override' || {nl} || 'public static String greet_' || {k}
            || '(String who) throws IOException {{ return who.trim(); }}' || {nl}
       when {idx['.js']} then 'function render_' || {k} || '(a, b) {{ return a(b); }}' || {nl}
            || 'const add_' || {k} || ' = (x, y) => {{ return x + y; }};' || {nl}
       when {idx['.jsx']} then 'export default function View_' || {k} || '(props) {{ return h(props); }}' || {nl}
-      when {idx['.ts']} then 'function typed_' || {k} || '(a: number): number {{ return a * 2; }}' || {nl}
+      when {idx['.ts']} then 'function opts_' || {k} || '(a: A, options = {{}}): Map<string, A> {{ return mk(a); }}' || {nl} || 'function typed_' || {k} || '(a: number): number {{ return a * 2; }}' || {nl}
            || 'const load_' || {k} || ' = async (q: string): Promise<void> => {{ await fetch(q); }};' || {nl}
       when {idx['.tsx']} then 'const Card_' || {k} || ': FC<P> = ({{ title }}) => {{ return wrap(title); }};' || {nl}
       when {idx['.go']} then 'func handler_' || {k} || '(w int, r int) (int, error) {{ return w, nil }}' || {nl}
            || 'func (s *Srv) method_' || {k} || '() {{ s.run() }}' || {nl}
       when {idx['.rs']} then 'pub fn compute_' || {k} || '<T>(v: Vec<T>) -> usize {{ v.len() }}' || {nl}
       when {idx['.php']} then 'function &php_' || {k} || '($a) : ?int {{ return strlen($a); }}' || {nl}
-      when {idx['.py']} then '@cache' || {nl} || 'def py_' || {k} || '(a, b=1) -> int:' || {nl}
+      when {idx['.py']} then 'def wide_' || {k} || '(' || {nl} || '    a,' || {nl} || '    b=(1, 2),' || {nl} || ') -> int:' || {nl}
+           || '    return pick(a,' || {nl} || 'b)' || {nl} || '@cache' || {nl} || 'def py_' || {k} || '(a, b=1) -> int:' || {nl}
            || '    if a:  # branch' || {nl} || '        return sort_it(b)' || {nl} || {nl}
            || '    def inner(x):' || {nl} || '        return x' || {nl} || '    return inner(a)' || {nl}
            || '# done' || {nl} || 'async def fetch_' || {k} || '(url):' || {nl} || '    return await get(url)' || {nl}

@@ -1,13 +1,16 @@
 """Golden values on a hand-written sample and edge literals."""
 
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SAMPLE_CPP
-from quarry.operators.extract import brace_match, by_file, extract_functions
+from conftest import SAMPLE_CPP, SF_SMALL
+from quarry.functions import headers as H
+from quarry.operators.extract import brace_match, extract_functions, function_spans
+from quarry.sources import corpus
 
 
 def _extract(spark, files_df, src, path="/uploads/sample.cpp"):
@@ -43,8 +46,93 @@ def test_quoted_brace_counts(spark, files_df):
     assert got[0]["body"] == '{ s = "}'
 
 
-def test_brace_in_params_is_a_known_limit(spark, files_df):
-    assert _extract(spark, files_df, "void f(V v = {}) { }") == []
+def test_braces_in_parameters(spark, files_df):
+    got = _extract(spark, files_df, "void f(V v = {}, W w = {1, {2}}) { g(); }\nint h(A a = A{}) { }")
+    assert [(f["function_name"], f["parameters"], f["body"]) for f in got] == [
+        ("f", "V v = {}, W w = {1, {2}}", "{ g(); }"), ("h", "A a = A{}", "{ }")]
+
+
+CPP = """#include <x>
+// costs O(n)
+class Foo : public Bar {
+ public:
+  Foo(int a) : a_(a), b_(f(a)) { }
+  ~Foo() { }
+  int get() const { return a_; }
+  int h() noexcept override { return 1; }
+  Foo& operator=(const Foo& o) { return *this; }
+  bool operator()(int a) const { return a; }
+  operator bool() const { return true; }
+  template <typename T, class U = std::map<int, T>> T conv(U u = {}) { return T(u); }
+};
+Foo::Foo(int a) : a_(a) { }
+Foo::~Foo() { }
+int Foo::bar(int x) { if (x) { y(); } else if (z) { } return 1; }
+auto g(int a) -> std::vector<int> { return {}; }
+char *name(void (*cb)(int), int n) /* note */ { FOREACH(x, y) { } switch (n) { } do { } while (x); }
+static inline const std::map<int, int>& Ns::Outer<T<int>>::get(int a) noexcept(true) { for (;;) { } }
+struct point origin(void) { struct point p = { 1, f(2) }; return p; }
+if constexpr (a) { }
+x = foo(a) { }
+y = a ? f(x) : g(y) { }
+return foo(a) { }
+int last() { auto l = [&](int q) { return q; }; run([](int z) { }); }
+"""
+
+
+def test_c_declarators(spark, files_df):
+    got = _extract(spark, files_df, CPP, "/u/a.cc")
+    assert [(f["function_name"], f["return_type"], f["parameters"], f["line_start"]) for f in got] == [
+        ("Foo", "", "int a", 5), ("~Foo", "", "", 6), ("get", "int", "", 7), ("h", "int", "", 8),
+        ("operator=", "Foo&", "const Foo& o", 9), ("operator()", "bool", "int a", 10), ("operator bool", "", "", 11),
+        ("conv", "T", "U u = {}", 12), ("Foo::Foo", "", "int a", 14), ("Foo::~Foo", "", "", 15), ("Foo::bar", "int", "int x", 16),
+        ("g", "std::vector<int>", "int a", 17), ("name", "char *", "void (*cb)(int), int n", 18),
+        ("Ns::Outer<T<int>>::get", "static inline const std::map<int, int>&", "int a", 19),
+        ("origin", "struct point", "void", 20), ("last", "int", "", 25)]
+
+
+def test_multi_line_python_headers(spark, files_df):
+    py = ("import os\n\n@deco\ndef f(a,\n      b=(1, 2),  # )\n) -> Dict[str, int]:\n    \'\'\'doc\nnot the end\n    \'\'\'\n"
+          "    if a:\n        return b\n\n    def g(x='):'):\n        return x\n    return a\n\n# trailing\nx = [\n1\n]\n"
+          "async def h():\n    pass\nopen_ = (\ndef late(): pass\nclass A:\n    def m(\n        self\n    ):\n        return \"\"\"\n"
+          "def not_code():\n\"\"\"\n")
+    got = _extract(spark, files_df, py, "/u/a.py")
+    assert [(f["function_name"], f["parameters"], f["line_start"], f["line_end"]) for f in got] == [
+        ("f", "a,\n      b=(1, 2),  # )\n", 4, 15), ("g", "x='):'", 13, 14), ("h", "", 21, 22), ("late", "", 24, 24),
+        ("m", "\n        self\n    ", 26, 31)]
+    assert got[1]["body"] == "def g(x='):'):\n        return x"
+
+
+def test_one_pass_without_exchange(spark):
+    """On the derived corpus: one scan, and nothing that moves source text."""
+    for fn in (extract_functions, function_spans):
+        plan = fn(corpus.part_corpus(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_spans_are_the_functions_without_bodies(spark):
+    files = corpus.part_corpus(spark, SF_SMALL)
+    spans = function_spans(files)
+    assert sorted(map(str, spans.collect())) == sorted(map(str, extract_functions(files).select(*spans.columns).collect()))
+
+
+def test_headers_take_linear_time():
+    """Long texts in which many places look like the start of a header."""
+    cases = {
+        "java": lambda n: "class A { int[] a = {" + "1, " * n + "}; }", "javascript": lambda n: "const o = {" + "a: f(1), " * n + "};",
+        "cpp": lambda n: "int x[] = {" + " f(1) +" * n + "}; " + "a " * n + "f(){}", "typescript": lambda n: "a : b = " * n + "{ }",
+        "go": lambda n: "func f(a) " * n + "{ }", "rust": lambda n: "fn f(a) " * n + "{ }", "php": lambda n: "function f(a) " * n + "{ }",
+        "c": lambda n: "x" * (8 * n) + "(a){ }", "unknown": lambda n: "a b(c" * n + "){ }",
+        "python": lambda n: "def f(" + "(a, 'b')," * n + "): pass\n" + "x = [\n" * n, "ruby": lambda n: "  def a(b)\n" * n}
+
+    def seconds(lang, n):
+        src, t = cases[lang](n), time.perf_counter()
+        (H.indented if lang in ("python", "ruby") else H.braced)(src, lang)
+        return time.perf_counter() - t
+
+    for lang in cases:
+        few, many = min(seconds(lang, 5_000) for _ in range(3)), seconds(lang, 50_000)
+        assert many < 0.2 + 25 * few, (lang, few, many)
 
 
 def test_else_if_skipped_and_nested_emitted(spark, files_df):
@@ -63,15 +151,19 @@ def test_crlf_and_language_tag(spark, files_df):
 def test_language_header_rules(spark, files_df):
     cases = {
         "/u/a.java": ("@Override\npublic static String greet(String who) throws IOException { return who; }\n"
-                      "Object o = new Runnable() { };", [("greet", "String", "String who")]),
+                      "Object o = new Runnable() { }; public Made(int a) { } Map<String, Integer> t(int[] xs) { synchronized (x) { } }",
+                      [("greet", "String", "String who"), ("t", "Map<String, Integer>", "int[] xs")]),
         "/u/a.js": ("function render(a, b) { return a(b); }\nconst add = (x, y) => { return x + y; };\n"
-                    "list.map(x => { return x; });", [("render", "", "a, b"), ("add", "", "x, y")]),
+                    "list.map(x => { return x; }); this.go = async (a) => { }; const one = z => { foo(function() { }); };",
+                    [("render", "", "a, b"), ("add", "", "x, y"), ("go", "", "a"), ("one", "", "z")]),
+        "/u/a.tsx": ("const Card: FC<P> = ({ title }) => { return wrap(title); };\nfunction o<T>(a, { b } = {}): Map<number, T> { }",
+                     [("Card", "", "{ title }"), ("o", "Map<number, T>", "a, { b } = {}")]),
         "/u/a.ts": ("const load = async (q: string): Promise<void> => { await f(q); };",
-                    [("load", "", "q: string")]),
-        "/u/a.go": ("func handler(w int) (int, error) { return w, nil }\nfunc (s *Srv) method() { }",
-                    [("handler", "", "w int")]),
-        "/u/a.rs": ("pub fn compute<T>(v: Vec<T>) -> usize { v.len() }", [("compute", "", "v: Vec<T>")]),
-        "/u/a.php": ("function &php_fn($a) : ?int { return strlen($a); }", [("php_fn", "", "$a")]),
+                    [("load", "Promise<void>", "q: string")]),
+        "/u/a.go": ("func asm(x int) int\ntype T struct { }\nfunc handler(w int) (int, error) { return w, nil }\nfunc (s *Srv) method() { }",
+                    [("handler", "(int, error)", "w int")]),
+        "/u/a.rs": ("pub fn compute<T>(v: Vec<T>) -> usize { v.len() }", [("compute", "usize", "v: Vec<T>")]),
+        "/u/a.php": ("function &php_fn($a) : ?int { return strlen($a); }", [("php_fn", "?int", "$a")]),
     }
     rows = [(p, p.split("/")[-1], src) for p, (src, _) in cases.items()]
     fns = extract_functions(files_df(rows)).orderBy("file_path", "open_off").collect()
@@ -137,7 +229,7 @@ def test_brace_matching_property(spark, texts):
     rows = [(f"/f{i}.c", t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "file_path string, source_code string")
     got = {}
-    for r in brace_match(by_file(df)).collect():
+    for r in brace_match(df).collect():
         got[(r.file_path, r.open_off)] = r.close_off
     want = {}
     for path, t in rows:
@@ -146,15 +238,6 @@ def test_brace_matching_property(spark, texts):
     assert got == want
 
 
-def test_extraction_plan_shuffles_source_once(spark, files_df):
-    rows = [(f"/uploads/f{i}.cpp", f"f{i}.cpp", f"int f{i}(int x) {{ return x; }}") for i in range(20)]
-    fns = extract_functions(files_df(rows))
-    fns.collect()
-    plan = fns._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
-    assert "PythonEval" not in plan and "ArrowEval" not in plan
-
-
 def test_random_headers_are_those_written(spark, files_df):
     """Files put together from headers and other statements: the functions
     found are the headers the generator wrote."""
