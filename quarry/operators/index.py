@@ -9,7 +9,9 @@ value per indexing batch).  The *current* state is a view:
 * functions, call edges, vectors: rows whose ``(file_path, ingest_seq)`` is a
   live file version (a left-semi join), so a re-upload hides everything of
   the older version (D5) and a delete cascades without touching children
-  (D4).  A batch whose files rows are not written yet is invisible.
+  (D4).  A batch whose files rows are not written yet is invisible;
+* ``op = 'clear'`` deletes the functions (and edges) of a file up to that
+  sequence, without the file and its vectors (D4, second half).
 
 The newest-row pick is an aggregation (``max_by``), not a window, so a file
 with a very long history is pre-aggregated map-side before the shuffle.
@@ -46,6 +48,11 @@ def tombstones(paths: DataFrame, ingest_seq, upload_time) -> DataFrame:
         F.lit("delete").alias("op"))
 
 
+def clears(paths: DataFrame, ingest_seq, upload_time) -> DataFrame:
+    """Files-log rows that delete the functions of ``paths`` but not the files (D4, second half)."""
+    return tombstones(paths, ingest_seq, upload_time).withColumn("op", F.lit("clear"))
+
+
 def function_rows(functions: DataFrame, ingest_seq) -> DataFrame:
     """the functions table row (tags joined, 500-char body preview)."""
     return functions.select(
@@ -97,13 +104,17 @@ def _as_col(x) -> Column:
 
 
 # --------------------------------------------------------------- current view
-def current_files(files_log: DataFrame) -> DataFrame:
-    """Newest row per ``file_path`` unless it is a tombstone."""
-    newest = files_log.groupBy("file_path").agg(
-        F.max_by(F.struct(*[c for c in files_log.columns if c != "file_path"]), "ingest_seq").alias("r"))
+def _newest(log: DataFrame) -> DataFrame:
+    newest = log.groupBy("file_path").agg(
+        F.max_by(F.struct(*[c for c in log.columns if c != "file_path"]), "ingest_seq").alias("r"))
     return newest.select("file_path", "r.*").filter(F.col("op") == "upsert")
 
 
+def current_files(files_log: DataFrame) -> DataFrame:
+    """Newest row per ``file_path`` unless it is a tombstone (clears leave the file as it is)."""
+    return _newest(files_log.filter(F.col("op") != "clear"))
+
+
 def live_versions(files_log: DataFrame) -> DataFrame:
     return current_files(files_log).select("file_path", "ingest_seq")
 
@@ -113,6 +124,12 @@ def current_rows(child_log: DataFrame, files_log: DataFrame) -> DataFrame:
     return child_log.join(live_versions(files_log), ["file_path", "ingest_seq"], "left_semi")
 
 
+def current_functions(child_log: DataFrame, files_log: DataFrame) -> DataFrame:
+    """Functions or edges of live file versions that were not cleared since."""
+    live = _newest(files_log.select("file_path", "ingest_seq", "op")).select("file_path", "ingest_seq")
+    return child_log.join(live, ["file_path", "ingest_seq"], "left_semi")
+
+
 def delete_by_file(vectors: DataFrame, paths: DataFrame):
     """D3: (remaining vectors, deleted count per requested path)."""
     wanted = paths.select("file_path").distinct()

@@ -419,6 +419,7 @@ select f.file_path, f.function_name, f.line_start, f.line_end, f.complexity,
 from fns f left join counts c on f.file_path = c.file_path"""
 
     _index_oracles(o)
+    o["approx_recall"] = "select 'all' as search, true as recall_reached union all select 'label', true"
     return o
 
 
@@ -571,6 +572,11 @@ select file_path, ingest_seq, function_name, file_path || '::' || function_name
   {join_list('tags')} as tags_str, left(coalesce(body, ''), {P.BODY_PREVIEW_CHARS}) as body_preview,
   line_start, line_end, complexity
 from cur_fns"""
+    o["cleared_functions"] = f"""with {ix},
+cleared as (select distinct file_path from ({C.part_corpus_sql('part', where=C.CLEAR_WHERE)}) t),
+left_over as (select file_path, count(*) as n from cur_fns where file_path not in (select file_path from cleared) group by file_path)
+select f.file_path, f.ingest_seq, cast(coalesce(n, 0) as integer) as functions_left
+from cur_files f left join left_over l on l.file_path = f.file_path"""
     o["index_edges"] = f"""with {ix}
 select file_path, ingest_seq, function_name as caller, line_start as caller_line, callee_name
 from (select *, unnest(calls) as callee_name from cur_fns)"""

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from quarry.operators import prompts as PR
 from quarry.operators import requests as RQ
 from quarry.operators.inference import DEFAULT_DIM, CompleteFn, EmbedFn, complete, embed
-from quarry.operators.search import attach_payload, search_topk
+from quarry.operators.search import attach_payload
+from quarry.operators.stored_lists import StoredLists, nearest
 
 DEBUG_TEMPERATURE = 0.1
 
@@ -30,15 +31,16 @@ class DebugBatch:
 
 def debug_prompts(requests: DataFrame, files: DataFrame, vectors: DataFrame,
                   findings_text: DataFrame | None = None, embed_fn: EmbedFn | None = None,
-                  dim: int = DEFAULT_DIM) -> DebugBatch:
+                  dim: int = DEFAULT_DIM, lists: StoredLists | None = None) -> DebugBatch:
     """Everything up to the prompt.  ``requests``: request_id, query,
-    file_filter, top_k.  ``files``/``vectors``: current index views."""
+    file_filter, top_k.  ``files``/``vectors``: current index views.  With the
+    index's stored ``lists`` the search is approximate (K3), without exact (K2)."""
     valid, bad1 = RQ.validate_debug_requests(requests)
     valid, bad2 = RQ.require_nonempty_index(valid, vectors)
     scoped = RQ.scope_requests(valid, files)
     q = embed(scoped.select(F.col("request_id").alias("query_id"), "query", "scope", "top_k"),
               "query", embed_fn, dim, out_col="qvec")
-    hits = search_topk(q, vectors, k_col="top_k", filter_col="scope", query_vec="qvec")
+    hits = nearest(q, vectors, lists, files.select("file_path", "ingest_seq"), k_col="top_k", filter_col="scope", query_vec="qvec")
     hits = attach_payload(hits, vectors)
     gathered = PR.gather_hits(hits)
     with_text = PR.with_hit_text(scoped.withColumnRenamed("request_id", "query_id"), gathered)
@@ -53,9 +55,9 @@ def debug_prompts(requests: DataFrame, files: DataFrame, vectors: DataFrame,
 
 def debug_batch(requests: DataFrame, files: DataFrame, vectors: DataFrame,
                 complete_fn: CompleteFn, findings_text: DataFrame | None = None,
-                embed_fn: EmbedFn | None = None, dim: int = DEFAULT_DIM):
+                embed_fn: EmbedFn | None = None, dim: int = DEFAULT_DIM, lists: StoredLists | None = None):
     """(responses, rejected).  Responses have request_id, query,
     retrieved_functions, suggested_fix, explanation, static_analysis_findings."""
-    b = debug_prompts(requests, files, vectors, findings_text, embed_fn, dim)
+    b = debug_prompts(requests, files, vectors, findings_text, embed_fn, dim, lists)
     answered = complete(b.prompts, "prompt", complete_fn, temperature=DEBUG_TEMPERATURE)
     return PR.parse_debug_responses(answered), b.rejected

@@ -7,6 +7,7 @@ there, so the comparison is on flat values).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from quarry.operators import graph, lint
 from quarry.operators.extract import brace_match, extract_functions, function_spans
 from quarry.operators.languages import is_analyzable, split_empty, split_supported, with_language
 from quarry.functions import text as T
-from quarry.session import materialize
+from quarry.operators.stored_lists import StoredLists
+from quarry.session import ensure_checkpoint_dir, materialize
 from quarry.sources import corpus
 from quarry.sources.store import read_code_table
 from quarry.operators import index as ix
@@ -187,6 +189,16 @@ def index_functions(spark, sf_dir):
         "line_start", "line_end", "complexity")
 
 
+def cleared_functions(spark, sf_dir):
+    """D4, second half: the functions of one brand's files are deleted, their files stay; one row per live file."""
+    files_log, fn_log = _index_logs(spark, sf_dir)[:2]
+    paths = corpus.part_corpus(spark, sf_dir, where=corpus.CLEAR_WHERE).select("file_path")
+    log = files_log.unionByName(ix.clears(paths, 4, corpus.BATCH_TIMES[3]))
+    left = ix.current_functions(fn_log, log).groupBy("file_path").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return ix.current_files(log).join(left, "file_path", "left").select(
+        "file_path", "ingest_seq", F.coalesce("n", F.lit(0)).alias("functions_left"))
+
+
 def index_edges(spark, sf_dir):
     files_log, _, edge_log = _index_logs(spark, sf_dir)[:3]
     return ix.current_rows(edge_log, files_log).select(
@@ -223,7 +235,7 @@ def index_count(spark, sf_dir):
 
 
 def index_summary(spark, sf_dir):
-    b1 = index_batch(corpus.part_corpus(spark, sf_dir), 1, corpus.BATCH_TIMES[1])
+    b1 = index_batch(corpus.part_corpus(spark, sf_dir), 1, corpus.BATCH_TIMES[1], write_once=True)
     summ = summary(b1)
     entry = F.transform(F.array_sort(F.map_entries("call_graph")),
                         lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], "|")))
@@ -302,12 +314,54 @@ def neighbor_distance(spark, sf_dir):
     return a.join(b, "a_id").select("a_id", "b_id", _dist(cosine_distance(F.col("a"), F.col("b"))).alias("distance"))
 
 
-def approx_topk(spark, sf_dir):
-    """K3: inverted-file candidates, exact re-rank (recall of 0.9 at least; rows-only check)."""
+_LISTS: dict = {}
+
+
+def build_vector_lists(spark, sf_dir):
+    """The stored inverted file over ``embeddings``, trained and written to the shared checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-vector-lists-{uuid.uuid4().hex}"
+    return StoredLists.train(_embedding_vectors(spark, sf_dir), path, recall=0.9)
+
+
+def _stored_lists(spark, sf_dir):
+    """The stored lists of a data folder: written by the first query that needs them (a stored index,
+    as in production), opened by every later one."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _LISTS:
+        _LISTS[key] = build_vector_lists(spark, sf_dir)
+    return _LISTS[key]
+
+
+def _approx_hits(spark, sf_dir, scoped):
     v = _embedding_vectors(spark, sf_dir)
-    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
-    hits = search_topk_approx(q, v, k=5, recall=0.9)
-    return hits.select("query_id", "rank", "vector_id", _dist(F.col("distance")).alias("distance"))
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding", F.col("file_path").alias("file_filter"))
+    lists = _stored_lists(spark, sf_dir)
+    if lists is None:
+        return spark.createDataFrame([], "query_id long, rank int, vector_id string, distance double")
+    return lists.search(q, k=5, filter_col="file_filter" if scoped else None)
+
+
+def approx_topk(spark, sf_dir):
+    """K3: the 5 nearest stored vectors of every stored vector, from the stored inverted file
+    (recall of 0.9 at least; rows-only check, ``approx_recall`` holds the recall)."""
+    return _approx_hits(spark, sf_dir, False).select("query_id", "rank", "vector_id", _dist(F.col("distance")).alias("distance"))
+
+
+def approx_topk_label(spark, sf_dir):
+    """K3 + F5: the same among the vectors of the query's label only."""
+    return _approx_hits(spark, sf_dir, True).select("query_id", "rank", "vector_id", _dist(F.col("distance")).alias("distance"))
+
+
+def approx_recall(spark, sf_dir):
+    """Whether both approximate searches find 0.9 of the exact hits."""
+    parts = []
+    for name, exact, scoped in (("all", vector_topk, False), ("label", vector_topk_label, True)):
+        want = exact(spark, sf_dir).select("query_id", "vector_id")
+        found = _approx_hits(spark, sf_dir, scoped).select("query_id", "vector_id", F.lit(1).alias("found"))
+        parts.append(want.join(found, ["query_id", "vector_id"], "left").agg(
+            (F.coalesce(F.count("found") / F.count(F.lit(1)), F.lit(1.0)) >= 0.9).alias("recall_reached"))
+            .select(F.lit(name).alias("search"), "recall_reached"))
+    return parts[0].unionByName(parts[1])
 
 
 def approx_topk_all_lists(spark, sf_dir):
@@ -414,6 +468,7 @@ def queries() -> dict[str, Query]:
         "complexity_report": complexity_report,
         "index_files": index_files,
         "index_functions": index_functions,
+        "cleared_functions": cleared_functions,
         "index_edges": index_edges,
         "index_vectors": index_vectors,
         "deleted_vectors": deleted_vectors,
@@ -427,6 +482,8 @@ def queries() -> dict[str, Query]:
         "vector_topk_label": vector_topk_label,
         "neighbor_distance": neighbor_distance,
         "approx_topk": approx_topk,
+        "approx_topk_label": approx_topk_label,
+        "approx_recall": approx_recall,
         "approx_topk_all_lists": approx_topk_all_lists,
         "code_table": code_table,
         "empty_rejects": empty_rejects,

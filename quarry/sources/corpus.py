@@ -131,6 +131,7 @@ def part_corpus(spark: SparkSession, sf_dir: str, version: int = 1, where: str |
 # data values, so each batch grows with the table.
 REUPLOAD_WHERE = "p_type = 'PROMO'"
 DELETE_WHERE = "p_brand = 'Brand#3'"
+CLEAR_WHERE = "p_brand = 'Brand#2'"
 BATCH_TIMES = {1: "2024-01-01 00:00:00", 2: "2024-01-02 00:00:00", 3: "2024-01-03 00:00:00"}
 
 

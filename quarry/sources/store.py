@@ -2,24 +2,33 @@
 
 Layout under one store folder (any Hadoop-compatible shared path)::
 
-    files/batch_id=N/       files log (upserts and tombstones)
-    functions/batch_id=N/   functions log
-    call_edges/batch_id=N/  call-edge log
-    vectors/batch_id=N/     vector log
-
-Writing batch N replaces the folder ``batch_id=N`` as a whole and nothing
-else (a replayed stream batch is idempotent).  The functions of a
-batch are written first and read back: edges, vectors and file rows derive
-from the written table, which cuts the lineage (a lost executor recomputes
-from that table, not from the raw corpus).  The files rows go last, so
-readers never see a half-written batch (children are only visible through a
-live files row).
+    files/batch_id=N/attempt=A/       files log (upserts, tombstones, clears)
+    functions/batch_id=N/attempt=A/   functions log
+    call_edges/batch_id=N/attempt=A/  call-edge log
+    vectors/batch_id=N/attempt=A/     vector log
+    commits/batch_id=N/attempt=A/     one row, written last: this attempt is batch N
+    claims/<sequence>                 which stream's micro-batch owns a sequence (S3)
+    lists/gen=G/                      the stored inverted file over the vectors, if asked for (K3)
+
+Every attempt at a batch writes folders of its own and becomes visible by its
+one commit row.  A reader takes the newest committed attempt of each batch
+and prunes all other folders by partition, so during a re-run it sees the old
+attempt or the new one, never rows of both, and a failed attempt leaves nothing
+that is read.  The functions of a batch are written first and read back: edges,
+vectors and file rows derive from the written table, which cuts the lineage (a
+lost executor recomputes from that table, not from the raw corpus).
+
+A path that a batch holds several times counts once: its last row by
+``source_code`` order is taken, whatever the order of arrival.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +36,7 @@ from quarry.operators import index as ix
 from quarry.operators.inference import DEFAULT_DIM, EmbedFn, embed
 from quarry.operators.languages import split_empty, split_supported
 from quarry.operators.extract import extract_functions
+from quarry.operators.stored_lists import StoredLists
 
 TABLES = ("files", "functions", "call_edges", "vectors")
 
@@ -85,15 +95,22 @@ def read_code_table(df: DataFrame, path_col: str, text_col: str, name_col: str |
 
 
 # ------------------------------------------------------------------- writing
-def _write(df: DataFrame, store: str, table: str, batch_id: int) -> None:
-    # the batch's own folder is replaced even by no rows (dynamic partition
-    # overwrite would leave the rows of an earlier attempt)
-    df.write.mode("overwrite").parquet(f"{store.rstrip('/')}/{table}/batch_id={int(batch_id)}")
+def _attempt() -> str:
+    """Names sort by time; the random part keeps two writers apart."""
+    return datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f") + "-" + uuid.uuid4().hex[:12]
 
 
-def _read_batch(spark: SparkSession, store: str, table: str, batch_id: int) -> DataFrame:
-    return (spark.read.parquet(f"{store.rstrip('/')}/{table}")
-            .filter(F.col("batch_id") == int(batch_id)).drop("batch_id"))
+def _folder(store: str, table: str, batch_id: int, attempt: str) -> str:
+    return f"{store.rstrip('/')}/{table}/batch_id={int(batch_id)}/attempt={attempt}"
+
+
+def _write(df: DataFrame, store: str, table: str, batch_id: int, attempt: str) -> None:
+    df.write.mode("overwrite").parquet(_folder(store, table, batch_id, attempt))
+
+
+def _commit(spark: SparkSession, store: str, batch_id: int, attempt: str) -> None:
+    row = spark.createDataFrame([(attempt,)], "committed string").coalesce(1)
+    _write(row, store, "commits", batch_id, attempt)
 
 
 @dataclass
@@ -102,25 +119,77 @@ class WriteResult:
     empty: DataFrame
 
 
+def one_row_per_path(files: DataFrame) -> DataFrame:
+    """Files with each path once (the largest text of a repeated path)."""
+    others = [c for c in files.columns if c not in ("file_path", "source_code")]
+    return files.groupBy("file_path").agg(F.max(F.struct("source_code", *others)).alias("_row")).select("file_path", "_row.*") \
+        .select(*files.columns)
+
+
 def write_index(spark: SparkSession, files: DataFrame, store: str, batch_id: int,
                 upload_time: str, embed_fn: EmbedFn | None = None,
-                dim: int = DEFAULT_DIM) -> WriteResult:
-    """S4 + E1: index ``files`` as batch ``batch_id`` (= ``ingest_seq``)."""
+                dim: int = DEFAULT_DIM, unique_paths: bool = False, lists: bool = False) -> WriteResult:
+    """S4 + E1: index ``files`` as batch ``batch_id`` (= ``ingest_seq``).
+
+    ``unique_paths``: the caller knows that no path is repeated, so the texts
+    need no shuffle to find out.  ``lists``: keep the stored inverted file (K3) up to date.
+    """
+    attempt = _attempt()
+    if not unique_paths and _repeated(files):
+        files = one_row_per_path(files)
     accepted, unsupported = split_supported(files)
-    _write(ix.function_rows(extract_functions(accepted), batch_id), store, "functions", batch_id)
-    # everything below reads the written batch back (lineage cut)
-    ext = _read_batch(spark, store, "functions", batch_id)
-    _write(ix.edge_rows(ext, batch_id), store, "call_edges", batch_id)
-    _write(embed(ix.vector_rows(ext, batch_id), "document", embed_fn, dim), store, "vectors", batch_id)
+    _write(ix.function_rows(extract_functions(accepted), batch_id), store, "functions", batch_id, attempt)
+    # everything below reads the written attempt back (lineage cut)
+    ext = spark.read.parquet(_folder(store, "functions", batch_id, attempt))
+    _write(ix.edge_rows(ext, batch_id), store, "call_edges", batch_id, attempt)
+    _write(embed(ix.vector_rows(ext, batch_id), "document", embed_fn, dim), store, "vectors", batch_id, attempt)
     kept, empty = split_empty(accepted, ext)
-    _write(ix.file_rows(kept, ext, batch_id, upload_time), store, "files", batch_id)
+    _write(ix.file_rows(kept, ext, batch_id, upload_time), store, "files", batch_id, attempt)
+    _commit(spark, store, batch_id, attempt)
+    if lists:
+        update_lists(spark, store, batch_id)
     return WriteResult(unsupported=unsupported, empty=empty)
 
 
+def _repeated(files: DataFrame) -> bool:
+    """Whether any path stands twice (paths only are shuffled)."""
+    return bool(files.groupBy("file_path").count().filter("count > 1").take(1))
+
+
 def delete_files(spark: SparkSession, paths: DataFrame, store: str, batch_id: int,
                  upload_time: str) -> None:
     """D4 persisted: a tombstone batch; children disappear from every view."""
-    _write(ix.tombstones(paths, batch_id, upload_time), store, "files", batch_id)
+    attempt = _attempt()
+    _write(ix.tombstones(paths, batch_id, upload_time), store, "files", batch_id, attempt)
+    _commit(spark, store, batch_id, attempt)
+
+
+def delete_functions(spark: SparkSession, paths: DataFrame, store: str, batch_id: int, upload_time: str) -> None:
+    """D4, second half, persisted: functions and edges of ``paths`` go, their files rows and vectors stay."""
+    attempt = _attempt()
+    _write(ix.clears(paths, batch_id, upload_time), store, "files", batch_id, attempt)
+    _commit(spark, store, batch_id, attempt)
+
+
+def update_lists(spark: SparkSession, store: str, batch_id: int, recall: float = 0.9) -> StoredLists | None:
+    """K3: assign the vectors of batch ``batch_id`` to the trained lists, or train a new generation of lists
+    over the current vectors if there is none or they have outgrown it."""
+    current = open_lists(spark, store)
+    if current is not None and not current.needs_training():
+        current.add(_log(spark, store, "vectors", _committed(spark, store)).filter(F.col("ingest_seq") == int(batch_id)), batch_id)
+        return current
+    return StoredLists.train(read_index(spark, store, lists=False).vectors, f"{store.rstrip('/')}/lists/gen={_attempt()}", recall=recall)
+
+
+def open_lists(spark: SparkSession, store: str) -> StoredLists | None:
+    """The newest generation of lists whose training is complete."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{store.rstrip('/')}/lists")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f.getPath().toString() for f in fs.listStatus(root)), reverse=True) if fs.exists(root) else []
+    for path in found:                                   # one folder for each training
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/about/_SUCCESS")):
+            return StoredLists.open(spark, path)
+    return None
 
 
 # ------------------------------------------------------------------- reading
@@ -131,28 +200,73 @@ class Index:
     functions: DataFrame
     edges: DataFrame
     vectors: DataFrame
+    lists: StoredLists | None = None
+
+
+def _committed(spark: SparkSession, store: str) -> list[str]:
+    """The newest committed attempt of each batch (one name a batch, as many as the store has folders anyway)."""
+    rows = spark.read.schema("committed string, batch_id long, attempt string").parquet(f"{store.rstrip('/')}/commits")
+    return [r.attempt for r in rows.groupBy("batch_id").agg(F.max("attempt").alias("attempt")).collect()]
 
 
-def read_index(spark: SparkSession, store: str) -> Index:
-    """The four tables as current views over their logs."""
-    def log(t):
-        schema = SCHEMAS[t] + ", batch_id int"
-        return spark.read.schema(schema).parquet(f"{store.rstrip('/')}/{t}").drop("batch_id")
+def _log(spark: SparkSession, store: str, table: str, attempts: list[str]) -> DataFrame:
+    """A table's log: rows of these attempts.  The filter is on the partition column, so other folders are not read."""
+    schema = f"{SCHEMAS[table]}, batch_id long, attempt string"
+    try:
+        rows = spark.read.schema(schema).parquet(f"{store.rstrip('/')}/{table}")
+    except AnalysisException:                            # no batch has written this table (a store of deletes only)
+        rows = spark.createDataFrame([], schema)
+    return rows.filter(F.col("attempt").isin(attempts)).drop("batch_id", "attempt")
 
-    files_log = log("files")
+
+def read_index(spark: SparkSession, store: str, lists: bool = True) -> Index:
+    """The four tables as current views over their logs, and the stored lists, if there are any."""
+    attempts = _committed(spark, store)
+    files_log = _log(spark, store, "files", attempts)
     return Index(
         files_log=files_log,
         files=ix.current_files(files_log),
-        functions=ix.current_rows(log("functions"), files_log),
-        edges=ix.current_rows(log("call_edges"), files_log),
-        vectors=ix.current_rows(log("vectors"), files_log),
+        functions=ix.current_functions(_log(spark, store, "functions", attempts), files_log),
+        edges=ix.current_functions(_log(spark, store, "call_edges", attempts), files_log),
+        vectors=ix.current_rows(_log(spark, store, "vectors", attempts), files_log),
+        lists=open_lists(spark, store) if lists else None,
     )
 
 
 def compact(spark: SparkSession, store: str, out: str) -> None:
     """Rewrite the current views into a fresh store folder (one batch, 0),
-    clustered by ``file_path`` for min/max pruning of point lookups."""
-    idx = read_index(spark, store)
+    clustered by ``file_path`` for min/max pruning of point lookups.  Functions
+    that were deleted without their file are gone for good; rows keep their sequences."""
+    idx, attempt = read_index(spark, store, lists=False), _attempt()
     for name, df in (("functions", idx.functions), ("call_edges", idx.edges),
                      ("vectors", idx.vectors), ("files", idx.files)):
-        _write(df.repartitionByRange("file_path").sortWithinPartitions("file_path"), out, name, 0)
+        _write(df.repartitionByRange("file_path").sortWithinPartitions("file_path"), out, name, 0, attempt)
+    _commit(spark, out, 0, attempt)
+
+
+# -------------------------------------------------------------------- claims
+def claim_sequence(spark: SparkSession, store: str, stream_id: str, micro_batch: int, now: str,
+                   seq_base: int = 1_000_000) -> tuple[int, str]:
+    """S3: (sequence, upload time) of a stream's micro-batch, the same ones whenever it is replayed.
+
+    A claim is a file named by its sequence, created only if it is not there,
+    so two streams never own the same one; a second file names the stream (the
+    id kept in its checkpoint), the micro-batch, the sequence and the time.  A
+    try that ends between the two leaves a sequence unused.  A fresh checkpoint
+    is another stream and takes sequences above all earlier ones.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = f"{store.rstrip('/')}/claims"
+    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(folder))
+    names = [f.getPath().getName() for f in fs.listStatus(hadoop.Path(folder))]
+    owner, seqs = f"{stream_id}.{int(micro_batch)}", [int(n) for n in names if n.isdigit()]
+    marks = [n for n in names if n.startswith(f"{owner}.")]      # <stream>.<micro-batch>.<sequence>.<time>
+    if marks:
+        seq, time = min(marks).split(".")[2:]
+        return int(seq), time.replace("T", " ").replace("-", ":").replace("_", "-")
+    seq = max(seqs, default=seq_base - 1) + 1
+    while not fs.createNewFile(hadoop.Path(f"{folder}/{seq}")):  # another stream was faster
+        seq += 1
+    fs.createNewFile(hadoop.Path(f"{folder}/{owner}.{seq}." + now.replace("-", "_").replace(":", "-").replace(" ", "T")))
+    return seq, now
