@@ -4,11 +4,12 @@ Texts are lower-cased (A-Z) and cut into words of letters, digits and
 non-ASCII.  A k-gram hash is kept if it is the smallest (the rightmost, in
 ties) of some window of ``window - k + 1`` consecutive k-grams, so two texts
 sharing ``window`` words share a kept fingerprint at the same place of the
-shared span.  Kept fingerprints of the documents are looked up among those of
-the benchmark, every hit is extended word by word in both directions, and
-runs of ``window`` words or more, compared byte by byte, mark their words.
-An item of fewer words is one window and is looked up with k = its length
-and a winnowing window of one, which keeps every k-gram.
+shared span.  Kept fingerprints of the documents are joined with those of the
+benchmark; a hit extends to the windows around it, those that are windows of an
+item, compared byte by byte, mark their words, and neighbouring ones make up the
+shared span.  Items keep each distinct window once with the items that hold it,
+so a word repeated thousands of times on both sides costs what other text does.
+An item of fewer words is one window, looked up at every place.
 
 The benchmark travels to the tasks in blocks of at most ``block_bytes`` of
 text (plus one item); with several blocks the marked spans of the blocks are
@@ -17,7 +18,8 @@ united per document.  Documents are never shuffled for one block.
 Defined cases: a null or empty text has no words and is never contaminated;
 a null or empty item has no windows; item ids are compared as strings, a
 null id as the empty string, and items sharing an id count once; repeated
-documents are judged alike; an empty benchmark hits nothing.
+documents are judged alike; an empty benchmark hits nothing.  A column of the
+documents that is called like the result (``into``) gives way to it.
 """
 
 from __future__ import annotations
@@ -58,90 +60,89 @@ def winnow(h: np.ndarray, left: np.ndarray, k: int, window: int) -> tuple[np.nda
     return at, g[at]
 
 
+class _Windows:
+    """The distinct windows of one length of some items: hashes in order, a place of each and the items that hold it."""
+
+    def __init__(self, w: W.Words, owner: np.ndarray, starts: np.ndarray, length: int):
+        h = W.ngrams(w.hash, length)[starts] if len(starts) else w.hash[:0]
+        order = np.lexsort((owner[starts], h))
+        h, starts, item = h[order], starts[order], owner[starts][order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        once = new.copy()
+        once[1:] |= item[1:] != item[:-1]
+        self.length, self.hash, self.place = length, h[new], starts[new]
+        self.items = item[once]                              # items[first[u]:first[u + 1]] hold window u
+        self.first = np.concatenate([np.searchsorted(np.cumsum(new)[once], np.arange(1, new.sum() + 1)), [once.sum()]])
+
+    def find(self, w: W.Words, items: W.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document places, windows) of the places in ``at`` that hold a window, byte for byte."""
+        if not len(self.hash) or not len(at):
+            return at[:0], at[:0]
+        h = W.ngrams(w.hash, self.length)[at]
+        u = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        same = self.hash[u] == h
+        at, u = at[same], u[same]
+        ok = np.zeros(len(at), bool)
+        for a in range(0, len(at), 1 << 15):
+            ok[a:a + (1 << 15)] = _same_words(w, at[a:a + (1 << 15)], items, self.place[u[a:a + (1 << 15)]], self.length)
+        return at[ok], u[ok]
+
+
+def _same_words(a: W.Words, i: np.ndarray, b: W.Words, j: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n words of a from i and those of b from j are the same bytes."""
+    i, j = (i[:, None] + np.arange(n)).ravel(), (j[:, None] + np.arange(n)).ravel()
+    size = a.end[i] - a.start[i]
+    alike = size == b.end[j] - b.start[j]
+    size = np.where(alike, size, 0)
+    first = np.cumsum(size) - size
+    ramp = np.arange(size.sum()) - np.repeat(first, size)
+    differ = a.data[np.repeat(a.start[i], size) + ramp] != b.data[np.repeat(b.start[j], size) + ramp]
+    wrong = np.bincount(np.repeat(np.arange(len(i)), size), differ, minlength=len(i)) > 0
+    return (alike & ~wrong).reshape(-1, n).all(axis=1)
+
+
 class _Items:
-    """Benchmark side: words of a block of items and their fingerprints, by k."""
+    """Benchmark side: words of a block of items, their fingerprints, and their windows by length."""
 
     def __init__(self, ids: list, texts: list, window: int, k: int):
         self.ids = ["" if i is None else str(i) for i in ids]
         self.words = w = W.word_table(pa.array(texts, pa.string()), W.LETTERS_LOWER)
-        n = w.counts()
-        owner, left = w.owner(), w.left()
-        self.owner, self.short = owner, {}
-        at, fp = winnow(w.hash, left, k, window)
-        self.at, self.fp = self._sorted(at, fp)
-        for length in np.unique(n[(n > 0) & (n < window)]):
-            first = w.first[:-1][n == length]
-            g = W.ngrams(w.hash, int(length))
-            self.short[int(length)] = self._sorted(first, g[first])
-
-    @staticmethod
-    def _sorted(at, fp):
-        order = np.argsort(fp, kind="stable")
-        return at[order], fp[order]
-
-
-def _matches(at, fp, item_at, item_fp):
-    """All (document word, item word) pairs with equal fingerprints."""
-    lo, hi = np.searchsorted(item_fp, fp, "left"), np.searchsorted(item_fp, fp, "right")
-    n = hi - lo
-    doc = np.repeat(at, n)
-    inner = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    return doc, item_at[np.repeat(lo, n) + inner]
-
-
-def _extend(w, left, items, doc, item):
-    """Grow each match to the longest equal run: (document from, document to, item from)."""
-    iw = items.words
-    d_first, i_first = w.first[w.owner()[doc]], iw.first[items.owner[item]]
-    back = np.zeros(len(doc), np.int64)
-    live = np.arange(len(doc))
-    while len(live):
-        d, i = doc[live] - back[live] - 1, item[live] - back[live] - 1
-        ok = (d >= d_first[live]) & (i >= i_first[live])
-        ok[ok] = w.hash[d[ok]] == iw.hash[i[ok]]
-        live = live[ok]
-        back[live] += 1
-    start, i_start = doc - back, item - back
-    runs = np.unique(np.stack([start, i_start], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-    start, i_start = runs[:, 0], runs[:, 1]
-    room = np.minimum(left[start], iw.left()[i_start]) if len(start) else start
-    ahead = np.zeros(len(start), np.int64)
-    live = np.arange(len(start))
-    while len(live):
-        ok = ahead[live] < room[live]
-        live = live[ok]
-        live = live[w.hash[start[live] + ahead[live]] == iw.hash[i_start[live] + ahead[live]]]
-        ahead[live] += 1
-    return start, start + ahead, i_start
+        n, owner, left = w.counts(), w.owner(), w.left()
+        self.fp = np.unique(winnow(w.hash, left, k, window)[1])
+        self.whole = _Windows(w, owner, np.flatnonzero(left >= window), window)
+        self.short = [_Windows(w, owner, w.first[:-1][n == length], int(length)) for length in np.unique(n[(n > 0) & (n < window)])]
 
 
 def _scan(texts: pa.Array, items: _Items, window: int, k: int) -> list[tuple]:
-    """(n_words, covered word spans, items) of every text."""
+    """(n_words, covered word spans, items) of every text.
+
+    A hit fingerprint extends to the windows around it, which are looked up among the items' distinct
+    windows; however often a window repeats on either side, each place is looked at once."""
     w = W.word_table(texts, W.LETTERS_LOWER)
-    left, owner = w.left(), w.owner()
-    found = []
+    left, owner, total = w.left(), w.owner(), len(w.start)
     at, fp = winnow(w.hash, left, k, window)
-    d, i = _matches(at, fp, items.at, items.fp)
-    if len(d):
-        s, e, i0 = _extend(w, left, items, d, i)
-        long = e - s >= window
-        found += zip(s[long], e[long], i0[long])
-    for length, (iat, ifp) in items.short.items():
-        at, fp = winnow(w.hash, left, length, length)
-        d, i = _matches(at, fp, iat, ifp)
-        found += zip(d, d + length, i)
-    out = [(int(n), [], set()) for n in w.counts()]
-    for s, e, i0 in sorted(found):
-        if w.get(s, e) == items.words.get(i0, i0 + e - s):
-            doc = owner[s]
-            spans, base = out[doc][1], w.first[doc]
-            s, e = int(s - base), int(e - base)
-            if spans and s <= spans[-1]:
-                spans[-1] = max(spans[-1], e)
-            else:
-                spans += [s, e]
-            out[doc][2].add(items.ids[items.owner[i0]])
-    return out
+    at = at[np.isin(fp, items.fp)]
+    around = np.unique(at[:, None] - np.arange(window - k + 1))
+    around = around[around >= 0]
+    found = [(items.whole, *items.whole.find(w, items.words, around[left[around] >= window]))]
+    found += [(t, *t.find(w, items.words, np.flatnonzero(left >= t.length))) for t in items.short]
+    edges = np.zeros(total + 1, np.int64)
+    named: list[set] = [set() for _ in range(len(w))]
+    for table, s, u in found:
+        np.add.at(edges, s, 1)
+        np.add.at(edges, s + table.length, -1)
+        for d, x in np.unique(np.stack([owner[s], u], 1), axis=0) if len(s) else ():
+            named[d].update(items.ids[i] for i in table.items[table.first[x]:table.first[x + 1]])
+    hit = np.cumsum(edges)[:total] > 0
+    begins, stops = hit.copy(), hit.copy()
+    begins[1:] &= ~hit[:-1] | (owner[1:] != owner[:-1])
+    stops[:-1] &= ~hit[1:] | (owner[1:] != owner[:-1])
+    begins, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    spans: list[list] = [[] for _ in range(len(w))]
+    for d, s, e in zip(owner[begins].tolist(), begins.tolist(), stops.tolist()):
+        spans[d] += [s - int(w.first[d]), e - int(w.first[d])]
+    return list(zip(w.counts().tolist(), spans, named))
 
 
 def _scanner(ids, texts, window, k):

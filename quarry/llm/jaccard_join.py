@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from quarry.llm import words as W
 from quarry.llm.io import staged
 
-MAX_FREQUENT, GATHER, CELL, PAIRS, LIGHT_MOST, DROPS, BEFORE = 500_000, 1 << 22, 2048, 1 << 20, 64, 3, 3
+MAX_FREQUENT, GATHER, CELL, PAIRS, LIGHT_MOST, DROPS, BEFORE = 500_000, 1 << 22, 2048, 1 << 16, 64, 3, 3
 _BEFORE = [f"before{d}" for d in range(1, BEFORE + 1)]
 _SETS = "row long, text_key long, doc_id long, sid long, n long, bits binary, shingle long, seen long"
 

@@ -66,7 +66,7 @@ def repeated_chunks(documents: DataFrame, text: str = "text", window: int = WIND
     texts = staged(texts, "line-chunk-texts")
     first = texts.groupBy(F.col("t").alias("_t")).agg(F.min(place).alias("p"), F.count("*").alias("m")).filter("m > 1")
     return (texts.join(first, F.col("t") == F.col("_t")).filter(F.struct("_key", "c") != F.col("p"))
-            .groupBy("_key").agg(F.collect_set("c").alias("chunks")))
+            .groupBy("_key").agg(F.collect_set("c").alias("_chunks")))
 
 
 def dedup_lines(documents: DataFrame, text: str = "text", window: int = WINDOW, mean: int = MEAN) -> DataFrame:
@@ -75,7 +75,7 @@ def dedup_lines(documents: DataFrame, text: str = "text", window: int = WINDOW,
     marks = repeated_chunks(documents, text, window, mean).withColumnRenamed("_key", "_of")
     df = documents.withColumn("_key", F.xxhash64(*documents.columns)).join(marks, F.col("_key") == F.col("_of"), "left")
     df = _chunked(df, text, window, mean)
-    gone = F.coalesce("chunks", F.array().cast("array<int>"))
+    gone = F.coalesce("_chunks", F.array().cast("array<int>"))
     df = pin(df, _kept=F.filter(_bounds(), lambda x: ~F.array_contains(gone, x["c"])))
     left = F.aggregate("_kept", F.lit(0), lambda n, x: n + x["n"])
     cleaned = F.when(F.size(gone) == 0, F.col(text)).otherwise(

@@ -1,14 +1,18 @@
 """Personal data by weak supervision.
 
 Base spans (emails, IPs, cards, phones) come from fixed patterns with checks
-and always stay.  Opaque strings, number groups and bare phone numbers are
-candidates too.  Three labelers vote on every candidate - a pattern labeler,
-a gazetteer of known prefixes and reserved values, and a context labeler
-reading the words before it - or abstain.  Expectation-maximisation over the
-vote patterns of all documents estimates each labeler's reliability per
-class; the posteriors train a logistic span classifier on shape features,
-and candidates it accepts are added.  Votes and features are counted as
-patterns of bounded number, so only counts reach the driver.
+and always stay.  Opaque strings, number groups and bare phone numbers outside
+them are candidates.  Three labelers vote on every candidate or abstain: a
+pattern labeler (shape and check digits), a gazetteer (families of keys, issuer
+and numbering ranges, reserved and placeholder values) and a context labeler
+reading the words before it.  Expectation-maximisation over the candidates' vote
+patterns, with a fixed class prior (``PRIOR``), estimates each labeler's
+reliability per class.  The posteriors train a logistic span classifier on what
+the labelers do not say: characters, lengths and the word before the span.  A
+candidate is added if at least one labeler votes for it and the mean log-odds of
+its posterior and of the classifier are above 0.  Base spans teach nothing, so
+their number never moves the answer for a candidate.  Votes and features are
+counted as patterns of bounded number, so only counts reach the driver.
 
 Patterns run in linear time on any text (possessive repeats, no re-reading
 of long runs) and only on texts holding '@' or a digit.
@@ -22,7 +26,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +52,17 @@ _HEX = re.compile(r"[0-9a-f]++|[0-9A-F]++")
 _HOLDS = re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|key|auth|bearer|"
                     r"iban|account|card|ssn|tel|phone|call|fax|mobile)\b\W*$")
 _DENIES = re.compile(r"(?i)\b(?:isbn|issn|version|commit|revision|order|invoice|page|http|https|www)\b\W*$")
-_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-", "eyJ")     # key families
+# Families of keys and tokens, by their fixed beginnings.
+_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "pk_live_",
+             "rk_live_", "xoxa-", "xoxb-", "xoxp-", "xoxs-", "eyJ", "SG.", "npm_", "pypi-", "hf_", "ya29.", "shpat_")
+_PLACEHOLDERS = re.compile(r"(?i)x{6,}|example|placeholder|your[_-]|changeme|12345678|abcdefgh")
+# Issuer ranges of payment cards: beginning and numbers of digits.
+_ISSUERS = re.compile(r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}"
+                      r"|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|6(?:011|5[0-9]{2}|4[4-9][0-9])[0-9]{12}|35(?:2[89]|[3-8][0-9])[0-9]{12}")
+# North American numbering: area and exchange begin with 2 to 9; 555-01xx is reserved for fiction.
+_NUMBERING = re.compile(r"[2-9][0-9]{2}[2-9][0-9]{6}")
+_FICTION = re.compile(r"[0-9]{3}55501[0-9]{2}")
+PRIOR, PRIOR_COUNT, WORDS = 0.2, 20.0, 64     # share of personal data among candidates before any is seen; its weight; word buckets
 _CONTEXT = 24
 
 
@@ -111,24 +127,27 @@ def extra_candidates(s: str, base) -> list[tuple[int, int, str]]:
     return kept
 
 
-def signals(s: str, span) -> tuple[int, int, int, int, int, int]:
-    """(kind, pattern vote, gazetteer vote, context vote, length bucket, digit bucket); votes 1, 0 or -1 (abstains)."""
+def signals(s: str, span) -> tuple[int, ...]:
+    """(kind, pattern vote, gazetteer vote, context vote, length, digits, changes, word bucket) of a candidate.
+    Votes are 1, 0 or -1 (abstains); the rest are the classifier's features."""
     a, kind, b = span
     text, before = s[a:b], s[max(0, a - _CONTEXT):a]
-    digits = sum(c.isdigit() for c in text)
-    if kind < 4:
-        pattern = 1
-    elif kind == 4:
-        pattern = 1 if _HEX.fullmatch(text) or (any(map(str.islower, text)) and any(map(str.isupper, text))) else 0
-    else:
-        pattern = 1 if kind == 6 else 0
-    gazetteer = 1 if text.startswith(_PREFIXES) else -1
-    if kind == 1:
-        gazetteer = 0 if text.startswith(("0.", "127.", "255.")) else -1
-    elif kind == 5:
-        gazetteer = 0 if len(set(text)) <= 2 else -1
+    digits = "".join(c for c in text if c.isdigit())
+    lower, upper = any(map(str.islower, text)), any(map(str.isupper, text))
+    if kind == 4:                                     # opaque: mixed case or one case of hexadecimal digits
+        pattern = 1 if _HEX.fullmatch(text) or (lower and upper) else 0
+        gazetteer = 1 if text.startswith(_PREFIXES) else 0 if len(set(text)) <= 4 or _PLACEHOLDERS.search(text) else -1
+    elif kind == 5:                                   # a number group: check digit; issuers
+        pattern = (1 if _luhn(digits) else 0) if len(digits) >= 12 else -1
+        gazetteer = 0 if len(set(digits)) <= 2 else 1 if _ISSUERS.fullmatch(digits) and _luhn(digits) else -1
+    else:                                             # a bare phone number: written as one; numbering plan
+        pattern = 1 if len(set(text) & set(" .-()")) else -1
+        gazetteer = 0 if _FICTION.fullmatch(digits) or not _NUMBERING.fullmatch(digits) else 1
     context = 1 if _HOLDS.search(before) else 0 if _DENIES.search(before) else -1
-    return (kind, pattern, gazetteer, context, min(5, (b - a) // 8), 4 * digits // max(1, b - a))
+    changes = sum(x.isdigit() != y.isdigit() for x, y in zip(text, text[1:]))
+    word = re.search(r"([^\W\d_]+)\W*\Z", before)
+    bucket = zlib.crc32(word[1].lower().encode()) % WORDS if word else WORDS
+    return kind, pattern, gazetteer, context, min(5, (b - a) // 8), 4 * len(digits) // max(1, b - a), min(4, changes // 2), bucket
 
 
 def _rich(texts: pa.Array) -> np.ndarray:
@@ -143,7 +162,7 @@ def _count_signals(batches):
         for i in np.flatnonzero(_rich(texts)):
             s = texts[i].as_py()
             base = base_spans(s)
-            seen.update(signals(s, x) for x in base + extra_candidates(s, base))
+            seen.update(signals(s, x) for x in extra_candidates(s, base))
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())],
@@ -151,15 +170,18 @@ def _count_signals(batches):
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 200):
-    """EM over vote patterns: (posterior of class 1 per pattern, P(vote | class) by labeler, class share)."""
-    post = np.clip((votes == 1).mean(1) - (votes == 0).mean(1) + 0.5, 0.05, 0.95)
+    """EM over vote patterns: (posterior of class 1 per pattern, P(vote | class, it votes) by class and labeler,
+    class shares).  A labeler that abstains says nothing."""
+    post = np.where((votes == 1).sum(1) > (votes == 0).sum(1), 0.8, 0.2)
+    agree = np.array([[6.0, 2.0], [2.0, 6.0]])                        # pseudo-counts: a labeler is right more often than not
     for _ in range(rounds):
         w = np.stack([n * (1 - post), n * post])                       # class, pattern
-        share = (w.sum(1) + 1) / (w.sum() + 2)
-        rates = np.stack([[[(w[c] * (votes[:, j] == v)).sum() + 1 for v in (-1, 0, 1)]
+        share = (w.sum(1) + PRIOR_COUNT * np.array([1 - PRIOR, PRIOR])) / (w.sum() + PRIOR_COUNT)
+        rates = np.stack([[[(w[c] * (votes[:, j] == v)).sum() + agree[c, v] for v in (0, 1)]
                            for j in range(votes.shape[1])] for c in (0, 1)])
         rates = rates / rates.sum(2, keepdims=True)
-        like = np.log(share)[:, None] + sum(np.log(rates[:, j, votes[:, j] + 1]) for j in range(votes.shape[1]))
+        like = np.log(share)[:, None] + sum(
+            np.where(votes[:, j] >= 0, np.log(rates[:, j, np.maximum(votes[:, j], 0)]), 0.0) for j in range(votes.shape[1]))
         new = 1 / (1 + np.exp(np.clip(like[0] - like[1], -500, 500)))
         done = np.abs(new - post).max() < 1e-10
         post = new
@@ -169,42 +191,57 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 200):
 
 
 def _features(signal) -> list[float]:
-    kind, pattern, gazetteer, context, length, digits = signal
+    kind, _, _, _, length, digits, changes, word = signal
     one = lambda v, of: [float(v == x) for x in of]
-    return [1.0, *one(kind, range(len(KINDS))), *one(pattern, (0, 1)), *one(gazetteer, (0, 1)), *one(context, (0, 1)),
-            *one(length, range(6)), *one(digits, range(5))]
+    return [1.0, *one(kind, range(len(BASE), len(KINDS))), *one(length, range(6)), *one(digits, range(5)), *one(changes, range(5)),
+            *one(word, range(WORDS + 1))]
 
 
-def fit(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """Weights of the span classifier, from the vote patterns of all documents."""
+class Judge(NamedTuple):
+    """What was learnt: weights of the classifier, P(vote | class) by labeler and the class shares."""
+
+    weights: np.ndarray
+    rates: np.ndarray
+    share: np.ndarray
+
+    def accepts(self, signal) -> bool:
+        votes = signal[1:4]
+        if 1 not in votes:
+            return False
+        odds = math.log(self.share[1] / self.share[0]) + sum(
+            math.log(self.rates[1, j, v] / self.rates[0, j, v]) for j, v in enumerate(votes) if v >= 0)
+        return odds + math.fsum(a * b for a, b in zip(self.weights, _features(signal))) > 0
+
+
+def fit(documents: DataFrame, text: str = "text") -> Judge | None:
+    """Reliabilities and classifier from the vote patterns of all documents; None without candidates."""
     rows = (documents.select(F.col(text).alias("text")).mapInArrow(_count_signals, "signal array<int>, n long")
             .groupBy("signal").agg(F.sum("n").alias("n")).collect())
     if not rows:
-        return np.zeros(0)
+        return None
     rows = sorted((tuple(r.signal), r.n) for r in rows)
     votes, n = np.array([r[0][1:4] for r in rows]), np.array([r[1] for r in rows], float)
-    post, _, _ = reliabilities(votes, n)
+    post, rates, share = reliabilities(votes, n)
     x = np.array([_features(r[0]) for r in rows])
     w, n = np.zeros(x.shape[1]), n / n.sum()
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (n * (post - p)) - 1e-4 * w
-        hess = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
+        grad = x.T @ (n * (post - p)) - 1e-3 * w
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
         w += np.linalg.solve(hess, grad)
-    return w
+    return Judge(w, rates, share)
 
 
 _RESULT = "base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>"
 
 
-def _finder(weights: np.ndarray):
+def _finder(judge: Judge | None):
     one = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     accepted: dict = {}
 
     def accepts(signal) -> bool:
         if signal not in accepted:
-            accepted[signal] = bool(len(weights)) and math.fsum(
-                a * b for a, b in zip(weights, _features(signal))) >= 0
+            accepted[signal] = judge is not None and judge.accepts(signal)
         return accepted[signal]
 
     def run(column: pa.Array) -> pa.Array:
@@ -223,9 +260,9 @@ def _finder(weights: np.ndarray):
     return F.arrow_udf(run, _RESULT)
 
 
-def find_pii(documents: DataFrame, weights: np.ndarray, text: str = "text", into: str = "pii") -> DataFrame:
+def find_pii(documents: DataFrame, judge: Judge | None, text: str = "text", into: str = "pii") -> DataFrame:
     """``documents`` with a struct column ``into``: base spans and all spans (kind, start, end in code points)."""
-    return documents.withColumn(into, _finder(weights)(F.col(text)))
+    return documents.withColumn(into, _finder(judge)(F.col(text)))
 
 
 def as_text(spans):

@@ -7,8 +7,9 @@ weighted by size (about ``SAMPLES`` keys per range, so its bound is a
 parameter and not the data) gives quantile boundaries; records are
 range-partitioned by them, the ranges' exact bytes are measured, and ranges
 over ``OVERFULL`` times the mean are subdivided by new samples of their own
-until none is, or it holds one record.  The exact running bytes then cut the
-order into shards, so shards differ by about one record.
+until none is, or it holds one record (or no new sample finds a place to cut
+between two different keys).  The exact running bytes then cut the order into
+shards, so shards differ by about one record, or by such a group.
 
 Defined cases: a null text has no bytes (size 1 with the row's own byte),
 text_crc32 0 like the empty text; repeated rows are separate records told
@@ -18,6 +19,8 @@ not show; an empty table gives no rows; fewer records than shards leave shards e
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from quarry.llm.io import staged, utf8_bytes
 
 SHARDS = 16
-ROWS_PER_RANGE, MIN_RANGES, MAX_RANGES, SAMPLES, OVERFULL = 50_000, 64, 65_536, 24, 4.0
+ROWS_PER_RANGE, MIN_RANGES, MAX_RANGES, SAMPLES, OVERFULL, WHOLE = 50_000, 64, 65_536, 24, 4.0, 0.1
 
 
 def _key_bytes(*parts) -> np.ndarray:
@@ -64,12 +67,12 @@ def splitters_for(rows: DataFrame, total: int, count: int) -> tuple[np.ndarray,
     """Splitters of ranges that hold similar bytes, and range -> (bytes, records)."""
     n = int(min(MAX_RANGES, max(MIN_RANGES, count // ROWS_PER_RANGE)))
     cuts = _quantiles(_sample(rows, n * SAMPLES / max(1, total), 0), n)
-    for attempt in range(1, 9):
+    for attempt in itertools.count(1):
         ranged = rows.withColumn("_r", _range_of(cuts)("_k1", "_k2", "_k3"))
         held = {r._r: (r.b, r.n) for r in ranged.groupBy("_r").agg(
             F.sum("_size").alias("b"), F.count("*").alias("n")).collect()}
         over = [r for r, (b, c) in held.items() if b > OVERFULL * total / n and c > 1]
-        if not over or attempt == 8:
+        if not over:
             return cuts, held
         inside = _sample(ranged.filter(F.col("_r").isin(over)), n * SAMPLES * 2 / max(1, total), attempt)
         where = np.searchsorted(cuts, inside, "right")
@@ -80,6 +83,18 @@ def splitters_for(rows: DataFrame, total: int, count: int) -> tuple[np.ndarray,
         cuts = grown
 
 
+def _whole_groups(cut: DataFrame, most: float) -> dict[int, int]:
+    """Text hash -> shard of the groups that the ends of shards cut, if they have at most ``most`` bytes."""
+    ends = sorted((r._shard, r.low, r.high) for r in cut.groupBy("_shard").agg(
+        F.min("_k1").alias("low"), F.max("_k1").alias("high")).collect())                 # one row a shard
+    split = {a[2] for a, b in zip(ends, ends[1:]) if a[2] == b[1]}
+    held: dict[int, dict] = {}
+    if split:
+        for r in cut.filter(F.col("_k1").isin(split)).groupBy("_k1", "_shard").agg(F.sum("_size").alias("b")).collect():
+            held.setdefault(r._k1, {})[r._shard] = r.b
+    return {k: min(h, key=lambda s: (-h[s], s)) for k, h in held.items() if sum(h.values()) <= most}
+
+
 def shard(records: DataFrame, shards: int = SHARDS, text: str = "text", keep=("doc_id",), payload=()) -> DataFrame:
     """Every record with size, text_crc32, law ('bytes'), shard and slot; columns ``keep`` stay.
 
@@ -107,7 +122,12 @@ def shard(records: DataFrame, shards: int = SHARDS, text: str = "text", keep=("d
     order = Window.partitionBy("_r").orderBy("_k1", "_k2", "_k3")
     upto = F.col("_before") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     place = F.floor((upto - F.col("_size") / 2) * F.lit(float(shards)) / F.lit(float(max(1, total))))
-    placed = staged(ranged.withColumn("_shard", F.least(place, F.lit(shards - 1)).cast("int"))
+    cut = staged(ranged.withColumn("_shard", F.least(place, F.lit(shards - 1)).cast("int")), "shards-cut")
+    whole = _whole_groups(cut, WHOLE * total / shards)
+    to = F.col("_shard")
+    for key, target in whole.items():
+        to = F.when(F.col("_k1") == key, F.lit(target)).otherwise(to)
+    placed = staged(cut.withColumn("_shard", to)
                     .withColumn("_in", F.row_number().over(
                         Window.partitionBy("_r", "_shard").orderBy("_k1", "_k2", "_k3"))), "shards")
     per = sorted((r._shard, r._r, r.n) for r in placed.groupBy("_shard", "_r").agg(F.count("*").alias("n")).collect())

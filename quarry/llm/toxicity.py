@@ -185,22 +185,23 @@ def _lambda(p, s, drift) -> float:
 
 def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (from, to, score); ``at`` holds the scoring words, ``drift`` the rest."""
-    stack: list[list] = []           # [left sum, right sum, from, to]
+    stack: list[list] = []           # [left sum, right sum, from, to, place of the nearest earlier one with a smaller left sum]
     total, before = 0.0, 0
     for i, s in zip(at.tolist(), score.tolist()):
         total += drift * (i - before)
         left, total, before = total, total + s, i + 1
-        new = [left, total, i, i + 1]
-        while stack:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= new[0]:
-                j -= 1
+        new, j = [left, total, i, i + 1, -1], len(stack) - 1
+        while True:
+            while j >= 0 and stack[j][0] >= new[0]:       # all that j passed over have larger left sums still
+                j = stack[j][4]
             if j < 0 or stack[j][1] >= new[1]:
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
-            del stack[j:]
+            new = [stack[j][0], new[1], stack[j][2], new[3], -1]
+            j, keep = stack[j][4], j
+            del stack[keep:]
+        new[4] = j
         stack.append(new)
-    return [(a, b, r - l) for l, r, a, b in stack]
+    return [(a, b, r - l) for l, r, a, b, _ in stack]
 
 
 def _scan(texts: pa.Array, m: Model) -> list[tuple[float, list]]:
