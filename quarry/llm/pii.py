@@ -62,7 +62,7 @@ _ISSUERS = re.compile(r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(?:2
 # North American numbering: area and exchange begin with 2 to 9; 555-01xx is reserved for fiction.
 _NUMBERING = re.compile(r"[2-9][0-9]{2}[2-9][0-9]{6}")
 _FICTION = re.compile(r"[0-9]{3}55501[0-9]{2}")
-PRIOR, PRIOR_COUNT, WORDS = 0.2, 20.0, 64     # share of personal data among candidates before any is seen; its weight; word buckets
+PRIOR, PRIOR_COUNT, RIGHT, WORDS = 0.2, 20.0, 0.75, 64     # share of personal data before any candidate is seen; its weight; a labeler's reliability; word buckets
 _CONTEXT = 24
 
 
@@ -173,11 +173,13 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 200):
     """EM over vote patterns: (posterior of class 1 per pattern, P(vote | class, it votes) by class and labeler,
     class shares).  A labeler that abstains says nothing."""
     post = np.where((votes == 1).sum(1) > (votes == 0).sum(1), 0.8, 0.2)
-    agree = np.array([[6.0, 2.0], [2.0, 6.0]])                        # pseudo-counts: a labeler is right more often than not
+    # a labeler is right more often than not: pseudo-votes, half as many as it casts, so all sizes are alike
+    cast = [8 + 0.5 * n[votes[:, j] >= 0].sum() for j in range(votes.shape[1])]
+    agree = np.array([[RIGHT, 1 - RIGHT], [1 - RIGHT, RIGHT]])
     for _ in range(rounds):
         w = np.stack([n * (1 - post), n * post])                       # class, pattern
         share = (w.sum(1) + PRIOR_COUNT * np.array([1 - PRIOR, PRIOR])) / (w.sum() + PRIOR_COUNT)
-        rates = np.stack([[[(w[c] * (votes[:, j] == v)).sum() + agree[c, v] for v in (0, 1)]
+        rates = np.stack([[[(w[c] * (votes[:, j] == v)).sum() + cast[j] * agree[c, v] for v in (0, 1)]
                            for j in range(votes.shape[1])] for c in (0, 1)])
         rates = rates / rates.sum(2, keepdims=True)
         like = np.log(share)[:, None] + sum(
