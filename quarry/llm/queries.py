@@ -8,6 +8,7 @@ from quarry.llm.jaccard_join import op1_jaccard_join
 from quarry.llm.line_dedup import op8_line_dedup
 from quarry.llm.maxscore import op6_maxscore_topk
 from quarry.llm.mixing import op9_mixing
+from quarry.llm.oracles import ORACLES
 from quarry.llm.pii import op4_pii
 from quarry.llm.sharding import op2_sharding
 from quarry.llm.spelling import op12_spelling_variants
@@ -25,4 +26,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
