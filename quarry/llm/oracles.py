@@ -47,10 +47,11 @@ _USABLE = "embedding is not null and len(list_filter(embedding, lambda x: x is n
 OP6 = f"""
 with v as materialized (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings where {_USABLE}),
+asked as (select distinct vec_id, q from v where vec_id % 50 = 0),
 s as (
-  select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
-  from v a join v b on a.vec_id is distinct from b.vec_id where a.vec_id % 50 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id nulls last)::int as rank from s)
+  select a.vec_id as query_id, a.q, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
+  from asked a join v b on a.vec_id is distinct from b.vec_id),
+r as (select *, row_number() over (partition by query_id, q order by score desc, vec_id nulls last)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""
 
 OP7 = rf"""
