@@ -54,7 +54,7 @@ def on_store(spark, sf_dir, path) -> tuple[float, float]:
     idx = store.read_index(spark, path)
     t = time.perf_counter()
     req = spark.sql(corpus.debug_requests_sql(corpus.spark_table_ref(sf_dir, "conversations")))
-    debug_prompts(req, idx.files, idx.vectors).prompts.write.format("noop").mode("overwrite").save()
+    debug_prompts(req, idx.files, idx.vectors, uploads=idx.uploads).prompts.write.format("noop").mode("overwrite").save()
     t_debug = time.perf_counter() - t
     t = time.perf_counter()
     treq = spark.sql(corpus.test_requests_sql(corpus.spark_table_ref(sf_dir, "part")))

@@ -11,7 +11,9 @@ value per indexing batch).  The *current* state is a view:
   the older version (D5) and a delete cascades without touching children
   (D4).  A batch whose files rows are not written yet is invisible;
 * ``op = 'clear'`` deletes the functions (and edges) of a file up to that
-  sequence, without the file and its vectors (D4, second half).
+  sequence, without the file and its vectors (D4, second half);
+* ``op = 'rejected'`` notes an upload that defined no function (F3): what the
+  index holds for the path stays, but it is the latest upload (J5).
 
 The newest-row pick is an aggregation (``max_by``), not a window, so a file
 with a very long history is pre-aggregated map-side before the shuffle.
@@ -53,6 +55,11 @@ def clears(paths: DataFrame, ingest_seq, upload_time) -> DataFrame:
     return tombstones(paths, ingest_seq, upload_time).withColumn("op", F.lit("clear"))
 
 
+def rejected_rows(rejects: DataFrame, ingest_seq, upload_time) -> DataFrame:
+    """Files-log rows of uploads that F3 turned away; they change no current view but ``uploads``."""
+    return tombstones(rejects, ingest_seq, upload_time).withColumn("op", F.lit("rejected"))
+
+
 def function_rows(functions: DataFrame, ingest_seq) -> DataFrame:
     """the functions table row (tags joined, 500-char body preview)."""
     return functions.select(
@@ -111,8 +118,13 @@ def _newest(log: DataFrame) -> DataFrame:
 
 
 def current_files(files_log: DataFrame) -> DataFrame:
-    """Newest row per ``file_path`` unless it is a tombstone (clears leave the file as it is)."""
-    return _newest(files_log.filter(F.col("op") != "clear"))
+    """Newest row per ``file_path`` unless it is a tombstone (clears and rejected uploads leave the file as it is)."""
+    return _newest(files_log.filter(F.col("op").isin("upsert", "delete")))
+
+
+def uploads(files_log: DataFrame) -> DataFrame:
+    """Every upload that reached extraction, indexed or rejected, also of files deleted since (for J5)."""
+    return files_log.filter(F.col("op").isin("upsert", "rejected")).select("file_path", "upload_time", "ingest_seq")
 
 
 def live_versions(files_log: DataFrame) -> DataFrame:
@@ -124,10 +136,20 @@ def current_rows(child_log: DataFrame, files_log: DataFrame) -> DataFrame:
     return child_log.join(live_versions(files_log), ["file_path", "ingest_seq"], "left_semi")
 
 
+def live_function_versions(files_log: DataFrame) -> DataFrame:
+    """Live file versions whose functions were not cleared since."""
+    return _newest(files_log.filter(F.col("op") != "rejected").select("file_path", "ingest_seq", "op")).select("file_path", "ingest_seq")
+
+
 def current_functions(child_log: DataFrame, files_log: DataFrame) -> DataFrame:
     """Functions or edges of live file versions that were not cleared since."""
-    live = _newest(files_log.select("file_path", "ingest_seq", "op")).select("file_path", "ingest_seq")
-    return child_log.join(live, ["file_path", "ingest_seq"], "left_semi")
+    return child_log.join(live_function_versions(files_log), ["file_path", "ingest_seq"], "left_semi")
+
+
+def dead_versions(files_log: DataFrame, live: DataFrame) -> DataFrame:
+    """Versions that were indexed once and are not among ``live``."""
+    indexed = files_log.filter(F.col("op") == "upsert").select("file_path", "ingest_seq").distinct()
+    return indexed.join(live, ["file_path", "ingest_seq"], "left_anti")
 
 
 def delete_by_file(vectors: DataFrame, paths: DataFrame):

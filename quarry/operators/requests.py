@@ -61,8 +61,8 @@ def rejects(req: DataFrame, vectors: DataFrame, validate) -> DataFrame:
 
 
 def scope_requests(req: DataFrame, files: DataFrame, filter_col: str = "file_filter") -> DataFrame:
-    """A missing or empty filter becomes the most recently uploaded file;
-    with no file uploaded the request stays unfiltered (``scope`` NULL)."""
+    """A missing or empty filter becomes the most recently uploaded file of ``files`` (current files, or
+    ``index.uploads`` with rejected ones); with no file uploaded the request stays unfiltered (``scope`` NULL)."""
     latest = latest_file(files).select("file_path").scalar()
     return req.withColumn("scope", F.coalesce(F.nullif(F.col(filter_col), F.lit("")), latest))
 

@@ -653,6 +653,10 @@ allfiles as (select * from pfiles union all
 files as (select * from allfiles where {lang_of_name('file_name')} is not null), {functions_ctes()}
 select file_path, 422 as error_code, {q(none_head)} || {display_of_name('file_name')} || {q(none_tail)} as error
 from files where file_path not in (select file_path from fns)"""
+    o["auto_scope"] = f"""with req as ({C.debug_requests_sql('conversations')}),
+uploads as (select path, regexp_extract(path, '[^/]*$', 0) as file_name from ({C.document_files_sql('documents')}) t)
+select request_id, coalesce(nullif(file_filter, ''),
+  (select max(path) from uploads where {lang_of_name('file_name')} is not null)) as scope from req"""
     o["neighbor_distance"] = f"""select a.vec_id as a_id, b.vec_id as b_id,
   {zero_fix('round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)')} as distance
 from embeddings a join embeddings b on b.vec_id - 1 = a.vec_id"""

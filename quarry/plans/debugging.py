@@ -31,13 +31,14 @@ class DebugBatch:
 
 def debug_prompts(requests: DataFrame, files: DataFrame, vectors: DataFrame,
                   findings_text: DataFrame | None = None, embed_fn: EmbedFn | None = None,
-                  dim: int = DEFAULT_DIM, lists: StoredLists | None = None) -> DebugBatch:
+                  dim: int = DEFAULT_DIM, lists: StoredLists | None = None, uploads: DataFrame | None = None) -> DebugBatch:
     """Everything up to the prompt.  ``requests``: request_id, query,
     file_filter, top_k.  ``files``/``vectors``: current index views.  With the
-    index's stored ``lists`` the search is approximate (K3), without exact (K2)."""
+    index's stored ``lists`` the search is approximate (K3), without exact (K2).
+    ``uploads``: the index's uploads, so that an upload without functions is the scope of the requests after it."""
     valid, bad1 = RQ.validate_debug_requests(requests)
     valid, bad2 = RQ.require_nonempty_index(valid, vectors)
-    scoped = RQ.scope_requests(valid, files)
+    scoped = RQ.scope_requests(valid, files if uploads is None else uploads)
     q = embed(scoped.select(F.col("request_id").alias("query_id"), "query", "scope", "top_k"),
               "query", embed_fn, dim, out_col="qvec")
     hits = nearest(q, vectors, lists, files.select("file_path", "ingest_seq"), k_col="top_k", filter_col="scope", query_vec="qvec")
@@ -55,9 +56,10 @@ def debug_prompts(requests: DataFrame, files: DataFrame, vectors: DataFrame,
 
 def debug_batch(requests: DataFrame, files: DataFrame, vectors: DataFrame,
                 complete_fn: CompleteFn, findings_text: DataFrame | None = None,
-                embed_fn: EmbedFn | None = None, dim: int = DEFAULT_DIM, lists: StoredLists | None = None):
+                embed_fn: EmbedFn | None = None, dim: int = DEFAULT_DIM, lists: StoredLists | None = None,
+                uploads: DataFrame | None = None):
     """(responses, rejected).  Responses have request_id, query,
     retrieved_functions, suggested_fix, explanation, static_analysis_findings."""
-    b = debug_prompts(requests, files, vectors, findings_text, embed_fn, dim, lists)
+    b = debug_prompts(requests, files, vectors, findings_text, embed_fn, dim, lists, uploads)
     answered = complete(b.prompts, "prompt", complete_fn, temperature=DEBUG_TEMPERATURE)
     return PR.parse_debug_responses(answered), b.rejected

@@ -30,6 +30,7 @@ class IndexBatch:
     empty: DataFrame            # F3 rejects (422)
     extracted: DataFrame        # X3 output of the accepted files
     files: DataFrame            # files-log rows
+    rejected: DataFrame         # files-log rows of the F3 rejects (they count as uploads)
     functions: DataFrame        # functions-log rows (F10)
     edges: DataFrame            # call-edge rows (J2)
     vectors: DataFrame          # vector rows with embeddings (C4, C5, F11, U1)
@@ -50,6 +51,7 @@ def index_batch(files: DataFrame, ingest_seq: int, upload_time: str,
         empty=empty,
         extracted=extracted,
         files=ix.file_rows(kept, extracted, ingest_seq, upload_time),
+        rejected=ix.rejected_rows(empty, ingest_seq, upload_time),
         functions=ix.function_rows(extracted, ingest_seq),
         edges=ix.edge_rows(extracted, ingest_seq),
         vectors=embed(ix.vector_rows(extracted, ingest_seq), "document", embed_fn, dim),

@@ -24,7 +24,7 @@ from quarry.sources.store import read_code_table
 from quarry.operators import index as ix
 from quarry.operators.inference import complete, echo_completion
 from quarry.operators.prompts import parse_debug_responses, parse_test_responses
-from quarry.operators.requests import rejects, validate_debug_requests, validate_test_requests
+from quarry.operators.requests import rejects, scope_requests, validate_debug_requests, validate_test_requests
 from quarry.operators.search import cosine_distance, search_topk, search_topk_approx
 from quarry.plans.debugging import debug_prompts
 from quarry.plans.indexing import index_batch, summary, union_logs
@@ -248,6 +248,18 @@ def latest_file(spark, sf_dir):
     return ix.latest_file(ix.current_files(files_log))
 
 
+def auto_scope(spark, sf_dir):
+    """Scopes of the debug requests after an upload of the documents, most of which F3 rejects."""
+    accepted, _ = split_supported(_document_files(spark, sf_dir))
+    spans = function_spans(accepted)
+    kept, rejected = split_empty(accepted, spans)
+    log = _index_logs(spark, sf_dir)[0]
+    log = log.unionByName(ix.file_rows(kept, spans, 4, corpus.BATCH_TIMES[3])).unionByName(
+        ix.rejected_rows(rejected, 4, corpus.BATCH_TIMES[3]))
+    req = spark.sql(corpus.debug_requests_sql(corpus.spark_table_ref(sf_dir, "conversations")))
+    return scope_requests(req, ix.uploads(log)).select("request_id", "scope")
+
+
 def get_file(spark, sf_dir):
     """the index rows of the files that debug requests name."""
     files = ix.current_files(_index_logs(spark, sf_dir)[0])
@@ -487,6 +499,7 @@ def queries() -> dict[str, Query]:
         "approx_topk_all_lists": approx_topk_all_lists,
         "code_table": code_table,
         "empty_rejects": empty_rejects,
+        "auto_scope": auto_scope,
         "get_file": get_file,
         "debug_prompts": debug_prompt_rows,
         "debug_rejects": debug_rejects,

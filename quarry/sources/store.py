@@ -37,6 +37,7 @@ from quarry.operators.inference import DEFAULT_DIM, EmbedFn, embed
 from quarry.operators.languages import split_empty, split_supported
 from quarry.operators.extract import extract_functions
 from quarry.operators.stored_lists import StoredLists
+from quarry.session import materialize
 
 TABLES = ("files", "functions", "call_edges", "vectors")
 
@@ -144,7 +145,8 @@ def write_index(spark: SparkSession, files: DataFrame, store: str, batch_id: int
     _write(ix.edge_rows(ext, batch_id), store, "call_edges", batch_id, attempt)
     _write(embed(ix.vector_rows(ext, batch_id), "document", embed_fn, dim), store, "vectors", batch_id, attempt)
     kept, empty = split_empty(accepted, ext)
-    _write(ix.file_rows(kept, ext, batch_id, upload_time), store, "files", batch_id, attempt)
+    rows = ix.file_rows(kept, ext, batch_id, upload_time).unionByName(ix.rejected_rows(empty, batch_id, upload_time))
+    _write(rows, store, "files", batch_id, attempt)
     _commit(spark, store, batch_id, attempt)
     if lists:
         update_lists(spark, store, batch_id)
@@ -200,6 +202,7 @@ class Index:
     functions: DataFrame
     edges: DataFrame
     vectors: DataFrame
+    uploads: DataFrame
     lists: StoredLists | None = None
 
 
@@ -219,27 +222,50 @@ def _log(spark: SparkSession, store: str, table: str, attempts: list[str]) -> Da
     return rows.filter(F.col("attempt").isin(attempts)).drop("batch_id", "attempt")
 
 
-def read_index(spark: SparkSession, store: str, lists: bool = True) -> Index:
-    """The four tables as current views over their logs, and the stored lists, if there are any."""
+def _live_rows(child_log: DataFrame, files_log: DataFrame, live: DataFrame, dead_bytes: int) -> DataFrame:
+    """Children of live versions.  A committed batch has a files row for each child, so what is not dead is live;
+    versions die by re-uploads and deletes since the last compaction, mostly few, and while they fit in ``dead_bytes``
+    they travel to the children, whose bodies and vectors are not shuffled.  Beyond, the children meet the live versions."""
+    dead = materialize(ix.dead_versions(files_log, live), "dead-versions")
+    size = dead.agg(F.sum(F.octet_length("file_path") + 24)).first()[0] or 0
+    keys = ["file_path", "ingest_seq"]
+    if size <= dead_bytes:
+        return child_log.join(F.broadcast(dead), keys, "left_anti")
+    return child_log.join(live, keys, "left_semi")
+
+
+def read_index(spark: SparkSession, store: str, lists: bool = True, dead_bytes: int = 64 << 20) -> Index:
+    """The four tables as current views over their logs, the uploads, and the stored lists, if there are any."""
     attempts = _committed(spark, store)
     files_log = _log(spark, store, "files", attempts)
+    with_functions, live = ix.live_function_versions(files_log), ix.live_versions(files_log)
     return Index(
         files_log=files_log,
         files=ix.current_files(files_log),
-        functions=ix.current_functions(_log(spark, store, "functions", attempts), files_log),
-        edges=ix.current_functions(_log(spark, store, "call_edges", attempts), files_log),
-        vectors=ix.current_rows(_log(spark, store, "vectors", attempts), files_log),
+        functions=_live_rows(_log(spark, store, "functions", attempts), files_log, with_functions, dead_bytes),
+        edges=_live_rows(_log(spark, store, "call_edges", attempts), files_log, with_functions, dead_bytes),
+        vectors=_live_rows(_log(spark, store, "vectors", attempts), files_log, live, dead_bytes),
+        uploads=ix.uploads(files_log),
         lists=open_lists(spark, store) if lists else None,
     )
 
 
+def _kept_upload(idx: Index) -> DataFrame:
+    """The newest upload as a rejected row, if no current files row tells of it (J5 goes on after a compaction)."""
+    row = F.struct(*idx.files.columns)
+    newest = idx.files_log.filter(F.col("op").isin("upsert", "rejected")).select(*idx.files.columns) \
+        .agg(F.max_by(row, F.struct("upload_time", "ingest_seq", "file_path")).alias("r")).filter("r is not null").select("r.*")
+    return newest.join(idx.files, ["file_path", "ingest_seq"], "left_anti").select(*idx.files.columns) \
+        .withColumn("op", F.lit("rejected"))
+
+
 def compact(spark: SparkSession, store: str, out: str) -> None:
     """Rewrite the current views into a fresh store folder (one batch, 0),
     clustered by ``file_path`` for min/max pruning of point lookups.  Functions
     that were deleted without their file are gone for good; rows keep their sequences."""
     idx, attempt = read_index(spark, store, lists=False), _attempt()
     for name, df in (("functions", idx.functions), ("call_edges", idx.edges),
-                     ("vectors", idx.vectors), ("files", idx.files)):
+                     ("vectors", idx.vectors), ("files", idx.files.unionByName(_kept_upload(idx)))):
         _write(df.repartitionByRange("file_path").sortWithinPartitions("file_path"), out, name, 0, attempt)
     _commit(spark, out, 0, attempt)
 
