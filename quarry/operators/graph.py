@@ -60,12 +60,16 @@ def functions_by_name(functions: DataFrame, names: DataFrame) -> DataFrame:
     """The first function with each requested name, smallest
     (file_path, line_start) first (the reference's LIMIT 1 has no order).
 
-    ``names`` has a ``function_name`` column.  The pick is an aggregation that
-    combines map-side, so a name that many files define leaves each task as
-    one row; the names are matched afterwards by a semi-join (Spark pulls it
-    below the pick when it can broadcast them).
+    ``names`` has a ``function_name`` column.  The place of the pick is an
+    aggregation over four columns that combines map-side, so a name that many
+    files define leaves each task as one row; the names are matched on the
+    picks, and only then the functions at those places are fetched, by a key
+    that holds the file, so no name is a hot key and no body is sorted.
+    Functions are told apart by (file_path, line_start, open_off).
     """
-    others = [c for c in functions.columns if c != "function_name"]
+    place = ["file_path", "line_start", "open_off"]
     first = functions.groupBy("function_name").agg(
-        F.min_by(F.struct(*others), F.struct("file_path", "line_start", "open_off")).alias("_first"))
-    return first.join(names.select("function_name"), "function_name", "left_semi").select("function_name", "_first.*")
+        F.min("file_path").alias("file_path"), F.min_by(F.struct("line_start", "open_off"), F.struct(*place)).alias("_at")) \
+        .join(names.select("function_name"), "function_name", "left_semi").select("function_name", "file_path", "_at.*")
+    others = [c for c in functions.columns if c != "function_name"]
+    return functions.join(first, ["function_name", *place], "left_semi").select("function_name", *others)
