@@ -50,9 +50,14 @@ def _text_of(a: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.col("_lines"), a + 1, n), "\n")
 
 
+def _row_key(documents: DataFrame) -> Column:
+    """Equal rows share it: two 64-bit hashes from different seeds."""
+    return F.struct(F.xxhash64(*documents.columns).alias("a"), F.xxhash64(F.lit(8), *documents.columns).alias("b"))
+
+
 def repeated_chunks(documents: DataFrame, text: str = "text", window: int = WINDOW, mean: int = MEAN) -> DataFrame:
     """Chunks to remove: _key (of the row), chunks (their numbers)."""
-    keyed = documents.select(F.xxhash64(*documents.columns).alias("_key"), F.col(text).alias("_text"))
+    keyed = documents.select(_row_key(documents).alias("_key"), F.col(text).alias("_text"))
     chunks = _chunked(keyed, "_text", window, mean).select("_key", "_lines", F.explode(_bounds()).alias("x")).filter("x.n > 1")
     hashes = staged(chunks.select("_key", F.col("x.c").alias("c"), F.xxhash64(_text_of(F.col("x.a"), F.col("x.n"))).alias("h")),
                     "line-chunks")
@@ -73,7 +78,7 @@ def dedup_lines(documents: DataFrame, text: str = "text", window: int = WINDOW,
     """``documents`` without their repeated chunks: ``text`` is cleaned, and _n_lines, _n_chunks and
     _removed (lines taken out) are added."""
     marks = repeated_chunks(documents, text, window, mean).withColumnRenamed("_key", "_of")
-    df = documents.withColumn("_key", F.xxhash64(*documents.columns)).join(marks, F.col("_key") == F.col("_of"), "left")
+    df = documents.withColumn("_key", _row_key(documents)).join(marks, F.col("_key") == F.col("_of"), "left")
     df = _chunked(df, text, window, mean)
     gone = F.coalesce("_chunks", F.array().cast("array<int>"))
     df = pin(df, _kept=F.filter(_bounds(), lambda x: ~F.array_contains(gone, x["c"])))
