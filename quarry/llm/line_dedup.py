@@ -53,7 +53,7 @@ def _text_of(a: Column, n: Column) -> Column:
 def _row_key(documents: DataFrame) -> Column:
     """Equal rows share it: two 64-bit hashes from different seeds, as one binary value (a plain join key)."""
     hashes = F.xxhash64(*documents.columns), F.xxhash64(F.lit(8), *documents.columns)
-    return F.concat(*[h.cast("binary") for h in hashes])
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in hashes]))
 
 
 def repeated_chunks(documents: DataFrame, text: str = "text", window: int = WINDOW, mean: int = MEAN) -> DataFrame:
