@@ -9,6 +9,7 @@ Layout under one store folder (any Hadoop-compatible shared path)::
     commits/batch_id=N/attempt=A/     one row, written last: this attempt is batch N
     claims/<sequence>                 which stream's micro-batch owns a sequence (S3)
     lists/gen=G/                      the stored inverted file over the vectors, if asked for (K3)
+    base/                             rows of settled batches, in buckets (``sources/base.py``)
 
 Every attempt at a batch writes folders of its own and becomes visible by its
 one commit row.  A reader takes the newest committed attempt of each batch
@@ -38,6 +39,7 @@ from quarry.operators.languages import split_empty, split_supported
 from quarry.operators.extract import extract_functions
 from quarry.operators.stored_lists import StoredLists
 from quarry.session import materialize
+from quarry.sources import base as bs
 
 TABLES = ("files", "functions", "call_edges", "vectors")
 
@@ -135,6 +137,7 @@ def write_index(spark: SparkSession, files: DataFrame, store: str, batch_id: int
     ``unique_paths``: the caller knows that no path is repeated, so the texts
     need no shuffle to find out.  ``lists``: keep the stored inverted file (K3) up to date.
     """
+    _refuse_settled(spark, store, batch_id)
     attempt = _attempt()
     if not unique_paths and _repeated(files):
         files = one_row_per_path(files)
@@ -153,6 +156,16 @@ def write_index(spark: SparkSession, files: DataFrame, store: str, batch_id: int
     return WriteResult(unsupported=unsupported, empty=empty)
 
 
+def is_settled(spark: SparkSession, store: str, batch_id: int) -> bool:
+    """Whether ``compact_touched`` has taken this batch into the base: what it replaced is gone, so it can't be run again."""
+    return int(batch_id) in bs.open_base(spark, store).settled
+
+
+def _refuse_settled(spark: SparkSession, store: str, batch_id: int) -> None:
+    if is_settled(spark, store, batch_id):
+        raise ValueError(f"batch {batch_id} is part of the compacted base; write its files as a new batch")
+
+
 def _repeated(files: DataFrame) -> bool:
     """Whether any path stands twice (paths only are shuffled)."""
     return bool(files.groupBy("file_path").count().filter("count > 1").take(1))
@@ -161,6 +174,7 @@ def _repeated(files: DataFrame) -> bool:
 def delete_files(spark: SparkSession, paths: DataFrame, store: str, batch_id: int,
                  upload_time: str) -> None:
     """D4 persisted: a tombstone batch; children disappear from every view."""
+    _refuse_settled(spark, store, batch_id)
     attempt = _attempt()
     _write(ix.tombstones(paths, batch_id, upload_time), store, "files", batch_id, attempt)
     _commit(spark, store, batch_id, attempt)
@@ -168,6 +182,7 @@ def delete_files(spark: SparkSession, paths: DataFrame, store: str, batch_id: in
 
 def delete_functions(spark: SparkSession, paths: DataFrame, store: str, batch_id: int, upload_time: str) -> None:
     """D4, second half, persisted: functions and edges of ``paths`` go, their files rows and vectors stay."""
+    _refuse_settled(spark, store, batch_id)
     attempt = _attempt()
     _write(ix.clears(paths, batch_id, upload_time), store, "files", batch_id, attempt)
     _commit(spark, store, batch_id, attempt)
@@ -206,10 +221,15 @@ class Index:
     lists: StoredLists | None = None
 
 
-def _committed(spark: SparkSession, store: str) -> list[str]:
-    """The newest committed attempt of each batch (one name a batch, as many as the store has folders anyway)."""
+def _attempts(spark: SparkSession, store: str, base: bs.Base) -> dict[int, str]:
+    """The newest committed attempt of each batch that is not in the base (one name a batch, as many as the store has folders anyway)."""
     rows = spark.read.schema("committed string, batch_id long, attempt string").parquet(f"{store.rstrip('/')}/commits")
-    return [r.attempt for r in rows.groupBy("batch_id").agg(F.max("attempt").alias("attempt")).collect()]
+    found = {r.batch_id: r.attempt for r in rows.groupBy("batch_id").agg(F.max("attempt").alias("attempt")).collect()}
+    return {b: a for b, a in found.items() if b not in base.settled}
+
+
+def _committed(spark: SparkSession, store: str) -> list[str]:
+    return list(_attempts(spark, store, bs.open_base(spark, store)).values())
 
 
 def _log(spark: SparkSession, store: str, table: str, attempts: list[str]) -> DataFrame:
@@ -222,6 +242,13 @@ def _log(spark: SparkSession, store: str, table: str, attempts: list[str]) -> Da
     return rows.filter(F.col("attempt").isin(attempts)).drop("batch_id", "attempt")
 
 
+def _base_and_log(spark: SparkSession, store: str, table: str, attempts: list[str], base: bs.Base,
+                  only: list[int] | None = None) -> DataFrame:
+    """All rows of a table: the base's (of the buckets ``only``) and those of later batches."""
+    log = _log(spark, store, table, attempts)
+    return bs.base_rows(spark, store, table, SCHEMAS[table], base, only).unionByName(log) if base.held else log
+
+
 def _live_rows(child_log: DataFrame, files_log: DataFrame, live: DataFrame, dead_bytes: int) -> DataFrame:
     """Children of live versions.  A committed batch has a files row for each child, so what is not dead is live;
     versions die by re-uploads and deletes since the last compaction, mostly few, and while they fit in ``dead_bytes``
@@ -236,17 +263,26 @@ def _live_rows(child_log: DataFrame, files_log: DataFrame, live: DataFrame, dead
 
 def read_index(spark: SparkSession, store: str, lists: bool = True, dead_bytes: int = 64 << 20) -> Index:
     """The four tables as current views over their logs, the uploads, and the stored lists, if there are any."""
-    attempts = _committed(spark, store)
-    files_log = _log(spark, store, "files", attempts)
+    base = bs.open_base(spark, store)
+    idx = _views(spark, store, list(_attempts(spark, store, base).values()), base, dead_bytes)
+    idx.lists = open_lists(spark, store) if lists else None
+    return idx
+
+
+def _views(spark: SparkSession, store: str, attempts: list[str], base: bs.Base, dead_bytes: int = 64 << 20,
+           only: list[int] | None = None) -> Index:
+    def log(table):
+        return _base_and_log(spark, store, table, attempts, base, only)
+
+    files_log = log("files")
     with_functions, live = ix.live_function_versions(files_log), ix.live_versions(files_log)
     return Index(
         files_log=files_log,
         files=ix.current_files(files_log),
-        functions=_live_rows(_log(spark, store, "functions", attempts), files_log, with_functions, dead_bytes),
-        edges=_live_rows(_log(spark, store, "call_edges", attempts), files_log, with_functions, dead_bytes),
-        vectors=_live_rows(_log(spark, store, "vectors", attempts), files_log, live, dead_bytes),
+        functions=_live_rows(log("functions"), files_log, with_functions, dead_bytes),
+        edges=_live_rows(log("call_edges"), files_log, with_functions, dead_bytes),
+        vectors=_live_rows(log("vectors"), files_log, live, dead_bytes),
         uploads=ix.uploads(files_log),
-        lists=open_lists(spark, store) if lists else None,
     )
 
 
@@ -270,6 +306,32 @@ def compact(spark: SparkSession, store: str, out: str) -> None:
     _commit(spark, out, 0, attempt)
 
 
+def compact_touched(spark: SparkSession, store: str, buckets: int = 256) -> list[int]:
+    """Settle the batches since the last call in the store's base; returns the rewritten buckets.
+
+    Only buckets of ``file_path`` that hold a path of these batches are read and
+    rewritten (``buckets`` counts at the first call).  Views are the same before
+    and after.  The newest tombstone and clear of a path stay, so a batch with a
+    smaller sequence that arrives later still finds its rows replaced.  A settled
+    batch can't be written again.  Superseded folders are left to the caller.
+    """
+    gen, base = _attempt(), bs.open_base(spark, store)
+    attempts = _attempts(spark, store, base)
+    if not attempts:
+        return []
+    n, names = base.buckets or buckets, list(attempts.values())
+    touched = sorted(r.b for r in _log(spark, store, "files", names).select(bs.bucket_of(n).alias("b")).distinct().collect())
+    idx = _views(spark, store, names, base, only=touched)
+    last = [c for c in idx.files_log.columns if c != "file_path"]
+    files = idx.files_log.filter("op != 'rejected'").groupBy("file_path", F.expr("op = 'clear'").alias("_clear")) \
+        .agg(F.max_by(F.struct(*last), "ingest_seq").alias("_r")).select("file_path", "_r.*")
+    for name, df in (("functions", idx.functions), ("call_edges", idx.edges), ("vectors", idx.vectors),
+                     ("files", files.unionByName(_kept_upload(idx)))):
+        bs.write_rows(df, store, name, gen, n)
+    bs.commit(spark, store, gen, base, n, sorted(attempts), touched)
+    return touched
+
+
 # -------------------------------------------------------------------- claims
 def claim_sequence(spark: SparkSession, store: str, stream_id: str, micro_batch: int, now: str,
                    seq_base: int = 1_000_000) -> tuple[int, str]:

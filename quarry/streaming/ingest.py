@@ -49,6 +49,8 @@ def ingest_stream(spark: SparkSession, source_dir: str, store_path: str, checkpo
         files = S._decode(batch, source_dir)
         now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         seq, time = S.claim_sequence(batch.sparkSession, store_path, _stream_id(spark, checkpoint_location), batch_id, now, seq_base)
+        if S.is_settled(batch.sparkSession, store_path, seq):      # a replay of a batch that was compacted meanwhile
+            return
         S.write_index(batch.sparkSession, files, store_path, seq, time, embed_fn, dim)
 
     writer = (stream.writeStream.foreachBatch(index_batch)
