@@ -11,9 +11,12 @@ shared span.  Items keep each distinct window once with the items that hold it,
 so a word repeated thousands of times on both sides costs what other text does.
 An item of fewer words is one window, looked up at every place.
 
-The benchmark travels to the tasks in blocks of at most ``block_bytes`` of
-text (plus one item); with several blocks the marked spans of the blocks are
-united per document.  Documents are never shuffled for one block.
+A benchmark of at most ``block_bytes`` of text travels to the tasks whole, and
+documents are never shuffled.  A larger one is winnowed where it lies and never
+passes through the driver: its fingerprints are joined with those of the
+documents as tables, texts that share one are looked at again, their windows
+around the hits are joined with the items' distinct windows on all their words,
+and spans and items come back to the documents by the text's 128-bit hash.
 
 Defined cases: a null or empty text has no words and is never contaminated;
 a null or empty item has no windows; item ids are compared as strings, a
@@ -24,7 +27,7 @@ documents that is called like the result (``into``) gives way to it.
 
 from __future__ import annotations
 
-import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.io import utf8_bytes
+from quarry.llm.io import staged, utf8_bytes
 
 WINDOW, K = 13, 7
 BLOCK_BYTES = 16 << 20
@@ -162,16 +165,128 @@ def _scanner(ids, texts, window, k):
     return F.arrow_udf(run, _RESULT)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int):
-    """The benchmark's (id, text) rows, a bounded block at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")) \
-        .filter(F.length("t") > 0)
-    total = items.agg(F.sum(utf8_bytes(F.col("t")))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    for b in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        rows = part.collect()
-        yield n, [r.i for r in rows], [r.t for r in rows]
+# ------------------------------------------------- a benchmark above one block
+_ITEM_ROWS = "len int, fp long, w binary, i string"      # fingerprints (len 0; whole short items) and windows
+
+
+def _joined_words(w: W.Words, at: np.ndarray, length: int) -> list[bytes]:
+    """The ``length`` words from each place in ``at``, joined by a space."""
+    words = {int(p): w.data[w.start[p]:w.end[p]].tobytes()
+             for p in np.unique(at[:, None] + np.arange(length))} if len(at) else {}
+    return [b" ".join([words[p + j] for j in range(length)]) for p in at.tolist()]
+
+
+def _item_rows(batches, window: int, k: int):
+    """Of every item: its fingerprints, and its windows, each once."""
+    for batch in batches:
+        texts, ids = W.text_column(batch, "t"), W.text_column(batch, "i").to_pylist()
+        for a, b in W.pieces(texts):
+            w = W.word_table(texts.slice(a, b - a), W.LETTERS_LOWER)
+            owner, left, n = w.owner(), w.left(), w.counts()
+            rows = {(0, fp, None, None) for fp in winnow(w.hash, left, k, window)[1].view(np.int64).tolist()}
+            at = np.flatnonzero(left >= window)
+            rows.update((window, None, x, ids[a + d]) for x, d in zip(_joined_words(w, at, window), owner[at].tolist()))
+            for length in np.unique(n[(n > 0) & (n < window)]).tolist():
+                at = w.first[:-1][n == length]
+                fps = W.ngrams(w.hash, length)[at].view(np.int64).tolist()
+                rows.update((length, fp, x, ids[a + d])
+                            for fp, x, d in zip(fps, _joined_words(w, at, length), owner[at].tolist()))
+            yield _batch(list(zip(*rows)) or [()] * 4, _ITEM_ROWS)
+
+
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
+
+_PRINTS = "key binary, len int, fp long"
+
+
+def _prints(batches, window: int, k: int, short: list):
+    """The fingerprints of every text, and its n-grams as long as short items, each once."""
+    for batch in batches:
+        texts, keys = W.text_column(batch, "text"), batch.column("key")
+        for a, b in W.pieces(texts):
+            w = W.word_table(texts.slice(a, b - a), W.LETTERS_LOWER)
+            owner, left = w.owner(), w.left()
+            kinds = [(0, *winnow(w.hash, left, k, window))]
+            for length in short:
+                at = np.flatnonzero(left >= length)
+                kinds.append((length, at, W.ngrams(w.hash, length)[at] if len(at) else w.hash[:0]))
+            for length, at, fp in kinds:
+                if not len(at):
+                    continue
+                order = np.lexsort((fp, owner[at]))
+                d, fp = owner[at][order], fp[order]
+                once = np.ones(len(d), bool)
+                once[1:] = (d[1:] != d[:-1]) | (fp[1:] != fp[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(a, b - a).take(pa.array(d[once])), pa.array(np.full(int(once.sum()), length, np.int32)),
+                     pa.array(fp[once].view(np.int64))], ["key", "len", "fp"])
+
+
+_PLACES = "key binary, place int, len int, w binary"
+
+
+def _places(batches, window: int, k: int):
+    """The windows around hit fingerprints of every text, and its n-grams that may be short items."""
+    for batch in batches:
+        texts, keys, prints = W.text_column(batch, "text"), batch.column("key"), batch.column("prints")
+        for a, b in W.pieces(texts):
+            w = W.word_table(texts.slice(a, b - a), W.LETTERS_LOWER)
+            left = w.left()
+            at, fp = winnow(w.hash, left, k, window)
+            for d in range(len(w)):
+                hit: dict[int, list] = {}
+                for p in prints[a + d].as_py():
+                    hit.setdefault(p["len"], []).append(p["fp"])
+                first, end = int(w.first[d]), int(w.first[d + 1])
+                for length, fps in hit.items():
+                    fps = np.array(fps, np.int64).view(np.uint64)
+                    if length:
+                        starts = np.arange(first, end - length + 1)
+                        starts = starts[np.isin(W.ngrams(w.hash, length)[starts], fps)]
+                    else:
+                        x, y = np.searchsorted(at, [first, end])
+                        starts = np.unique(at[x:y][np.isin(fp[x:y], fps)][:, None] - np.arange(window - k + 1))
+                        starts = starts[starts >= first]
+                        starts = starts[left[starts] >= window]
+                    n, length = len(starts), length or window
+                    yield _batch([[keys[a + d].as_py()] * n, starts - first, [length] * n, _joined_words(w, starts, length)], _PLACES)
+
+
+def _count_words(texts: pa.Array) -> pa.Array:
+    return pa.array([n for a, b in W.pieces(texts)
+                     for n in W.word_table(texts.slice(a, b - a), W.LETTERS_LOWER).counts().tolist()], pa.int64())
+
+
+def _by_joins(documents: DataFrame, items: DataFrame, text: str, into: str, window: int, k: int) -> DataFrame:
+    """``find_contamination`` for a benchmark of any size."""
+    held = staged(items.mapInArrow(partial(_item_rows, window=window, k=k), _ITEM_ROWS), "bench-windows")
+    windows = held.filter("w is not null").select("len", "w", "i").distinct()
+    short = sorted(r.len for r in held.filter(f"len between 1 and {window - 1}").select("len").distinct().collect())
+    key = F.unhex(F.md5(F.col(text)))
+    texts = documents.filter(F.length(text) > 0).select(key.alias("key"), F.col(text).alias("text"))
+    seen = texts.mapInArrow(partial(_prints, window=window, k=k, short=short), _PRINTS)
+    hits = seen.join(held.filter("fp is not null").select("len", "fp").distinct(), ["len", "fp"], "left_semi").distinct()
+    hits = hits.groupBy("key").agg(F.collect_list(F.struct("len", "fp")).alias("prints"))
+    # a text that stands often is looked at once
+    near = texts.join(hits, "key").dropDuplicates(["key"]).select("key", "text", "prints")
+    places = near.mapInArrow(partial(_places, window=window, k=k), _PLACES)
+    places = staged(places.join(windows.select("len", "w").distinct(), ["len", "w"], "left_semi"), "bench-places")
+    unite = F.arrow_udf(_annotated(_unite), "array<int>")
+    spans = places.groupBy("key").agg(
+        unite(F.flatten(F.collect_list(F.array("place", F.col("place") + F.col("len"))))).alias("_spans"))
+    named = places.select("key", "len", "w").distinct().join(windows, ["len", "w"]).groupBy("key").agg(
+        F.array_sort(F.collect_set("i")).alias("_items"))
+    found = spans.join(named, "key").withColumnRenamed("key", "_of")
+    count = F.arrow_udf(_annotated(_count_words, "texts"), "long")
+    result = F.struct(count(F.col(text)).alias("n_words"),
+                      F.coalesce("_spans", F.expr("cast(array() as array<int>)")).alias("spans"),
+                      F.coalesce("_items", F.expr("cast(array() as array<string>)")).alias("items"))
+    return documents.withColumn("_key", key).join(found, F.col("_key") == F.col("_of"), "left") \
+        .withColumn(into, result).drop("_key", "_of", "_spans", "_items")
 
 
 def _unite(spans: pa.Array) -> pa.Array:
@@ -191,29 +306,16 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "
                        window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``documents`` with a struct column ``into``: n_words, spans (from, to, from, to, ... in
     words, merged) and items (the sorted ids of items with an occurring window)."""
-    parts = []
-    for n, ids, texts in _blocks(benchmark, block_bytes):
-        scan = _scanner(ids, texts, window, k)
-        if n == 1:
-            return documents.withColumn(into, scan(F.col(text)))
-        key = F.xxhash64(F.col(text))
-        parts.append(documents.select(F.col(text).alias("_t"), key.alias("_key"))
-                     .select("_key", scan(F.col("_t")).alias("_r")).distinct())
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    unite = F.arrow_udf(_annotated(_unite), "array<int>")
-    per_text = (union.groupBy("_key").agg(
-        F.max("_r.n_words").alias("_n"), F.flatten(F.collect_list("_r.spans")).alias("_s"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_r.items")))).alias("_i"))
-        .select(F.col("_key").alias("_of"), F.struct(F.col("_n").alias("n_words"), unite(F.col("_s")).alias("spans"),
-                                                     F.col("_i").alias("items")).alias(into)))
-    return (documents.withColumn("_key", F.xxhash64(F.col(text)))
-            .join(per_text, F.col("_key") == F.col("_of")).drop("_key", "_of"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")) \
+        .filter(F.length("t") > 0)
+    if (items.agg(F.sum(utf8_bytes(F.col("t")))).first()[0] or 0) > block_bytes:
+        return _by_joins(documents, items, text, into, window, k)
+    rows = items.collect()
+    return documents.withColumn(into, _scanner([r.i for r in rows], [r.t for r in rows], window, k)(F.col(text)))
 
 
-def _annotated(fn):
-    fn.__annotations__ = {"spans": pa.Array, "return": pa.Array}
+def _annotated(fn, argument: str = "spans"):
+    fn.__annotations__ = {argument: pa.Array, "return": pa.Array}
     return fn
 
 
