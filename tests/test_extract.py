@@ -278,3 +278,18 @@ def test_first_by_name_picks_before_the_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert found == [("main", "/u/0.c", 1, 49, ["c49"]), ("one", "/u/z.c", 1, 0, None)]
     assert "partial_min_by" in plan and "Window" not in plan
+
+
+def test_part_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    """One split of ``part`` holds every row here; its files still spread over tasks, each once."""
+    from quarry.sources import corpus
+
+    rows = [(i, f"red ring{i}", "Brand#1", "PROMO" if i % 2 else "SMALL", i % 30) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int") \
+        .coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    whole = corpus.part_corpus(spark, str(tmp_path))
+    monkeypatch.setattr(corpus, "FILES_PER_TASK", 4, raising=False)
+    dealt = corpus.part_corpus(spark, str(tmp_path))
+    assert whole.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == 10
+    assert sorted(dealt.collect()) == sorted(whole.collect()) and dealt.count() == 40
+    assert corpus.part_corpus(spark, str(tmp_path), 2, corpus.REUPLOAD_WHERE).count() == 20
