@@ -30,7 +30,11 @@ from pyspark.sql import types as T
 from quarry.functions import patterns as P
 from quarry.session import materialize
 
-TILE_CELLS = 1 << 22          # doubles of one distance block in the kernel
+TILE_CELLS = 1 << 22          # distances of one tile in the kernel
+TILE_ROWS = 1 << 11           # queries of one tile
+PAIRS = 1 << 16               # pairs computed in double at a time
+BLOCK_BYTES = 16 << 20        # doubles of either side of a block of vectors and queries
+SCAN_CELLS = 1 << 29          # distances one task of a scan computes
 RECALL_SAMPLE = 256           # queries on which K3's recall is measured
 
 HIT_SCHEMA = T.StructType([
@@ -50,85 +54,167 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.try_divide(dot, F.sqrt(na) * F.sqrt(nb))
 
 
-def _select_topk(dist, q_ks, id_rank):
-    """Row-wise best ``k`` column indices of ``dist`` (NaN = NULL sorts last;
-    every value tied with the k-th is considered, then the id decides)."""
+def _cut(row, col, dist, id_rank, ks):
+    """Per query, the best ``ks`` of its (row, column, distance) by distance, NaN (NULL) last, then by id."""
     import numpy as np
 
-    order_key = np.where(np.isnan(dist), np.inf, dist)
-    n = dist.shape[1]
-    out = []
-    for i in range(dist.shape[0]):
-        kk = min(int(q_ks[i]), n)
-        if kk <= 0:
-            out.append(np.empty(0, dtype=np.int64))
-            continue
-        kth = np.partition(order_key[i], kk - 1)[kk - 1]
-        cand = np.nonzero(order_key[i] <= kth)[0]
-        out.append(cand[np.lexsort((id_rank[cand], order_key[i, cand]))][:kk])
-    return out
-
-
-def _cosine(q_mat, v_mat):
-    """Cosine distances, each pair summed the same way (einsum, not BLAS:
-    a blocked GEMM can round two identical vectors differently, which would
-    break exact ties that the id is meant to decide)."""
+    by = np.lexsort((id_rank[col], np.where(np.isnan(dist), np.inf, dist), row))
+    row, col, dist = row[by], col[by], dist[by]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < ks[row]
+    return row[best], col[best], dist[best]
+
+
+def _exact(q_mat, v_mat, qn, vn, row, col):
+    """Cosine distances of single pairs, each summed the same way wherever its rows lie (a blocked
+    product can round two identical vectors differently, which would break ties that the id decides)."""
     import numpy as np
 
-    dots = np.einsum("qd,vd->qv", q_mat, v_mat, optimize=False)
-    qn = np.sqrt(np.einsum("qd,qd->q", q_mat, q_mat))
-    vn = np.sqrt(np.einsum("vd,vd->v", v_mat, v_mat))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        dist = 1.0 - dots / np.outer(qn, vn)
+    dist = np.empty(len(row))
+    for a in range(0, len(row), PAIRS):
+        r, c = row[a:a + PAIRS], col[a:a + PAIRS]
+        with np.errstate(all="ignore"):
+            dist[a:a + PAIRS] = 1.0 - np.einsum("id,id->i", q_mat[r], v_mat[c]) / (qn[r] * vn[c])
     dist[~np.isfinite(dist)] = np.nan          # a zero vector: NULL distance
     return dist
 
 
-def _local_topk(q_ids, q_mat, q_filters, q_ks, vec_ids, vec_paths, v_mat):
-    """Best ``k`` (distance, id) per query among one slice of vectors.
+def _nearest(q_mat, v_mat, id_rank, ks):
+    """Exact best ``ks`` columns of every row, as (row, column, distance) arrays a tile of rows at a time.
 
-    Unfiltered queries are scored against the whole slice in one product;
-    queries with a file filter only against that file's vectors of the slice.
+    A single-precision product of unit vectors picks, per query, what can be
+    among its best (``margin`` is twice its largest error); only those pairs
+    are computed in double.  The bound falls from tile to tile of the vectors,
+    so few pairs pass.  Zero vectors have NULL distances and come last, by id;
+    rows whose norm is not of an ordinary size are compared with everything.
     """
     import numpy as np
 
-    out_q, out_v, out_d, out_k = [], [], [], []
-    if len(vec_ids) == 0 or len(q_ids) == 0:
-        return out_q, out_v, out_d, out_k
-    ids = np.asarray(vec_ids, dtype=object)
-    id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    filt = [None if f is None else f for f in (q_filters or [None] * len(q_ids))]
-
+    if not len(v_mat) or not len(q_mat) or ks.max() <= 0:
+        return
     if q_mat.shape[1] != v_mat.shape[1]:
         raise ValueError(f"query vectors have {q_mat.shape[1]} dimensions, stored vectors {v_mat.shape[1]}")
+    k = min(int(ks.max()), len(v_mat))
+    with np.errstate(all="ignore"):
+        qn, vn = (np.sqrt(np.einsum("ad,ad->a", m, m)) for m in (q_mat, v_mat))
+    usual = lambda n: (n >= 1e-100) & (n <= 1e100)
+    first = np.argsort(id_rank, kind="stable")
+    odd = np.flatnonzero(~usual(vn) & (vn != 0))
+    some = np.flatnonzero(usual(vn))
+    more = first[vn[first] == 0][:k] if len(some) < k else first[:0]
+    vu = (v_mat[some] / vn[some, None]).astype(np.float32)
+    margin = np.float32(1.2e-7 * (q_mat.shape[1] + 8))
+    for at in range(0, len(q_mat), TILE_ROWS):
+        qm, n, asked = q_mat[at:at + TILE_ROWS], qn[at:at + TILE_ROWS], ks[at:at + TILE_ROWS]
+        kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+
+        def settle(row, col, dist=None):
+            dist = _exact(qm, v_mat, n, vn, row, col) if dist is None else dist
+            kept[0] = _cut(*(np.concatenate(x) for x in zip(kept[0], (row, col, dist))), id_rank, asked)
+
+        none = np.flatnonzero(n == 0)
+        settle(np.repeat(none, k), np.tile(first[:k], len(none)), np.full(len(none) * k, np.nan))
+        for r in np.flatnonzero(~usual(n) & (n != 0)):
+            settle(np.full(len(v_mat), r), np.arange(len(v_mat)))
+        plain = np.flatnonzero(usual(n))
+        for c in np.array_split(np.concatenate([odd, more]), math.ceil((len(odd) + len(more)) * TILE_ROWS / TILE_CELLS) or 1):
+            settle(np.repeat(plain, len(c)), np.tile(c, len(plain)))
+        qu = (qm[plain] / -n[plain, None]).astype(np.float32)        # the far ones have the large products
+        bound = np.full(len(plain), np.inf, np.float32)
+        row, col, far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        width = max(1, TILE_CELLS // TILE_ROWS)
+        for v in range(0, len(some), width):
+            tile = qu @ vu[v:v + width].T
+            if v == 0 and tile.shape[1] > k:
+                bound = np.partition(tile, k - 1, axis=1)[:, k - 1]
+            r, c = np.divmod(np.flatnonzero(tile <= (bound + margin)[:, None]), tile.shape[1])
+            row, col, far = (np.concatenate(x) for x in ((row, r), (col, c + v), (far, tile[r, c])))
+            by = np.lexsort((far, row))
+            row, col, far = row[by], col[by], far[by]
+            kth = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
+            bound[row[kth]] = np.minimum(bound[row[kth]], far[kth])
+            near = far <= bound[row] + margin
+            row, col, far = row[near], col[near], far[near]
+            if len(row) > TILE_CELLS // 4:         # many (nearly) equal vectors: decided at once
+                settle(plain[row], some[col])
+                row, col, far = row[:0], col[:0], far[:0]
+        settle(plain[row], some[col])
+        yield kept[0][0] + at, *kept[0][1:]
+
+
+def _scopes(filters, paths):
+    """(queries, vectors) places that belong together: those without a file filter and all, then a file's."""
+    import numpy as np
 
-    def emit(qi, vi):
-        # the distance block of a tile holds at most TILE_CELLS doubles
-        step = max(1, TILE_CELLS // max(1, len(vi)))
-        for at in range(0, len(qi) if len(vi) else 0, step):
-            tile = qi[at:at + step]
-            dist = _cosine(q_mat[tile], v_mat[vi])
-            picks = _select_topk(dist, [q_ks[i] for i in tile], id_rank[vi])
-            for row, i in enumerate(tile):
-                sel = picks[row]
-                out_q.extend([q_ids[i]] * len(sel))
-                out_v.extend(vec_ids[vi[j]] for j in sel)
-                out_d.extend(dist[row, sel].tolist())
-                out_k.extend([int(q_ks[i])] * len(sel))
-
-    emit(np.array([i for i, f in enumerate(filt) if f is None], dtype=np.int64),
-         np.arange(len(vec_ids)))
-    by_path: dict[str, list[int]] = {}
-    for i, f in enumerate(filt):
+    free = np.array([i for i, f in enumerate(filters) if f is None], dtype=np.int64)
+    if len(free):
+        yield free, np.arange(len(paths))
+    if len(free) == len(filters):
+        return
+    by_path: dict[str, tuple[list, list]] = {}
+    for i, f in enumerate(filters):
         if f is not None:
-            by_path.setdefault(f, []).append(i)
-    rows_of: dict[str, list[int]] = {}
-    for j, path in enumerate(vec_paths if by_path else ()):
+            by_path.setdefault(f, ([], []))[0].append(i)
+    for j, path in enumerate(paths):
         if path in by_path:
-            rows_of.setdefault(path, []).append(j)
-    for path, rows in rows_of.items():
-        emit(np.asarray(by_path[path], dtype=np.int64), np.asarray(rows, dtype=np.int64))
-    return out_q, out_v, out_d, out_k
+            by_path[path][1].append(j)
+    for q, v in by_path.values():
+        if v:
+            yield np.asarray(q, dtype=np.int64), np.asarray(v, dtype=np.int64)
+
+
+def _id_rank(ids):
+    import numpy as np
+
+    return np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+
+
+def _local_topk(q_ids, q_mat, q_filters, q_ks, vec_ids, vec_paths, v_mat):
+    """Frames of the best ``k`` hits of every query among one slice of vectors.
+
+    Queries with a file filter are scored only against that file's vectors of
+    the slice, the others against the whole slice.
+    """
+    import numpy as np
+
+    ids = np.asarray(vec_ids, dtype=object)
+    id_rank = _id_rank(ids)
+    q_ids, q_ks = np.asarray(q_ids, dtype=np.int64), np.asarray(q_ks, dtype=np.int64)
+    for qi, vi in _scopes(q_filters, vec_paths):
+        for row, col, dist in _nearest(q_mat[qi], v_mat[vi], id_rank[vi], q_ks[qi]):
+            if len(row):
+                yield _hit_frame(q_ids[qi[row]], ids[vi[col]], dist, q_ks[qi[row]])
+
+
+def _listed_topk(q_ids, q_mat, q_filters, q_ks, lists_of, vec_ids, vec_paths, vec_lists, v_mat):
+    """A frame of the best ``k`` hits of every query among the vectors of the lists it probes.
+
+    ``lists_of(list_id)``: places of the queries that probe it.
+    """
+    import numpy as np
+
+    ids, vec_paths = np.asarray(vec_ids, dtype=object), np.asarray(vec_paths, dtype=object)
+    id_rank, filters = _id_rank(ids), np.asarray(q_filters, dtype=object)
+    q_ids, q_ks = np.asarray(q_ids, dtype=np.int64), np.asarray(q_ks, dtype=np.int64)
+    by = np.argsort(vec_lists, kind="stable")
+    kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    held, size = [kept], 0
+    for run in np.split(by, np.flatnonzero(np.diff(vec_lists[by])) + 1):
+        mine = lists_of(vec_lists[run[0]]) if len(run) else run
+        for qi, vi in _scopes(filters[mine], vec_paths[run]):
+            qi, vi = mine[qi], run[vi]
+            for row, col, dist in _nearest(q_mat[qi], v_mat[vi], id_rank[vi], q_ks[qi]):
+                held.append((qi[row], vi[col], dist))
+                size += len(row)
+        if size > TILE_CELLS // 4:
+            kept, size = _cut(*(np.concatenate(x) for x in zip(*held)), id_rank, q_ks), 0
+            held = [kept]
+    row, col, dist = _cut(*(np.concatenate(x) for x in zip(*held)), id_rank, q_ks)
+    return _hit_frame(q_ids[row], ids[col], dist, q_ks[row])
+
+
+def _block_rows(dim: int, k: int) -> int:
+    """Rows of one side of a block: at most BLOCK_BYTES of doubles and about a million hits."""
+    return max(1024, min(BLOCK_BYTES // (8 * max(dim, 1)), (1 << 20) // max(k, 1)))
 
 
 def _hit_frame(query_ids, vector_ids, distances, ks):
@@ -154,7 +240,7 @@ def _final_topk(cands: DataFrame, largest_k: int) -> DataFrame:
 def search_topk(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAULT_TOP_K,
                 k_col: str | None = None, filter_col: str | None = None,
                 query_vec: str = "embedding", vector_vec: str = "embedding",
-                max_broadcast_bytes: int = 64 << 20, block_rows: int = 4096) -> DataFrame:
+                max_broadcast_bytes: int = 64 << 20, block_rows: int | None = None) -> DataFrame:
     """K2: per query, the ``top_k`` nearest vectors by cosine distance.
 
     ``queries``: ``query_id`` (long), ``query_vec``, optional ``k_col`` (per
@@ -183,9 +269,9 @@ def search_topk(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAULT_TOP_K
     if n_q and not dim:              # only NULL requests: the stored vectors name the dimension
         dim = max(int(vsel.agg(F.max(F.size("vv"))).first()[0] or 0), 0)
     if n_q * max(dim, 1) * 8 <= max_broadcast_bytes:
-        cands = _broadcast_candidates(qsel, vsel, dim)
+        cands = _broadcast_candidates(qsel, vsel, n_q, dim)
     else:
-        cands = _blocked_candidates(qsel, vsel, n_q, block_rows, dim)
+        cands = _blocked_candidates(qsel, vsel, n_q, block_rows or _block_rows(dim, largest_k), dim)
     hits = _final_topk(cands, largest_k)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vector_id", "distance")
 
@@ -198,7 +284,11 @@ def _matrix(col, dim):
     return np.stack(vals) if vals else np.zeros((0, dim))
 
 
-def _broadcast_candidates(qsel: DataFrame, vsel: DataFrame, dim: int) -> DataFrame:
+def _broadcast_candidates(qsel: DataFrame, vsel: DataFrame, n_q: int, dim: int) -> DataFrame:
+    # a small table may lie in one split, which many queries keep busy for long
+    if n_q > TILE_ROWS:
+        tasks = math.ceil(vsel.count() / max(TILE_ROWS, SCAN_CELLS // n_q))
+        vsel = vsel.repartition(tasks) if tasks > 1 else vsel
     rows = qsel.toArrow()          # bounded: checked against max_broadcast_bytes
     q_mat = _matrix(rows["qv"].to_pandas(), dim)
     sc = vsel.sparkSession.sparkContext
@@ -210,10 +300,7 @@ def _broadcast_candidates(qsel: DataFrame, vsel: DataFrame, dim: int) -> DataFra
             if len(pdf) == 0:
                 continue
             v_mat = _matrix(pdf["vv"], mat.shape[1])
-            oq, ov, od, ok = _local_topk(ids, mat, filt, ks, pdf["vector_id"].tolist(),
-                                         pdf["file_path"].tolist(), v_mat)
-            if oq:
-                yield _hit_frame(oq, ov, od, ok)
+            yield from _local_topk(ids, mat, filt, ks, pdf["vector_id"].tolist(), pdf["file_path"].tolist(), v_mat)
 
     return vsel.mapInPandas(run, HIT_SCHEMA)
 
@@ -228,14 +315,14 @@ def _blocked_candidates(qsel: DataFrame, vsel: DataFrame, n_q: int, block_rows:
                .withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1))))
 
     def run(key, vpdf, qpdf):
+        import pandas as pd
+
         if len(vpdf) == 0 or len(qpdf) == 0:
             return _hit_frame([], [], [], [])
-        q_mat = _matrix(qpdf["qv"], dim)
-        v_mat = _matrix(vpdf["vv"], dim)
         qf = [None if (f is None or (isinstance(f, float) and math.isnan(f))) else f for f in qpdf["qf"]]
-        oq, ov, od, ok = _local_topk(qpdf["query_id"].tolist(), q_mat, qf, [int(x) for x in qpdf["qk"]],
-                                     vpdf["vector_id"].tolist(), vpdf["file_path"].tolist(), v_mat)
-        return _hit_frame(oq, ov, od, ok)
+        found = list(_local_topk(qpdf["query_id"], _matrix(qpdf["qv"], dim), qf, qpdf["qk"], vpdf["vector_id"],
+                                 vpdf["file_path"].tolist(), _matrix(vpdf["vv"], dim)))
+        return pd.concat(found) if found else _hit_frame([], [], [], [])
 
     return (vrep.groupBy("vb", "qb").cogroup(qrep.groupBy("vb", "qb"))
             .applyInPandas(run, HIT_SCHEMA))
@@ -246,43 +333,6 @@ def attach_payload(hits: DataFrame, vectors: DataFrame, cols=("document", "metad
     return vectors.select("vector_id", *cols).join(hits, "vector_id")
 
 
-def _probed_topk(q_ids, q_mat, vec_ids, v_mat, k):
-    """Best ``k`` (distance, id) of every query among one block of a list, as a frame.
-
-    A product of unit vectors picks, per query, what can be among its best
-    (its error is far below the margin); only those pairs are computed the
-    way K2 sums them, so exact ties are left to the id.
-    """
-    import numpy as np
-    import pandas as pd
-
-    ids = np.asarray(vec_ids, dtype=object)
-    held = min(k, len(ids))
-    id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    norm = lambda m: np.sqrt(np.einsum("ad,ad->a", m, m))
-    qn, vn = norm(q_mat), norm(v_mat)
-    vu = v_mat / np.where(vn > 0, vn, 1.0)[:, None]
-    out = []
-    step = max(1, TILE_CELLS // len(ids))
-    for at in range(0, len(q_mat), step):
-        qm, n = q_mat[at:at + step], qn[at:at + step]
-        far = -((qm / np.where(n > 0, n, 1.0)[:, None]) @ vu.T)
-        far[:, vn == 0] = np.inf                       # NULL distances come last
-        kth = np.partition(far, held - 1, axis=1)[:, held - 1]
-        row, col = np.nonzero(far <= kth[:, None] + 1e-9)
-        dist = np.empty(len(row))
-        for a in range(0, len(row), 1 << 16):
-            r, c = row[a:a + (1 << 16)], col[a:a + (1 << 16)]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist[a:a + len(r)] = 1.0 - np.einsum("id,id->i", qm[r], v_mat[c]) / (n[r] * vn[c])
-        dist[~np.isfinite(dist)] = np.nan
-        by = np.lexsort((id_rank[col], np.where(np.isnan(dist), np.inf, dist), row))
-        row, col, dist = row[by], col[by], dist[by]
-        best = np.arange(len(row)) - np.searchsorted(row, row) < k
-        out.append(_hit_frame(q_ids[at:at + step][row[best]], ids[col[best]], dist[best], np.full(best.sum(), k)))
-    return pd.concat(out) if out else _hit_frame([], [], [], [])
-
-
 def _list_order(q_mat, centers):
     """Per query, the lists by falling cosine of their centroid."""
     import numpy as np
@@ -326,7 +376,7 @@ def _probe_for_recall(queries: DataFrame, assigned: DataFrame, centers, k: int,
 
 def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAULT_TOP_K,
                        n_lists: int | None = None, n_probe: int | None = None, recall: float = 0.9,
-                       block_rows: int = 4096,
+                       block_rows: int | None = None,
                        max_iter: int = 8, seed: int = 7, max_center_bytes: int = 64 << 20,
                        max_broadcast_bytes: int = 64 << 20,
                        query_vec: str = "embedding", vector_vec: str = "embedding") -> DataFrame:
@@ -361,6 +411,7 @@ def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAUL
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vector_id string, distance double")
     dim = int(vv.select(F.max(F.size("vv"))).first()[0] or 1)
     # the centroids go to the driver and are broadcast: their size is checked
+    block_rows = block_rows or _block_rows(dim, k)
     lists = n_lists or max(1, int(math.sqrt(n_v)))
     if lists * dim * 8 > max_center_bytes:
         raise ValueError(f"{lists} centroids of {dim} dimensions exceed max_center_bytes = {max_center_bytes}")
@@ -404,6 +455,15 @@ def search_topk_approx(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAUL
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vector_id", "distance")
 
 
+def _frame_topk(q_ids, q_mat, vpdf, dim, k):
+    """A frame of the best ``k`` hits of every query among one block of a list."""
+    import pandas as pd
+
+    found = list(_local_topk(q_ids, q_mat, [None] * len(q_ids), [k] * len(q_ids), vpdf["vector_id"],
+                             vpdf["file_path"].tolist(), _matrix(vpdf["vv"], dim)))
+    return pd.concat(found) if found else _hit_frame([], [], [], [])
+
+
 def _broadcast_probes(qsel: DataFrame, vblk: DataFrame, probed, dim: int, n_lists: int, k: int) -> DataFrame:
     """Every block of a list against the broadcast queries that probe it (a bit per query and list)."""
     import numpy as np
@@ -421,7 +481,7 @@ def _broadcast_probes(qsel: DataFrame, vblk: DataFrame, probed, dim: int, n_list
     def run(key, vpdf):
         ids, mat, probes = bq.value
         mine = np.flatnonzero(np.unpackbits(probes[key[0]], count=len(ids)))
-        return _probed_topk(ids[mine], mat[mine], vpdf["vector_id"].tolist(), _matrix(vpdf["vv"], dim), k)
+        return _frame_topk(ids[mine], mat[mine], vpdf, dim, k)
 
     return vblk.groupBy("list_id", "blk").applyInPandas(run, HIT_SCHEMA)
 
@@ -450,8 +510,7 @@ def _blocked_probes(qsel: DataFrame, vblk: DataFrame, blocks: DataFrame, probed,
     def run(key, vpdf, qpdf):
         if len(vpdf) == 0 or len(qpdf) == 0:
             return _hit_frame([], [], [], [])
-        return _probed_topk(qpdf["query_id"].to_numpy(), _matrix(qpdf["qv"], dim),
-                            vpdf["vector_id"].tolist(), _matrix(vpdf["vv"], dim), k)
+        return _frame_topk(qpdf["query_id"].to_numpy(), _matrix(qpdf["qv"], dim), vpdf, dim, k)
 
     return (vrep.groupBy("list_id", "blk", "qb").cogroup(probes.groupBy("list_id", "blk", "qb"))
             .applyInPandas(run, HIT_SCHEMA))

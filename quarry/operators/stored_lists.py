@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import patterns as P
-from quarry.operators.search import HIT_SCHEMA, _final_topk, _hit_frame, _list_order, _matrix, _probed_topk, search_topk
+from quarry.operators.search import HIT_SCHEMA, _block_rows, _final_topk, _hit_frame, _list_order, _listed_topk, _matrix, search_topk
 from quarry.session import materialize
 
 FOLDERS, LISTS_PER_FOLDER, SAMPLE_PER_LIST, GROWTH, ASKED = 64, 16, 64, 4, 256
@@ -180,7 +180,7 @@ class StoredLists:
 
     def search(self, queries: DataFrame, k: int = P.DEFAULT_TOP_K, k_col: str | None = None, filter_col: str | None = None,
                query_vec: str = "embedding", live: DataFrame | None = None, share: float | None = None,
-               max_broadcast_bytes: int = 64 << 20, block_rows: int = 4096) -> DataFrame:
+               max_broadcast_bytes: int = 64 << 20, block_rows: int | None = None) -> DataFrame:
         """K3: ``query_id, rank, vector_id, distance`` of about the nearest; arguments as K2's.  A ``share`` of 1 is exact."""
         kexpr = F.coalesce(F.col(k_col).cast("int"), F.lit(k)) if k_col else F.lit(k)
         asked = queries.select(
@@ -199,7 +199,8 @@ class StoredLists:
             found = self._in_place(probes, live)
         else:
             lists = [r.list_id for r in probes.select(F.explode("lists").alias("list_id")).distinct().collect()]  # one a list at most
-            found = self._in_blocks(probes, self._live(self._rows(lists), live), about.n, held, block_rows)
+            found = self._in_blocks(probes, self._live(self._rows(lists), live), about.n, held,
+                                    block_rows or _block_rows(self.centers.shape[1], int(about.k or 0)))
         hits = _final_topk(found, max(int(about.k or 0), 0))
         return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vector_id", "distance")
 
@@ -215,21 +216,22 @@ class StoredLists:
         if filtered:                 # the vectors of a file by list: at most one entry a list
             of_file = counts.groupBy("file_path", "list_id").agg(F.sum("n").alias("n")).groupBy("file_path").agg(
                 F.collect_list(F.struct("list_id", "n")).alias("here"))
+            of_file = of_file.select("file_path", F.col("here.list_id").alias("here"), F.col("here.n").alias("n_here"))
             asked = asked.join(of_file, F.col("qf") == F.col("file_path"), "left").drop("file_path")
         else:
-            asked = asked.withColumn("here", F.lit(None).cast("array<struct<list_id:int,n:long>>"))
+            asked = asked.withColumn("here", F.lit(None).cast("array<int>")).withColumn("n_here", F.lit(None).cast("array<long>"))
 
         def choose(frames):
             mat, all_held = centers.value
             for pdf in frames:
                 chosen = []
                 order = _list_order(_matrix(pdf["qv"], mat.shape[1]), mat) if len(pdf) else []
-                for best, qf, qk, here in zip(order, pdf["qf"], pdf["qk"], pdf["here"]):
+                for best, qf, qk, here, n_here in zip(order, pdf["qf"], pdf["qk"], pdf["here"], pdf["n_here"]):
                     n = all_held
                     if qf is not None:
                         n = np.zeros(len(mat))
-                        for e in ([] if here is None else here):
-                            n[e["list_id"]] = e["n"]
+                        if here is not None:
+                            n[here] = n_here
                     best = best[n[best] > 0]
                     before = np.cumsum(n[best]) - n[best]
                     enough = max(int(qk), math.ceil(shares[qf is not None] * n.sum()))
@@ -263,39 +265,64 @@ class StoredLists:
         def run(frames):
             ids, mat, filters, ks, probing = asked.value
             for pdf in frames:
-                lists = pdf["list_id"].to_numpy()
-                cut = np.flatnonzero(np.diff(lists)) + 1
-                for a, b in zip([0, *cut], [*cut, len(lists)]):
-                    if a < b:
-                        mine = np.flatnonzero(np.unpackbits(probing[lists[a]], count=len(ids)))
-                        yield from _score(ids[mine], mat[mine], filters[mine], ks[mine], pdf.iloc[a:b], dim)
+                if len(pdf):
+                    yield _listed_topk(ids, mat, filters, ks, lambda i: np.flatnonzero(np.unpackbits(probing[i], count=len(ids))),
+                                       pdf["vector_id"], pdf["file_path"], pdf["list_id"].to_numpy(), _matrix(pdf["vv"], dim))
 
         return rows.select("list_id", "file_path", "vector_id", "vv").mapInPandas(run, HIT_SCHEMA)
 
     def _in_blocks(self, probes: DataFrame, rows: DataFrame, n_q: int, held: dict, block_rows: int) -> DataFrame:
-        """Blocks of a list and blocks of the queries that probe it meet in tasks."""
+        """Blocks of neighbouring lists (of part of one, where it is larger) and blocks of the queries that
+        probe any of them meet in tasks, so a query travels once a block and not once a list."""
         import numpy as np
-        import pandas as pd
 
         dim, q_blocks = self.centers.shape[1], max(1, math.ceil(n_q / block_rows))
-        blocks = F.broadcast(self.spark.createDataFrame([(i, max(1, math.ceil(n / block_rows))) for i, n in held.items()],
-                                                        "list_id int, blocks int"))          # one row a list
-        stored = rows.join(blocks, "list_id").withColumn("blk", F.pmod(F.xxhash64("vector_id"), F.col("blocks")).cast("int")) \
-            .select("list_id", "blk", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), "file_path", "vector_id", "vv")
-        asked = probes.select("query_id", "qv", "qf", "qk", F.explode("lists").alias("of")) \
-            .join(blocks.withColumnRenamed("list_id", "of"), "of") \
-            .select("of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ab"),
-                    F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("aq"), "query_id", "qv", "qf", "qk")
+        first, parts = np.zeros(len(self.centers), np.int64), np.zeros(len(self.centers), np.int64)
+        n_blocks, room = 0, 0
+        for i, n in sorted(held.items()):
+            parts[i] = max(1, math.ceil(n / block_rows))
+            if parts[i] > 1 or n > room:
+                n_blocks, room = n_blocks + int(parts[i]), block_rows if parts[i] == 1 else 0
+            first[i], room = n_blocks - parts[i], room - n
+        blocks = F.broadcast(self.spark.createDataFrame([(i, int(first[i]), int(parts[i])) for i in held],
+                                                        "list_id int, first int, parts int"))          # one row a list
+        stored = rows.join(blocks, "list_id").withColumn("blk", F.col("first") + F.pmod(F.xxhash64("vector_id"), F.col("parts")).cast("int")) \
+            .select("blk", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), "list_id", "file_path", "vector_id", "vv")
+
+        def deal(frames):
+            for pdf in frames:
+                for at in range(0, len(pdf), 1024):
+                    some = pdf.iloc[at:at + 1024]
+                    row = np.repeat(np.arange(len(some)), [len(x) for x in some["lists"]])
+                    if not len(row):
+                        continue
+                    lists = np.concatenate(some["lists"].tolist())
+                    again = np.repeat(np.arange(len(row)), parts[lists])
+                    blk = first[lists][again] + np.arange(len(again)) - np.searchsorted(again, again)
+                    row, lists = row[again], lists[again]
+                    by = np.lexsort((lists, blk, row))
+                    row, lists, blk = row[by], lists[by], blk[by]
+                    cut = np.flatnonzero(np.diff(row) | np.diff(blk)) + 1
+                    start = np.concatenate([[0], cut])
+                    out = some.iloc[row[start]].assign(ab=blk[start], lists=np.split(lists.astype(np.int32), cut))
+                    yield out[["ab", "query_id", "qv", "qf", "qk", "lists"]]
+
+        asked = probes.mapInPandas(deal, "ab int, query_id long, qv array<double>, qf string, qk int, lists array<int>") \
+            .withColumn("aq", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
 
         def run(key, vpdf, qpdf):
-            found = []
-            if len(vpdf) and len(qpdf):
-                filters = np.array([None if x is None or x != x else x for x in qpdf["qf"]], object)
-                found = list(_score(qpdf["query_id"].to_numpy(), _matrix(qpdf["qv"], dim), filters,
-                                    qpdf["qk"].to_numpy(), vpdf, dim))
-            return pd.concat(found) if found else _hit_frame([], [], [], [])
+            if not len(vpdf) or not len(qpdf):
+                return _hit_frame([], [], [], [])
+            filters = np.array([None if x is None or x != x else x for x in qpdf["qf"]], object)
+            row = np.repeat(np.arange(len(qpdf)), [len(x) for x in qpdf["lists"]])
+            lists = np.concatenate(qpdf["lists"].tolist())
+            by = np.argsort(lists, kind="stable")
+            row, lists = row[by], lists[by]
+            return _listed_topk(qpdf["query_id"], _matrix(qpdf["qv"], dim), filters, qpdf["qk"],
+                                lambda i: row[np.searchsorted(lists, i):np.searchsorted(lists, i, "right")],
+                                vpdf["vector_id"], vpdf["file_path"], vpdf["list_id"].to_numpy(), _matrix(vpdf["vv"], dim))
 
-        return stored.groupBy("list_id", "blk", "qb").cogroup(asked.groupBy("of", "ab", "aq")).applyInPandas(run, HIT_SCHEMA)
+        return stored.groupBy("blk", "qb").cogroup(asked.groupBy("ab", "aq")).applyInPandas(run, HIT_SCHEMA)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, lists: "StoredLists | None" = None, live: DataFrame | None = None,
@@ -307,23 +334,3 @@ def nearest(queries: DataFrame, vectors: DataFrame, lists: "StoredLists | None"
 def _plain(vectors: DataFrame) -> DataFrame:
     seq = F.col("ingest_seq") if "ingest_seq" in vectors.columns else F.lit(0)
     return vectors.select("vector_id", "file_path", seq.cast("long").alias("ingest_seq"), F.col("embedding").cast("array<float>").alias("vv"))
-
-
-def _score(ids, mat, filters, ks, rows, dim):
-    """Frames of the best hits among some rows of a list, for the queries that probe it."""
-    import numpy as np
-
-    if not len(ids):
-        return
-    vec_ids, vectors = rows["vector_id"].to_numpy(dtype=object), _matrix(rows["vv"], dim)
-    scoped = np.array([f is not None for f in filters], bool)
-    groups = [(np.flatnonzero(~scoped), np.arange(len(vec_ids)))]
-    if scoped.any():
-        paths = rows["file_path"].to_numpy(dtype=object)
-        for path in set(filters[scoped]) & set(paths):
-            groups.append((np.flatnonzero(filters == path), np.flatnonzero(paths == path)))
-    for q, v in groups:
-        if len(q) and len(v):
-            hits = _probed_topk(np.arange(len(q)), mat[q], vec_ids[v], vectors[v], max(1, int(ks[q].max())))
-            at = q[hits["query_id"].to_numpy()]
-            yield _hit_frame(ids[at], hits["vector_id"].to_numpy(), hits["distance"].to_numpy(), ks[at])

@@ -200,3 +200,23 @@ def test_approx_topk_is_alike_on_both_strategies_and_exact_on_all_lists(spark):
             assert near == far
             assert [r[:3] for r in near] == [(r.query_id, r.rank, r.vector_id) for r in
                                              search_topk(q, v, k=4).orderBy("query_id", "rank").collect()]
+
+
+def test_block_kernel_is_exact_across_tiles_and_for_odd_vectors(monkeypatch):
+    from quarry.operators import search as S
+
+    monkeypatch.setattr(S, "TILE_ROWS", 7, raising=False)      # several tiles of either side
+    monkeypatch.setattr(S, "TILE_CELLS", 35)
+    rng = np.random.default_rng(3)
+    for t in range(20):
+        v, q = (rng.integers(-2, 3, (n, 3)).astype(float) for n in (60, 25))
+        if t % 2:
+            v[4], v[5], q[0] = np.inf, v[5] * 1e-150, q[0] * 1e120
+        id_rank, ks = rng.permutation(len(v)), rng.integers(0, 8, len(q))
+        qn, vn = (np.sqrt(np.einsum("ad,ad->a", m, m)) for m in (q, v))
+        got = [(int(r), int(c)) for row, col, _ in S._nearest(q, v, id_rank, ks) for r, c in zip(row, col)]
+        want = []
+        for i in range(len(q)):
+            d = S._exact(q, v, qn, vn, np.full(len(v), i), np.arange(len(v)))
+            want += [(i, int(j)) for j in np.lexsort((id_rank, np.where(np.isnan(d), np.inf, d)))[:ks[i]]]
+        assert got == want

@@ -189,3 +189,14 @@ def test_registered_recall(spark):
 
     for sf in ("sf0.01", "sf0.1"):
         assert all(r.recall_reached for r in queries.approx_recall(spark, f"/root/testdata/{sf}").collect())
+
+
+def test_a_query_travels_once_a_block_of_lists(spark, tmp_path):
+    v, m = _vectors(spark, 200)
+    lists = SL.StoredLists.train(v, str(tmp_path / "lists"), n_lists=10, share=1.0)
+    q = spark.createDataFrame([(i, m[i].tolist()) for i in range(20)], "query_id long, embedding array<double>")
+    held = {r.list_id: r["n"] for r in lists._counts().groupBy("list_id").sum("n").toDF("list_id", "n").collect()}
+    asked = q.selectExpr("query_id", "embedding as qv", "cast(null as string) as qf", "4 as qk")
+    probes = lists._probes(asked, lists._counts(), held, None, False)
+    found = lists._in_blocks(probes, lists._rows(sorted(held)), 20, held, 200)
+    assert found.count() == 20 * 4                             # the lists of a block share one cut
