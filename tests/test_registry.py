@@ -66,3 +66,16 @@ def test_entry_smoke(spark):
     assert df.count() > 0
     assert df.columns == ["file_path", "function_name", "line_start", "line_end", "complexity", "tags",
                           "file_findings"]
+
+
+def test_a_query_writes_only_the_index_logs_it_reads(spark, tmp_path):
+    from quarry import queries
+
+    spark.createDataFrame([(i, "red ring", "Brand#1", "PROMO", i % 30) for i in range(20)],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int") \
+        .write.parquet(str(tmp_path / "part.parquet"))
+    assert queries.index_files(spark, str(tmp_path)).count() > 0
+    key = (spark.sparkContext.applicationId, str(tmp_path))
+    assert list(queries._INDEX_LOGS[key][1]) == ["files"]
+    assert queries.index_count(spark, str(tmp_path)).first()[0] > 0
+    assert list(queries._INDEX_LOGS[key][1]) == ["files", "vectors"]
