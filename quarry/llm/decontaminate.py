@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.io import staged, utf8_bytes
+from quarry.llm.io import give_back, staged, utf8_bytes
 
 WINDOW, K = 13, 7
 BLOCK_BYTES = 16 << 20
@@ -155,6 +155,7 @@ def _scanner(ids, texts, window, k):
         if not cell:
             cell.append(_Items(ids, texts, window, k))
         rows = [r for a, b in W.pieces(column) for r in _scan(column.slice(a, b - a), cell[0], window, k)]
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()),
              pa.array([r[1] for r in rows], pa.list_(pa.int32())),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import session
 from quarry.session import materialize, table
 
-__all__ = ["materialize", "read", "release", "ship_package", "staged", "utf8_bytes"]
+__all__ = ["give_back", "gives_back", "materialize", "read", "release", "ship_package", "staged", "utf8_bytes"]
 
 ARROW_BYTES = 4 << 20        # whole texts go to Python in batches of about this size
 
@@ -44,3 +48,23 @@ def release(df: DataFrame) -> None:
 def utf8_bytes(col):
     """UTF-8 length of a text, 0 for null."""
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
+
+
+def give_back() -> None:
+    """What this process has freed goes back to the system: a Python worker waits for its
+    next task next to the JVM, and both allocators would keep its last task's peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def gives_back(run):
+    """A function over a task's batches that gives its memory back when the task ends."""
+    @wraps(run)
+    def task(batches, *args, **kwargs):
+        try:
+            yield from run(batches, *args, **kwargs)
+        finally:
+            give_back()
+    return task

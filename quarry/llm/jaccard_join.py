@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.io import staged
+from quarry.llm.io import gives_back, staged
 
 MAX_FREQUENT, GATHER, CELL, PAIRS, LIGHT_MOST, DROPS, BEFORE = 500_000, 1 << 22, 2048, 1 << 16, 64, 3, 3
 _BEFORE = [f"before{d}" for d in range(1, BEFORE + 1)]
@@ -103,6 +103,7 @@ def _long(a) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64))
 
 
+@gives_back
 def _describe(batches, k, num, den):
     """One row per text (sid, n, bits), and the shingles that a task sees again (shingle, seen)."""
     gathered, held = [], 0
@@ -182,6 +183,7 @@ def _subset_keys(h: np.ndarray, drops: int) -> np.ndarray:
     return W.mix(np.array([s for s, _ in out], np.uint64) + np.array([m for _, m in out], np.uint64), 22)
 
 
+@gives_back
 def _postings(batches, k, num, den, boundary, frequent, counts):
     """(key, sid, n) of subset keys and prefix lists."""
     with np.errstate(over="ignore"):
@@ -280,6 +282,7 @@ def _met_before(before, i, j):
     return met
 
 
+@gives_back
 def _cells(batches, num, den, first_round):
     """Candidate pairs of sorted cells; a cell may go over batches, so its tail waits for the next."""
     names = ["cell", "sid", "n", "comp"]
@@ -331,6 +334,7 @@ def _candidates(cells: DataFrame, num, den, first_round) -> DataFrame:
     return ready.mapInArrow(run, "a long, b long").distinct()
 
 
+@gives_back
 def _shingles(batches, k):
     for batch in batches:
         texts = W.text_column(batch, "text")

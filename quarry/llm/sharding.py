@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.io import staged, utf8_bytes
+from quarry.llm.io import give_back, staged, utf8_bytes
 
 SHARDS = 16
 ROWS_PER_RANGE, MIN_RANGES, MAX_RANGES, SAMPLES, OVERFULL, WHOLE = 50_000, 64, 65_536, 24, 4.0, 0.1
@@ -44,7 +44,10 @@ def _range_of(splitters: np.ndarray):
     """Arrow UDF: number of splitters at or below a key."""
     def run(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         keys = _key_bytes(*(x.to_numpy(zero_copy_only=False) for x in (a, b, c)))
-        return pa.array(np.searchsorted(splitters, keys, "right").astype(np.int32))
+        found = pa.array(np.searchsorted(splitters, keys, "right").astype(np.int32))
+        del keys
+        give_back()
+        return found
     run.__annotations__ = {"a": pa.Array, "b": pa.Array, "c": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "int")
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.io import staged
+from quarry.llm.io import give_back, gives_back, staged
 
 MAX_TRAIN = 200_000
 PRIOR_WORDS = 50.0     # weight of the Dirichlet prior, in documents' words
@@ -83,6 +83,7 @@ def labelled(documents: DataFrame, labels: DataFrame, max_train: int) -> DataFra
 
 def _documents_per_word(only: np.ndarray | None):
     """Partial document counts of words per batch (of the words in ``only``, if given)."""
+    @gives_back
     def run(batches):
         for batch in batches:
             texts = W.text_column(batch, "text")
@@ -229,6 +230,7 @@ def _scanner(model: Model):
 
     def run(column: pa.Array) -> pa.Array:
         rows = [r for a, b in W.pieces(column) for r in _scan(column.slice(a, b - a), model)]
+        give_back()
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.float64()),
                                            pa.array([r[1] for r in rows], seg)], ["evidence", "segments"])
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}

@@ -172,3 +172,34 @@ def test_empty_tables_pass_through(spark, folder, docs, tmp_path):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.toxicity(spark, docs, str(tmp_path)).count() == docs.count()
     assert cp.decontaminate(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_a_task_leaves_its_worker_small():
+    """What a task freed goes back to the system, also when the task is not read to its end: idle workers kept their peaks."""
+    import os
+
+    from quarry.llm import jaccard_join as jj
+    from quarry.llm.io import gives_back
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    kept = []
+
+    @gives_back
+    def task(batches):
+        for n in batches:
+            blocks = [bytearray(60_000) for _ in range(n)]        # too small to be mapped one by one
+            kept.append(bytearray(60_000))                        # lies above them, so the heap's end can't fall
+            yield len(blocks)
+            del blocks
+
+    before = held()
+    assert list(task([4000])) == [4000]
+    assert held() - before < 100                                  # of 229 MB
+    half = task([4000, 1])
+    assert next(half) == 4000
+    half.close()
+    assert held() - before < 100
+    assert all(hasattr(f, "__wrapped__") for f in (jj._describe, jj._postings, jj._cells, jj._shingles))
