@@ -121,8 +121,6 @@ class Pieces:
 
     def _learn(self, pieces) -> dict[str, int]:
         """Counts of pieces that are not known; long ones are not kept."""
-        if len(self.known) > PIECES:
-            self.known.clear()
         found, some, size = {}, [], 0
         for p in pieces:
             some.append(p)
@@ -140,6 +138,8 @@ class Pieces:
             return 0
         if self.cut is None:
             return self.count([text])[0]
+        if len(self.known) > PIECES:                  # before the look-up, so that what is forgotten is new again
+            self.known.clear()
         first, *rest = self.cut.split(text)
         rest = [" " + p for p in rest]
         rest.append(first)

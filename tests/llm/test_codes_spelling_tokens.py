@@ -224,6 +224,17 @@ def test_pieces_add_up_to_the_library_count():
         assert pieces(s) == count(s), repr(s)
 
 
+def test_pieces_forgotten_between_texts_are_counted_again(monkeypatch):
+    monkeypatch.setattr(token_counts, "PIECES", 3)
+    count, pieces = _library(BPE), token_counts.Pieces(BPE)
+    for s in ["so it goes on and on", "so it goes anew", "on and on", "it", " so it goes, on THAT!! and on", "and on THAT!! anew"]:
+        assert pieces(s) == count(s), s
+    rnd = random.Random(4)
+    for _ in range(300):
+        s = " ".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 14)))
+        assert pieces(s) == count(s), repr(s)
+
+
 def _token_rows():
     rnd = random.Random(2)
     rows = [(i, "".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 900)))) for i in range(40)]
